@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import secrets, simhash
 from .common import table
 
 
@@ -10,8 +10,12 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op4_secret_scan": op4_secret_scan}
+    return {"op4_secret_scan": op4_secret_scan, "op8_simhash_near_dedup": op8_simhash_near_dedup}
 
 
 def oracle_sql():
