@@ -61,20 +61,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     return picked.toPandas()
 
 
-def logistic_fit(x, y, l2: float = 1e-3, steps: int = 60):
-    """Newton steps for a small logistic regression; returns weights with the bias last."""
+def logistic_fit(x, y, l2: float = 1e-3, steps: int = 100):
+    """Newton steps, halved until the loss falls, for a small logistic regression; the bias comes last."""
     import numpy as np
 
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    ridge = l2 * len(x) * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-9
+    ridge = l2 * len(x) * np.ones(len(w))
+    ridge[-1] = 1e-9
+
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * w * w).sum()
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge @ w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        g = x.T @ (p - y) + ridge * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-7 * max(1.0, abs(now)):
             break
     return w
+
+
+def logistic_score(x, w):
+    """Scores between 0 and 1 of rows of features, by the weights of ``logistic_fit``."""
+    import numpy as np
+
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash
+from . import quality, secrets, simhash
 from .common import table
 
 
@@ -14,8 +14,12 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op4_secret_scan": op4_secret_scan, "op8_simhash_near_dedup": op8_simhash_near_dedup}
+    return {"op4_secret_scan": op4_secret_scan, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql():
