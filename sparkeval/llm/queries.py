@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash
+from . import langid, quality, secrets, simhash, toxicity
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark, sf_dir):
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,8 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def queries():
-    return {"op4_secret_scan": op4_secret_scan, "op8_simhash_near_dedup": op8_simhash_near_dedup, "op10_quality_classifier": op10_quality_classifier}
+    named = (op1_toxicity, op4_secret_scan, op7_language_id, op8_simhash_near_dedup, op10_quality_classifier)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql():
