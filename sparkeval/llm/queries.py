@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secrets, simhash, toxicity
+from . import flac, langid, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -22,12 +22,16 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_flac_media(spark, sf_dir):
+    return flac.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    named = (op1_toxicity, op4_secret_scan, op7_language_id, op8_simhash_near_dedup, op10_quality_classifier)
+    named = (op1_toxicity, op4_secret_scan, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
     return {f.__name__: f for f in named}
 
 
