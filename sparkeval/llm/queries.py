@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, langid, quality, secrets, simhash, toxicity
+from . import flac, langid, quality, records, secrets, simhash, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_records(spark, sf_dir):
+    return records.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def queries():
-    named = (op1_toxicity, op4_secret_scan, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
+    named = (op1_toxicity, op4_secret_scan, op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
     return {f.__name__: f for f in named}
 
 
