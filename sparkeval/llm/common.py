@@ -52,13 +52,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     never takes part.  Rows are chosen by a hash of the id, so that the choice is the same
     for any partitioning.
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    if labels is not None:
-        lab = labels.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
-        rows = rows.select("doc_id", "text").join(lab, "doc_id")
-    rows = rows.select("doc_id", "text", *columns).dropna(subset=columns)
-    picked = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id", F.xxhash64("text")).limit(max_rows)
-    return picked.toPandas()
+    keyed = docs.select("doc_id", *columns) if labels is None else labels.select("doc_id", *columns)
+    ids = (
+        keyed.where(~held_out(F.col("doc_id")))
+        .dropna(subset=["doc_id", *columns])
+        .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id", *columns)
+        .limit(max_rows)
+        .dropDuplicates(["doc_id"])
+    )
+    # only the chosen ids travel: max_rows of them at most, so they can be broadcast
+    rows = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("r")).select("doc_id", "r.*")
+    return one.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id").toPandas()
 
 
 def logistic_fit(x, y, l2: float = 1e-3, steps: int = 100):
