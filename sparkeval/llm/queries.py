@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, langid, quality, records, secrets, simhash, toxicity
+from . import flac, html_text, langid, quality, records, secrets, simhash, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op7_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def queries():
-    named = (op1_toxicity, op4_secret_scan, op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
+    named = (op1_toxicity, op3_html_text, op4_secret_scan, op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
     return {f.__name__: f for f in named}
 
 
