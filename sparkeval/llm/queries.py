@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, html_text, langid, quality, records, secrets, simhash, toxicity
+from . import decontam, flac, html_text, langid, pieces, quality, records, secrets, simhash, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_records(spark, sf_dir):
     return records.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op7_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark, sf_dir):
     return html_text.digest(table(spark, sf_dir, "pages"))
 
@@ -39,7 +47,10 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def queries():
-    named = (op1_toxicity, op3_html_text, op4_secret_scan, op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier)
+    named = (
+        op1_toxicity, op2_sentencepiece, op3_html_text, op4_secret_scan, op5_benchmark_decontamination,
+        op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier,
+    )
     return {f.__name__: f for f in named}
 
 
