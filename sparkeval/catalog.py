@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import registry
+from .plans import agents, aggregates, comparison, datasets, judging, retrieval, statistics, streams, text  # noqa: F401  they register their queries
+
 
 def queries():
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return registry.SQL
