@@ -56,7 +56,7 @@ def alignment_summary(aligned: DataFrame, keys: list[str], threshold: float = 0.
         F.when((F.col("paired_n") > 1) & F.col("constant"), F.lit("ZERO_VARIANCE")),
         F.when((F.col("union_n") - F.col("paired_n")) / F.col("union_n") > threshold, F.lit("EXCESSIVE_MISSINGNESS")),
     )
-    return out.drop("constant").withColumn("warnings", F.array_join(F.array_compact(notes), ","))
+    return out.withColumn("warnings", F.array_join(F.array_compact(notes), ",")).drop("constant")
 
 
 def continuous_effects(aligned: DataFrame, keys: list[str]) -> DataFrame:

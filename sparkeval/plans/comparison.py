@@ -94,12 +94,12 @@ def gate01_evaluate_gate(spark, sf_dir):
 
 @query(with_views("runs", f"""WITH {ALIGNED},
 e AS (SELECT metric, count(*) AS n, avg(d) AS md, avg(rv) AS cm FROM p GROUP BY metric),
-r(identifier, metric, operator, threshold, least_n, required) AS (VALUES ('a', 'metric-0', 'maximum_regression', 5.0, 10, true), ('b', 'metric-1', 'minimum', 0.0, 10, true),
+rl(identifier, metric, operator, threshold, least_n, required) AS (VALUES ('a', 'metric-0', 'maximum_regression', 5.0, 10, true), ('b', 'metric-1', 'minimum', 0.0, 10, true),
  ('c', 'metric-2', 'maximum', 1000000000.0, 10, false), ('d', 'metric-9', 'minimum', 0.0, 1, false), ('e', 'metric-3', 'minimum', 0.0, 100000000, true))
-SELECT r.identifier, r.metric, r.operator, r.required, coalesce(n >= least_n AND CASE operator WHEN 'maximum_regression' THEN md >= -abs(threshold) WHEN 'minimum' THEN cm >= threshold ELSE cm <= threshold END, false) AS passed,
+SELECT rl.identifier, rl.metric, rl.operator, rl.required, coalesce(n >= least_n AND CASE operator WHEN 'maximum_regression' THEN md >= -abs(threshold) WHEN 'minimum' THEN cm >= threshold ELSE cm <= threshold END, false) AS passed,
  CASE WHEN n IS NULL THEN 'metric is absent' WHEN n < least_n THEN 'too few pairs'
   WHEN CASE operator WHEN 'maximum_regression' THEN md >= -abs(threshold) WHEN 'minimum' THEN cm >= threshold ELSE cm <= threshold END THEN 'holds' ELSE 'violated' END AS reason
-FROM r LEFT JOIN e USING (metric)"""))
+FROM rl LEFT JOIN e USING (metric)"""))
 def gate01b_point_rules(spark, sf_dir):
     """The rules that need point estimates alone."""
     rules = spark.createDataFrame(
