@@ -1 +1,85 @@
-"""Queries."""
+"""Agent trajectories and operational metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import trajectory as J
+from ..registry import query
+from ..views import table, trajectories, with_views
+
+
+def _steps(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    return t.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "tool", "arguments", "success"))).alias("steps"))
+
+
+@query(with_views("traj", """WITH f AS (SELECT agent, step FROM traj WHERE kind = 'tool_result' AND NOT success),
+g AS (SELECT agent, max(step) AS upto FROM traj WHERE kind = 'final_output' OR (kind = 'tool_result' AND success) GROUP BY agent),
+r AS (SELECT f.agent, avg((f.step < coalesce(upto, -1))::INT) AS recovery FROM f LEFT JOIN g USING (agent) GROUP BY f.agent)
+SELECT agent, count(*) AS n_steps, round(sum((kind = 'tool_result' AND success)::INT) / nullif(sum((kind = 'tool_result')::INT), 0), 9) AS success_rate,
+ round(coalesce((sum((kind = 'tool_call')::INT) - count(DISTINCT CASE WHEN kind = 'tool_call' THEN tool || '|' || arguments END)) / nullif(sum((kind = 'tool_call')::INT), 0), 0), 9) AS redundant_rate,
+ round(any_value(recovery), 9) AS recovery FROM traj LEFT JOIN r USING (agent) GROUP BY agent"""))
+def agt04_trajectory_metrics(spark, sf_dir):
+    s = F.col("steps")
+    return _steps(spark, sf_dir).select(
+        "agent",
+        F.size(s).cast("long").alias("n_steps"),
+        F.round(J.tool_success_rate(s), 9).alias("success_rate"),
+        F.round(J.redundant_call_rate(s), 9).alias("redundant_rate"),
+        F.round(J.recovery_rate(s), 9).alias("recovery"),
+    )
+
+
+@query(with_views("traj", """WITH a AS (SELECT agent, row_number() OVER (PARTITION BY agent ORDER BY step) AS i, kind || chr(31) || tool || chr(31) || arguments AS x FROM traj WHERE kind IN ('tool_call', 'model_decision')),
+m AS (SELECT a.agent, n, a.i, a.i - row_number() OVER (PARTITION BY a.agent, n ORDER BY a.i) AS grp FROM a, range(1, 5) r(n), a AS b WHERE b.agent = a.agent AND b.i = a.i - n AND b.x = a.x),
+l AS (SELECT DISTINCT agent FROM (SELECT agent, n, grp FROM m GROUP BY agent, n, grp HAVING count(*) >= 2 * n))
+SELECT DISTINCT traj.agent, l.agent IS NOT NULL AS loop FROM traj LEFT JOIN l USING (agent)"""))
+def agt06_loop_detection(spark, sf_dir):
+    return _steps(spark, sf_dir).select("agent", J.has_loop(F.col("steps")).alias("loop"))
+
+
+@query(with_views("traj", """WITH c AS (SELECT agent, tool, row_number() OVER (PARTITION BY agent ORDER BY step) AS i FROM traj WHERE kind = 'tool_call'), e(i, tool) AS (VALUES (1, 'tool-0'), (2, 'tool-1'), (3, 'tool-2')),
+h AS (SELECT agent, count(*) AS n FROM c JOIN e USING (i, tool) GROUP BY agent)
+SELECT DISTINCT traj.agent, round(coalesce(n, 0) / 3, 9) AS accuracy FROM traj LEFT JOIN h USING (agent)"""))
+def agt01_tool_selection(spark, sf_dir):
+    expected = F.array(*[F.lit(f"tool-{k}") for k in range(3)])
+    return _steps(spark, sf_dir).select("agent", F.round(J.tool_selection_accuracy(F.col("steps"), expected), 9).alias("accuracy"))
+
+
+@query(with_views("traj", "SELECT agent, step, kind = 'tool_result' AND NOT success AS failed, coalesce(max((kind = 'final_output' OR (kind = 'tool_result' AND success))::INT) OVER (PARTITION BY agent ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1 AS recovers FROM traj"))
+def win12_recovery_window(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    good = (F.col("kind") == "final_output") | ((F.col("kind") == "tool_result") & F.col("success"))
+    later = Window.partitionBy("agent").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
+    return t.select("agent", "step", ((F.col("kind") == "tool_result") & ~F.col("success")).alias("failed"), (F.coalesce(F.max(good.cast("int")).over(later), F.lit(0)) == 1).alias("recovers"))
+
+
+@query("""WITH s AS (SELECT user_id AS agent, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT agent, count(*) FILTER (before > ts) AS out_of_order, count(*) AS n FROM s GROUP BY agent""")
+def win13_monotonic_offsets(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return e.select(F.col("user_id").alias("agent"), (before > F.col("ts")).alias("bad")).groupBy("agent").agg(F.count_if("bad").alias("out_of_order"), F.count("*").alias("n"))
+
+
+@query("""SELECT user_id % 10 AS suite, metric, count(*) AS total, count(v) AS available, count(*) - count(v) AS missing, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95
+FROM (SELECT user_id, 'latency-ms' AS metric, CASE WHEN event_type <> 'error' THEN value END AS v FROM events UNION ALL SELECT user_id, 'total-tokens', json_extract_string(props, '$.k')::DOUBLE FROM events UNION ALL SELECT user_id, 'cost-usd', NULL FROM events) GROUP BY ALL""")
+def op_operational_metrics(spark, sf_dir):
+    """Operational fields as metrics: an absent field is missing, 0 is a value; mean and quantiles."""
+    from ..operators.operational import long_form, summarize
+
+    e = table(spark, sf_dir, "events")
+    operational = F.struct(
+        F.when(F.col("event_type") != "error", F.col("value")).alias("latency_ms"), F.get_json_object("props", "$.k").cast("double").alias("total_tokens"), F.lit(None).cast("double").alias("cost_usd")
+    )
+    return summarize(long_form(e.select((F.col("user_id") % 10).alias("suite"), operational.alias("operational")), ["latency-ms", "total-tokens", "cost-usd"]), ["suite"])
+
+
+@query("""SELECT identifier, direction, unit FROM (VALUES ('cost-usd', 'minimize', 'usd'), ('end-to-end-latency-ms', 'minimize', 'ms'), ('error', 'minimize', 'indicator'), ('generation-latency-ms', 'minimize', 'ms'), ('input-tokens', 'minimize', 'tokens'),
+ ('latency-ms', 'minimize', 'ms'), ('output-tokens', 'minimize', 'tokens'), ('refusal', 'minimize', 'indicator'), ('retrieval-latency-ms', 'minimize', 'ms'), ('throughput-tokens-per-second', 'maximize', 'tokens/s'), ('time-to-first-token-ms', 'minimize', 'ms'),
+ ('total-tokens', 'minimize', 'tokens'), ('agent/step-count', 'minimize', 'steps'), ('agent/tool-cost-usd', 'minimize', 'usd')) t(identifier, direction, unit)""")
+def udf03_operational_definitions(spark, sf_dir):
+    from ..plans.registry import definitions
+
+    return definitions(spark).where("family = 'operational'").select("identifier", "direction", "unit")

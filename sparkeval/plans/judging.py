@@ -1 +1,199 @@
-"""Queries."""
+"""Judging: pair designs, verdicts, agreement of judges, drift, rankings, run orchestration."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import hashing
+from ..operators import pairwise as P
+from ..registry import query
+from ..views import outcomes, table, with_views
+
+SEED = 20260730
+
+
+@query(with_views("outcomes", """WITH j AS (SELECT assignment, line, verdict, confidence FROM outcomes),
+c AS (SELECT assignment, count(*) FILTER (verdict = 'A') AS a, count(*) FILTER (verdict = 'B') AS b, count(*) FILTER (verdict = 'tie') AS t, count(*) FILTER (verdict <> 'abstain') AS usable, avg(confidence) AS conf FROM j GROUP BY assignment)
+SELECT assignment, CASE WHEN usable = 0 THEN 'tie' WHEN a > greatest(b, t) THEN 'A' WHEN b > greatest(a, t) THEN 'B' ELSE 'tie' END AS verdict, usable,
+ round(1 - greatest(a, b, t) / usable, 9) AS disagreement, round(conf, 9) AS confidence FROM c"""))
+def agg13_aggregate_judgments(spark, sf_dir):
+    r = P.aggregate_judgments(outcomes(spark, sf_dir), "assignment")
+    return r.select("assignment", "verdict", "usable", F.round("disagreement", 9).alias("disagreement"), F.round("confidence", 9).alias("confidence"))
+
+
+@query(with_views("outcomes", """SELECT variant_a, round(count(*) FILTER (verdict = 'A') / nullif(count(*) FILTER (verdict IN ('A', 'B')), 0), 9) AS a_rate,
+ round(abs(coalesce(count(*) FILTER (verdict = 'A') / nullif(count(*) FILTER (verdict IN ('A', 'B')), 0), 0.5) - 0.5), 9) AS deviation, count(*) FILTER (verdict IN ('A', 'B')) AS decisive FROM outcomes GROUP BY variant_a"""))
+def agg14_position_bias(spark, sf_dir):
+    r = P.position_bias(outcomes(spark, sf_dir), ["variant_a"])
+    return r.select("variant_a", F.round("a_rate", 9).alias("a_rate"), F.round("deviation", 9).alias("deviation"), "decisive")
+
+
+@query(with_views("outcomes", """WITH o AS (SELECT assignment, line, CASE verdict WHEN 'A' THEN variant_a WHEN 'B' THEN variant_b END AS winner FROM outcomes)
+SELECT a.assignment, a.line, CASE WHEN a.winner IS NOT NULL AND b.winner IS NOT NULL THEN a.winner = b.winner END AS consistent FROM o a JOIN o b ON a.assignment = b.assignment AND b.line = a.line + 2"""))
+def agg15_reversed_consistency(spark, sf_dir):
+    """Each verdict with that of its counterpart two lines on."""
+    o = outcomes(spark, sf_dir).select("assignment", "line", "variant_a", "variant_b", "verdict")
+    other = o.select("assignment", (F.col("line") - 2).alias("line"), *[F.col(c).alias(f"r_{c}") for c in ("variant_a", "variant_b", "verdict")])
+    return o.join(other, ["assignment", "line"]).select("assignment", "line", P.same_winner("variant_a", "variant_b", "verdict", "r_variant_a", "r_variant_b", "r_verdict").alias("consistent"))
+
+
+@query(with_views("outcomes", """WITH w AS (SELECT line, count(*) FILTER (verdict = 'A') AS a, count(*) FILTER (verdict = 'B') AS b, count(*) FILTER (verdict = 'tie') AS t, median(confidence) AS med, avg(confidence) AS mean FROM outcomes GROUP BY line)
+SELECT line, CASE WHEN a > greatest(b, t) THEN 'A' WHEN b > greatest(a, t) THEN 'B' ELSE 'tie' END AS verdict, round(med, 9) AS median_score, round(mean, 9) AS mean_score FROM w"""))
+def agg16_aggregate_responses(spark, sf_dir):
+    r = P.aggregate_responses(outcomes(spark, sf_dir).withColumn("scores", F.create_map(F.lit("quality"), F.col("confidence"))), ["line"])
+    return r.select("line", "verdict", F.round("median_score", 9).alias("median_score"), F.round("mean_score", 9).alias("mean_score"))
+
+
+@query(with_views("outcomes", """WITH s AS (SELECT line, verdict, count(*) / sum(count(*)) OVER (PARTITION BY line) AS share FROM outcomes WHERE line IN (1, 2) GROUP BY line, verdict),
+v AS (SELECT sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2 AS tv FROM (SELECT * FROM s WHERE line = 1) a FULL OUTER JOIN (SELECT * FROM s WHERE line = 2) b USING (verdict)),
+m AS (SELECT avg(CASE WHEN line = 2 THEN confidence END) - avg(CASE WHEN line = 1 THEN confidence END) AS shift FROM outcomes)
+SELECT round(tv, 9) AS verdict_distance, round(shift, 9) AS confidence_shift, tv > 0.15 OR abs(shift) > 0.5 AS alert FROM v, m"""))
+def st35_judge_drift(spark, sf_dir):
+    o = outcomes(spark, sf_dir)
+    d = P.judge_drift(o.where("line = 1"), o.where("line = 2"))
+    return d.select(F.round("verdict_distance", 9).alias("verdict_distance"), F.round("confidence_shift", 9).alias("confidence_shift"), "alert")
+
+
+@query(with_views("outcomes", """WITH o AS (SELECT assignment, verdict, row_number() OVER (PARTITION BY assignment ORDER BY line, verdict) AS i FROM outcomes)
+SELECT round(sum((a.verdict <> b.verdict)::INT) / count(*), 9) AS mismatch_rate, count(*) AS pairs FROM o a JOIN o b ON a.assignment = b.assignment AND a.i < b.i"""))
+def st36_ensemble_disagreement(spark, sf_dir):
+    return P.ensemble_disagreement(outcomes(spark, sf_dir), "assignment", "verdict").withColumn("mismatch_rate", F.round("mismatch_rate", 9))
+
+
+@query(with_views("outcomes", """WITH u AS (SELECT least(variant_a, variant_b) AS a, greatest(variant_a, variant_b) AS b, CASE WHEN verdict = 'tie' THEN 't' WHEN (verdict = 'A') = (variant_a < variant_b) THEN 'a' ELSE 'b' END AS w FROM outcomes)
+SELECT a, b, count(*) FILTER (w = 'a') AS wins_a, count(*) FILTER (w = 'b') AS wins_b, count(*) FILTER (w = 't') AS ties,
+ round((count(*) FILTER (w = 'a') + 0.5 * count(*) FILTER (w = 't')) / count(*), 9) AS win_rate FROM u GROUP BY a, b"""))
+def st21_pair_outcomes(spark, sf_dir):
+    c = P.pair_outcomes(outcomes(spark, sf_dir))
+    return c.withColumn("win_rate", F.round((F.col("wins_a") + 0.5 * F.col("ties")) / (F.col("wins_a") + F.col("wins_b") + F.col("ties")), 9))
+
+
+def _ranking(spark, sf_dir, f):
+    from ..operators import rankings
+
+    return rankings.rank(P.pair_outcomes(outcomes(spark, sf_dir)), f)
+
+
+@query()
+def st26_bradley_terry(spark, sf_dir):
+    from ..operators.rankings import bradley_terry
+
+    return _ranking(spark, sf_dir, bradley_terry)
+
+
+@query()
+def st27_davidson(spark, sf_dir):
+    from ..operators.rankings import davidson
+
+    return _ranking(spark, sf_dir, davidson)
+
+
+@query()
+def st28_descriptive_elo(spark, sf_dir):
+    from ..operators.rankings import elo
+
+    return _ranking(spark, sf_dir, elo)
+
+
+@query("""SELECT r.r_name AS record_key, a.n_name AS left_variant, b.n_name AS right_variant, s AS slot, rep AS repetition FROM region r, nation a, nation b, range(2) t(s), range(2) u(rep) WHERE a.n_name < b.n_name AND a.n_regionkey = 1 AND b.n_regionkey = 1""")
+def join08_pair_cells(spark, sf_dir):
+    """Records x pairs of variants x slots x repetitions."""
+    records = table(spark, sf_dir, "region").select(F.col("r_name").alias("record_key"))
+    variants = [r[0] for r in table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_name").orderBy("n_name").collect()]  # a design's variants: a handful
+    return P.pair_cells(records, variants, slots=2, repetitions=2)
+
+
+@query()
+def pw01_balanced_assignments(spark, sf_dir):
+    """A balanced blinded design over all documents: three variants, one slot, one repetition."""
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_key"))
+    return P.balanced_assignments(P.pair_cells(records, ["base", "candidate", "third"], 1, 1), SEED)
+
+
+@query(f"""SELECT o_orderkey::VARCHAR AS record_key, rep::BIGINT AS repetition, ('0x' || substr(sha256(unhex('{SEED.to_bytes(8, "big").hex()}') || encode(o_orderkey::VARCHAR) || unhex(lpad(to_hex(rep), 8, '0'))), 1, 16))::UBIGINT::VARCHAR AS seed
+FROM orders, range(1, 4) r(rep)""")
+def orc01_task_fanout(spark, sf_dir):
+    """Records x repetitions with the derived unsigned 64-bit seeds."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_key"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("repetition"))
+    return o.withColumn("seed", hashing.task_seed(SEED, F.col("record_key"), F.col("repetition")).cast("string"))
+
+
+@query("""WITH s AS (SELECT user_id AS run, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT run, count(*) AS illegal FROM s WHERE before IS NOT NULL AND NOT ((before = 'view' AND state IN ('click', 'purchase')) OR (before = 'click' AND state IN ('view', 'error', 'purchase')) OR (before = 'signup' AND state = 'view')) GROUP BY run""")
+def orc03_illegal_transitions(spark, sf_dir):
+    """State changes that the transition table does not allow."""
+    legal = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "view"), ("click", "error"), ("click", "purchase"), ("signup", "view")], "before string, state string")
+    e = table(spark, sf_dir, "events")
+    s = e.select(F.col("user_id").alias("run"), F.col("event_type").alias("state"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+    return s.where("before is not null").join(F.broadcast(legal), ["before", "state"], "left_anti").groupBy("run").agg(F.count("*").alias("illegal"))
+
+
+@query("""WITH c AS (SELECT user_id AS run, count(*) AS total, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS ok, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'signup') AS cancelled FROM events GROUP BY user_id)
+SELECT run, CASE WHEN ok + failed + cancelled < total THEN 'running' WHEN cancelled > 0 THEN 'cancelled' WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS state FROM c""")
+def orc04_finalize_if_settled(spark, sf_dir):
+    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("event_type").isin("view", "click", "purchase")).alias("succeeded"),
+        F.count_if(F.col("event_type") == "error").alias("failed"),
+        F.count_if(F.col("event_type") == "signup").alias("cancelled"),
+    )
+    return c.select("run", P.settled_state().alias("state"))
+
+
+@query("""SELECT o_orderkey, o_custkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::DOUBLE AS spent,
+ sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) > 500000 AS over_budget FROM orders""")
+def orc06_budget_check(spark, sf_dir):
+    """Running cost in task order against a limit."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w)
+    return o.select("o_orderkey", "o_custkey", spent.cast("double").alias("spent"), (spent > 500000).alias("over_budget"))
+
+
+@query("""SELECT event_id, ((json_extract_string(props, '$.k')::BIGINT * 3 + 256 * 15) / 1000000.0)::DOUBLE AS estimated_cost FROM events""")
+def orc07_estimated_cost(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("decimal(20,0)")
+    return table(spark, sf_dir, "events").select("event_id", ((k * 3 + 256 * 15) / F.lit(1000000).cast("decimal(20,0)")).cast("double").alias("estimated_cost"))
+
+
+@query("""WITH e AS (SELECT user_id AS org, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id::VARCHAR) AS h FROM events)
+SELECT org, event_id, seq, sha256(coalesce(lag(h) OVER (PARTITION BY org ORDER BY seq), repeat('0', 64)) || h) AS chain FROM e""")
+def win11_audit_links(spark, sf_dir):
+    """Each event's link: the digest of the event before and its own; verified with ``lag``."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("org").orderBy("seq")
+    s = e.select(F.col("user_id").alias("org"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    return s.select("org", "event_id", "seq", F.sha2(F.concat(F.coalesce(F.lag("h").over(w), F.lit("0" * 64)), F.col("h")), 256).alias("chain"))
+
+
+@query("""WITH l AS (SELECT item_id, string_split(text, chr(10)) AS lines FROM benchmark), x AS (SELECT item_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l)
+SELECT item_id, 'A:L' || lpad(i::VARCHAR, 4, '0') AS evidence_id, line FROM x""")
+def jdg03_evidence_ids(spark, sf_dir):
+    """The numbered lines of a judged answer."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return b.select("item_id", F.format_string("A:L%04d", F.col("i") + 1).alias("evidence_id"), "line")
+
+
+@query(f"""SELECT item_id, ('0x' || substr(sha256('{SEED}:' || item_id || ':' || rep), 1, 16))::UBIGINT::VARCHAR AS seed, substr(sha256('judge:' || item_id || ':' || rep), 1, 32) AS idempotency_key, rep::INT AS repetition FROM benchmark, range(3) r(rep)""")
+def jdg05_repetition_seeds(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("repetition"))
+    key = lambda head: F.concat_ws(":", F.lit(head), "item_id", "repetition")
+    return b.select("item_id", hashing.hex_u64(F.substring(F.sha2(key(str(SEED)), 256), 1, 16)).cast("string").alias("seed"), F.substring(F.sha2(key("judge"), 256), 1, 32).alias("idempotency_key"), "repetition")
+
+
+@query()
+def jdg02_parse_responses(spark, sf_dir):
+    """Judge responses built from the events, read back under the strict contract."""
+    from ..functions.judge import parse_responses
+
+    e = table(spark, sf_dir, "events")
+    verdict = F.when(F.col("event_type") == "error", "abstain").when(F.col("value") > 50, "A").otherwise("B")
+    body = F.to_json(
+        F.struct(
+            F.lit("1").alias("schema_version"), verdict.alias("verdict"), F.create_map(F.lit("quality"), F.get_json_object("props", "$.k").cast("double")).alias("scores"), F.lit(0.5).alias("confidence"),
+            F.array(F.lit("A:L0001")).alias("evidence"), F.lit("because").alias("justification"), F.when(verdict == "abstain", "unclear").alias("abstention_reason"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    return parse_responses(e.select("event_id", body.alias("response")), {"quality": (0.0, 5.0)}, ["A:L0001"])

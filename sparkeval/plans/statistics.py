@@ -1 +1,183 @@
-"""Queries."""
+"""Tests, effects, multiplicity, agreement, planning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import agreement as R
+from ..operators import inference as I
+from ..registry import query
+from ..views import raters, table, with_views
+from .comparison import ALIGNED, _aligned
+
+Z = 1.959963984540054  # fixed value: the normal quantile of 0.975
+
+
+def _paired(spark, sf_dir):
+    return _aligned(spark, sf_dir).where("paired")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS g, count(*) AS n, count(*) FILTER (l_quantity > 25) AS k FROM lineitem GROUP BY l_returnflag)
+SELECT g, k, n, round(k / n, 9) AS rate, round(((k / n) + 1.959963984540054 ^ 2 / (2 * n) - 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 1.959963984540054 ^ 2 / (4 * n * n))) / (1 + 1.959963984540054 ^ 2 / n), 9) AS wilson_low,
+ round(((k / n) + 1.959963984540054 ^ 2 / (2 * n) + 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 1.959963984540054 ^ 2 / (4 * n * n))) / (1 + 1.959963984540054 ^ 2 / n), 9) AS wilson_high FROM c""")
+def st03_wilson_interval(spark, sf_dir):
+    """The closed form, natively."""
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g")).agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("k"))
+    p, n = F.col("k") / F.col("n"), F.col("n")
+    centre, half = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
+    return c.select("g", "k", "n", F.round(p, 9).alias("rate"), F.round((centre - half) / (1 + Z * Z / n), 9).alias("wilson_low"), F.round((centre + half) / (1 + Z * Z / n), 9).alias("wilson_high"))
+
+
+@query()
+def st02_mean_t_interval(spark, sf_dir):
+    return I.mean_t_interval(_paired(spark, sf_dir), ["metric"], "difference")
+
+
+@query()
+def st04_exact_intervals(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("large", F.col("l_quantity") > 25)
+    return I.proportion_intervals(li, ["l_returnflag"], "large")
+
+
+@query()
+def st06_bootstrap_groups(spark, sf_dir):
+    """Percentile intervals of the median of each supplier nation's account balances."""
+    import numpy as np
+
+    return I.bootstrap_groups(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal", np.median, "percentile", 200, 3)
+
+
+@query()
+def st07_poisson_bootstrap(spark, sf_dir):
+    return I.poisson_bootstrap_mean(_paired(spark, sf_dir), ["metric"], "record_id", "difference", 200, 11)
+
+
+@query(with_views("runs", f"""WITH {ALIGNED} SELECT metric, count(*) AS n, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS statistic FROM p GROUP BY metric"""))
+def st10_paired_t_statistic(spark, sf_dir):
+    return _paired(spark, sf_dir).groupBy("metric").agg(F.count("difference").alias("n"), F.round(F.avg("difference") / (F.stddev_samp("difference") / F.sqrt(F.count("difference"))), 6).alias("statistic"))
+
+
+@query()
+def st10_paired_t_test(spark, sf_dir):
+    return I.paired_t(_paired(spark, sf_dir), ["metric"], "difference")
+
+
+@query(with_views("runs", f"""WITH {ALIGNED},
+rk AS (SELECT metric, d, (rank() OVER (PARTITION BY metric ORDER BY abs(d)) + rank() OVER (PARTITION BY metric ORDER BY abs(d)) + count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2.0 AS mid FROM p WHERE d <> 0)
+SELECT metric, least(sum(CASE WHEN d > 0 THEN mid ELSE 0 END), sum(CASE WHEN d < 0 THEN mid ELSE 0 END))::DOUBLE AS statistic FROM rk GROUP BY metric"""))
+def st11_wilcoxon_statistic(spark, sf_dir):
+    return I.wilcoxon(_paired(spark, sf_dir), ["metric"], "difference").select("metric", "statistic")
+
+
+@query()
+def st11_wilcoxon_test(spark, sf_dir):
+    return I.wilcoxon(_paired(spark, sf_dir), ["metric"], "difference").select("metric", "n", "statistic", "p_value")
+
+
+@query(with_views("runs", f"WITH {ALIGNED} SELECT metric, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM p GROUP BY metric"))
+def st12_sign_counts(spark, sf_dir):
+    return I.sign_counts(_paired(spark, sf_dir), ["metric"], "difference")
+
+
+@query()
+def st12_sign_test(spark, sf_dir):
+    return I.sign_test(I.sign_counts(_paired(spark, sf_dir), ["metric"], "difference"))
+
+
+@query("""SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_left, count(*) FILTER (quality = 0 AND toxic = 1) AS only_right, round(avg(quality), 9) AS left_rate, round(avg(toxic), 9) AS right_rate, round(avg(toxic) - avg(quality), 9) AS risk_difference,
+ round(avg(toxic) / nullif(avg(quality), 0), 9) AS risk_ratio, round(count(*) FILTER (quality = 0 AND toxic = 1) / nullif(count(*) FILTER (quality = 1 AND toxic = 0), 0), 9) AS odds_ratio FROM labels""")
+def st20_paired_binary_effects(spark, sf_dir):
+    e = R.binary_effects(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return e.select("only_left", "only_right", *[F.round(c, 9).alias(c) for c in e.columns[2:]])
+
+
+@query()
+def st13_mcnemar_test(spark, sf_dir):
+    e = R.binary_effects(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return I.sign_test(e.select(F.col("only_right").alias("wins"), F.col("only_left").alias("losses"), F.lit(0).cast("long").alias("ties")))
+
+
+@query()
+def st14_permutation_test(spark, sf_dir):
+    return I.permutation_test(_paired(spark, sf_dir), ["metric"], "difference", 600, 5)
+
+
+@query()
+def st17_paired_tost(spark, sf_dir):
+    return I.paired_tost(_paired(spark, sf_dir), ["metric"], "difference", -5.0, 5.0)
+
+
+@query("""WITH t AS (SELECT l_returnflag AS family, l_linenumber::VARCHAR AS key, avg(l_discount) * 0.4 AS p FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, key) AS rk, count(*) OVER (PARTITION BY family) AS n FROM t)
+SELECT family, key, round(p, 9) AS p, round(least(1, p * n), 9) AS bonferroni, round(least(1, max((n - rk + 1) * p) OVER (PARTITION BY family ORDER BY p, key ROWS UNBOUNDED PRECEDING)), 9) AS holm,
+ round(least(1, min(p * n / rk) OVER (PARTITION BY family ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS bh FROM r""")
+def st22_adjust_p_values(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linenumber").cast("string").alias("key")).agg((F.avg("l_discount") * 0.4).alias("p"))
+    a = I.adjust_p_values(p)
+    return a.select("family", "key", *[F.round(c, 9).alias(c) for c in ("p", "bonferroni", "holm", "bh")])
+
+
+KAPPA = """
+l AS (SELECT x, dense_rank() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM (SELECT r1 AS x FROM rt UNION ALL SELECT r2 FROM rt))), k AS (SELECT greatest(count(*) - 1, 1) AS m FROM l),
+c AS (SELECT la.i AS i, lb.i AS j, count(*) AS n FROM rt JOIN l la ON rt.r1 = la.x JOIN l lb ON rt.r2 = lb.x GROUP BY ALL), t AS (SELECT sum(n) AS n FROM c),
+o AS (SELECT sum(n * pow(i - j, 2) / (m * m)) AS obs FROM c, k), e AS (SELECT sum(a.n * b.n * pow(a.i - b.j, 2) / (m * m)) / any_value(t.n) AS ex FROM (SELECT i, sum(n) AS n FROM c GROUP BY i) a, (SELECT j, sum(n) AS n FROM c GROUP BY j) b, k, t)"""
+
+
+@query(f"WITH rt AS (SELECT l_linenumber AS r1, least(7, floor(l_quantity / 8)::INT + 1) AS r2 FROM lineitem), {KAPPA} SELECT round(1 - obs / ex, 9) AS kappa FROM o, e")
+def st23_weighted_kappa(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("a"), F.least(F.lit(7), F.floor(F.col("l_quantity") / 8).cast("int") + 1).alias("b"))
+    return R.weighted_kappa(li, "a", "b", "quadratic").select(F.round("kappa", 9).alias("kappa"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS u, l_linestatus AS v, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT u, sum(n) AS m, sum(n * n) AS sq FROM c GROUP BY u),
+o AS (SELECT sum(m * m - sq) AS dis, sum(m * (m - 1)) AS pairs FROM p WHERE m > 1), t AS (SELECT v, sum(n * (m - 1)) AS n FROM c JOIN p USING (u) WHERE m > 1 GROUP BY v), s AS (SELECT sum(n) AS n, sum(n * n) AS sq FROM t)
+SELECT round(1 - (dis / pairs) / nullif(1 - s.sq / (s.n * s.n), 0), 9) AS alpha FROM o, s""")
+def st24_krippendorff_alpha(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linestatus").alias("label"))
+    return R.krippendorff_nominal(li).select(F.round("alpha", 9).alias("alpha"))
+
+
+@query("""WITH x AS (SELECT c_acctbal AS a, avg(o_totalprice) AS b FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_acctbal),
+r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x) SELECT round(corr(ra, rb), 9) AS spearman, count(*) AS n FROM r""")
+def st25_rank_correlation(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    x = c.join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("b")), "c_custkey").select("c_custkey", F.col("c_acctbal").alias("a"), "b")
+    return R.spearman(x, "a", "b").select(F.round("spearman", 9).alias("spearman"), "n")
+
+
+@query("""WITH x AS (SELECT l_linenumber AS a, least(7, floor(l_quantity / 8)::INT + 1) AS b, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT sum(CASE WHEN p.a < q.a AND p.b < q.b THEN p.n * q.n ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN p.a < q.a AND p.b > q.b THEN p.n * q.n ELSE 0 END)::DOUBLE AS d FROM x p, x q),
+t AS (SELECT sum(n)::DOUBLE AS n FROM x), ta AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(n)::DOUBLE AS m FROM x GROUP BY a)), tb AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(n)::DOUBLE AS m FROM x GROUP BY b))
+SELECT round((c - d) / sqrt((n * (n - 1) / 2 - ta.t) * (n * (n - 1) / 2 - tb.t)), 9) AS tau_b FROM s, t, ta, tb""")
+def st25b_kendall_tau(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("a"), F.least(F.lit(7), F.floor(F.col("l_quantity") / 8).cast("int") + 1).alias("b"))
+    return R.kendall_tau_b(li, "a", "b").select(F.round("tau_b", 9).alias("tau_b"))
+
+
+@query(with_views("raters", f"WITH rt AS (SELECT a AS r1, b AS r2 FROM raters), {KAPPA} SELECT round((SELECT avg((r1 = r2)::INT) FROM rt), 9) AS accuracy, round(1 - obs / ex, 9) AS kappa FROM o, e"))
+def st33_categorical_calibration(spark, sf_dir):
+    r = raters(spark, sf_dir)
+    k = R.weighted_kappa(r, "a", "b", "nominal").select(F.round("kappa", 9).alias("kappa"))
+    return r.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 9).alias("accuracy")).crossJoin(k)
+
+
+@query("SELECT round(avg(pow(l_discount * 10 - (l_quantity > 25)::INT, 2)), 9) AS brier FROM lineitem")
+def st34_brier_score(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return R.brier(li, F.col("l_discount") * 10, F.col("l_quantity") > 25).select(F.round("brier", 9).alias("brier"))
+
+
+@query("""SELECT o_orderpriority AS strat, count(*) AS n, CASE WHEN count(*) < 30 THEN 'VERY_SMALL_SAMPLE' WHEN min(o_totalprice) = max(o_totalprice) THEN 'ZERO_VARIANCE' ELSE '' END AS warnings FROM orders GROUP BY ALL""")
+def st01_sample_warnings(spark, sf_dir):
+    return R.sample_warnings(table(spark, sf_dir, "orders"), [F.col("o_orderpriority").alias("strat")], "o_totalprice")
+
+
+@query()
+def st30_sample_sizes(spark, sf_dir):
+    """Planning tables: sample sizes for effects, and effects for sample sizes."""
+    from ..functions.planning import continuous_size, detectable_effect, preference_size
+
+    rows = [("continuous", d, float(continuous_size(d))) for d in (0.1, 0.2, 0.5, 0.8)]
+    rows += [("preference", p, float(preference_size(p, 0.2))) for p in (0.55, 0.6, 0.7)]
+    rows += [("detectable", float(n), detectable_effect(n)) for n in (30, 100, 1000)]
+    return spark.createDataFrame(rows, "kind string, given double, result double")

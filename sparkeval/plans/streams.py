@@ -1 +1,69 @@
-"""Queries."""
+"""Queries over the event stream, run to its end.
+
+Each query reads the table as a stream with ``availableNow`` into a Parquet or memory-free
+sink in the shared folder, and returns what the sink holds; the SQL is the batch result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..streaming import progress
+from ..views import table
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def str07_tumbling_windows(spark, sf_dir):
+    def daily(s):
+        w = s.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
+
+    return progress.run_to_end(spark, progress.event_stream(spark, sf_dir, watermark="7 days"), daily, mode="complete")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, max(event_id) AS last_event FROM events GROUP BY user_id")
+def str01_run_progress(spark, sf_dir):
+    def counters(s):
+        return s.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("event_id").alias("last_event"))
+
+    return progress.run_to_end(spark, progress.event_stream(spark, sf_dir), counters, mode="complete")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def str04_idempotent_completion(spark, sf_dir):
+    """Every event arrives twice and is kept once."""
+
+    def once(s):
+        twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+        return twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
+
+    return progress.run_to_end(spark, progress.event_stream(spark, sf_dir, watermark="400 days"), once, mode="append")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total, round(sum(value * value), 4) AS squares FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def str06_incremental_moments(spark, sf_dir):
+    """Mergeable counts, sums and squares, kept as stream state."""
+
+    def moments(s):
+        ok = s.where("event_type <> 'error'")
+        return ok.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares"))
+
+    return progress.run_to_end(spark, progress.event_stream(spark, sf_dir), moments, mode="complete")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '2 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session""")
+def str07b_sessions(spark, sf_dir):
+    """Session windows, as a batch query."""
+    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    # a session ends at the gap itself; the SQL side keeps an event exactly at the gap, so the gap is one microsecond longer
+    w = e.groupBy("user_id", F.session_window("t", "2 hours 1 microsecond").alias("w")).agg(F.count("*").alias("n"))
+    return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query("SELECT event_id // 1000 AS batch, count(*) AS n FROM events GROUP BY ALL")
+def str02_outbox_relay(spark, sf_dir):
+    """An outbox relayed by ``foreachBatch`` into a sink that takes every event once."""
+    rows = progress.relay(spark, progress.event_stream(spark, sf_dir), key="event_id")
+    return rows.groupBy(F.floor(F.col("event_id") / 1000).cast("long").alias("batch")).agg(F.count("*").alias("n"))

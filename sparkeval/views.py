@@ -72,7 +72,7 @@ def outcomes(spark, sf_dir) -> DataFrame:
     li = li.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("s_nationkey") % 5).cast("int").alias("item"))
     a = li.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("item").alias("a"), F.col("l_quantity").alias("qa"))
     b = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("item").alias("b"), F.col("l_quantity").alias("qb"))
-    pairs = a.join(b, ["l_orderkey", "line"]).where("a <> b and line % 2 = 1")
+    pairs = a.join(b, ["l_orderkey", "line"]).where("a <> b")
     verdict = F.when(F.abs(F.col("qa") - F.col("qb")) <= 1, "tie").when(F.col("qa") > F.col("qb"), "A").otherwise("B")
     return pairs.select(
         F.col("l_orderkey").alias("assignment"), "line", F.concat(F.lit("item-"), F.col("a").cast("string")).alias("variant_a"),
@@ -84,7 +84,7 @@ def turns(spark, sf_dir) -> DataFrame:
     """Prediction and reference texts: a turn and the next one of a conversation."""
     c = table(spark, sf_dir, "conversations")
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    row = c.select("conv_id", "turn", F.substring("text", 1, 200).alias("prediction"), F.substring(nxt, 1, 200).alias("reference"))
+    row = c.select("conv_id", "turn", F.col("text").alias("prediction"), nxt.alias("reference"))
     return row.where("reference is not null").select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), "prediction", "reference")
 
 
@@ -102,9 +102,9 @@ SQL = {
     "outcomes": """li AS (SELECT l_orderkey, l_linenumber, l_quantity, s_nationkey % 5 AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
         outcomes AS (SELECT a.l_orderkey AS assignment, a.l_linenumber AS line, 'item-' || a.item AS variant_a, 'item-' || b.item AS variant_b,
         CASE WHEN abs(a.l_quantity - b.l_quantity) <= 1 THEN 'tie' WHEN a.l_quantity > b.l_quantity THEN 'A' ELSE 'B' END AS verdict, (a.l_quantity + b.l_quantity) / 100.0 AS confidence
-        FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.item <> b.item AND a.l_linenumber % 2 = 1)""",
-    "turns": """turns AS (SELECT conv_id || '-' || turn AS sample_id, prediction, reference FROM (SELECT conv_id, turn, substr(text, 1, 200) AS prediction,
-        substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 1, 200) AS reference FROM conversations) WHERE reference IS NOT NULL)""",
+        FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.item <> b.item)""",
+    "turns": """turns AS (SELECT conv_id || '-' || turn AS sample_id, prediction, reference FROM (SELECT conv_id, turn, text AS prediction,
+        lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS reference FROM conversations) WHERE reference IS NOT NULL)""",
 }
 
 
