@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0  # fixed value of the library
-CACHE = 300_000
+CACHE = 200_000
 
 
 class PieceModel:
@@ -172,8 +172,13 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
     def run(batches):
         encoder = Encoder(path)
         for b in batches:
-            texts = [encoder.decode(x or ()) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                lists = part.column(ids_col)
+                values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                # the ids of one row at a time become Python numbers
+                texts = [encoder.decode(values[a:c].tolist()) for a, c in zip(offsets, offsets[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{kinds}, `{out_col}` string")
