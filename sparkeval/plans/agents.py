@@ -83,3 +83,41 @@ def udf03_operational_definitions(spark, sf_dir):
     from ..plans.registry import definitions
 
     return definitions(spark).where("family = 'operational'").select("identifier", "direction", "unit")
+
+
+@query(with_views("traj", """WITH c AS (SELECT agent, json_extract_string(arguments, '$.k')::BIGINT <= 7 AND tool IN ('tool-0', 'tool-1', 'tool-2') AS ok FROM traj WHERE kind = 'tool_call')
+SELECT agent, count(*) AS n_calls, round(avg(ok::INT), 9) AS validity, round(1 - avg(ok::INT), 9) AS invalid_rate FROM c GROUP BY agent"""))
+def agt02_tool_argument_validity(spark, sf_dir):
+    """Calls whose arguments fit their tool's schema; an unknown tool is invalid."""
+    from ..functions.canonical import schema_errors
+
+    schema = '{"type":"object","required":["k"],"properties":{"k":{"type":"integer","maximum":7}}}'
+    calls = trajectories(spark, sf_dir).where("kind = 'tool_call'")
+    ok = F.col("tool").isin("tool-0", "tool-1", "tool-2") & (F.size(schema_errors(schema)(F.col("arguments"))) == 0)
+    v = F.avg(ok.cast("double"))
+    return calls.groupBy("agent").agg(F.count("*").alias("n_calls"), F.round(v, 9).alias("validity"), F.round(1 - v, 9).alias("invalid_rate"))
+
+
+@query(with_views("traj", """SELECT agent, count(*) AS n_steps, count(*) FILTER (kind = 'tool_call') AS n_calls, round(coalesce(sum(CASE WHEN kind = 'tool_call' THEN CASE tool WHEN 'tool-0' THEN 0.01 WHEN 'tool-1' THEN 0.02 ELSE 0 END END), 0), 9)::DOUBLE AS tool_cost FROM traj GROUP BY agent"""))
+def agt10_trajectory_summary(spark, sf_dir):
+    """Steps, calls and the price of the calls by a map of tools."""
+    price = F.create_map(F.lit("tool-0"), F.lit(0.01), F.lit("tool-1"), F.lit(0.02))
+    call = F.col("kind") == "tool_call"
+    t = trajectories(spark, sf_dir).groupBy("agent")
+    return t.agg(F.count("*").alias("n_steps"), F.count_if(call).alias("n_calls"), F.round(F.coalesce(F.sum(F.when(call, F.coalesce(F.try_element_at(price, F.col("tool")), F.lit(0.0)))), F.lit(0.0)), 9).alias("tool_cost"))
+
+
+@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text || ' the of and'), '\\s+'), lambda w: w <> '' AND length(w) <= 3)) AS o FROM benchmark)
+SELECT item_id, round(len(list_intersect(a, o)) / len(a), 9) AS grounded FROM b""")
+def agt09_grounded_share(spark, sf_dir):
+    """The share of an answer's words that its tools put out; here the tools put out the short words."""
+    b = table(spark, sf_dir, "benchmark")
+    outputs = F.filter(F.split(F.concat("text", F.lit(" the of and")), r"\s+"), lambda w: F.length(w) <= 3)
+    return b.select("item_id", F.round(J.grounded_share(F.col("text"), outputs), 9).alias("grounded"))
+
+
+@query(with_views("traj", "SELECT agent, count(*) FILTER (NOT (json_extract_string(arguments, '$.k')::BIGINT < 90)) AS violations, min(CASE WHEN NOT (json_extract_string(arguments, '$.k')::BIGINT < 90) THEN step END) AS first_violation FROM traj GROUP BY agent"))
+def agt08_state_consistency(spark, sf_dir):
+    """An invariant over every step's state: how often, and where first, it breaks."""
+    broken = ~(F.get_json_object("arguments", "$.k").cast("long") < 90)
+    return trajectories(spark, sf_dir).groupBy("agent").agg(F.count_if(broken).alias("violations"), F.min(F.when(broken, F.col("step"))).alias("first_violation"))

@@ -17,9 +17,18 @@ OPAD = bytes(b ^ 0x5C for b in SEED.to_bytes(8, "big").ljust(64, b"\0")).hex()
 
 
 def _built(spark, sf_dir):
+    """Records whose payload is the digest and the length of a text, so that SQL can write the same JSON."""
     rows = records_v1(spark, sf_dir)
+    payload = F.to_json(F.struct(F.length("text").alias("chars"), F.sha2("text", 256).alias("digest")))
     meta = F.to_json(F.struct("lang", "source"))
-    return D.build_records(rows, F.col("key"), F.to_json(F.struct("text")), meta, F.array(F.concat(F.lit(" "), F.upper("lang"))), F.lit('{"kind":"table"}'))
+    return D.build_records(rows, F.col("key"), payload, meta, F.array(F.concat(F.lit(" "), F.upper("lang"))), F.lit('{"kind":"table"}'))
+
+
+FRAME = "unhex(lpad(to_hex(octet_length(encode({0}))), 16, '0')) || encode({0})"
+BUILT = f"""
+b0 AS (SELECT key, '{{"chars":' || length(text) || ',"digest":"' || sha256(text) || '"}}' AS payload, '{{"lang":"' || lang || '","source":"' || source || '"}}' AS meta, '["' || lang || '"]' AS splits, '{{"kind":"table"}}' AS src, lang FROM v1),
+b1 AS (SELECT *, sha256(payload) AS payload_hash FROM b0),
+built AS (SELECT key, payload_hash, lang AS splits, sha256({" || ".join(FRAME.format(c) for c in ("key", "payload_hash", "meta", "splits", "src"))}) AS envelope_hash FROM b1)"""
 
 
 @query(with_views("v1", """
@@ -30,12 +39,15 @@ def ds05_frame(spark, sf_dir):
     return records_v1(spark, sf_dir).select("key", h.alias("text_hash"), F.sha2(hashing.frame(F.col("key"), h), 256).alias("frame_hash"))
 
 
-@query()
+@query(with_views("v1", f"WITH {BUILT} SELECT key, payload_hash, envelope_hash, splits FROM built"))
 def ds06_build_record(spark, sf_dir):
     return _built(spark, sf_dir).select("key", "payload_hash", "envelope_hash", F.concat_ws(",", "splits").alias("splits"))
 
 
-@query()
+HEAD7 = FRAME.format("'rfc8785-nfc-v1'") + "".join(f" || unhex('0000000000000020') || unhex(sha256('{x}'))" for x in ('{"type":"object"}', "{}"))
+
+
+@query(with_views("v1", f"""WITH {BUILT} SELECT sha256(encode('llm-eval-dataset') || unhex('00') || {HEAD7} || unhex(string_agg('0000000000000020' || envelope_hash, '' ORDER BY key))) AS content_hash, count(*) AS n_records FROM built"""))
 def ds07_version_hash(spark, sf_dir):
     return D.version_hash(_built(spark, sf_dir), '{"type":"object"}', "{}")
 
@@ -198,3 +210,59 @@ SELECT item_id, i::INT AS dim, round(x / norm, 9) AS value FROM d JOIN n USING (
 def src14_fake_embed(spark, sf_dir):
     v = readers.fake_embed(table(spark, sf_dir, "benchmark").select("item_id", "text"), 8, separator="\x1f")
     return v.select("item_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 9))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(x, '^[=+\\-@\\t\\r]') THEN '''' || x ELSE x END AS cell FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || p_name AS x FROM part)")
+def snk02_safe_cells(spark, sf_dir):
+    from ..sources.sinks import safe_cell
+
+    k = F.col("p_partkey") % 4
+    x = F.concat(F.when(k == 0, "=").when(k == 1, "-").when(k == 2, "@").otherwise(""), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", safe_cell(x).alias("cell"))
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name, p_size FROM part")
+def snk06_publish_and_read(spark, sf_dir):
+    """A version is published as a whole, and read by its manifest."""
+    from ..sources.sinks import publish_version
+    from ..streaming.progress import shared_folder
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), "p_name", "p_size")
+    return publish_version(rows, shared_folder(spark), "1", "h").drop("content_hash")
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name AS name, p_brand AS brand FROM part")
+def src01_jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON lines and imported again as envelopes."""
+    from ..streaming.progress import shared_folder
+
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).write.json(folder)
+    e = readers.normalize_envelope(readers.read_records(spark, folder, "jsonl"))
+    return e.select("key", F.get_json_object("payload", "$.name").alias("name"), F.get_json_object("payload", "$.brand").alias("brand"))
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name AS name, p_size::VARCHAR AS size FROM part")
+def src02_csv_import(spark, sf_dir):
+    """Rows written as CSV come back as strings."""
+    from ..streaming.progress import shared_folder
+
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size")).write.option("header", True).csv(folder)
+    e = readers.normalize_envelope(readers.read_records(spark, folder, "csv"))
+    return e.select("key", F.get_json_object("payload", "$.name").alias("name"), F.get_json_object("payload", "$.size").alias("size"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
+def src03_parquet_import(spark, sf_dir):
+    rows = readers.read_records(spark, f"{sf_dir}/nation.parquet", "parquet")
+    e = readers.normalize_envelope(rows)
+    return e.select(F.get_json_object("payload", "$.n_nationkey").alias("key"), F.get_json_object("payload", "$.n_name").alias("name"))
+
+
+@query("SELECT item_id::VARCHAR AS id, 'c' || (item_id % 3) AS category, text AS prompt, 2::BIGINT AS n_answers FROM benchmark")
+def src08_benchmark_cases(spark, sf_dir):
+    """Cases with accepted answers, trimmed, with unique ids."""
+    b = table(spark, sf_dir, "benchmark")
+    cases = b.select(F.concat(F.lit(" "), F.col("item_id").cast("string")).alias("id"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.col("text").alias("prompt"), F.array(F.lit(" a "), F.lit("b")).alias("accepted_answers"))
+    return readers.benchmark_cases(cases).select("id", "category", "prompt", F.size("accepted_answers").cast("long").alias("n_answers"))

@@ -104,7 +104,11 @@ def join08_pair_cells(spark, sf_dir):
     return P.pair_cells(records, variants, slots=2, repetitions=2)
 
 
-@query()
+@query(f"""WITH v(l, r) AS (VALUES ('base', 'candidate'), ('base', 'third'), ('candidate', 'third')), c AS (SELECT doc_id::VARCHAR AS record_key, l, r FROM documents, v),
+d AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY sha256('{SEED}' || chr(31) || record_key || chr(31) || l || chr(31) || r || chr(31) || '0' || chr(31) || '0')) AS n, ('0x' || substr(sha256('{SEED}' || chr(31) || l || chr(31) || r), 1, 2))::BIGINT AS f FROM c),
+e AS (SELECT record_key, 0::BIGINT AS slot, 0::BIGINT AS repetition, CASE WHEN (f + n) % 2 = 1 THEN r ELSE l END AS variant_a, CASE WHEN (f + n) % 2 = 1 THEN l ELSE r END AS variant_b, false AS reversed FROM d),
+h AS (SELECT *, sha1('{SEED}' || chr(31) || record_key || chr(31) || variant_a || chr(31) || variant_b || chr(31) || '0' || chr(31) || '0') AS h FROM e)
+SELECT record_key, slot, repetition, variant_a, variant_b, reversed, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex(('0x' || substr(h, 17, 2))::BIGINT % 64 + 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS assignment_id FROM h""")
 def pw01_balanced_assignments(spark, sf_dir):
     """A balanced blinded design over all documents: three variants, one slot, one repetition."""
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_key"))
@@ -182,7 +186,8 @@ def jdg05_repetition_seeds(spark, sf_dir):
     return b.select("item_id", hashing.hex_u64(F.substring(F.sha2(key(str(SEED)), 256), 1, 16)).cast("string").alias("seed"), F.substring(F.sha2(key("judge"), 256), 1, 32).alias("idempotency_key"), "repetition")
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN k <= 5 THEN v END AS verdict, CASE WHEN k <= 5 THEN 0.5::DOUBLE END AS confidence, CASE WHEN k > 5 THEN 'score range' END AS error
+FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'abstain' WHEN value > 50 THEN 'A' ELSE 'B' END AS v FROM events)""")
 def jdg02_parse_responses(spark, sf_dir):
     """Judge responses built from the events, read back under the strict contract."""
     from ..functions.judge import parse_responses
@@ -197,3 +202,37 @@ def jdg02_parse_responses(spark, sf_dir):
         {"ignoreNullFields": "false"},
     )
     return parse_responses(e.select("event_id", body.alias("response")), {"quality": (0.0, 5.0)}, ["A:L0001"])
+
+
+@query("""WITH b AS (SELECT item_id, text, string_split(text, chr(10)) AS lines FROM benchmark)
+SELECT item_id, '<<A n0 bytes=' || octet_length(encode(text)) || '>>' || chr(10) || array_to_string(['A:L' || lpad(i::VARCHAR, 4, '0') || ' ' || lines[i] FOR i IN range(1, len(lines) + 1)], chr(10)) || chr(10) || '<</A n0>>' AS message FROM b""")
+def jdg01_judge_envelope(spark, sf_dir):
+    """The numbered, delimited form in which a judge sees an answer."""
+    from ..functions.judge import envelope
+
+    return table(spark, sf_dir, "benchmark").select("item_id", envelope(F.col("text"), "A", "n0").alias("message"))
+
+
+@query("""SELECT date_trunc('day', ts) AS day, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS failure_share,
+ round(abs(count(*) FILTER (event_type = 'error') / count(*) - (SELECT count(*) FILTER (event_type = 'error') / count(*) FROM events)), 9) AS distance FROM events GROUP BY ALL""")
+def str05_drift_windows(spark, sf_dir):
+    """Each day's share of failures against the overall share."""
+    e = table(spark, sf_dir, "events")
+    share = F.count_if(F.col("event_type") == "error") / F.count("*")
+    daily = e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(share.alias("s"))
+    return daily.crossJoin(F.broadcast(e.agg(share.alias("all")))).select("day", F.round("s", 9).alias("failure_share"), F.round(F.abs(F.col("s") - F.col("all")), 9).alias("distance"))
+
+
+@query("""SELECT c_nationkey, sum(c_acctbal::DECIMAL(30, 12))::DOUBLE AS balance, 'usd' AS currency FROM customer GROUP BY c_nationkey""")
+def orc10_money(spark, sf_dir):
+    """Sums of one currency in decimals of twelve places."""
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast("decimal(30,12)")).cast("double").alias("balance"), F.lit("usd").alias("currency"))
+
+
+@query("""SELECT 'd' || r_regionkey AS experiment, sha256('{"name":"' || r_name || '","version":1}') AS snapshot_hash FROM region""")
+def orc02_snapshot_hashes(spark, sf_dir):
+    """Digests of canonical snapshots, whatever the order of their keys."""
+    from ..functions.canonical import canonical_json
+
+    raw = F.concat(F.lit('{"version": 1.0, "name": "'), F.col("r_name"), F.lit('"}'))
+    return table(spark, sf_dir, "region").select(F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("experiment"), F.sha2(canonical_json(raw), 256).alias("snapshot_hash"))

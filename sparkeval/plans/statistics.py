@@ -79,9 +79,15 @@ def st12_sign_counts(spark, sf_dir):
     return I.sign_counts(_paired(spark, sf_dir), ["metric"], "difference")
 
 
-@query()
+#: The exact two-sided binomial test of w wins and l losses, m together.
+BINOMIAL = "least(1, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))))"
+
+
+@query(with_views("runs", f"""WITH {ALIGNED}, c AS (SELECT metric, count(*) FILTER (d > 0) AS w, count(*) FILTER (d < 0) AS l, count(*) FILTER (d <> 0)::DOUBLE AS m FROM p GROUP BY metric),
+i AS (SELECT metric, w, l, m, unnest(range(0, least(w, l) + 1))::DOUBLE AS i FROM c) SELECT metric, w AS wins, l AS losses, round({BINOMIAL}, 9) AS p_value FROM i GROUP BY metric, w, l"""))
 def st12_sign_test(spark, sf_dir):
-    return I.sign_test(I.sign_counts(_paired(spark, sf_dir), ["metric"], "difference"))
+    t = I.sign_test(I.sign_counts(_paired(spark, sf_dir), ["metric"], "difference"))
+    return t.select("metric", "wins", "losses", F.round("p_value", 9).alias("p_value"))
 
 
 @query("""SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_left, count(*) FILTER (quality = 0 AND toxic = 1) AS only_right, round(avg(quality), 9) AS left_rate, round(avg(toxic), 9) AS right_rate, round(avg(toxic) - avg(quality), 9) AS risk_difference,
@@ -91,10 +97,19 @@ def st20_paired_binary_effects(spark, sf_dir):
     return e.select("only_left", "only_right", *[F.round(c, 9).alias(c) for c in e.columns[2:]])
 
 
-@query()
+@query(f"""WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS w, count(*) FILTER (quality = 1 AND toxic = 0) AS l, count(*) FILTER (quality <> toxic)::DOUBLE AS m FROM labels),
+i AS (SELECT w, l, m, unnest(range(0, least(w, l) + 1))::DOUBLE AS i FROM c) SELECT w AS only_right, l AS only_left, round({BINOMIAL}, 9) AS p_value FROM i GROUP BY w, l""")
 def st13_mcnemar_test(spark, sf_dir):
     e = R.binary_effects(table(spark, sf_dir, "labels"), "quality", "toxic")
-    return I.sign_test(e.select(F.col("only_right").alias("wins"), F.col("only_left").alias("losses"), F.lit(0).cast("long").alias("ties")))
+    t = I.sign_test(e.select(F.col("only_right").alias("wins"), F.col("only_left").alias("losses"), F.lit(0).cast("long").alias("ties")))
+    return t.select(F.col("wins").alias("only_right"), F.col("losses").alias("only_left"), F.round("p_value", 9).alias("p_value"))
+
+
+@query("""SELECT l_returnflag AS g, count(*) FILTER (l_tax > l_discount) AS wins, count(*) FILTER (l_tax < l_discount) AS losses, count(*) FILTER (l_tax = l_discount) AS ties FROM lineitem GROUP BY ALL""")
+def st16_pairwise_counts(spark, sf_dir):
+    """Wins, losses and the ties that the test leaves out but reports."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_tax") - F.col("l_discount")).alias("d"))
+    return I.sign_counts(li, ["g"], "d")
 
 
 @query()

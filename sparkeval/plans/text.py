@@ -44,7 +44,7 @@ def lm04_match(spark, sf_dir):
     )
 
 
-@query()
+@query(with_views("turns", r"""SELECT sample_id, trim(regexp_replace(replace(lower(nfc_normalize(prediction)), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')) AS normalized FROM turns"""))
 def lm01_exact_normalize(spark, sf_dir):
     """NFC and case folding, exact."""
     return turns(spark, sf_dir).select("sample_id", X.exact_normalized(F.col("prediction")).alias("normalized"))

@@ -127,3 +127,12 @@ def fake_embed(rows: DataFrame, dimensions: int, separator: str = "\0") -> DataF
     made = rows.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), raw))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x * x))
     return made.withColumn("norm", norm).withColumn("vector", F.transform("raw", lambda x: F.try_divide(x, F.col("norm")))).drop("raw", "norm")
+
+
+def benchmark_cases(rows: DataFrame) -> DataFrame:
+    """``id, category, prompt, accepted_answers``, trimmed; empty or repeated ids and missing answers fail."""
+    trimmed = rows.select(F.trim("id").alias("id"), F.trim("category").alias("category"), "prompt", F.transform("accepted_answers", lambda a: F.trim(a)).alias("accepted_answers"))
+    ids = trimmed.groupBy("id").agg(F.count("*").alias("c"))
+    fault = F.when(F.length("id") == 0, "a case id is empty").when(F.col("c") > 1, "a case id is repeated").when(F.size("accepted_answers") == 0, "a case has no answer")
+    checked = trimmed.join(ids, "id").withColumn("id", F.when(fault.isNull(), F.col("id")).otherwise(F.raise_error(F.concat(fault, F.lit(": "), F.col("id")))))
+    return checked.drop("c")
