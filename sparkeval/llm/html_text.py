@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # The elements by their role.
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,12 +239,29 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, threshold: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def with_removed(rows: DataFrame, removed: DataFrame, most_nodes: int, salts: int) -> DataFrame:
+    """``rows(id, host, ...)`` with the ``removed`` nodes of their host.
+
+    Up to ``most_nodes`` nodes, as counted, are broadcast, and the pages stay where they are.
+    Beyond that the two sides are shuffled, the pages of a host over ``salts`` parts.
+    """
+    size = removed.agg(F.coalesce(F.sum(F.size("removed") + 8), F.lit(0))).first()[0]
+    if size <= most_nodes:
+        return rows.join(F.broadcast(removed), "host", "left")
+    spread = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["host", "salt"], "left").drop("salt")
+
+
+def extract(
+    pages: DataFrame, threshold: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_nodes: int = 2_000_000, salts: int = 32
+) -> DataFrame:
     """``id, url, text`` for every row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     low = style_tree(rows, min_pages).where(F.col("importance") < threshold)
     removed = low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("removed"))
-    joined = rows.join(removed, "host", "left").select("id", "url", "html", "removed")
+    removed = cut(pages.sparkSession, removed)  # read twice: to be measured, and to be joined
+    joined = with_removed(rows, removed, most_nodes, salts).select("id", "url", "html", "removed")
 
     def run(batches):
         cache: dict = {}

@@ -158,6 +158,8 @@ def test_repeated_branches_go(spark):
     got = {r["page_id"]: r["text"] for r in html_text.digest(pages).collect()}
     assert got[3] == "Story 3 of its own, number 3." and got[12].startswith("Same strap") and got[13] == ""
     assert html_text.digest(pages).count() == 15 and html_text.digest(pages.limit(0)).count() == 0
+    shuffled = {r["id"]: r["text"] for r in html_text.extract(pages, most_nodes=0, salts=3).collect()}
+    assert shuffled == got
 
 
 def test_pages(spark, sf):
