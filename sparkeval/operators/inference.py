@@ -103,16 +103,23 @@ def sign_test(counts: DataFrame) -> DataFrame:
     return _finish(counts, ["p_value"], lambda r: (special.binomial_two_sided(int(r["wins"]), int(r["wins"] + r["losses"])),))
 
 
-def mid_ranks(rows: DataFrame, keys: list[str], value: Column, name: str = "rank") -> DataFrame:
-    """``rows`` with average ranks over ties: counted by distinct value, then joined back.
+def mid_ranks(rows: DataFrame, keys: list[str], value: Column, name: str = "rank", parts: int = 200) -> DataFrame:
+    """``rows`` with average ranks over ties, and the number of ties, for a numeric value.
 
-    The running sum is over the distinct values of a group, in ranges of their order; ranks
-    of ties need no row-by-row window.
+    Ranks come from the counts of the distinct values.  The values of a group are cut into
+    ``parts`` ranges at approximate quantiles; a running sum orders the values of one range,
+    and another the ranges, so no task orders a whole group.  The cuts only balance the work.
     """
     v = rows.withColumn("__v", value)
     counts = v.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select(*keys, "__v", (upto - (F.col("__c") - 1) / 2).alias(name), F.col("__c").alias(f"{name}_ties"))
+    cuts = v.groupBy(*keys).agg(F.percentile_approx("__v", [k / parts for k in range(1, parts)], 2000).alias("__q"))
+    placed = counts.join(cuts, keys).withColumn("__part", F.size(F.filter("__q", lambda q: q < F.col("__v")))).drop("__q")
+    sizes = placed.groupBy(*keys, "__part").agg(F.sum("__c").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    within = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = placed.withColumn("__upto", within).join(bases, [*keys, "__part"])
+    ranked = local.select(*keys, "__v", (F.col("__base") + F.col("__upto") - (F.col("__c") - 1) / 2).alias(name), F.col("__c").alias(f"{name}_ties"))
     return v.join(ranked, [*keys, "__v"]).drop("__v")
 
 

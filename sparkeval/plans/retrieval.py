@@ -82,17 +82,12 @@ def rag11_citation_metrics(spark, sf_dir):
     return c.select("query", F.array_join("cited", ",").alias("citations"), (F.size("cited") > 0).cast("double").alias("presence"), F.round(K.citation_validity(F.col("cited"), F.col("known")), 9).alias("validity"))
 
 
-@query("""SELECT a.item_id AS query, b.item_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
-FROM (SELECT vec_id AS item_id, label, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id AS item_id, label, embedding::DOUBLE[] AS v FROM embeddings) b ON a.label = b.label AND a.item_id < b.item_id
-QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.item_id) <= 3""")
-def rag13_top_k_within_label(spark, sf_dir):
-    """The three nearest later vectors of each vector with its label."""
-    from pyspark.sql import Window
-
-    from ..functions.vectors import cosine
-
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query"), "label", F.col("embedding").cast("array<double>").alias("a"))
-    o = e.select(F.col("query").alias("other"), "label", F.col("a").alias("b"))
-    s = e.join(o, "label").where("query < other").select("query", "other", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "other")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.vec_id AS query, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) <= 10""")
+def rag13_nearest_vectors(spark, sf_dir):
+    """The ten nearest vectors of every query, a vector whose id is divisible by 50, among all rows."""
+    from ..operators.search import nearest
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return nearest(e.where("vec_id % 50 = 0"), e, "vec_id", 10).withColumnRenamed("vec_id", "query")
