@@ -30,6 +30,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qIBB")
 INDEX = np.dtype([("id", "<i8"), ("offset", "<u8"), ("count", "<u4"), ("has_id", "<u1")])
 MASK = 0xA282EAD8
-CACHE = 300_000  # distinct pieces that a task remembers
+CACHE = 300_000  # pieces of a generation that a worker remembers
 FILE_BYTES = 256 << 20
 PIECE = re.compile(r"[^ \t\n\r]+")
 
@@ -69,30 +70,99 @@ def unframe(data: memoryview) -> memoryview:
 
 
 class PieceEncoder:
-    """Token ids of texts as bytes of ``dtype``; each distinct piece is encoded once."""
+    """Token ids of texts as bytes of ``dtype``; what a worker knows of pieces is kept from task to task.
+
+    A piece of letters alone is one pre-token of this tokenizer, however it is cut off by the
+    closing marks in ``TAIL`` (a pre-token of their own).  Such words are encoded many at a
+    time, and the ids with the word-end mark say where each one ends; should their number
+    not be that of the words, and for all other pieces, each piece is encoded by itself.
+    """
+
+    TAIL = ".,;:!?"
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        self.closes = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        # two generations: what was used lately survives when the older one goes
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _each(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for lo in range(0, len(pieces), 4096):
+            part = pieces[lo : lo + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[p] = np.array(e.ids, self.dtype).tobytes()
+        return out
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        out, width = {}, self.dtype.itemsize
+        for lo in range(0, len(words), 2048):
+            part = words[lo : lo + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = ((np.flatnonzero(self.closes[ids]) + 1) * width).tolist()
+            if len(stops) != len(part):  # some word is more than one pre-token
+                out |= self._each(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(part, stops, strict=True):
+                out[w] = data[at:stop]
+                at = stop
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
+        split, words, odd = [], set(), set()
+        for p in fresh:
+            plain = p.lower() if p.isascii() else p
+            body = plain.rstrip(self.TAIL)
+            if body.isalpha():
+                tail = plain[len(body) :]
+                split.append((p, body, tail))
+                if body not in self.known and body not in self.older:
+                    words.add(body)
+                if tail and tail not in self.known:
+                    odd.add(tail)
+            else:
+                odd.add(p)
+        found = self._words(list(words)) | self._each(list(odd))
+        older = self.older
+        self.known |= found
+        for p, body, tail in split:
+            ids = self.known.get(body) or older[body]
+            self.known[p] = ids + self.known[tail] if tail else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [PIECE.findall(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list({p for ps in pieces for p in ps if p not in self.known})
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = []
+        for p in set().union(*pieces):
+            if p not in known:
+                ids = older.get(p)
+                if ids is None:
+                    fresh.append(p)
+                else:
+                    known[p] = ids
+        self._learn(fresh)
+        get = known.__getitem__
         return [b"".join([*map(get, ps), self.end]) for ps in pieces]
 
 
+@lru_cache(maxsize=4)
+def encoder_of(vocabulary: str, end_id: int) -> PieceEncoder:
+    """One encoder for each Python worker."""
+    return PieceEncoder(vocabulary, end_id)
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -132,11 +202,11 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
     """Writes all documents in ascending id order; returns the checkpointed manifest, a row for each file."""
 
     def run(batches):
-        encoder, writer, done = PieceEncoder(vocabulary, end_id), None, []
+        encoder, writer, done = encoder_of(vocabulary, end_id), None, []
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(keys), 256):
-                for key, ids in zip(keys[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), strict=True):
+            for lo in range(0, len(keys), 512):
+                for key, ids in zip(keys[lo : lo + 512], encoder.encode(texts[lo : lo + 512]), strict=True):
                     writer = writer or _Writer(folder)
                     writer.add(key, ids, encoder.dtype.itemsize)
                     if writer.at >= FILE_BYTES:
