@@ -41,3 +41,19 @@ def first_field(payload: Column, names: list[str]) -> Column:
 
 def render(template: str, value: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{{ input }}"), value)
+
+
+#: Names under which a configuration must not carry its secrets.
+SECRET_KEYS = frozenset("api_key apikey authorization password secret token access_token private_key credential credentials".split())
+
+
+def reject_secrets(config, path: str = "") -> None:
+    """``ValueError`` names the first key, at any depth, that would carry a secret."""
+    if isinstance(config, dict):
+        for k, v in config.items():
+            if str(k).lower().replace("-", "_") in SECRET_KEYS:
+                raise ValueError(f"a secret in the configuration: {path}/{k}")
+            reject_secrets(v, f"{path}/{k}")
+    elif isinstance(config, (list, tuple)):
+        for i, v in enumerate(config):
+            reject_secrets(v, f"{path}/{i}")

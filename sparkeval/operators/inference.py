@@ -256,3 +256,16 @@ def adjust_p_values(rows: DataFrame) -> DataFrame:
         F.least(one, F.max((F.col("n") - F.col("rank") + 1) * F.col("p")).over(running)).alias("holm"),
         F.least(one, F.min(F.col("p") * F.col("n") / F.col("rank")).over(back)).alias("bh"),
     )
+
+
+def paired_bootstrap_test(pairs: DataFrame, keys: list[str], unit: str, d: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """Per key: the observed mean, and the add-one p of centred, Poisson-weighted resamples."""
+    if resamples < 1000:
+        raise ValueError("at least 1000 resamples are needed")
+    rows = pairs.where(F.col(d).isNotNull()).select(*keys, F.col(unit).alias("__unit"), F.col(d).alias("__d"))
+    centre = rows.groupBy(*keys).agg(F.avg("__d").alias("observed"))
+    drawn = rows.join(centre, keys).select(*keys, "observed", "__unit", (F.col("__d") - F.col("observed")).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__draw"))
+    w = _poisson_weights(F.col("__unit"), F.col("__draw"), seed)
+    means = drawn.withColumn("__w", w).groupBy(*keys, "__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("m"), F.max("observed").alias("observed"))
+    extreme = F.count_if(F.abs(F.col("m")) >= F.abs(F.col("observed")))
+    return means.groupBy(*keys).agg(F.max("observed").alias("observed"), ((extreme + 1) / F.lit(resamples + 1)).alias("p_value"))

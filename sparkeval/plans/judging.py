@@ -213,13 +213,13 @@ def jdg01_judge_envelope(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", envelope(F.col("text"), "A", "n0").alias("message"))
 
 
-@query("""SELECT date_trunc('day', ts) AS day, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS failure_share,
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS failure_share,
  round(abs(count(*) FILTER (event_type = 'error') / count(*) - (SELECT count(*) FILTER (event_type = 'error') / count(*) FROM events)), 9) AS distance FROM events GROUP BY ALL""")
 def str05_drift_windows(spark, sf_dir):
     """Each day's share of failures against the overall share."""
     e = table(spark, sf_dir, "events")
     share = F.count_if(F.col("event_type") == "error") / F.count("*")
-    daily = e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(share.alias("s"))
+    daily = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(share.alias("s"))
     return daily.crossJoin(F.broadcast(e.agg(share.alias("all")))).select("day", F.round("s", 9).alias("failure_share"), F.round(F.abs(F.col("s") - F.col("all")), 9).alias("distance"))
 
 
@@ -236,3 +236,46 @@ def orc02_snapshot_hashes(spark, sf_dir):
 
     raw = F.concat(F.lit('{"version": 1.0, "name": "'), F.col("r_name"), F.lit('"}'))
     return table(spark, sf_dir, "region").select(F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("experiment"), F.sha2(canonical_json(raw), 256).alias("snapshot_hash"))
+
+
+@query("SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, event_type AS state FROM events")
+def win10_run_event_sequence(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", F.row_number().over(w).cast("long").alias("sequence"), F.col("event_type").alias("state"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'view' OR (event_type = 'click' AND value < 20) ORDER BY user_id, event_id LIMIT 1")
+def srt05_claim_next_task(spark, sf_dir):
+    """The first task that waits or whose lease ran out."""
+    waiting = (F.col("event_type") == "view") | ((F.col("event_type") == "click") & (F.col("value") < 20))
+    return table(spark, sf_dir, "events").where(waiting).orderBy("user_id", "event_id").limit(1).select("event_id", "user_id")
+
+
+@query("""SELECT o.o_orderkey AS run, c.c_name AS experiment, n.n_name AS snapshot FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def join05_run_context(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select(F.col("o_orderkey").alias("run"), F.col("c_name").alias("experiment"), F.col("n_name").alias("snapshot"))
+
+
+@query("""SELECT s_nationkey AS key FROM supplier UNION SELECT c_nationkey FROM customer""")
+def set01_union_of_keys(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))
+    return s.unionByName(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"))).distinct()
+
+
+@query("""WITH a AS (SELECT l_orderkey AS o, l_linenumber % 5 AS x, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS o, l_suppkey % 5 AS x, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT o AS unit, sum(least(a.n, b.n))::BIGINT AS shared FROM a JOIN b USING (o, x) GROUP BY o""")
+def set05_multiset_intersection(spark, sf_dir):
+    """How many labels two multisets of a unit share, from their counts."""
+    li = table(spark, sf_dir, "lineitem")
+    a = li.groupBy(F.col("l_orderkey").alias("unit"), (F.col("l_linenumber") % 5).cast("long").alias("x")).agg(F.count("*").alias("a"))
+    b = li.groupBy(F.col("l_orderkey").alias("unit"), (F.col("l_suppkey") % 5).alias("x")).agg(F.count("*").alias("b"))
+    return a.join(b, ["unit", "x"]).groupBy("unit").agg(F.sum(F.least("a", "b")).alias("shared"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')""")
+def join10_semi_and_anti(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return o.join(li.where("l_returnflag = 'R'"), "o_orderkey", "left_semi").join(li.where("l_linestatus = 'O'"), "o_orderkey", "left_anti")

@@ -196,3 +196,18 @@ def st30_sample_sizes(spark, sf_dir):
     rows += [("preference", p, float(preference_size(p, 0.2))) for p in (0.55, 0.6, 0.7)]
     rows += [("detectable", float(n), detectable_effect(n)) for n in (30, 100, 1000)]
     return spark.createDataFrame(rows, "kind string, given double, result double")
+
+
+@query()
+def st15_paired_bootstrap_test(spark, sf_dir):
+    return I.paired_bootstrap_test(_paired(spark, sf_dir), ["metric"], "record_id", "difference", 1000, 13)
+
+
+@query()
+def st08_quantile_bootstrap(spark, sf_dir):
+    """Basic and BCa intervals of a quantile and a mean, by group."""
+    import numpy as np
+
+    s = table(spark, sf_dir, "supplier")
+    low = I.bootstrap_groups(s, ["s_nationkey"], "s_acctbal", lambda x: float(np.quantile(x, 0.9)), "basic", 200, 3).withColumn("method", F.lit("basic"))
+    return low.unionByName(I.bootstrap_groups(s, ["s_nationkey"], "s_acctbal", np.mean, "bca", 200, 3).withColumn("method", F.lit("bca")))

@@ -13,11 +13,11 @@ from ..streaming import progress
 from ..views import table
 
 
-@query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def str07_tumbling_windows(spark, sf_dir):
     def daily(s):
         w = s.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
+        return w.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
 
     return progress.run_to_end(spark, progress.event_stream(spark, sf_dir, watermark="7 days"), daily, mode="complete")
 
@@ -53,13 +53,13 @@ def str06_incremental_moments(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '2 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session""")
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) AS started_us, count(*) AS n FROM s GROUP BY user_id, session""")
 def str07b_sessions(spark, sf_dir):
     """Session windows, as a batch query."""
     e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     # a session ends at the gap itself; the SQL side keeps an event exactly at the gap, so the gap is one microsecond longer
     w = e.groupBy("user_id", F.session_window("t", "2 hours 1 microsecond").alias("w")).agg(F.count("*").alias("n"))
-    return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+    return w.select("user_id", F.unix_micros("w.start").alias("started_us"), "n")
 
 
 @query("SELECT event_id // 1000 AS batch, count(*) AS n FROM events GROUP BY ALL")

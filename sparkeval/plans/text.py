@@ -155,3 +155,17 @@ def flt03_input_and_reference(spark, sf_dir):
         F.coalesce(*[F.get_json_object("props", f"$.{f}") for f in ("reference", "reference_answer", "label", "answers[0]", "k")]).alias("reference"),
         render("Answer: {{ input }}.", F.col("event_type")).alias("prompt"),
     )
+
+
+@query(with_views("turns", f"""WITH m AS (SELECT sample_id, 'exact-match' AS metric, 'succeeded' AS status, (prediction = reference)::INT::DOUBLE AS value FROM turns
+ UNION ALL SELECT sample_id, 'normalized-match', 'succeeded', ({NORM.format("prediction")} = {NORM.format("reference")})::INT::DOUBLE FROM turns
+ UNION ALL SELECT sample_id, 'json-validity', 'succeeded', json_valid(prediction)::INT::DOUBLE FROM turns UNION ALL SELECT sample_id, 'recall-at-k', 'missing', NULL FROM turns)
+SELECT metric, status, count(*) AS n, round(avg(value), 9) AS value FROM m GROUP BY metric, status"""))
+def udf02_registry_evaluate(spark, sf_dir):
+    """Registered metrics over all samples, in long form, with the reason where there is no value."""
+    from .registry import default_registry
+
+    none = F.array().cast("array<string>")
+    samples = turns(spark, sf_dir).withColumn("retrieved_ids", none).withColumn("relevant_ids", none)
+    rows = default_registry().evaluate(samples, ["exact-match", "normalized-match", "json-validity", "recall-at-k"], {"k": 3})
+    return rows.groupBy("metric", "status").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("value"))

@@ -389,3 +389,33 @@ def test_multilabel(spark):
     assert one(aggregates.multilabel_metrics(df, "e", "p"))["subset_accuracy"] == 0.5
     none = spark.createDataFrame([([], [])], df.schema)
     assert list(one(aggregates.multilabel_metrics(none, "e", "p"))) == [1.0] * 5
+
+
+def test_secrets_in_a_configuration():
+    patterns.reject_secrets({"model": "m", "options": [{"temperature": 0}]})
+    for bad in ({"api-key": "x"}, {"a": [{"Token": 1}]}):
+        with pytest.raises(ValueError):
+            patterns.reject_secrets(bad)
+
+
+def test_bootstraps_agree(spark):
+    rows = spark.range(400).selectExpr("'m' as metric", "id", "(id % 20) + 1.0D as x")
+    classic = one(inference.bootstrap_groups(rows, ["metric"], "x", lambda v: v.mean(), "percentile", 400, 1))
+    weighted = one(inference.poisson_bootstrap_mean(rows, ["metric"], "id", "x", 400, 1))
+    assert weighted["lower"] == pytest.approx(classic["lower"], abs=0.2) and weighted["upper"] == pytest.approx(classic["upper"], abs=0.2)
+    assert one(inference.paired_bootstrap_test(rows, ["metric"], "id", "x"))["p_value"] < 0.01
+    assert one(inference.permutation_test(rows.withColumnRenamed("id", "record_id"), ["metric"], "x"))["p_value"] < 0.01
+    with pytest.raises(Exception, match="too large"):
+        inference.bootstrap_groups(rows, ["metric"], "x", lambda v: v.mean(), max_n=10).collect()
+
+
+def test_reports(spark, tmp_path):
+    from sparkeval.sources import sinks
+
+    df = spark.createDataFrame([("=1+1", 0.1234567, None), ("a|b<c>", 2.0, 3)], "name string, x double, n int")
+    assert "| a\\|b<c> | 2 | 3 |" in sinks.as_markdown(df) and "0.123457" in sinks.as_markdown(df)
+    assert "a|b&lt;c&gt;" in sinks.as_html(df) and json.loads(sinks.as_json(df))[0]["name"] == "=1+1"
+    assert sinks.safe_table(df).first()["name"] == "'=1+1"
+    sinks.publish_version(df, str(tmp_path), "1", "h")
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.publish_version(df, str(tmp_path), "1", "h")
