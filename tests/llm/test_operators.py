@@ -98,30 +98,46 @@ def encoder():
     return pieces.Encoder(pieces.default_model())
 
 
+def strange_texts():
+    rng = random.Random(1)
+    made = ["".join(rng.choices("abcdeth  \n\nü.,0129▁", k=80)) for _ in range(200)]
+    return [*made, "", " ", "    ", "a  b\n\tc", "日本語テキスト😀 x", " " * 40 + "y", "x" * 3000, "aaaa aaa aaaaaaaaa", "the " * 50]
+
+
+def test_ids_are_the_librarys(encoder, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = [r[0] for r in docs.select("text").collect()] + strange_texts()
+    assert encoder.model.merges
+    assert [x.tolist() for x in encoder.encode(texts)] == library.encode(texts)
+    ids = library.encode(texts)
+    assert [encoder.decode(i) for i in ids] == [t.replace(pieces.MARK, " ") for t in texts]
+
+
 def best_score(word, model):
     """Plain Viterbi over all pieces of one word."""
-    table = {model.bytes_of[i].decode("utf-8", "replace").replace(" ", pieces.MARK): s for i, s in enumerate(model.scores) if model.bytes_of[i] and i not in set(model.byte_ids)}
     best = [0.0] + [-math.inf] * len(word)
     for i in range(1, len(word) + 1):
         for j in range(max(0, i - 20), i):
-            s = table.get(word[j:i])
-            if s is not None:
-                best[i] = max(best[i], best[j] + s)
-        if word[i - 1] not in table:
+            if (p := model.id_of.get(word[j:i])) is not None:
+                best[i] = max(best[i], best[j] + model.scores[p])
+        if word[i - 1] not in model.id_of:
             best[i] = max(best[i], best[i - 1] + model.unknown)
     return best[-1]
 
 
-def test_viterbi_is_optimal(encoder, docs):
+def test_sums_of_scores_are_the_largest(docs):
+    """The search for unigram models, over the same pieces."""
+    model = pieces.PieceModel(pieces.default_model())
+    model.merges = False
     words = sorted({w for r in docs.select("text").limit(30).collect() for w in pieces.WORD.findall(pieces.MARK + r[0].replace(" ", pieces.MARK))})
-    words = random.Random(1).sample(words, 60) + ["▁the", "▁▁▁a", "▁日本", "▁", "▁x\ny"]
-    got = pieces.encode_words(words, encoder.model)
-    byte_ids = set(encoder.model.byte_ids)
+    words = random.Random(1).sample(words, 200) + ["▁the", "▁▁▁a", "▁日本", "▁", "▁x\ny"]
+    got, byte_ids = pieces.encode_words(words, model), set(model.byte_ids)
     for w in words:
         ids = np.frombuffer(got[w], "<i4").tolist()
-        unknown = [ch for ch in w if ch not in encoder.model.trie or "" not in encoder.model.trie[ch]]
-        score = sum(encoder.model.scores[i] for i in ids if i not in byte_ids) + len(unknown) * encoder.model.unknown
-        assert score == pytest.approx(best_score(w, encoder.model)), w
+        unknown = sum(ch not in model.id_of for ch in w)
+        assert sum(model.scores[i] for i in ids if i not in byte_ids) + unknown * model.unknown == pytest.approx(best_score(w, model)), w
 
 
 def test_shared_prefixes_change_nothing(encoder):
