@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_chars: int
 
 
 def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Every row with ``out_col``: the calibrated probability of label 1."""
+    """Every row with ``out_col``, in place of a column of that name: the calibrated probability of label 1."""
+    docs = docs.drop(out_col)
 
     def run(batches):
         sizes = _Sizes(model) if model.weights is not None else None
