@@ -277,7 +277,7 @@ def near_copies(
     At that similarity 64-bit fingerprints differ in up to 13 bits, too many for a radius that
     bands or a vantage-point tree can use.  So the fingerprint has ``64 * words`` bits here, and
     a link is ``radius`` differing bits of 512.  Measured on 10,000 documents: 99 % of the pairs
-    at 0.8 or more link, a quarter of those from 0.7 to 0.8, none below 0.68.  Two
+    at 0.8 or more link, a quarter of those from 0.7 to 0.8, none below 0.64.  Two
     fingerprints meet if any band of ``band_bits`` is equal: 36 bands miss 5 % of pairs at the
     radius itself and 1 % at 73 bits, the usual distance at 0.8.  Equal fingerprints are merged
     first, hot shards are cut into block pairs, and a task puts out a spanning forest.

@@ -410,6 +410,25 @@ def test_links_of_dense_groups(spark, block):
     assert {i: roots.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("block", [20_000, 15])
+def test_near_copies(spark, odd, empty, block):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(12):
+        base = rng.choices(words, k=rng.randrange(60, 300))
+        for c in range(6):
+            copy = list(base)
+            for _ in range(c % 3):  # one or two changed words: at most ten of the shingles
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((g * 10 + c, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark, df, block=block).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+    o = {r["id"]: r["component_id"] for r in simhash.near_copies(spark, odd).collect()}
+    assert o[0] == o[1] == o[2] == 0 and o[6] == o[7] == 6 and o[5] == 5 and simhash.near_copies(spark, empty).count() == 0
+
+
 def test_tree_pairs_are_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
