@@ -16,17 +16,20 @@ IPAD = bytes(b ^ 0x36 for b in SEED.to_bytes(8, "big").ljust(64, b"\0")).hex()
 OPAD = bytes(b ^ 0x5C for b in SEED.to_bytes(8, "big").ljust(64, b"\0")).hex()
 
 
+SOURCE = '{"kind":"table","row":null,"source_hash":null,"uri":null}'
+
+
 def _built(spark, sf_dir):
     """Records whose payload is the digest and the length of a text, so that SQL can write the same JSON."""
     rows = records_v1(spark, sf_dir)
     payload = F.to_json(F.struct(F.length("text").alias("chars"), F.sha2("text", 256).alias("digest")))
     meta = F.to_json(F.struct("lang", "source"))
-    return D.build_records(rows, F.col("key"), payload, meta, F.array(F.concat(F.lit(" "), F.upper("lang"))), F.lit('{"kind":"table"}'))
+    return D.build_records(rows, F.col("key"), payload, meta, F.array(F.concat(F.lit(" "), F.upper("lang"))), F.lit(SOURCE))
 
 
 FRAME = "unhex(lpad(to_hex(octet_length(encode({0}))), 16, '0')) || encode({0})"
 BUILT = f"""
-b0 AS (SELECT key, '{{"chars":' || length(text) || ',"digest":"' || sha256(text) || '"}}' AS payload, '{{"lang":"' || lang || '","source":"' || source || '"}}' AS meta, '["' || lang || '"]' AS splits, '{{"kind":"table"}}' AS src, lang FROM v1),
+b0 AS (SELECT key, '{{"chars":' || length(text) || ',"digest":"' || sha256(text) || '"}}' AS payload, '{{"lang":"' || lang || '","source":"' || source || '"}}' AS meta, '["' || lang || '"]' AS splits, '{SOURCE}' AS src, lang FROM v1),
 b1 AS (SELECT *, sha256(payload) AS payload_hash FROM b0),
 built AS (SELECT key, payload_hash, lang AS splits, sha256({" || ".join(FRAME.format(c) for c in ("key", "payload_hash", "meta", "splits", "src"))}) AS envelope_hash FROM b1)"""
 
@@ -44,7 +47,7 @@ def ds06_build_record(spark, sf_dir):
     return _built(spark, sf_dir).select("key", "payload_hash", "envelope_hash", F.concat_ws(",", "splits").alias("splits"))
 
 
-HEAD7 = FRAME.format("'rfc8785-nfc-v1'") + "".join(f" || unhex('0000000000000020') || unhex(sha256('{x}'))" for x in ('{"type":"object"}', "{}"))
+HEAD7 = FRAME.format("'dataset-c14n/1'") + "".join(f" || unhex('0000000000000020') || unhex(sha256('{x}'))" for x in ('{"type":"object"}', "{}"))
 
 
 @query(with_views("v1", f"""WITH {BUILT} SELECT sha256(encode('llm-eval-dataset') || unhex('00') || {HEAD7} || unhex(string_agg('0000000000000020' || envelope_hash, '' ORDER BY key))) AS content_hash, count(*) AS n_records FROM built"""))

@@ -419,3 +419,19 @@ def test_reports(spark, tmp_path):
     sinks.publish_version(df, str(tmp_path), "1", "h")
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.publish_version(df, str(tmp_path), "1", "h")
+
+
+def test_golden_digest(spark):
+    """Two texts of one record have one digest, whose value is fixed."""
+    field = lambda kind, **more: {"type": kind, **more}
+    schema = {"properties": {"text": field("string"), "when": field("string", format="date-time"), "optional": field(["string", "null"]), "score": field("number")}}
+    texts = ['{"text":"Cafe\\u0301\\r\\nline","when":"2024-01-01T05:30:00+05:30","score":-0.0}', '{"score":0,"optional":null,"when":"2024-01-01T00:00:00Z","text":"Café\\nline"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(F.sha2(canonical.canonical_json_with(json.dumps(schema))(F.col("t")), 256)).collect()
+    assert {r[0] for r in got} == {"41e8ffe1d572578fd3eab5c8d773760c09978bfffd1a74e6b1038b87e0c73775"}
+
+
+def test_splits_need_names(spark):
+    df = spark.createDataFrame([("k", "1")], "k string, p string")
+    with pytest.raises(Exception, match="split has no name"):
+        datasets.build_records(df, F.col("k"), F.col("p"), F.lit("{}"), F.array(F.lit(" ")), F.lit("{}")).collect()
