@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0  # fixed value of the library
-CACHE = 120_000  # words of a generation that a worker remembers
+CACHE = 80_000  # words of a generation that a worker remembers
 PAIRS = 300_000
 SHORT = 16  # characters of a piece at most, about
 
@@ -325,26 +325,33 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-ROWS = 512  # rows whose words are sorted together
+ROWS = 256  # rows whose words are sorted together
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col``, in place of a column of that name: the ids of each text."""
-    path, docs = path or default_model(), docs.drop(out_col)
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """``docs`` with ``out_col``, in place of a column of that name: the ids of each text.
+
+    ``check_col`` adds whether the ids decode to the text again, decoded in the same task.
+    """
+    path, docs = path or default_model(), docs.drop(out_col, *([check_col] if check_col else []))
 
     def run(batches):
         encoder = encoder_of(path)
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                ids = encoder.encode(part.column(text_col).to_pylist())
+                texts = part.column(text_col).to_pylist()
+                ids = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out_col])
+                made, names = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))], [out_col]
+                if check_col:
+                    same = [encoder.decode(x.tolist()) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
+                    made, names = [*made, pa.array(same, pa.bool_())], [*names, check_col]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, `{out_col}` array<int>")
+    return docs.mapInArrow(run, f"{kinds}, `{out_col}` array<int>" + (f", `{check_col}` boolean" if check_col else ""))
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -368,6 +375,5 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids", out
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Query op2: ids of every text, and whether they decode to the text again."""
-    done = decode(encode(docs.select("doc_id", "text"), path), path)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    done = encode(docs.select("doc_id", "text"), path, check_col="round_trip")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

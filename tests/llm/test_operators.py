@@ -150,6 +150,8 @@ def test_sentencepiece_round_trip(odd, docs, empty):
     for df in (odd, docs):
         got = pieces.digest(df).collect()
         assert len(got) == df.count() and all(r["round_trip"] for r in got)
+        decoded = pieces.decode(pieces.encode(df.select("doc_id", "text"))).collect()
+        assert all(r["decoded"] == (r["text"] or "").replace(pieces.MARK, " ") for r in decoded)
     assert pieces.digest(empty).count() == 0
 
 
