@@ -244,85 +244,187 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 4, radius
 # --- near copies by similarity -------------------------------------------------------------
 
 
-def long_print(text: str | None, width: int, words: int) -> bytes:
-    """A SimHash of ``64 * words`` bits: each further word uses the shingles' hashes mixed anew."""
-    h = shingle_hashes(text, width)
-    out = np.zeros(words, np.uint64)
-    for k in range(words if len(h) else 0):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 15):
-            x = h[at : at + (1 << 15)] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[k] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out.tobytes()
-
-
-def _far(x: np.ndarray, y: np.ndarray, radius: int):
-    """Index pairs of rows of x and y within ``radius`` bits, by blocks of bounded size."""
-    step = max(1, (1 << 19) // max(1, len(y)))
-    for at in range(0, len(x), step):
-        d = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.uint16)
-        i, j = np.nonzero(d <= radius)
-        yield i + at, j
+def _least(n):
+    """How many of n shingles a set alike to 0.8 shares at least."""
+    return -(-4 * n // 5)
 
 
-def near_copies(
-    spark: SparkSession, docs: DataFrame, width: int = 5, words: int = 8, radius: int = 85, band_bits: int = 14, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``id, component_id`` by similarity of ``width``-word shingles of about 0.8 or more.
+def _gram_sets(batches, width: int):
+    """For each row of (id, text): id, sorted distinct shingle hashes, and the 63-bit name of that set."""
+    for b in batches:
+        for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = np.unique(shingle_hashes(text, width))
+            yield k, h, xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
+
 
-    At that similarity 64-bit fingerprints differ in up to 13 bits, too many for a radius that
-    bands or a vantage-point tree can use.  So the fingerprint has ``64 * words`` bits here, and
-    a link is ``radius`` differing bits of 512.  Measured on 10,000 documents: 99 % of the pairs
-    at 0.8 or more link, a quarter of those from 0.7 to 0.8, none below 0.64.  Two
-    fingerprints meet if any band of ``band_bits`` is equal: 36 bands miss 5 % of pairs at the
-    radius itself and 1 % at 73 bits, the usual distance at 0.8.  Equal fingerprints are merged
-    first, hot shards are cut into block pairs, and a task puts out a spanning forest.
+def _frequent(docs: DataFrame, width: int, sample: int = 5_000, most: int = 50_000) -> np.ndarray:
+    """Shingle hashes that are frequent in a sample, the most frequent last; they only set an order."""
+    share = max(1, docs.count() // sample)
+
+    def run(batches):
+        for _, h, _ in _gram_sets(batches, width):
+            yield pa.record_batch([pa.array(h.view(np.int64))], ["h"])
+
+    counts = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(run, "h long").groupBy("h").count().where("count >= 3")
+    rows = counts.orderBy(F.desc("count"), "h").limit(most).toPandas()
+    return rows["h"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+def _counted_pairs(batches, flush: int = 1 << 21):
+    """``u, v, nu, nv, c``: how many shards the nodes u < v share whose sizes allow 0.8; rows are sorted by cell."""
+    names = ("node", "rep", "shard", "own", "i", "j")
+    held, total, rest = [], 0, None
+
+    def out():
+        u, v, nu, nv = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = np.lexsort((v, u))
+        u, v, nu, nv = u[o], v[o], nu[o], nv[o]
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(u) != 0) | (np.diff(v) != 0)]))
+        c = np.diff(np.append(at, len(u)))
+        return pa.record_batch([pa.array(x) for x in (u[at], v[at], nu[at], nv[at], c)], ["u", "v", "nu", "nv", "c"])
+
+    def pairs(t):
+        cell = np.cumsum(np.concatenate([[True], (np.diff(t["shard"]) != 0) | (np.diff(t["i"]) != 0) | (np.diff(t["j"]) != 0)]))
+        o = np.lexsort((t["rep"], cell))
+        cell, node, n, own, whole = cell[o], t["node"][o], t["rep"][o], t["own"][o], (t["i"] == t["j"])[o]
+        at, lag = np.arange(len(cell)), 1
+        while len(at):
+            at = at[at + lag < len(cell)]
+            at = at[(cell[at + lag] == cell[at]) & (n[at] >= _least(n[at + lag]))]
+            a, b = at, at + lag
+            keep = whole[a] | (own[a] != own[b])
+            a, b = a[keep], b[keep]
+            a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+            lag += 1
+            if len(a):
+                yield node[a], node[b], n[a], n[b]
+
+    def feed(t):
+        nonlocal total
+        for p in pairs(t):
+            held.append(p)
+            total += len(p[0])
+            if total > flush:
+                yield out()
+                held.clear()
+                total = 0
+
+    for b in batches:
+        t = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
+        if rest is not None:
+            t = {n: np.concatenate([rest[n], t[n]]) for n in names}
+        if not len(t["node"]):
+            continue
+        last = np.flatnonzero((t["shard"] != t["shard"][-1]) | (t["i"] != t["i"][-1]) | (t["j"] != t["j"][-1]))
+        edge = last[-1] + 1 if len(last) else 0
+        rest = {n: x[edge:] for n, x in t.items()}
+        if edge:
+            yield from feed({n: x[:edge] for n, x in t.items()})
+    if rest is not None:
+        yield from feed(rest)
+    if held:
+        yield out()
+
+
+def _alike(node: np.ndarray, grams, own: np.ndarray, i: int, j: int):
+    """Arrays of nodes of the pairs of one cell whose exact Jaccard is 0.8 or more, by counting postings."""
+    _, at = np.unique(node, return_index=True)
+    node, own, sets = node[at], own[at], [np.frombuffer(grams[k], np.uint64) for k in at]
+    size = np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
+    first = np.cumsum(count) - count
+    for k in range(len(sets)):
+        t = term[ends[k] - size[k] : ends[k]]
+        t = t[count[t] > 1]
+        m = count[t]
+        where = np.repeat(first[t] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        both = np.bincount(owner[where], minlength=len(sets))
+        near = np.flatnonzero(9 * both >= 4 * (size[k] + size))
+        near = near[(near > k) & ((own[near] != own[k]) | (i == j))]
+        if len(near):
+            yield np.full(len(near), node[k]), node[near]
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, width: int = 5, block: int = 20_000, most_nodes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, component_id``: links are exactly the pairs whose ``width``-word shingle sets have a Jaccard of 0.8 or more.
+
+    Rows with the same set of shingles are one node.  Candidates come from prefixes: in any
+    order of all shingles, two sets alike to 0.8 share one of the first ``n - ceil(0.8 n) + 1``
+    of each.  The order puts shingles last that a sample shows as frequent, which changes the
+    work only.  With ``c`` shared in the two prefixes, the sets share at most ``c`` and what
+    lies behind the one prefix or the other; pairs that can't reach 0.8 so are dropped, none
+    else.  Links of the 64-bit SimHash tree search are further candidates.  Then each set
+    travels once to its component of candidates (hot ones as block pairs), where every pair is
+    counted out, and a spanning forest of the links leaves the task.
     """
-    bands = 64 * words // band_bits
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    common = _frequent(rows, width)
+    at = np.argsort(common)
 
-    def prints(batches):
+    def index(batches):
+        values, rank = common[at], at + 1
         for b in batches:
-            sig = [long_print(t, width, words) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(sig, pa.binary())], ["id", "sig"])
-
-    def banded(batches):
-        weights = (1 << np.arange(band_bits)).astype(np.int64)
+            out, prints = [], fingerprints_of(b.column(1).to_pylist(), width).view(np.int64).tolist()
+            for (k, h, node), fp in zip(_gram_sets([b], width), prints, strict=True):
+                order = np.zeros(len(h), np.int64)
+                if len(values):
+                    p = np.searchsorted(values, h).clip(0, len(values) - 1)
+                    order = np.where(values[p] == h, rank[p], 0)
+                first = h[np.lexsort((h, order))][: len(h) - _least(len(h)) + 1 if len(h) else 0]
+                out.append((k, node, fp, len(h), first.tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "node", "fp", "n", "first"])
+
+    def postings(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : bands * band_bits].reshape(part.num_rows, bands, band_bits)
-                shard = (bits @ weights) * bands + np.arange(bands)
-                at = np.repeat(np.arange(part.num_rows), bands)
-                yield pa.record_batch([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(shard.ravel())], ["sig", "rep", "shard"])
+                shard = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                k = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in shard]))
+                yield pa.record_batch([part.column(0).take(k), part.column(1).take(k), pa.array(np.concatenate(shard))], ["node", "rep", "shard"])
 
-    def search(batches):
-        parent: dict = {}
+    def sets(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                out = [(node, h.tobytes()) for _, h, node in _gram_sets([b.slice(lo, 256)], width)]
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["node", "rep"])
 
-        def columns(b):
-            sig = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(b.num_rows, words)
-            return {"sig": sig} | {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names) if k}
+    def verify(batches):
+        parent: dict = {}
 
         def cell(t) -> list:
-            a, b = t["own"] == t["i"][0], t["own"] == t["j"][0]
             new = []
-            for p, q in _far(t["sig"][a], t["sig"][b], radius):
-                new += _merge(parent, t["rep"][a][p], t["rep"][b][q])
+            for u, v in _alike(t["node"], t["rep"], t["own"], t["i"][0], t["j"][0]):
+                new += _merge(parent, u, v)
             return new
 
-        names = ("sig", "rep", "shard", "own", "i", "j")
-        yield from _cells(batches, names, columns, cell)
+        names = ("node", "rep", "shard", "own", "i", "j")
+        yield from _cells(batches, names, lambda b: {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}, cell)
 
-    made = cut(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, sig binary"))
-    points = made.groupBy("sig").agg(F.min("id").alias("rep"))
-    pairs = _deal(points.mapInArrow(banded, "sig binary, rep long, shard long"), "sig", block).mapInArrow(search, "u long, v long")
-    roots = components(spark, pairs)
-    group = points.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("gsig"), F.coalesce("root", "rep").alias("component_id"))
-    return made.join(group, F.col("sig") == F.col("gsig"), "left").select("id", "component_id")
+    made = cut(spark, rows.mapInArrow(index, "id long, node long, fp long, n long, first binary"))
+    kept = made.where("id is not null")
+    nodes = kept.groupBy("node").agg(F.min(F.struct("id", "fp", "n", "first")).alias("r")).select("node", "r.*")
+    nodes = cut(spark, nodes)
+    counted = _deal(nodes.select("node", "n", "first").mapInArrow(postings, "node long, rep long, shard long"), "node", block).mapInArrow(_counted_pairs, "u long, v long, nu long, nv long, c long")
+    counted = counted.groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+    behind = "greatest((4 * nu + 4) div 5, (4 * nv + 4) div 5) - 1"
+    pairs = counted.where(f"9 * (c + {behind}) >= 4 * (nu + nv)").select("u", "v")
+    points = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    maybe = components(spark, pairs.unionAll(links(spark, points, block=block)))
+    wanted = cut(spark, nodes.select("node", "id").join(maybe.select("node", F.col("root").alias("shard")), "node"))
+    few = F.broadcast if wanted.count() <= most_nodes else lambda x: x
+    found = rows.join(few(wanted.select("id").distinct()), "id").mapInArrow(sets, "node long, rep binary")
+    placed = found.join(few(wanted.select("node", "shard")), "node").select("node", "rep", "shard")
+    linked = _deal(placed, "node", max(2, block // 10)).mapInArrow(verify, "u long, v long")
+    # rows of one id are one document, whatever their texts
+    same = kept.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top").select("id", "u")
+    same = kept.join(same, "id").where("node <> u").select("u", F.col("node").alias("v"))
+    roots = components(spark, linked.unionAll(same))
+    group = made.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "id").join(group, "node").groupBy("root").agg(F.min("id").alias("component_id"))
+    return made.select("id", "node").join(group.join(named, "root", "left").select("node", "component_id"), "node", "left").select("id", "component_id")
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

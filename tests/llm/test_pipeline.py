@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sparkeval.llm import decontam, quality, queries, secrets
+from sparkeval.llm import decontam, quality, queries, secrets, simhash
 
 from .test_operators import DOCS
 
@@ -59,6 +60,46 @@ def test_dedup_stage(steps):
     assert all(n <= 1 for n in left.values()) and len(groups) >= len(left)
 
 
+def test_dedup_is_exact(steps):
+    """The components are those of all pairs at 0.8 or more, and of no other."""
+    sets = {r["doc_id"]: shingled(r["text"]) for r in steps[1].collect()}
+    assert ids(steps[2]) == {i for i, root in exact_components(sets).items() if i == root}
+
+
+def exact_components(sets):
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
+
+
+def test_a_repeated_line_is_no_link(spark):
+    rng = random.Random(5)
+    line = " ".join(f"line{k}" for k in range(16))
+    texts = [" ".join([line] * 60 + [f"w{rng.randrange(10**6)}" for _ in range(204)]) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["id"] == r["component_id"] for r in simhash.near_copies(spark, df).collect())
+
+
+@pytest.mark.parametrize("block", [20_000, 12])
+def test_no_pair_is_missed(spark, block):
+    """Pairs just above and below 0.8, short texts included, hot lines, and a chain."""
+    rng, texts = random.Random(6), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for n in [*range(5, 30), 44, 84, 104, 204]:
+        base = [word() for _ in range(n)]
+        texts += [base, [*base, word()], base[: -max(1, n // 5)], [word() for _ in range(n // 9)] + base[n // 9 :]]
+    common = [word() for _ in range(60)]
+    texts += [common + [word() for _ in range(k)] for k in range(4, 40)]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark, df, block=block).collect()}
+    assert got == exact_components({i: shingled(t) for i, t in texts.items()})
+
+
 def test_leak_stage(spark, sf, steps):
     items = [decontam.shingles(decontam.words_of(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = set()
