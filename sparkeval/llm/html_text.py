@@ -59,11 +59,15 @@ OUTER_WORDS = frozenset("header masthead topbar hero".split())
 MAIN = frozenset(("article", "main"))
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW.split("|")}
+TO_THE_END = frozenset(("script", "style"))  # hide the rest of the page if they are not closed
+EMPTY = re.compile(r"(?:^|[\s\"']|(?<![^\s\"'])[^=\s\"']+)/\Z")  # a last slash that is no unquoted value's
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -75,7 +79,7 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset, bool]:
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
     classes = found.get("class", "")
     words = frozenset(w.lower() for w in WORDS.findall(f"{classes} {found.get('id', '')} {found.get('role', '')}"))
-    hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
+    hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", VALUE.sub("= ", attrs))) or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden") == "true"
     return ".".join([tag, *sorted(classes.split())]), words, hidden
 
 
@@ -103,12 +107,25 @@ def parse(page: str | None):
     root = _Node("", "", 1, False)
     stack, events, has_main = [root], [], False
     chain = (root,)
-    for m in TOKEN.finditer(page or ""):
+    page, at, unclosed = page or "", 0, set()
+    while m := TOKEN.match(page, at):
+        at, raw = m.end(), m["raw"]
+        if raw:
+            raw = raw.lower()
+            if raw in ("svg", "math") and EMPTY.search(m["own"]):
+                continue
+            stop = None if raw in unclosed else RAW_END[raw].search(page, at)
+            if stop:
+                at = stop.end()
+                continue
+            if raw in TO_THE_END:
+                break
+            unclosed.add(raw)  # no end follows: an ordinary element, whose text is the page's
         text = m["text"]
         if text is not None:
             events.append((chain, html.unescape(text)))
             continue
-        tag = m["tag"]
+        tag = raw or m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
@@ -125,7 +142,7 @@ def parse(page: str | None):
                         break
                 chain = tuple(stack)
             continue
-        attrs = m["attrs"]
+        attrs = m["own"] if raw else m["attrs"]
         closes = ("p",) if block and tag != "br" else ()
         closes += CLOSES.get(tag, ())
         if closes:

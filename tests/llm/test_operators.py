@@ -169,6 +169,20 @@ def test_main_text():
     assert html_text.main_text("plain text", frozenset()) == "plain text"
 
 
+@pytest.mark.parametrize("odd_tag", ['<svg class="i" />', "<math/>", "<svg/>", "<select><option>", "<object data='x'>", "<textarea>", '<SVG viewBox="0 0 1 1"/>'])
+def test_no_element_swallows_the_article(odd_tag):
+    got = html_text.main_text(f"<article><p>before {odd_tag}</p><p>after</p></article><p>outside</p>", frozenset())
+    assert got == "before after"
+
+
+def test_only_the_name_hidden_hides():
+    for attrs in ('title="The hidden life of trees"', "title='all hidden /'", "title = hidden"):
+        assert html_text.main_text(f"<article {attrs}><p>kept</p></article>", frozenset()) == "kept", attrs
+    for attrs in ("hidden", 'title="x"hidden', 'hidden="until-found"'):
+        assert html_text.main_text(f"<article><p {attrs}>gone</p><p>kept</p></article>", frozenset()) == "kept", attrs
+    assert html_text.main_text('<article><svg width="1"><text>gone</text></svg>kept<script>x', frozenset()) == "kept"
+
+
 def test_repeated_branches_go(spark):
     body = "<div class=x>Same strap line on every page</div><div class=y><p>Story {0} of its own, number {0}.</p></div>"
     rows = [(i, f"http://h.example/{i}", body.format(i)) for i in range(12)] + [(12, "http://other/", body.format(12)), (13, None, None), (13, None, None)]
