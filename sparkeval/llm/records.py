@@ -10,23 +10,26 @@ all little-endian; the body is ``int64 id, uint32 count, uint8 width, uint8 has_
 an index: ``int64 id, uint64 offset, uint32 count`` for each record, so that records can be
 read in any order.
 
-Documents are dealt out by ranges of their id and sorted, so the files in the order of
-their first ids hold all documents in ascending order.  Each task writes files under a name
+Documents are dealt out by ranges of their id and a hash of their text and sorted, so the files
+in the order of their first rows hold all documents in ascending order, and rows of one very
+frequent id are split too.  Each task writes files under a name
 of its own and returns it; the manifest of the tasks that ended well is checkpointed, so a
 lost or repeated task leaves at most a file that nothing refers to.
 
-Tokens come from the tokenizers library.  Texts are cut at ASCII white space, where this
-tokenizer's rules never reach across, and each distinct piece of a task is encoded once.
+Tokens come from the tokenizers library.  Where the tokenizer's own rules drop white space
+before anything else, texts are cut at ASCII white space and each distinct piece of a task
+is encoded once; any other tokenizer gets whole texts.
 
 Cases: null and empty texts have only the end id; very long texts are one record; repeated
-ids keep all their records, next to each other; a null id comes first; an empty table gives
-no file and an empty result; extra columns are not read.
+ids keep all their records, next to each other, in the order of the hash of their texts (ties
+are equal rows); a null id comes first; an empty table gives no file and an empty result;
+extra columns are not read.  The window over the manifest has a row for each file.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -34,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +47,30 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qIBB")
 INDEX = np.dtype([("id", "<i8"), ("offset", "<u8"), ("count", "<u4"), ("has_id", "<u1")])
 MASK = 0xA282EAD8
+CRC = struct.Struct("<I")
+FRAME = HEAD.size + BODY.size + CRC.size  # bytes of a frame besides the ids
 CACHE = 300_000  # pieces of a generation that a worker remembers
+GATHER = 1 << 19  # pieces whose ids are gathered at once
 FILE_BYTES = 256 << 20
-PIECE = re.compile(r"[^ \t\n\r]+")
 
 
-def masked(data: bytes) -> int:
-    c = zlib.crc32(data)
+def _mask(c: int) -> int:
     return ((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF
 
 
+def masked(data) -> int:
+    return _mask(zlib.crc32(data))
+
+
+@lru_cache(maxsize=1 << 16)
+def _sized(n: int) -> bytes:
+    """The head of a frame: a length and the masked checksum of it."""
+    size = struct.pack("<Q", n)
+    return size + CRC.pack(masked(size))
+
+
 def frame(body: bytes) -> bytes:
-    size = struct.pack("<Q", len(body))
-    return b"".join((size, struct.pack("<I", masked(size)), body, struct.pack("<I", masked(body))))
+    return b"".join((_sized(len(body)), body, CRC.pack(masked(body))))
 
 
 def unframe(data: memoryview) -> memoryview:
@@ -70,12 +85,17 @@ def unframe(data: memoryview) -> memoryview:
 
 
 class PieceEncoder:
-    """Token ids of texts as bytes of ``dtype``; what a worker knows of pieces is kept from task to task.
+    """Token ids of many texts at once; what a worker knows of pieces is kept from task to task.
 
-    A piece of letters alone is one pre-token of this tokenizer, however it is cut off by the
-    closing marks in ``TAIL`` (a pre-token of their own).  Such words are encoded many at a
-    time, and the ids with the word-end mark say where each one ends; should their number
-    not be that of the words, and for all other pieces, each piece is encoded by itself.
+    Arrow cuts the texts at ASCII white space and names each distinct piece by a number; only
+    what is new to the worker meets the tokenizer, and one gather makes the ids of all texts.
+    This holds for tokenizers that drop white space and keep runs of letters whole, as
+    ``cuts_at_space`` reads from their own rules; any other tokenizer encodes whole texts.
+
+    A piece of letters with closing marks from ``TAIL`` behind is two pieces: the letters are
+    one pre-token however they are cut off.  Such words are encoded many at a time, and the
+    ids with the word-end mark say where each one ends; should their number not be that of
+    the words, and for all other pieces, each piece is encoded by itself.
     """
 
     TAIL = ".,;:!?"
@@ -85,76 +105,90 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max([*ids.values(), end_id]) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.closes = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.closes[i] = token.endswith("</w>")
+        self.closes = np.zeros(max(ids.values()) + 1, bool)
+        self.closes[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self.cuts = cuts_at_space(json.loads(self.tokenizer.to_str()))
         # two generations: what was used lately survives when the older one goes
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _each(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for lo in range(0, len(pieces), 4096):
-            part = pieces[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, self.dtype).tobytes()
+    def _each(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 1024):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)]
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        out, width = {}, self.dtype.itemsize
+    def _words(self, words: list[str]) -> list[bytes]:
+        out, width = [], self.dtype.itemsize
         for lo in range(0, len(words), 2048):
             part = words[lo : lo + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             stops = ((np.flatnonzero(self.closes[ids]) + 1) * width).tolist()
             if len(stops) != len(part):  # some word is more than one pre-token
-                out |= self._each(part)
+                out += self._each(part)
                 continue
-            data, at = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                out[w] = data[at:stop]
-                at = stop
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def _learn(self, fresh: list[str]) -> None:
-        split, words, odd = [], set(), set()
-        for p in fresh:
-            plain = p.lower() if p.isascii() else p
-            body = plain.rstrip(self.TAIL)
-            if body.isalpha():
-                tail = plain[len(body) :]
-                split.append((p, body, tail))
-                if body not in self.known and body not in self.older:
-                    words.add(body)
-                if tail and tail not in self.known:
-                    odd.add(tail)
-            else:
-                odd.add(p)
-        found = self._words(list(words)) | self._each(list(odd))
-        older = self.older
-        self.known |= found
-        for p, body, tail in split:
-            ids = self.known.get(body) or older[body]
-            self.known[p] = ids + self.known[tail] if tail else ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [PIECE.findall(t) if t else [] for t in texts]
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of distinct pieces; those of letters alone are learned many at a time."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = []
-        for p in set().union(*pieces):
+        known, older, names = self.known, self.older, _listed(pieces)
+        fresh, letters = [], []
+        for p, alpha in zip(names, _listed(pc.utf8_is_alpha(pieces)), strict=True):
             if p not in known:
-                ids = older.get(p)
-                if ids is None:
-                    fresh.append(p)
-                else:
+                if (ids := older.get(p)) is not None:
                     known[p] = ids
-        self._learn(fresh)
-        get = known.__getitem__
-        return [b"".join([*map(get, ps), self.end]) for ps in pieces]
+                else:
+                    (letters if alpha else fresh).append(p)
+        known |= zip(letters, self._words(letters), strict=True)
+        known |= zip(fresh, self._each(fresh), strict=True)
+        return [known[p] for p in names]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's end id included, and where each text begins (one more at the end)."""
+        texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            words = [*self._each(texts.to_pylist()), self.end]
+            row = np.empty((len(texts), 2), np.int32)
+            row[:, 0], row[:, 1] = np.arange(len(texts)), len(texts)
+            row, stops = row.ravel(), np.arange(1, len(texts) + 1) * 2
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+            coded = pc.dictionary_encode(lists.flatten())
+            lower = pc.ascii_lower(coded.dictionary)
+            body = pc.ascii_rtrim(lower, characters=self.TAIL)
+            body = pc.if_else(pc.utf8_is_alpha(body), body, lower)
+            cut = [w[len(b) :] for w, b in zip(_listed(lower), _listed(body), strict=True)]
+            body, tail = pc.dictionary_encode(body), pc.dictionary_encode(pa.array(cut, pa.string()))
+            words = [*self._pieces(body.dictionary), *self._pieces(tail.dictionary), self.end]
+            # every piece is its letters and its tail; after its pieces every text has the end id
+            named, each = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            stops = np.cumsum(2 * each + 1)
+            row = np.empty(2 * len(named) + len(each), np.int32)
+            inner = np.ones(len(row), bool)
+            inner[stops - 1] = False
+            both = np.stack([body.indices.to_numpy()[named], tail.indices.to_numpy()[named] + len(body.dictionary)], 1) if len(named) else np.empty(0, np.int32)
+            row[inner], row[stops - 1] = both.ravel(), len(words) - 1
+        pool = np.frombuffer(b"".join(words), self.dtype)
+        length = np.fromiter(map(len, words), np.int32, len(words)) // self.dtype.itemsize
+        first = (np.cumsum(length) - length).astype(np.int32)
+        ends = np.cumsum(length[row], dtype=np.int64)
+        out, at = np.empty(int(ends[-1]) if len(ends) else 0, self.dtype), 0
+        for lo in range(0, len(row), GATHER):  # the index arrays stay small, however long a text is
+            part = row[lo : lo + GATHER]
+            m = length[part]
+            stop = int(ends[lo + len(part) - 1])
+            where = np.repeat(first[part] - (np.cumsum(m, dtype=np.int32) - m), m)
+            where += np.arange(stop - at, dtype=np.int32)
+            np.take(pool, where, out=out[at:stop])
+            at = stop
+        return out, np.concatenate([[0], ends[stops - 1]])
 
 
 @lru_cache(maxsize=4)
@@ -163,6 +197,22 @@ def encoder_of(vocabulary: str, end_id: int) -> PieceEncoder:
     return PieceEncoder(vocabulary, end_id)
 
 
+def _listed(values: pa.Array) -> list:
+    """Far faster than ``to_pylist`` for strings."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def cuts_at_space(rules: dict) -> bool:
+    """Whether white space only ever separates pieces for a tokenizer, as read from its own JSON."""
+    normal = (rules.get("normalizer") or {}).get("normalizers", [])
+    split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    pattern = split.get("pattern", {}).get("Regex", "")
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and pattern.endswith(r"|[^\s\p{L}\p{N}]+") and " " not in pattern
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
+    whole = not any(c.isspace() for t in rules["added_tokens"] for c in t["content"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+    return bool(drops and plain and whole and not (rules["truncation"] or rules["padding"]))
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -176,26 +226,40 @@ class _Writer:
         self.name = f"{folder}/{uuid.uuid4().hex}"
         self.fs, path = _open(self.name)
         self.out = self.fs.open_output_stream(path + ".rec")
-        self.path, self.at, self.rows, self.tokens = path, 0, [], 0
-
-    def add(self, key: int | None, ids: bytes, width: int) -> None:
-        n = len(ids) // width
-        data = frame(BODY.pack(key or 0, n, width, key is not None) + ids)
-        self.rows.append((key or 0, self.at, n, key is not None))
-        self.out.write(data)
-        self.at += len(data)
-        self.tokens += n
+        self.path, self.at, self.rows, self.tokens, self.first = path, 0, [], 0, None
+
+    def add(self, keys: list, tie: int, ids: np.ndarray, begin: np.ndarray) -> None:
+        """Frames the records of a slice of rows and writes them at once."""
+        self.first = self.first or (keys[0], tie)
+        width, data, begin = ids.dtype.itemsize, memoryview(ids).cast("B"), begin.tolist()
+        parts, crc = [], zlib.crc32
+        for key, lo, hi in zip(keys, begin, begin[1:], strict=False):
+            head, body = BODY.pack(key or 0, hi - lo, width, key is not None), data[lo * width : hi * width]
+            parts += (_sized(len(head) + len(body)), head, body, CRC.pack(_mask(crc(body, crc(head)))))
+            self.rows.append((key or 0, self.at, hi - lo, key is not None))
+            self.at += FRAME + (hi - lo) * width
+        self.out.write(b"".join(parts))
+        self.tokens += begin[-1] - begin[0]
 
     def close(self) -> tuple:
         self.out.close()
         index = np.array(self.rows, INDEX)
         with self.fs.open_output_stream(self.path + ".idx") as f:
             f.write(index.tobytes() + struct.pack("<I", masked(index.tobytes())))
-        first = None if not self.rows[0][3] else self.rows[0][0]
-        return self.name, first, len(self.rows), self.tokens
+        return self.name, *self.first, len(self.rows), self.tokens
+
+
+MANIFEST = "name string, first_id long, first_tie long, n_records long, n_tokens long"
 
 
-MANIFEST = "name string, first_id long, n_records long, n_tokens long"
+def _slices(batch, most_bytes: int = 1 << 23):
+    """A batch in slices of about ``most_bytes`` of text, one row at least."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes)))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def write_records(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,22 +268,21 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
     def run(batches):
         encoder, writer, done = encoder_of(vocabulary, end_id), None, []
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(keys), 512):
-                for key, ids in zip(keys[lo : lo + 512], encoder.encode(texts[lo : lo + 512]), strict=True):
-                    writer = writer or _Writer(folder)
-                    writer.add(key, ids, encoder.dtype.itemsize)
-                    if writer.at >= FILE_BYTES:
-                        done.append(writer.close())
-                        writer = None
+            for part in _slices(b):
+                ids, begin = encoder.encode(part.column(1))
+                writer = writer or _Writer(folder)
+                writer.add(part.column(0).to_pylist(), part.column(2)[0].as_py(), ids, begin)
+                if writer.at >= FILE_BYTES:
+                    done.append(writer.close())
+                    writer = None
         if writer:
             done.append(writer.close())
-        cols = list(zip(*done, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["name", "first_id", "n_records", "n_tokens"])
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, d, strict=True)) for d in done], schema=kinds)
 
+    kinds = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in MANIFEST.split(", ")])
     _make_folder(folder)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
     return cut(spark, ordered.mapInArrow(run, MANIFEST))
 
 
@@ -262,7 +325,7 @@ def shuffled(name: str, seed: int):
 def read_records(manifest: DataFrame, read_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every record, read back from the files."""
     # a row for each file: the running sum over files gives every file's first offset
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "name").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_tie", "name").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def run(batches):

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -344,6 +345,33 @@ def test_token_records(spark, docs, odd, empty, tmp_path):
     assert records.digest(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("name, cuts", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_of_any_tokenizer(docs, name, cuts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), records.PieceEncoder(path, 2)
+    rng = random.Random(7)
+    made = ["".join(rng.choices(" \t\n\r\x0b\x0c\x1c\x85.,!'sABcdéÉ1２中́ςΣİﬁ", k=60)) for _ in range(300)]
+    texts = [None, "", " ", *made, "a b " * 5000, *(r[0] for r in docs.select("text").limit(100).collect())]
+    ids, begin = encoder.encode(pa.array(texts))
+    assert encoder.cuts == cuts and len(begin) == len(texts) + 1
+    for t, lo, hi in zip(texts, begin, begin[1:], strict=False):
+        assert ids[lo:hi].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 2], t
+    none, begin = encoder.encode(pa.array([], pa.string()))
+    assert len(none) == 0 and begin.tolist() == [0]
+
+
+def test_order_of_repeated_ids(spark):
+    rows = [(i % 3 if i % 7 else None, f"text number {i % 40}") for i in range(400)]
+    got = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append(sorted(map(tuple, records.digest(spark, df).collect()), key=lambda r: r[1]))
+    assert got[0] == got[1] and [r[0] is None for r in got[0]] == [k < 58 for k in range(400)]
+
+
 # --- 7 language ---
 
 
