@@ -140,7 +140,7 @@ class PieceEncoder:
             self.known, self.older = {}, self.known
         known, older, names = self.known, self.older, _listed(pieces)
         fresh, letters = [], []
-        for p, alpha in zip(names, _listed(pc.utf8_is_alpha(pieces)), strict=True):
+        for p, alpha in zip(names, _listed(_letters(pieces)), strict=True):
             if p not in known:
                 if (ids := older.get(p)) is not None:
                     known[p] = ids
@@ -163,7 +163,7 @@ class PieceEncoder:
             coded = pc.dictionary_encode(lists.flatten())
             lower = pc.ascii_lower(coded.dictionary)
             body = pc.ascii_rtrim(lower, characters=self.TAIL)
-            body = pc.if_else(pc.utf8_is_alpha(body), body, lower)
+            body = pc.if_else(_letters(body), body, lower)
             cut = [w[len(b) :] for w, b in zip(_listed(lower), _listed(body), strict=True)]
             body, tail = pc.dictionary_encode(body), pc.dictionary_encode(pa.array(cut, pa.string()))
             words = [*self._pieces(body.dictionary), *self._pieces(tail.dictionary), self.end]
@@ -197,6 +197,12 @@ def encoder_of(vocabulary: str, end_id: int) -> PieceEncoder:
     return PieceEncoder(vocabulary, end_id)
 
 
+def _letters(words: pa.Array) -> pa.Array:
+    """Whether a word is letters alone, and stays so when it is normalised and lower-cased."""
+    # U+0130 is the one letter whose lower case has a mark
+    return pc.and_not(pc.utf8_is_alpha(pc.utf8_normalize(words, "NFC")), pc.match_substring(words, "\u0130"))
+
+
 def _listed(values: pa.Array) -> list:
     """Far faster than ``to_pylist`` for strings."""
     return values.to_numpy(zero_copy_only=False).tolist()

@@ -353,7 +353,7 @@ def test_ids_of_any_tokenizer(docs, name, cuts):
     path = public_tokenizers.path(name)
     library, encoder = Tokenizer.from_file(path), records.PieceEncoder(path, 2)
     rng = random.Random(7)
-    made = ["".join(rng.choices(" \t\n\r\x0b\x0c\x1c\x85.,!'sABcdéÉ1２中́ςΣİﬁ", k=60)) for _ in range(300)]
+    made = ["".join(rng.choices(" \t\n\r\x0b\x0c\x1c\x85.,!'sABcdéÉ1２中́ςΣİﬁ\u0958", k=60)) for _ in range(300)]
     texts = [None, "", " ", *made, "a b " * 5000, *(r[0] for r in docs.select("text").limit(100).collect())]
     ids, begin = encoder.encode(pa.array(texts))
     assert encoder.cuts == cuts and len(begin) == len(texts) + 1
