@@ -199,8 +199,11 @@ def encoder_of(vocabulary: str, end_id: int) -> PieceEncoder:
 
 def _letters(words: pa.Array) -> pa.Array:
     """Whether a word is letters alone, and stays so when it is normalised and lower-cased."""
+    alpha = pc.utf8_is_alpha(words)
+    wide = pc.and_not(alpha, pc.string_is_ascii(words))
+    some = pc.filter(words, wide)
     # U+0130 is the one letter whose lower case has a mark
-    return pc.and_not(pc.utf8_is_alpha(pc.utf8_normalize(words, "NFC")), pc.match_substring(words, "\u0130"))
+    return pc.replace_with_mask(alpha, wide, pc.and_not(pc.utf8_is_alpha(pc.utf8_normalize(some, "NFC")), pc.match_substring(some, "\u0130")))
 
 
 def _listed(values: pa.Array) -> list:
