@@ -436,6 +436,61 @@ def test_fingerprints_and_groups(spark, docs, odd, empty):
     assert simhash.digest(spark, empty).count() == 0
 
 
+def test_fingerprints_of_one_id_are_linked(spark, empty):
+    x, y, z = "one two three four five six", "a quite other text of some words here", "nothing like the others at all in it"
+    rows = [(1, x), (5, x), (5, y), (9, y), (None, z), (None, x), (7, None), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["id"], r["component_id"]) for r in simhash.near_duplicates(spark, df).collect())
+    assert got == Counter([(1, 1), (5, 1), (5, 1), (9, 1), (None, None), (None, 1), (7, 7), (7, 7), (8, 7)])
+    assert simhash.near_duplicates(spark, empty).count() == 0
+
+
+def test_shard_masks_lose_no_pair():
+    rng = random.Random(8)
+    for points, most in ((10, 1), (10**5, 5), (10**8, 15), (10**10, 35)):
+        masks = simhash.shard_masks(points, 4, 4096)
+        assert len(masks) == most and all((m % (1 << 64)).bit_count() == max(0, math.ceil(math.log2(points / 4096))) for m in masks)
+        for _ in range(500):
+            diff = sum(1 << j for j in rng.sample(range(64), 4))
+            assert any(not diff & m % (1 << 64) for m in masks)
+
+
+@pytest.mark.parametrize("shard_points, block", [(4096, 20_000), (4096, 700), (1 << 20, 900)])
+def test_many_dense_prints(spark, shard_points, block):
+    """Over 10,000 fingerprints: whole shards, rings and blocks give the components of all pairs."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (9, 500 * 12)).astype(np.uint64)
+    flips[rng.integers(0, 9, (9, 500 * 12)) > 4] = 0
+    x = np.unique(np.concatenate([np.tile(base, 12) ^ np.bitwise_xor.reduce(flips), rng.integers(0, 1 << 63, 6000, dtype=np.uint64)]))
+    assert len(x) > 10_000
+    df = spark.createDataFrame(pd.DataFrame({"fp": x.view(np.int64), "rep": x.view(np.int64)}))
+    got = {r["node"]: r["root"] for r in components.components(spark, simhash.links(spark, df, block=block, shard_points=shard_points)).collect()}
+    parent: dict = {}
+    for i, j in simhash._near(x, x, 4):
+        simhash._merge(parent, x[i].view(np.int64), x[j].view(np.int64))
+    groups = {}
+    for n in parent:
+        r = n
+        while parent[r] != r:
+            r = parent[r]
+        groups.setdefault(r, set()).add(n)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in got if got[n] == r) for r in set(got.values())}
+
+
+def test_the_tree_splits_and_prunes():
+    """On unrelated fingerprints the trees compute a fraction of all distances."""
+    x, seen = np.random.default_rng(3).integers(0, 1 << 63, 4096, dtype=np.uint64), {}
+    simhash.tree_pairs(x, np.arange(len(x)), 4, lambda a, b: None, seen=seen)
+    assert seen["splits"] > 64 and seen["distances"] < 0.2 * len(x) * len(x)
+    y, seen = x[:2000] ^ np.uint64(3), {}
+    got = set()
+    simhash.tree_pairs(y, np.arange(len(y)), 4, lambda a, b: got.update(zip(a.tolist(), b.tolist(), strict=True)), x, np.arange(len(x)), seen)
+    i, j = np.nonzero(np.bitwise_count(y[:, None] ^ x[None, :]) <= 4)
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True)) and len(got) >= 2000
+    assert seen["splits"] > 64 and seen["distances"] < 0.5 * len(x) * len(y)
+
+
 @pytest.mark.parametrize("block", [20_000, 40])
 def test_links_of_dense_groups(spark, block):
     rng = random.Random(2)
