@@ -1,27 +1,34 @@
 """Main text of web pages by site style trees.
 
 All pages of a host are merged into one tree of element paths (tag and class names from the
-root).  For every node of the tree Spark aggregates
+root; pages with an ``article`` or ``main`` and pages without are told apart).  Every page
+names the branches that are to be judged, and for each one Spark aggregates
 
-* the entropy of its contents over the pages, divided by its largest possible value: what
-  every page repeats is template, what differs is content;
-* the entropy of its presentation, the sequence of child tags, likewise;
+* the entropy of its contents over the pages that have it, and that of its presentation (the
+  kinds of its children): what every page repeats is template, what differs is content.  The
+  larger of the two is taken relative to the entropy of the main container (or of the whole
+  page, where there is none), so that copies of an article are no template;
 * the share of its characters that are link text;
-* a prior by its tag and class names: menus, forms, adverts, sidebars, notices, comments and
-  the like have importance 0; what lies in an ``article`` or ``main`` has importance 1.
-
-The importance of the other nodes is the larger entropy times the share of text that is no
-link.  A branch below ``threshold`` is removed from every page of its host; the text of the
-rest is returned.  A host with fewer than ``min_pages`` different pages has only the priors.
-Where a page has an ``article`` or ``main``, the text is taken from there.
+* a prior weight: 1 for containers in the main container and for blocks of pages without one;
+  0.25 outside the main container; 0.1 for what its tag or class names call a menu, form,
+  advert, sidebar, notice, comments and the like.  On a page without a main container that
+  last weight is the fourth power of the branch's share of the page's text, for a form or
+  "sidebar layout" may hold the whole page.
+
+With relative entropy ``v`` over ``n`` pages, the importance is
+``weight * (1 - links / chars) * (1 - (1 - v) * n / (n + 2))``: few pages are little evidence,
+and one page is none.  A branch below ``threshold`` is removed from every page of its host;
+the text of the rest is returned.  Paragraphs, headings and lists of the main container are judged with the
+container they are in, and inline elements with their block.
 
 The statistics are distributed aggregates over (host, node, value); copies of a page count
 once.  The removed nodes of a host reach its pages by a join, which Spark may broadcast if
 the measured size is below its threshold, and whose skew it handles otherwise.
 
-Cases: null, empty and very long pages, unclosed tags and stray ends are all read to the
-end; a null or odd url gives its own host; repeated rows give repeated rows; an empty table
-gives an empty result; extra columns are not read.
+Cases: null, empty and very long pages, deep nesting, unclosed tags and stray ends are all
+read to the end, in time that grows with the length; a null or odd url gives its own host;
+repeated rows give repeated rows and count once in the tree; a tie with the threshold stays;
+an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 # The elements by their role.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|iframe|svg|select|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -57,6 +64,9 @@ NOISE_WORDS = frozenset(
 )
 OUTER_WORDS = frozenset("header masthead topbar hero".split())
 MAIN = frozenset(("article", "main"))
+WRAPPERS = frozenset(("form", "fieldset"))  # may hold a main container
+BOXES = frozenset("div section center details dialog address hgroup".split())
+LOW = 0.3  # branches of a lower importance are removed
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -84,172 +94,232 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset, bool]:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "prior", "main")
+    """An open or closed element of a page."""
+
+    __slots__ = ("tag", "label", "parent", "noise", "hidden", "shade", "main", "holds", "linked", "parts", "kids", "frame", "chars", "links", "print", "key", "weight", "gone")
 
-    def __init__(self, tag, path, prior, main):
-        self.tag, self.path, self.prior, self.main = tag, path, prior, main
+    def __init__(self, tag: str, label: str, parent: _Node | None):
+        self.tag, self.label, self.parent = tag, label, parent
+        self.noise = self.hidden = self.shade = self.main = self.holds = self.linked = False
+        # texts and children in their order, kinds of children, tags that are open in this scope
+        self.parts, self.kids, self.frame = [], {}, {}
+        self.chars = self.links = self.print = self.key = 0
+        self.weight, self.gone = None, False
 
 
 def _child(parent: _Node, tag: str, attrs: str) -> _Node:
     label, words, hidden = _label(tag, attrs)
-    main = parent.main or (parent.prior != 0 and (tag in MAIN or "role" in attrs and "main" in words))
-    noisy = parent.prior == 0 or hidden or tag in NOISE_TAGS or bool(words & NOISE_WORDS) and tag not in ("html", "body")
-    if not noisy and not main:
-        noisy = tag in OUTER_NOISE or bool(words & OUTER_WORDS) and tag not in ("html", "body")
-    return _Node(tag, f"{parent.path}>{label}", 0 if noisy else 2 if main else 1, main)
-
-
-def parse(page: str | None):
-    """(events, has_main): events are (chain of open nodes, text), text None for a block's end.
-
-    ``chain`` is a tuple; its nodes carry path, prior and whether they lie in a main container.
-    """
-    root = _Node("", "", 1, False)
-    stack, events, has_main = [root], [], False
-    chain = (root,)
-    page, at, unclosed = page or "", 0, set()
-    while m := TOKEN.match(page, at):
-        at, raw = m.end(), m["raw"]
-        if raw:
-            raw = raw.lower()
-            if raw in ("svg", "math") and EMPTY.search(m["own"]):
+    named = hidden or tag in NOISE_TAGS or bool(words & NOISE_WORDS) and tag not in ("html", "body")
+    if not named and not parent.main:
+        named = tag in OUTER_NOISE or bool(words & OUTER_WORDS) and tag not in ("html", "body")
+    # what is noise by an attribute has a path of its own
+    node = _Node(tag, label + ("!" if hidden else "~" if named else ""), parent)
+    node.noise, node.hidden, node.linked = named, hidden, parent.linked or tag == "a"
+    # nothing is main inside noise, but for the wrappers of whole pages
+    node.shade = parent.shade or named and (hidden or tag not in WRAPPERS)
+    node.main = not named and (parent.main or not node.shade and (tag in MAIN or "role" in attrs and "main" in words))
+    if node.main and not parent.main:
+        up = parent
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
+    parent.parts.append(node)
+    parent.kids[tag] = True
+    return node
+
+
+class Page:
+    """The elements of a page in the order of their starts, and its events (element, text); text None ends a block."""
+
+    def __init__(self, page: str | None):
+        root = _Node("", "", None)
+        self.nodes, self.events = [root], []
+        self._read(page or "", root)
+        self.has_main = root.holds
+        for n in reversed(self.nodes):
+            for c in n.parts:
+                if isinstance(c, _Node):
+                    n.chars += c.chars
+                    n.links += c.links
+            n.print = xxhash.xxh64_intdigest(repr([c.print if isinstance(c, _Node) else c for c in n.parts])) >> 1 if n.parts else 0
+        root.key = 1 + self.has_main
+        for n in self.nodes[1:]:
+            n.key = xxhash.xxh64_intdigest(n.label, n.parent.key)
+            n.weight = self._weight(n)
+
+    def _weight(self, n: _Node) -> float | None:
+        """The prior of a branch that is to be judged."""
+        above = n.parent.weight
+        if n.holds:
+            return None
+        if above is not None and above < LOW:
+            return 0.0  # goes with the branch around it
+        if n.noise:
+            whole = max(1, self.nodes[0].chars - self.nodes[0].links)
+            return 0.1 if self.has_main or n.hidden else max(0.1, ((n.chars - n.links) / whole) ** 4)
+        if n.main:
+            return 1.0 if n.tag in BOXES and n.parent.main else None
+        if self.has_main:
+            return 0.25
+        return 1.0 if n.tag in BLOCKS and n.tag not in ("html", "body") else None
+
+    def _read(self, page: str, root: _Node) -> None:
+        stack, events, opened, frame = [root], self.events, {}, root.frame
+        at, unclosed = 0, set()
+
+        def pop() -> str:
+            n = stack.pop()
+            opened[n.tag] -= 1
+            scope = stack[-1].frame
+            if scope.get(n.tag):
+                scope[n.tag] -= 1
+            return n.tag
+
+        while m := TOKEN.match(page, at):
+            at, raw = m.end(), m["raw"]
+            if raw:
+                raw = raw.lower()
+                if raw == "svg" and EMPTY.search(m["own"]):
+                    continue
+                stop = None if raw in unclosed else RAW_END[raw].search(page, at)
+                if stop:
+                    at = stop.end()
+                    continue
+                if raw in TO_THE_END:
+                    break
+                unclosed.add(raw)  # no end follows: an ordinary element, whose text is the page's
+            text = m["text"]
+            if text is not None:
+                text, top = html.unescape(text), stack[-1]
+                events.append((top, text))
+                if not text.isspace():
+                    words = " ".join(text.split())
+                    top.parts.append(xxhash.xxh64_intdigest(words))
+                    top.chars += len(words)
+                    top.links += len(words) if top.linked else 0
                 continue
-            stop = None if raw in unclosed else RAW_END[raw].search(page, at)
-            if stop:
-                at = stop.end()
+            tag = raw or m["tag"]
+            if tag is None:
                 continue
-            if raw in TO_THE_END:
-                break
-            unclosed.add(raw)  # no end follows: an ordinary element, whose text is the page's
-        text = m["text"]
-        if text is not None:
-            events.append((chain, html.unescape(text)))
-            continue
-        tag = raw or m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        block = tag in BLOCKS
-        if block:
-            events.append((chain, None))
-        if m["end"]:
-            if any(n.tag == tag for n in stack):
-                # an inline end does not close the block around it
-                while len(stack) > 1:
-                    if stack[-1].tag != tag and not block and stack[-1].tag in BLOCKS:
-                        break
-                    if stack.pop().tag == tag:
-                        break
-                chain = tuple(stack)
-            continue
-        attrs = m["own"] if raw else m["attrs"]
-        closes = ("p",) if block and tag != "br" else ()
-        closes += CLOSES.get(tag, ())
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and stack[k].tag not in ("td", "th"):
-                    break
-        node = _child(stack[-1], tag, attrs)
-        has_main = has_main or node.prior == 2
-        if tag not in VOID and not attrs.rstrip().endswith("/") or tag in MAIN:
-            stack.append(node)
-        chain = tuple(stack)
-    return events, has_main
-
-
-def key_of(path: str) -> int:
-    """A signed 64-bit name for a path."""
-    return xxhash.xxh64_intdigest(path, 1) - (1 << 63)
-
-
-def nodes_of(page: str | None):
-    """For each element path of a page: (key, prior, content hash, layout hash, chars, link chars)."""
-    events, _ = parse(page)
-    text, links, kids, prior, seen = {}, {}, {}, {}, None
-    for chain, t in events:
-        if chain is not seen:
-            seen = chain
-            for parent, child in zip(chain, chain[1:], strict=False):
-                prior[child.path] = min(child.prior, prior.get(child.path, 2))
-                kids.setdefault(parent.path, []).append(child.tag)
-        if t and not t.isspace():
-            linked = any(n.tag == "a" for n in chain)
-            for n in chain[1:]:
-                text.setdefault(n.path, []).append(t)
-                if linked:
-                    links[n.path] = links.get(n.path, 0) + len(t)
-    out = []
-    for path, p in prior.items():
-        own = " ".join(" ".join(text.get(path, ())).split())
-        layout = ",".join(dict.fromkeys(kids.get(path, ())))
-        out.append((key_of(path), p, xxhash.xxh64_intdigest(own) >> 1, xxhash.xxh64_intdigest(layout) >> 1, len(own), links.get(path, 0)))
-    return out
-
-
-def main_text(page: str | None, removed: frozenset) -> str:
-    """The text of the branches that stay, blocks joined by one space."""
-    events, has_main = parse(page)
-    blocks, now, gone = [], [], {}
-    for chain, t in events:
-        if t is None:
-            if now:
-                blocks.append("".join(now))
-                now = []
-            continue
-        last = chain[-1]
-        drop = gone.get(id(last))
-        if drop is None:
-            drop = last.prior == 0 or (has_main and not last.main) or any(key_of(n.path) in removed for n in chain[1:])
-            gone[id(last)] = drop
-        if not drop:
-            now.append(t)
-    if now:
-        blocks.append("".join(now))
-    return " ".join(w for b in blocks for w in b.split())
-
-
-def style_tree(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """``host, node, importance``: the merged trees of ``pages(host, html)``."""
+            tag = tag.lower()
+            block = tag in BLOCKS
+            if block:
+                events.append((stack[-1], None))
+            if m["end"]:
+                if opened.get(tag):
+                    # an inline end does not close the block around it
+                    while len(stack) > 1:
+                        if stack[-1].tag != tag and not block and stack[-1].tag in BLOCKS:
+                            break
+                        if pop() == tag:
+                            break
+                continue
+            attrs = m["own"] if raw else m["attrs"]
+            closes = ("p",) if block and tag != "br" else ()
+            closes += CLOSES.get(tag, ())
+            frame = stack[-1].frame
+            if closes and any(frame.get(c) for c in closes):
+                k = len(stack) - 1
+                while stack[k].tag not in closes:
+                    k -= 1
+                while len(stack) > k:
+                    pop()
+            node = _child(stack[-1], tag, attrs)
+            self.nodes.append(node)
+            if tag not in VOID and not attrs.rstrip().endswith("/") or tag in MAIN:
+                opened[tag] = opened.get(tag, 0) + 1
+                if tag not in SCOPE or tag in ("td", "th"):
+                    node.frame = stack[-1].frame  # within one scope the counts are shared
+                    node.frame[tag] = node.frame.get(tag, 0) + 1
+                stack.append(node)
+
+    def branches(self):
+        """For each path that is to be judged: (key, weight, content, layout, reference, chars, link chars)."""
+        root, inner = self.nodes[0], [n for n in self.nodes if n.main and not n.parent.main]
+        main = xxhash.xxh64_intdigest(repr([n.print for n in inner])) >> 1
+        found: dict = {}
+        for n in self.nodes[1:]:
+            if n.weight:
+                found.setdefault(n.key, []).append(n)
+            elif n.holds or n is root:
+                texts = [c for c in n.parts if not isinstance(c, _Node)]
+                if texts:  # words beside the main container
+                    own = _Node("", "#text", n)
+                    own.key, own.weight, own.print = _beside(n), 0.25, xxhash.xxh64_intdigest(repr(texts)) >> 1
+                    found.setdefault(own.key, []).append(own)
+        for key, ns in found.items():
+            content = ns[0].print if len(ns) == 1 else xxhash.xxh64_intdigest(repr([n.print for n in ns])) >> 1
+            layout = xxhash.xxh64_intdigest(",".join(dict.fromkeys(k for n in ns for k in n.kids))) >> 1
+            yield _signed(key), max(n.weight for n in ns), content, layout, main if inner else root.print, sum(n.chars for n in ns), sum(n.links for n in ns)
+
+    def text(self, removed) -> str:
+        """The text of the branches that stay, blocks joined by one space."""
+        blocks, now = [], []
+        self.nodes[0].gone = _signed(_beside(self.nodes[0])) in removed
+        for n in self.nodes[1:]:
+            n.gone = n.parent.gone and not n.parent.holds or _signed(n.key) in removed or n.holds and _signed(_beside(n)) in removed
+        for n, t in self.events:
+            if t is None:
+                if now:
+                    blocks.append("".join(now))
+                    now = []
+            elif not n.gone:
+                now.append(t)
+        if now:
+            blocks.append("".join(now))
+        return " ".join(w for b in blocks for w in b.split())
+
+
+def _beside(n: _Node) -> int:
+    """The name of the words that stand directly in an element around the main container."""
+    return xxhash.xxh64_intdigest("#text", n.key)
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 63)
+
+
+def importance(weight, varied, chars, links, n):
+    """The importance of a branch on ``n`` pages, of numbers or of columns; see the module's text."""
+    return weight * (1 - links / chars) * (1 - (1 - varied) * n / (n + 2))
+
+
+def main_text(page: str | None, removed: frozenset, threshold: float = LOW) -> str:
+    """The main text of a page that is a site of its own, without the branches ``removed`` as well."""
+    doc = Page(page)
+    low = {b[0] for b in doc.branches() if importance(b[1], 1.0, max(1, b[5]), b[6], 1) < threshold}
+    return doc.text(low | removed)
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """``host, node, n, varied, importance``: the merged trees of ``pages(host, html)``."""
+    schema = "host string, page long, node long, weight double, content long, layout long, reference long, chars long, links long"
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        names = ["host", "page", "node", "prior", "content", "layout", "chars", "links"]
         for b in batches:
             rows = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, (host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), 1):
                 print_ = xxhash.xxh64_intdigest(page or "") >> 1
-                rows += [(host, print_, *n) for n in nodes_of(page)]
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows += [(host, print_, *n) for n in Page(page).branches()]
+                if rows and (len(rows) > 50_000 or k == b.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, page long, node long, prior int, content long, layout long, chars long, links long")
-    once = nodes.groupBy("host", "node", "content", "layout", "page").agg(F.min("prior").alias("prior"), F.max("chars").alias("chars"), F.max("links").alias("links"))
-    value = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("layout").alias("value"))))
-    counted = (
-        once.select("host", "node", "prior", "chars", "links", value.alias("v"))
-        .groupBy("host", "node", "v.kind", "v.value")
-        .agg(F.count("*").alias("c"), F.min("prior").alias("prior"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    )
-    entropy = counted.groupBy("host", "node", "kind").agg(
-        F.sum("c").alias("n"),
-        F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("s"),
-        F.min("prior").alias("prior"),
-        F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"),
-    )
+
+    nodes = pages.select("host", "html").mapInArrow(run, schema)
+    once = nodes.groupBy("host", "node", "content", "layout", "reference", "page").agg(*[F.max(c).alias(c) for c in ("weight", "chars", "links")])
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("content", "layout", "reference"))]))
+    sums = [F.sum(c).alias(c) for c in ("weight", "chars", "links")]
+    counted = once.select("host", "node", "weight", "chars", "links", value.alias("v")).groupBy("host", "node", "v.kind", "v.value").agg(F.count("*").alias("c"), *sums)
+    entropy = counted.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c").cast("double"))).alias("s"), *[F.sum(c).alias(c) for c in ("weight", "chars", "links")])
     part = F.when(F.col("n") < 2, 1.0).otherwise(1 - F.col("s") / (F.col("n") * F.log2(F.greatest("n", F.lit(2)).cast("double"))))
-    merged = entropy.groupBy("host", "node").agg(F.max("n").alias("n"), F.max(part).alias("varied"), F.min("prior").alias("prior"), F.max("chars").alias("chars"), F.max("links").alias("links"))
-    plain = 1 - F.col("links") / F.greatest("chars", F.lit(1))
-    importance = (
-        F.when(F.col("prior") == 0, 0.0).when((F.col("prior") == 2) | (F.col("n") < min_pages) | (F.col("chars") == 0), 1.0).otherwise(F.col("varied") * F.greatest(plain, F.lit(0.0)))
+    kind = lambda k: F.max(F.when(F.col("kind") == k, part))
+    merged = entropy.groupBy("host", "node").agg(
+        F.max("n").alias("n"), F.greatest(kind(0), kind(1)).alias("own"), kind(2).alias("whole"), (F.max("weight") / F.max("n")).alias("weight"), F.max("chars").alias("chars"), F.max("links").alias("links")
     )
-    return merged.select("host", "node", importance.alias("importance"))
+    varied = F.when(F.col("whole") > 1e-9, F.least(F.lit(1.0), F.col("own") / F.col("whole"))).otherwise(1.0)
+    judged = merged.withColumn("varied", varied).withColumn("chars", F.greatest("chars", F.lit(1)))
+    return judged.select("host", "node", "n", "varied", importance(F.col("weight"), F.col("varied"), F.col("chars"), F.col("links"), F.col("n")).alias("importance"))
 
 
 def host_of(url):
@@ -271,11 +341,11 @@ def with_removed(rows: DataFrame, removed: DataFrame, most_nodes: int, salts: in
 
 
 def extract(
-    pages: DataFrame, threshold: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_nodes: int = 2_000_000, salts: int = 32
+    pages: DataFrame, threshold: float = LOW, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_nodes: int = 2_000_000, salts: int = 32
 ) -> DataFrame:
     """``id, url, text`` for every row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    low = style_tree(rows, min_pages).where(F.col("importance") < threshold)
+    low = style_tree(rows).where(F.col("importance") < threshold)
     removed = low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("removed"))
     removed = cut(pages.sparkSession, removed)  # read twice: to be measured, and to be joined
     joined = with_removed(rows, removed, most_nodes, salts).select("id", "url", "html", "removed")
@@ -290,7 +360,7 @@ def extract(
                     if len(cache) > 1000:
                         cache.clear()
                     cache[key] = frozenset(key)
-                texts.append(main_text(page, cache[key]))
+                texts.append(Page(page).text(cache[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()

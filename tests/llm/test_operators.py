@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -195,6 +196,60 @@ def test_repeated_branches_go(spark):
     assert shuffled == got
 
 
+def test_wrappers_and_comments():
+    wrapped = "<form id=f><nav>menu</nav><article><p>kept</p></article><p>beside</p> words</form>"
+    assert html_text.main_text(wrapped, frozenset()) == "kept"
+    assert html_text.main_text("<form><p>" + "a whole page " * 9 + "</p><ul class=menu><li>m</ul></form>", frozenset()) == ("a whole page " * 9).strip()
+    assert html_text.main_text("<article>kept<div class=comments><div><article>no</article></div></div></article><div id=comments><div><article>no", frozenset()) == "kept"
+    assert html_text.main_text("<article>a <math><mi>x</mi></math> <object data=o>fallback</object></article>", frozenset()) == "a x fallback"
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x", "<p><button><span>x<h1>", "<li>x", "<table><tr><td>x", "<article>x", "</b><b x", "<a href='", "<!--", "<svg><select>", "<form><div class=ad>x"])
+def test_reading_is_linear(piece):
+    took = []
+    for n in (5_000, 40_000):
+        t = time.process_time()
+        html_text.main_text(piece * n, frozenset())
+        took.append(time.process_time() - t)
+    assert took[1] < 4 and took[1] < 30 * max(took[0], 0.02), took
+
+
+def entropy_of(values):
+    n = len(values)
+    return 1.0 if n < 2 else -sum(c / n * math.log2(c / n) for c in Counter(values).values()) / math.log2(n)
+
+
+def test_importance_is_that_of_a_plain_version(spark, sf):
+    """Entropies from lists of values, page by page; the removed branches alone make the text."""
+    made = [(i, f"http://t.example/{i}", f"<div class=x>Strap</div><div class=y>Story {i % 7} <a>{i}</a></div><article class=z><div class=q>same</div><p>Text {i}</p></article>" if i % 3 else f"<div class=x>Strap</div><p>only {i}") for i in range(30)]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").unionAll(spark.createDataFrame([*made, *made[:9]], "page_id long, url string, html string"))
+    rows = pages.select("url", "html", html_text.host_of(F.col("url")).alias("host"))
+    tree: dict = {}
+    for host, page in {(r["host"], r["html"]) for r in rows.collect()}:
+        for key, *values in html_text.Page(page).branches():
+            tree.setdefault((host, key), []).append(values)
+    want = {}
+    for k, vs in tree.items():
+        weight, content, layout, whole, chars, links = zip(*vs, strict=True)
+        top = entropy_of(whole)
+        varied = min(1.0, max(entropy_of(content), entropy_of(layout)) / top) if top > 1e-9 else 1.0
+        n = len(vs)
+        want[k] = sum(weight) / n * (1 - sum(links) / max(1, sum(chars))) * (1 - (1 - varied) * n / (n + 2))
+    got = {(r["host"], r["node"]): r["importance"] for r in html_text.style_tree(rows).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    texts = {r["id"]: r["text"] for r in html_text.extract(pages.where("url like 'http://t.example/%'")).collect()}
+    assert texts == {i: f"Text {i}" if i % 3 else f"only {i}" for i in range(30)}
+    # without the tree every page has its menus and adverts still
+    assert all(html_text.Page(h).text(frozenset()) != texts[i] for i, _, h in made)
+
+
+def test_near_copies_of_an_article_stay(spark):
+    """A host of near copies and of equal articles in other frames loses no paragraph or heading."""
+    rows = [(i, f"http://c.example/{i}", f"<nav>n{i}</nav><article><h1>Same</h1><p>same words <b>bold</b> {i % k}</p></article>") for k in (1, 50) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r["text"].startswith("Same same words bold") for r in html_text.extract(pages).collect())
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
 
