@@ -28,10 +28,14 @@ def safe_match(text: Column, pattern: str, full: bool = False) -> Column:
 
 
 def benchmark_answer(text: Column) -> Column:
-    """Trimmed, out of a code fence, lower case, white space collapsed, one closing mark dropped."""
-    bare = F.regexp_replace(F.trim(text), r"(?s)^```[a-zA-Z0-9]*\s*\n(.*?)\n?```$", "$1")
-    flat = F.trim(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "))
-    return F.regexp_replace(flat, "[.!?]$", "")
+    """NFC and trimmed; out of a code fence that has no tag or the tag ``text``; white space collapsed, case folded, one closing mark dropped."""
+    from .text import exact_normalized
+
+    space = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+    bare = F.regexp_replace(F.regexp_replace(text, f"^{space}+", ""), f"{space}+$", "")
+    fenced = bare.startswith("```") & bare.endswith("```")
+    opened = F.regexp_replace(bare, f"^```(?i:text)?{space}*", "")
+    return F.regexp_replace(exact_normalized(F.when(fenced, F.regexp_replace(opened, f"{space}*```$", "")).otherwise(bare)), "[.!?]$", "")
 
 
 def first_field(payload: Column, names: list[str]) -> Column:
@@ -44,7 +48,7 @@ def render(template: str, value: Column) -> Column:
 
 
 #: Names under which a configuration must not carry its secrets.
-SECRET_KEYS = frozenset("api_key apikey authorization password secret token access_token private_key credential credentials".split())
+SECRET_KEYS = frozenset("authorization api_key apikey password secret token access_token refresh_token".split())
 
 
 def reject_secrets(config, path: str = "") -> None:

@@ -39,27 +39,41 @@ def recovery_rate(steps: Column) -> Column:
     return let(last, lambda at: let(failed, lambda f: rate(F.size(F.filter(f, lambda s: s["step"] < F.coalesce(at, F.lit(-1)))), F.size(f))))
 
 
-def has_loop(steps: Column, repetitions: int = 3, longest: int = 4) -> Column:
-    """Whether calls and decisions repeat a cycle of 1 to ``longest`` actions ``repetitions`` times in a row."""
+def find_loop(steps: Column, repetitions: int = 3, longest: int = 4, decision: str | None = None) -> Column:
+    """The first and shortest cycle of 1 to ``longest`` actions that calls and decisions repeat ``repetitions`` times in a row.
+
+    ``struct<start, cycle_length>``, null if there is none; ``start`` counts actions from 0.  An
+    action is a step's kind, tool, arguments and the field ``decision``, where steps have one.
+    """
+    if repetitions < 2:
+        raise ValueError("a cycle repeats twice at least")
+    fields = ["kind", "tool", "arguments", *([decision] if decision else [])]
     kinds = F.filter(steps, lambda s: s["kind"].isin("tool_call", "model_decision"))
-    actions = F.transform(kinds, lambda s: F.concat_ws("\x1f", s["kind"], s["tool"], s["arguments"]))
+    actions = F.transform(kinds, lambda s: F.concat_ws("\x1f", *[F.coalesce(s[f].cast("string"), F.lit("\x00")) for f in fields]))
 
-    def longest_run(a: Column, n: int) -> Column:
-        """The longest run of actions that equal the one n before."""
+    def first(a: Column, n: int) -> Column:
+        """Where a run of ``n * (repetitions - 1)`` actions that equal the one n before begins its cycle, or -1."""
 
         def step(acc: Column, i: Column) -> Column:
             r = F.when(F.get(a, i) == F.get(a, i - n), acc["run"] + 1).otherwise(0)
-            return let(r, lambda x: F.struct(x.alias("run"), F.greatest(acc["best"], x).alias("best")))
+            begin = lambda x: F.when((acc["start"] < 0) & (x >= n * (repetitions - 1)), i - n * repetitions + 1).otherwise(acc["start"])
+            return let(r, lambda x: F.struct(x.alias("run"), begin(x).alias("start")))
 
-        return F.aggregate(F.sequence(F.lit(n), F.size(a) - 1), F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda acc: acc["best"])
+        found = F.aggregate(F.sequence(F.lit(n), F.size(a) - 1), F.struct(F.lit(0).alias("run"), F.lit(-1).alias("start")), step, lambda acc: acc["start"])
+        return F.when(F.size(a) > n, found).otherwise(F.lit(-1))
 
-    def repeats(a: Column) -> Column:
-        found = F.lit(False)
-        for n in range(1, longest + 1):
-            found = found | F.when(F.size(a) > n, longest_run(a, n) >= n * (repetitions - 1)).otherwise(F.lit(False))
-        return found
+    def shortest(a: Column) -> Column:
+        def cycle(n: int) -> Column:
+            return let(first(a, n), lambda x: F.when(x >= 0, F.struct(x.cast("long").alias("start"), F.lit(n).cast("long").alias("cycle_length"))))
 
-    return let(actions, repeats)
+        return F.coalesce(*[cycle(n) for n in range(1, longest + 1)])
+
+    return let(actions, shortest)
+
+
+def has_loop(steps: Column, repetitions: int = 3, longest: int = 4, decision: str | None = None) -> Column:
+    """Whether ``find_loop`` finds one."""
+    return find_loop(steps, repetitions, longest, decision).isNotNull()
 
 
 def grounded_share(answer: Column, outputs: Column) -> Column:

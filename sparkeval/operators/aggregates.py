@@ -111,16 +111,26 @@ def multilabel_metrics(rows: DataFrame, expected: str, predicted: str) -> DataFr
     return exact.crossJoin(F.broadcast(scores))
 
 
-def benchmark_by_category(rows: DataFrame) -> DataFrame:
-    """Per category: majority-correct and consistent cases, requests, failures, tokens."""
+def benchmark_by_category(rows: DataFrame, repetitions: int | None = None) -> DataFrame:
+    """Per category: majority-correct and consistent cases, requests, failures, tokens.
+
+    ``rows`` has ``category, case_id, failed, correct, response, tokens``.  A case is right by a
+    majority of its ``repetitions`` (those observed, if none are given; any other number fails), and
+    consistent if all of them completed with one and the same normalized response.
+    """
+    done = F.when(~F.col("failed"), F.col("response"))
     per = rows.groupBy("category", "case_id").agg(
-        F.count("*").alias("requests"), F.count_if("failed").alias("failures"), F.count_if("correct").alias("correct"), F.sum("tokens").alias("tokens")
-    )
+        F.count("*").alias("requests"), F.count_if("failed").alias("failures"), F.count_if("correct").alias("correct"), F.sum("tokens").alias("tokens"),
+        F.count(done).alias("completed"), F.min(done).alias("first"), F.max(done).alias("last"),
+    )
+    if repetitions is not None:
+        wrong = F.raise_error(F.concat(F.lit("a case has not its repetitions: "), F.col("case_id").cast("string")))
+        per = per.withColumn("requests", F.when(F.col("requests") == repetitions, F.col("requests")).otherwise(wrong))
     majority = F.col("correct") >= F.floor(F.col("requests") / 2) + 1
     return per.groupBy("category").agg(
         F.count("*").alias("cases"),
         F.count_if(majority).alias("majority_correct"),
-        F.count_if((F.col("correct") == F.col("requests")) | (F.col("correct") == 0)).alias("consistent"),
+        F.count_if((F.col("completed") == F.col("requests")) & (F.col("first") == F.col("last"))).alias("consistent"),
         F.sum("requests").alias("requests"),
         F.sum("failures").alias("failures"),
         F.sum("correct").alias("correct_requests"),

@@ -40,17 +40,19 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, weights: str = "quadratic")
 
 
 def krippendorff_nominal(rows: DataFrame) -> DataFrame:
-    """One row of (unit, label) rows: alpha over pooled pairs; null without a pair.
+    """One row of (unit, label) rows: alpha; null without a pair, or if labels differ and none could by chance.
 
-    Pairs are counted from each unit's label counts.
+    The observed disagreement is that of all pairs within a unit, the expected one that of two
+    labels drawn without replacement from all rows, units of one label included.  Pairs are
+    counted from label counts, never made.
     """
-    c = rows.groupBy("unit", "label").agg(F.count("*").alias("n"))
-    per = c.groupBy("unit").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("m > 1")
+    c = rows.where(F.col("label").isNotNull()).groupBy("unit", "label").agg(F.count("*").alias("n"))
+    per = c.groupBy("unit").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     observed = per.agg(F.sum(F.col("m") * F.col("m") - F.col("sq")).alias("differ"), F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs"))
-    pooled = c.join(per.select("unit", "m"), "unit").groupBy("label").agg(F.sum(F.col("n") * (F.col("m") - 1)).alias("n"))
-    expected = pooled.agg(F.sum("n").cast("double").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
-    do, de = rate(F.col("differ"), F.col("pairs")), 1 - rate(F.col("sq"), F.col("total") * F.col("total"))
-    return observed.crossJoin(expected).select(F.when(do.isNotNull() & (de == 0), 1.0).otherwise(1 - F.try_divide(do, F.nullif(de, F.lit(0.0)))).alias("alpha"))
+    pooled = c.groupBy("label").agg(F.sum("n").cast("double").alias("n"))
+    expected = pooled.agg(F.sum("n").alias("total"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    do, de = rate(F.col("differ"), F.col("pairs")), 1 - rate(F.col("same"), F.col("total") * (F.col("total") - 1))
+    return observed.crossJoin(expected).select(F.when((do == 0) & (de == 0), 1.0).otherwise(1 - F.try_divide(do, F.nullif(de, F.lit(0.0)))).alias("alpha"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -94,8 +94,24 @@ def top_changes(aligned: DataFrame, keys: list[str], record: str, k: int) -> Dat
     return worst.unionByName(best).select(*keys, "direction", "rank", record, "difference")
 
 
+#: The published names of the verdicts.
+VERDICTS = {
+    "meaningful_regression": "evidence_of_meaningful_regression",
+    "significant_meaningful": "statistically_significant_and_practically_meaningful",
+    "significant": "statistically_significant_but_practically_small",
+    "within_tolerance": "compatible_with_configured_tolerance",
+    "inconclusive": "not_statistically_conclusive",
+}
+
+
+def interpretation(lower: Column, upper: Column, p: Column, mean: Column, practical: float, alpha: float = 0.05) -> Column:
+    """The published name of the verdict that ``interpret`` gives."""
+    named = F.create_map(*[F.lit(x) for pair in VERDICTS.items() for x in pair])
+    return named[interpret(lower, upper, p, mean, practical, alpha)]
+
+
 def interpret(lower: Column, upper: Column, p: Column, mean: Column, practical: float, alpha: float = 0.05) -> Column:
-    """The verdict on a comparison; it doesn't look at the metric's direction."""
+    """The verdict on a comparison, in short; it doesn't look at the metric's direction."""
     pd_ = F.lit(float(practical))
     significant = p < alpha
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .alignment import VERDICTS
+
 RULES = "identifier string, metric string, operator string, threshold double, minimum_paired_count int, required boolean"
 
 
@@ -16,7 +18,7 @@ def holds(operator: Column, threshold: Column) -> Column:
         .when(operator == "maximum", F.col("candidate_mean") <= threshold)
         .when(operator == "maximum_regression", mean >= -F.abs(threshold))
         .when(operator == "lower_confidence_minimum", lower >= threshold)
-        .when(operator == "no_meaningful_regression", F.col("interpretation") != "meaningful_regression")
+        .when(operator == "no_meaningful_regression", ~F.col("interpretation").isin("meaningful_regression", VERDICTS["meaningful_regression"]))
     )
 
 

@@ -112,16 +112,24 @@ def pair_outcomes(judged: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count_if(F.col("w") == "a").alias("wins_a"), F.count_if(F.col("w") == "b").alias("wins_b"), F.count_if(F.col("w") == "t").alias("ties"))
 
 
-def judge_drift(baseline: DataFrame, current: DataFrame, most_distance: float = 0.15, most_shift: float = 0.5) -> DataFrame:
-    """One row: total-variation distance of the verdicts, shift of confidence, alert."""
+def judge_drift(baseline: DataFrame, current: DataFrame, most_distance: float = 0.15, most_shift: float = 0.5, dimensions: tuple[str, ...] = ()) -> DataFrame:
+    """One row: total-variation distance of the verdicts, shifts of confidence and of each score of ``dimensions``, alert.
+
+    The alert looks at the verdicts and the scores, not at the confidence.  A window without rows gives nulls.
+    """
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         c = df.groupBy("verdict").agg(F.count("*").alias("n"))
         return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all")))).select("verdict", (F.col("n") / F.col("all")).alias(name))
 
     tv = shares(baseline, "p").join(shares(current, "q"), "verdict", "full_outer").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("verdict_distance"))
-    shift = baseline.agg(F.avg("confidence").alias("x")).crossJoin(current.agg(F.avg("confidence").alias("y"))).select((F.col("y") - F.col("x")).alias("confidence_shift"))
-    return tv.crossJoin(shift).withColumn("alert", (F.col("verdict_distance") > most_distance) | (F.abs("confidence_shift") > most_shift))
+    means = lambda df, tag: df.agg(*[F.avg(d).alias(f"{tag}{k}") for k, d in enumerate(("confidence", *dimensions))])
+    shifts = [(F.col(f"y{k}") - F.col(f"x{k}")).alias(f"{d}_shift") for k, d in enumerate(("confidence", *dimensions))]
+    made = tv.crossJoin(means(baseline, "x").crossJoin(means(current, "y")).select(*shifts))
+    alert = F.col("verdict_distance") > most_distance
+    for d in dimensions:
+        alert = alert | (F.abs(f"{d}_shift") > most_shift)
+    return made.withColumn("alert", alert)
 
 
 def ensemble_disagreement(judged: DataFrame, unit: str, verdict: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..views import table, trajectories, with_views
 
 def _steps(spark, sf_dir):
     t = trajectories(spark, sf_dir)
-    return t.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "tool", "arguments", "success"))).alias("steps"))
+    return t.groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "tool", "arguments", "success", "decision"))).alias("steps"))
 
 
 @query(with_views("traj", """WITH f AS (SELECT agent, step FROM traj WHERE kind = 'tool_result' AND NOT success),
@@ -32,12 +32,13 @@ def agt04_trajectory_metrics(spark, sf_dir):
     )
 
 
-@query(with_views("traj", """WITH a AS (SELECT agent, row_number() OVER (PARTITION BY agent ORDER BY step) AS i, kind || chr(31) || tool || chr(31) || arguments AS x FROM traj WHERE kind IN ('tool_call', 'model_decision')),
-m AS (SELECT a.agent, n, a.i, a.i - row_number() OVER (PARTITION BY a.agent, n ORDER BY a.i) AS grp FROM a, range(1, 5) r(n), a AS b WHERE b.agent = a.agent AND b.i = a.i - n AND b.x = a.x),
-l AS (SELECT DISTINCT agent FROM (SELECT agent, n, grp FROM m GROUP BY agent, n, grp HAVING count(*) >= 2 * n))
-SELECT DISTINCT traj.agent, l.agent IS NOT NULL AS loop FROM traj LEFT JOIN l USING (agent)"""))
+@query(with_views("traj", """WITH a AS (SELECT agent, row_number() OVER (PARTITION BY agent ORDER BY step) - 1 AS i, [kind, tool, arguments, coalesce(decision, '-')] AS x FROM traj WHERE kind IN ('tool_call', 'model_decision')),
+f AS (SELECT a.agent, n, a.i AS start FROM a, range(1, 5) r(n) WHERE (SELECT count(*) FROM a b JOIN a c ON c.agent = b.agent AND c.i = b.i + n AND c.x = b.x WHERE b.agent = a.agent AND b.i >= a.i AND b.i < a.i + 2 * n) = 2 * n),
+l AS (SELECT agent, n, min(start) AS start FROM f GROUP BY agent, n), g AS (SELECT agent, min(n) AS n FROM l GROUP BY agent)
+SELECT DISTINCT traj.agent, g.agent IS NOT NULL AS loop, l.start, l.n AS cycle_length FROM traj LEFT JOIN g USING (agent) LEFT JOIN l ON l.agent = g.agent AND l.n = g.n"""))
 def agt06_loop_detection(spark, sf_dir):
-    return _steps(spark, sf_dir).select("agent", J.has_loop(F.col("steps")).alias("loop"))
+    found = _steps(spark, sf_dir).select("agent", J.find_loop(F.col("steps"), decision="decision").alias("l"))
+    return found.select("agent", F.col("l").isNotNull().alias("loop"), "l.start", "l.cycle_length")
 
 
 @query(with_views("traj", """WITH c AS (SELECT agent, tool, row_number() OVER (PARTITION BY agent ORDER BY step) AS i FROM traj WHERE kind = 'tool_call'), e(i, tool) AS (VALUES (1, 'tool-0'), (2, 'tool-1'), (3, 'tool-2')),

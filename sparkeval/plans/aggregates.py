@@ -94,16 +94,18 @@ def agg08_rates(spark, sf_dir):
     )
 
 
-@query("""WITH b AS (SELECT user_id % 50 AS case_id, event_id % 3 AS repetition, event_type, value, json_extract_string(props, '$.k')::BIGINT AS tokens FROM events),
-c AS (SELECT case_id, 'c' || (case_id % 5) AS category, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error' AND tokens >= 3) AS correct, sum(tokens) AS tokens FROM b GROUP BY ALL)
-SELECT category, count(*) AS cases, sum((correct >= requests // 2 + 1)::INT)::BIGINT AS majority_correct, sum((correct = requests OR correct = 0)::INT)::BIGINT AS consistent, sum(requests)::BIGINT AS requests, sum(failures)::BIGINT AS failures,
+@query("""WITH b AS (SELECT event_id // 3 AS case_id, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens FROM events),
+c AS (SELECT case_id, 'c' || (case_id % 5) AS category, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error' AND tokens >= 3) AS correct, sum(tokens) AS tokens,
+ count(DISTINCT event_type) = 1 AND bool_and(event_type <> 'error') AS consistent FROM b GROUP BY case_id)
+SELECT category, count(*) AS cases, sum((correct >= requests // 2 + 1)::INT)::BIGINT AS majority_correct, sum(consistent::INT)::BIGINT AS consistent, sum(requests)::BIGINT AS requests, sum(failures)::BIGINT AS failures,
  sum(correct)::BIGINT AS correct_requests, sum(tokens)::BIGINT AS tokens FROM c GROUP BY category""")
 def agg17_aggregate_benchmark(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     tokens = F.get_json_object("props", "$.k").cast("long")
     rows = e.select(
-        (F.col("user_id") % 50).alias("case_id"),
-        F.concat(F.lit("c"), (F.col("user_id") % 50 % 5).cast("string")).alias("category"),
+        F.floor(F.col("event_id") / 3).alias("case_id"),
+        F.concat(F.lit("c"), (F.floor(F.col("event_id") / 3) % 5).cast("string")).alias("category"),
+        F.col("event_type").alias("response"),
         (F.col("event_type") == "error").alias("failed"),
         ((F.col("event_type") != "error") & (tokens >= 3)).alias("correct"),
         tokens.alias("tokens"),

@@ -68,7 +68,7 @@ def compare(spark, sf_dir, resamples=400, seed=7):
     rows = effects.join(intervals, "metric").join(tests.select("metric", "statistic", "p_value"), "metric")
     adjusted = I.adjust_p_values(rows.select(F.lit("all").alias("family"), F.col("metric").alias("key"), F.col("p_value").alias("p")))
     return rows.join(adjusted.select(F.col("key").alias("metric"), F.col("holm").alias("p_adjusted")), "metric").withColumn(
-        "interpretation", A.interpret(F.col("lower"), F.col("upper"), F.col("p_value"), F.col("mean_difference"), 0.5)
+        "interpretation", A.interpretation(F.col("lower"), F.col("upper"), F.col("p_value"), F.col("mean_difference"), 0.5)
     )
 
 
@@ -112,7 +112,7 @@ def gate01b_point_rules(spark, sf_dir):
         ],
         G.RULES,
     )
-    e = A.continuous_effects(_aligned(spark, sf_dir), ["metric"]).withColumn("lower", F.lit(None).cast("double")).withColumn("interpretation", F.lit("inconclusive"))
+    e = A.continuous_effects(_aligned(spark, sf_dir), ["metric"]).withColumn("lower", F.lit(None).cast("double")).withColumn("interpretation", F.lit("not_statistically_conclusive"))
     return G.evaluate_rules(e, rules)
 
 

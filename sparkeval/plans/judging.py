@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..operators import lifecycle as L
 from ..operators import pairwise as P
 from ..registry import query
 from ..views import outcomes, table, with_views
@@ -48,11 +49,12 @@ def agg16_aggregate_responses(spark, sf_dir):
 @query(with_views("outcomes", """WITH s AS (SELECT line, verdict, count(*) / sum(count(*)) OVER (PARTITION BY line) AS share FROM outcomes WHERE line IN (1, 2) GROUP BY line, verdict),
 v AS (SELECT sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2 AS tv FROM (SELECT * FROM s WHERE line = 1) a FULL OUTER JOIN (SELECT * FROM s WHERE line = 2) b USING (verdict)),
 m AS (SELECT avg(CASE WHEN line = 2 THEN confidence END) - avg(CASE WHEN line = 1 THEN confidence END) AS shift FROM outcomes)
-SELECT round(tv, 9) AS verdict_distance, round(shift, 9) AS confidence_shift, tv > 0.15 OR abs(shift) > 0.5 AS alert FROM v, m"""))
+SELECT round(tv, 9) AS verdict_distance, round(shift, 9) AS confidence_shift, round(-5 * shift, 9) AS quality_shift, tv > 0.15 OR abs(-5 * shift) > 0.5 AS alert FROM v, m"""))
 def st35_judge_drift(spark, sf_dir):
     o = outcomes(spark, sf_dir)
-    d = P.judge_drift(o.where("line = 1"), o.where("line = 2"))
-    return d.select(F.round("verdict_distance", 9).alias("verdict_distance"), F.round("confidence_shift", 9).alias("confidence_shift"), "alert")
+    o = o.withColumn("quality", 5 - 5 * F.col("confidence"))
+    d = P.judge_drift(o.where("line = 1"), o.where("line = 2"), dimensions=("quality",))
+    return d.select(*[F.round(c, 9).alias(c) for c in ("verdict_distance", "confidence_shift", "quality_shift")], "alert")
 
 
 @query(with_views("outcomes", """WITH o AS (SELECT assignment, verdict, row_number() OVER (PARTITION BY assignment ORDER BY line, verdict) AS i FROM outcomes)
@@ -123,14 +125,19 @@ def orc01_task_fanout(spark, sf_dir):
     return o.withColumn("seed", hashing.task_seed(SEED, F.col("record_key"), F.col("repetition")).cast("string"))
 
 
-@query("""WITH s AS (SELECT user_id AS run, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT run, count(*) AS illegal FROM s WHERE before IS NOT NULL AND NOT ((before = 'view' AND state IN ('click', 'purchase')) OR (before = 'click' AND state IN ('view', 'error', 'purchase')) OR (before = 'signup' AND state = 'view')) GROUP BY run""")
+STATE_OF = {"signup": "draft", "view": "queued", "click": "running", "error": "pausing", "purchase": "paused"}
+
+
+@query("""WITH s AS (SELECT user_id AS run, CASE event_type WHEN 'signup' THEN 'draft' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'pausing' ELSE 'paused' END AS state, ts, event_id FROM events),
+p AS (SELECT run, state, lag(state) OVER (PARTITION BY run ORDER BY ts, event_id) AS before FROM s),
+t(before, state) AS (VALUES ('draft', 'validating'), ('validating', 'draft'), ('validating', 'queued'), ('queued', 'running'), ('queued', 'cancelling'), ('queued', 'failed'), ('running', 'pausing'), ('running', 'cancelling'), ('running', 'completed'),
+ ('running', 'completed_with_errors'), ('running', 'failed'), ('pausing', 'paused'), ('pausing', 'cancelling'), ('paused', 'queued'), ('paused', 'cancelling'), ('cancelling', 'cancelled'))
+SELECT run, count(*) AS illegal FROM p WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.before = p.before AND t.state = p.state) GROUP BY run""")
 def orc03_illegal_transitions(spark, sf_dir):
-    """State changes that the transition table does not allow."""
-    legal = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "view"), ("click", "error"), ("click", "purchase"), ("signup", "view")], "before string, state string")
-    e = table(spark, sf_dir, "events")
-    s = e.select(F.col("user_id").alias("run"), F.col("event_type").alias("state"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
-    return s.where("before is not null").join(F.broadcast(legal), ["before", "state"], "left_anti").groupBy("run").agg(F.count("*").alias("illegal"))
+    """Changes of a run's state that its lifecycle does not allow."""
+    state = F.create_map(*[F.lit(x) for pair in STATE_OF.items() for x in pair])[F.col("event_type")]
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "ts", "event_id", state.alias("state"))
+    return L.illegal_transitions(e, "run", ["ts", "event_id"], "state").groupBy("run").agg(F.count("*").alias("illegal"))
 
 
 @query("""WITH c AS (SELECT user_id AS run, count(*) AS total, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS ok, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'signup') AS cancelled FROM events GROUP BY user_id)
@@ -161,14 +168,15 @@ def orc07_estimated_cost(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ((k * 3 + 256 * 15) / F.lit(1000000).cast("decimal(20,0)")).cast("double").alias("estimated_cost"))
 
 
-@query("""WITH e AS (SELECT user_id AS org, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id::VARCHAR) AS h FROM events)
-SELECT org, event_id, seq, sha256(coalesce(lag(h) OVER (PARTITION BY org ORDER BY seq), repeat('0', 64)) || h) AS chain FROM e""")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS org, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sha256(event_id::VARCHAR) AS h FROM events),
+c AS (SELECT org, event_id, seq, sha256(repeat('0', 64) || h) AS chain FROM e WHERE seq = 1 UNION ALL SELECT e.org, e.event_id, e.seq, sha256(c.chain || e.h) FROM c JOIN e ON e.org = c.org AND e.seq = c.seq + 1)
+SELECT org, event_id, seq, chain FROM c""")
 def win11_audit_links(spark, sf_dir):
-    """Each event's link: the digest of the event before and its own; verified with ``lag``."""
+    """Each event's link: the digest of the link before it and its own digest."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("org").orderBy("seq")
-    s = e.select(F.col("user_id").alias("org"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
-    return s.select("org", "event_id", "seq", F.sha2(F.concat(F.coalesce(F.lag("h").over(w), F.lit("0" * 64)), F.col("h")), 256).alias("chain"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    s = e.select(F.col("user_id").alias("org"), "event_id", seq.alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    return L.hash_chain(s, "org", "seq", "h").select("org", "event_id", "seq", "chain")
 
 
 @query("""WITH l AS (SELECT item_id, string_split(text, chr(10)) AS lines FROM benchmark), x AS (SELECT item_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l)

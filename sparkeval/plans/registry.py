@@ -106,7 +106,7 @@ def default_registry() -> MetricRegistry:
     add("context-utilization", "retrieval", lambda c: K.utilization(F.col(i), F.col(rel)), ranked)
     add("agent/tool-success-rate", "agent", lambda c: J.tool_success_rate(F.col("steps")), ("steps",))
     add("agent/redundant-call-rate", "agent", lambda c: J.redundant_call_rate(F.col("steps")), ("steps",), "minimize")
-    add("agent/loop", "agent", lambda c: one(J.has_loop(F.col("steps"))), ("steps",), "minimize")
+    add("agent/loop", "agent", lambda c: one(J.has_loop(F.col("steps"), decision="decision")), ("steps",), "minimize")
     add("agent/recovery", "agent", lambda c: J.recovery_rate(F.col("steps")), ("steps",))
     for name, direction, unit in OPERATIONAL:
         reg.register(Definition(name, "operational", direction, unit, ("operational",)), lambda c, n=name: F.col(f"operational.{field_of(n)}"))

@@ -144,9 +144,9 @@ def st23_weighted_kappa(spark, sf_dir):
     return R.weighted_kappa(li, "a", "b", "quadratic").select(F.round("kappa", 9).alias("kappa"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS u, l_linestatus AS v, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT u, sum(n) AS m, sum(n * n) AS sq FROM c GROUP BY u),
-o AS (SELECT sum(m * m - sq) AS dis, sum(m * (m - 1)) AS pairs FROM p WHERE m > 1), t AS (SELECT v, sum(n * (m - 1)) AS n FROM c JOIN p USING (u) WHERE m > 1 GROUP BY v), s AS (SELECT sum(n) AS n, sum(n * n) AS sq FROM t)
-SELECT round(1 - (dis / pairs) / nullif(1 - s.sq / (s.n * s.n), 0), 9) AS alpha FROM o, s""")
+@query("""WITH r AS (SELECT l_orderkey AS u, l_linestatus AS v, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem),
+o AS (SELECT avg((a.v <> b.v)::INT) AS d FROM r a JOIN r b ON a.u = b.u AND a.i < b.i), c AS (SELECT v, count(*)::DOUBLE AS n FROM r GROUP BY v),
+e AS (SELECT 1 - sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS d FROM c) SELECT round(1 - o.d / e.d, 9) AS alpha FROM o, e""")
 def st24_krippendorff_alpha(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_linestatus").alias("label"))
     return R.krippendorff_nominal(li).select(F.round("alpha", 9).alias("alpha"))

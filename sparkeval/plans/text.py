@@ -139,7 +139,7 @@ def lm19_benchmark_answer(spark, sf_dir):
     from ..functions.patterns import benchmark_answer
 
     n = benchmark_answer(F.col("text"))
-    accepted = F.transform(F.array(F.concat(F.lit("```\n"), "text", F.lit("\n```")), F.lit("other")), benchmark_answer)
+    accepted = F.array(benchmark_answer(F.concat(F.lit("```\n"), "text", F.lit("\n```"))), F.lit("other"))
     return b.select("item_id", n.alias("normalized"), F.array_contains(accepted, n).alias("correct"))
 
 

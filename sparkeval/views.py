@@ -63,6 +63,7 @@ def trajectories(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("tool-"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string")).alias("tool"),
         F.col("props").alias("arguments"),
         (F.col("event_type") == "purchase").alias("success"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("go-"), (F.col("user_id") % 2).cast("string"))).alias("decision"),
     )
 
 
@@ -98,7 +99,8 @@ SQL = {
     "raters": "raters AS (SELECT doc_id AS unit, quality::VARCHAR AS a, (1 - toxic)::VARCHAR AS b FROM labels)",
     "traj": """traj AS (SELECT user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
         CASE event_type WHEN 'view' THEN 'model_decision' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'tool_result' WHEN 'error' THEN 'tool_result' ELSE 'final_output' END AS kind,
-        'tool-' || (json_extract_string(props, '$.k')::BIGINT % 5) AS tool, props AS arguments, event_type = 'purchase' AS success FROM events)""",
+        'tool-' || (json_extract_string(props, '$.k')::BIGINT % 5) AS tool, props AS arguments, event_type = 'purchase' AS success,
+        CASE WHEN event_type = 'view' THEN 'go-' || (user_id % 2) END AS decision FROM events)""",
     "outcomes": """li AS (SELECT l_orderkey, l_linenumber, l_quantity, s_nationkey % 5 AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
         outcomes AS (SELECT a.l_orderkey AS assignment, a.l_linenumber AS line, 'item-' || a.item AS variant_a, 'item-' || b.item AS variant_b,
         CASE WHEN abs(a.l_quantity - b.l_quantity) <= 1 THEN 'tie' WHEN a.l_quantity > b.l_quantity THEN 'A' ELSE 'B' END AS verdict, (a.l_quantity + b.l_quantity) / 100.0 AS confidence

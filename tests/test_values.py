@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkeval.functions import canonical, hashing, judge, patterns, planning, ranking, similarity, special, text, trajectory
-from sparkeval.operators import agreement, aggregates, alignment, datasets, gates, inference, pairwise, predicates, rankings
+from sparkeval.operators import agreement, aggregates, alignment, datasets, gates, inference, lifecycle, pairwise, predicates, rankings
 from sparkeval.plans.registry import Definition, default_registry
 from sparkeval.sources import readers
 
@@ -435,3 +435,92 @@ def test_splits_need_names(spark):
     df = spark.createDataFrame([("k", "1")], "k string, p string")
     with pytest.raises(Exception, match="split has no name"):
         datasets.build_records(df, F.col("k"), F.col("p"), F.lit("{}"), F.array(F.lit(" ")), F.lit("{}")).collect()
+
+
+# --- values by the published definitions ---
+
+
+def test_alpha_draws_without_replacement(spark):
+    # three units of two ratings and one of a single: pairs differ in 1 of 3; a 4, b 3 of 7 values
+    rows = [(1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "a"), (3, "b"), (4, "a"), (5, None)]
+    df = spark.createDataFrame(rows, "unit int, label string")
+    assert one(agreement.krippendorff_nominal(df))[0] == pytest.approx(1 - (1 / 3) / (1 - (12 + 6) / 42))
+    assert one(agreement.krippendorff_nominal(df.where("label = 'a'")))[0] == 1.0
+    assert one(agreement.krippendorff_nominal(df.where("unit = 4")))[0] is None
+
+
+def test_benchmark_consistency(spark):
+    rows = [("x", "c1", False, True, "1", 10)] * 3 + [("x", "c2", False, False, w, 10) for w in "abc"] + [("x", "c3", True, False, None, 0), ("x", "c3", False, True, "1", 5), ("x", "c3", False, True, "1", 5)]
+    df = spark.createDataFrame(rows, "category string, case_id string, failed boolean, correct boolean, response string, tokens long")
+    got = one(aggregates.benchmark_by_category(df, 3))
+    assert (got["cases"], got["majority_correct"], got["consistent"], got["requests"], got["failures"], got["tokens"]) == (3, 2, 1, 9, 1, 70)
+    with pytest.raises(Exception, match="repetitions"):
+        aggregates.benchmark_by_category(df, 4).collect()
+
+
+def test_where_a_loop_begins(spark):
+    kind = "array<struct<step:bigint,kind:string,tool:string,arguments:string,success:boolean,decision:string>>"
+    call = lambda i, a: (i, "tool_call", "t", a, None, None)
+    loop = [(0, "model_decision", None, None, None, "p"), *[call(i + 1, "xy"[i % 2]) for i in range(6)]]
+    thought = [(i, "model_decision", None, None, None, d) for i, d in enumerate("pqr")]
+    df = spark.createDataFrame([(loop,), (thought,), ([(0, "tool_call", "a", None, None, "b"), (1, "tool_call", "a", "b", None, None), (2, "tool_call", "a", None, None, "b")],)], f"steps {kind}")
+    got = [r[0] for r in df.select(trajectory.find_loop(F.col("steps"), 3, 4, "decision")).collect()]
+    assert [g and tuple(g) for g in got] == [(1, 2), None, None]
+    # without their decisions the three steps are one action
+    assert tuple(df.where("size(steps) = 3").select(trajectory.find_loop(F.col("steps"), 3)).first()[0]) == (0, 1)
+
+
+def test_minhash_key(spark):
+    df = spark.createDataFrame([("one two three four",)], "t string")
+    grams = ["one\x1ftwo\x1fthree", "two\x1fthree\x1ffour"]
+    want = []
+    for p in range(4):
+        key = hashlib.sha256((7).to_bytes(8, "big") + p.to_bytes(4, "big")).digest()
+        want.append(min(hashlib.blake2b(g.encode(), key=key, digest_size=8).hexdigest() for g in grams))
+    assert one(df.select(canonical.minhash_signature(3, 4, 7)(F.col("t"))))[0] == ",".join(want)
+
+
+def test_refresh_tokens_are_secrets():
+    with pytest.raises(ValueError):
+        patterns.reject_secrets({"a": {"refresh-token": "x"}})
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [("```text Yes.```", "yes"), ("``` text Yes.```", "text yes"), ("```TEXT\nYes\n```", "yes"), ("```python\nx\n```", "python x"), ("```Straße!\n```", "strasse"), ("e\u0301 \u3000x?", "é x"), ("a..", "a."), (" \u00a0", "")],
+)
+def test_benchmark_answers(spark, raw, want):
+    assert one(spark.createDataFrame([(raw,)], "t string").select(patterns.benchmark_answer(F.col("t"))))[0] == want
+
+
+def test_published_verdicts(spark):
+    df = spark.createDataFrame([(-2.0, -1.0, 0.01, -1.5), (-3.0, 3.0, 0.9, 0.0)], "lo double, hi double, p double, m double")
+    got = [r[0] for r in df.select(alignment.interpretation(F.col("lo"), F.col("hi"), F.col("p"), F.col("m"), 1.0)).collect()]
+    assert got == ["evidence_of_meaningful_regression", "not_statistically_conclusive"]
+    rule = spark.createDataFrame([("r", "m", "no_meaningful_regression", 0.0, 1, True)], gates.RULES)
+    c = spark.createDataFrame([("m", 5, 0.0, 0.0, 0.0, got[0])], "metric string, n long, candidate_mean double, mean_difference double, lower double, interpretation string")
+    assert one(gates.evaluate_rules(c, rule))["passed"] is False
+
+
+def test_drift_alerts_on_scores_alone(spark):
+    kind = "verdict string, confidence double, clarity double"
+    a, b = spark.createDataFrame([("A", 0.1, 3.0)] * 4, kind), spark.createDataFrame([("A", 0.9, 3.2)] * 4, kind)
+    calm = one(pairwise.judge_drift(a, b, dimensions=("clarity",)))
+    assert calm["alert"] is False and calm["clarity_shift"] == pytest.approx(0.2) and calm["confidence_shift"] == pytest.approx(0.8)
+    assert one(pairwise.judge_drift(a, b.withColumn("clarity", F.lit(1.0)), dimensions=("clarity",)))["alert"] is True
+
+
+def test_links_form_a_chain(spark):
+    rows = [(o, i, hashlib.sha256(f"{o}{i}".encode()).hexdigest()) for o in ("x", "y", None) for i in range(40)]
+    got = lifecycle.hash_chain(spark.createDataFrame(rows, "org string, seq int, h string").repartition(5), "org", "seq", "h").collect()
+    last: dict = {}
+    want = {}
+    for o, i, h in rows:
+        last[o] = want[(o, i)] = hashlib.sha256((last.get(o, "0" * 64) + h).encode()).hexdigest()
+    assert {(r["org"], r["seq"]): r["chain"] for r in got} == want
+
+
+def test_states_that_may_not_follow(spark):
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(["draft", "validating", "queued", "running", "pausing", "queued", "completed", "odd"])], "run int, at int, state string")
+    got = [(r["before"], r["state"]) for r in lifecycle.illegal_transitions(df, "run", ["at"], "state").collect()]
+    assert sorted(got) == [("completed", "odd"), ("pausing", "queued"), ("queued", "completed")]
