@@ -133,7 +133,7 @@ def lm16_cosine_similarity(spark, sf_dir):
     return e.join(o, "vec_id").select("vec_id", "other", F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("similarity"))
 
 
-@query("""SELECT item_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[.!?]$', '') AS normalized, true AS correct FROM benchmark""")
+@query("""SELECT item_id, regexp_replace(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\s+', ' ', 'g')), '[.!?]$', '') AS normalized, true AS correct FROM benchmark""")
 def lm19_benchmark_answer(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     from ..functions.patterns import benchmark_answer
