@@ -5,12 +5,14 @@ predicts each bit.  Decoding weighs the logistic loss of each bit by how reliabl
 was in the fit, and takes the codeword with the least loss; a small lead over the second
 codeword is flagged as ambiguous.
 
-The fit uses at most ``max_rows`` rows of at most ``max_chars`` characters outside the
-held-out fold; prediction reads every whole text, in chunks.
+The languages are all that the training rows name.  The fit uses at most ``max_rows`` rows
+outside the held-out fold, or 50 of each language if that is more: the same number of each,
+texts of at most ``max_chars`` characters first.  Prediction reads every whole text, in chunks.
 
 Cases: a null text, and a text without a letter, is ``und`` with score 0; with no training
 rows every text is ``und``; with one language all texts with letters get it; repeated rows
-get equal results; extra columns are not read.
+get equal results, of languages with equal losses the first in the alphabet; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out
 
 CHUNK = 1 << 17
 
@@ -93,9 +95,20 @@ def codebook(k: int) -> np.ndarray:
     return best
 
 
+def _sample(train: DataFrame, each: int, max_chars: int):
+    """At most ``each`` rows of every language, chosen by a hash of the id, as pandas."""
+    order = (F.length("text") > max_chars, F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.col("doc_id"), F.xxhash64("text"))
+    # ids and ranks alone are ordered; tasks keep ``each`` rows of a language before the shuffle
+    ranked = train.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("rank"))
+    chosen = ranked.where(F.col("rank") <= each).select("doc_id", "lang", "h").distinct()
+    rows = train.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])
+    return rows.select("doc_id", "lang", "text").orderBy("lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), "doc_id", "text").toPandas()
+
+
 def fit(docs: DataFrame, max_rows: int = 3000, max_chars: int = 20_000, buckets: int = 4096, steps: int = 80, ambiguous_below: float = 0.2) -> CodeModel:
-    rows = labelled_sample(docs, None, ["lang"], max_rows, max_chars)
-    langs = sorted(set(rows["lang"]))
+    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text").dropna()
+    langs = sorted(r[0] for r in train.select("lang").distinct().collect())  # a row for each language
+    rows = _sample(train, max(50, max_rows // max(1, len(langs))), max_chars)
     codes = codebook(len(langs))
     bits = codes.shape[1]
     model = CodeModel(langs, codes, np.zeros((buckets, bits), np.float32), np.zeros(bits, np.float32), np.ones(bits), buckets, ambiguous_below)

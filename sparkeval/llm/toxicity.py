@@ -4,7 +4,8 @@ The lexicon starts from a short list of insults and grows by terms learned from
 rows: words, and stems with several endings, that are far more frequent in toxic texts.  It
 is kept as a trie.  A Levenshtein automaton over it accepts every word within a term's
 edit budget: its states are sets of (trie node, edits so far), made deterministic as words
-need them, and a word ends its walk as soon as no term can be reached any more.
+need them, and a word ends its walk as soon as no term can be reached any more.  The model
+also spends edits on the first letter; a trie made with ``free_first=False`` doesn't.
 
 Misspelled hits that the sample shows in clean texts are exempt.
 
@@ -13,14 +14,17 @@ reporting words, it is likelier a quotation; next to words that address someone,
 abuse.  A logistic calibration over the counts and window scores, fit on at most
 ``max_rows`` labelled rows outside the held-out fold, gives the score.
 
-Cases: null and empty texts are scored with no hit; no labelled rows, or one class only,
-use fixed weights; repeated rows get equal scores; extra columns are not read.
+Cases: null and empty texts are scored with no hit; very long texts are read whole; no labelled
+rows, or one class only, use fixed weights; repeated rows get equal scores; of terms at the
+same number of edits the first in the alphabet counts; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,7 +42,7 @@ LEXICON = (
 )
 REPORTING = frozenset("said says quote quoted quoting wrote called calls word words term phrase cited title headline".split())
 ADDRESS = frozenset("you your youre u are tu vous du ihr eres usted es".split())
-LOOKALIKE = str.maketrans("013457@$", "oieastas")
+LOOKALIKES = (str.maketrans("013457@$", "oieastas"), str.maketrans("013457@$", "oleastas"))  # a one is an i or an l
 WORD = re.compile(r"[\w@$]+")
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 
@@ -46,7 +50,8 @@ OPENING, CLOSING = "\"“«„‘", "\"”»“’"
 class FuzzyTrie:
     """A lexicon trie with a lazily determinised Levenshtein automaton over it."""
 
-    def __init__(self, terms, stems=(), budget=lambda term: 0 if len(term) < 5 else 1 if len(term) < 9 else 2):
+    def __init__(self, terms, stems=(), budget=lambda term: 0 if len(term) < 5 else 1 if len(term) < 9 else 2, free_first: bool = False):
+        self.free_first = free_first
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.room: list[int] = [0]  # the largest budget of the terms below a node
@@ -70,7 +75,7 @@ class FuzzyTrie:
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
-        todo = [] if set(nodes) == {0} else list(nodes.items())
+        todo = [] if set(nodes) == {0} and not self.free_first else list(nodes.items())
         while todo:  # leaving out a character of the term
             node, e = todo.pop()
             for child in self.children[node].values():
@@ -96,7 +101,7 @@ class FuzzyTrie:
                 out[node] = e
 
         for node, e in self.states[state].items():
-            if node == 0:  # the first character must be right
+            if node == 0 and not self.free_first:  # the first character must be right
                 if ch in self.children[0]:
                     put(self.children[0][ch], 0)
                 continue
@@ -130,16 +135,34 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.array([2.0, 1.0, 0.5, 0.5, 0.5, 0.3, -1.0, -0.5, 0.5, 0.5, -3.5]))
 
     def trie(self) -> FuzzyTrie:
-        return FuzzyTrie(self.terms, self.stems)
+        return FuzzyTrie(self.terms, self.stems, free_first=True)
 
 
-def _spans_in_quotes(text: str, at: int, stop: int, reach: int = 120) -> bool:
-    """Whether an opening mark before and a closing mark after lie in the same line and near."""
-    before = text[max(0, at - reach) : at].rpartition("\n")[2]
-    after = text[stop : stop + reach].partition("\n")[0]
-    if before.count('"') % 2 == 1 and '"' in after:
-        return True
-    return any(before.rfind(o) > before.rfind(c) and c in after for o, c in zip(OPENING[1:], CLOSING[1:], strict=True))
+class _Quotes:
+    """The quotation marks of a text, for questions about spans of it."""
+
+    def __init__(self, text: str):
+        at = lambda marks: [m.start() for m in re.finditer(f"[{marks}]", text)]
+        self.lines, self.plain = at("\n"), at('"')
+        self.pairs = [(at(o), at(c)) for o, c in zip(OPENING[1:], CLOSING[1:], strict=True)]
+        self.end = len(text)
+
+    def around(self, at: int, stop: int) -> bool:
+        """Whether an opening mark before and a closing mark after lie in the same line."""
+        k = bisect_left(self.lines, at)
+        begin, end = self.lines[k - 1] + 1 if k else 0, self.lines[k] if k < len(self.lines) else self.end
+
+        def after(marks: list[int]) -> bool:
+            k = bisect_left(marks, stop)
+            return k < len(marks) and marks[k] < end
+
+        def before(marks: list[int]) -> int:
+            k = bisect_left(marks, at)
+            return marks[k - 1] if k and marks[k - 1] >= begin else -1
+
+        if (bisect_left(self.plain, at) - bisect_left(self.plain, begin)) % 2 and after(self.plain):
+            return True
+        return any(before(o) > before(c) and after(c) for o, c in self.pairs)
 
 
 def find_terms(text: str | None, trie: FuzzyTrie, model: ToxicityModel) -> list[dict]:
@@ -148,20 +171,20 @@ def find_terms(text: str | None, trie: FuzzyTrie, model: ToxicityModel) -> list[
         return []
     low = text.lower()
     known = {}
-    firsts = trie.children[0]
-    for w in set(WORD.findall(low)):
-        plain = w if w.isalpha() else w.translate(LOOKALIKE)
-        if plain[0] in firsts and w not in model.exempt and (m := trie.match(plain)):
-            known[w] = m
+    for w in set(WORD.findall(low)) - model.exempt:
+        for plain in (w,) if w.isalpha() else {w.translate(t) for t in LOOKALIKES}:
+            m = trie.match(plain)
+            if m and (w not in known or m[::-1] < known[w][::-1]):
+                known[w] = m
     if not known:
         return []
     words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
-    hits = []
+    hits, quotes = [], _Quotes(low)
     for i, (w, at, stop) in enumerate(words):
         if w in known:
             term, edits = known[w]
             near = {x for x, _, _ in words[max(0, i - model.window) : i + model.window + 1]}
-            quoted, told, aimed = _spans_in_quotes(low, at, stop), bool(near & REPORTING), bool(near & ADDRESS)
+            quoted, told, aimed = quotes.around(at, stop), bool(near & REPORTING), bool(near & ADDRESS)
             weight = (0.4 if quoted else 1.0) * (0.6 if told else 1.0) * (1.3 if aimed else 1.0) * (0.5 if edits else 1.0)
             odds = model.terms.get(term) or model.stems[term]
             hits.append({"term": term, "edits": edits, "start": at, "stop": stop, "quoted": quoted, "reported": told, "addressed": aimed, "weight": weight, "odds": odds})
@@ -218,7 +241,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, model: ToxicityModel, lea
     trie, seen = out.trie(), Counter()
     for b in no:
         for w in b:
-            if w[0] in trie.children[0] and (m := trie.match(w)) and (m[1] or m[0] != w and m[0] not in trie.stems):
+            if (m := trie.match(w)) and (m[1] or m[0] != w and m[0] not in trie.stems):
                 seen[w] += 1
     out.exempt = frozenset(seen)
     return out

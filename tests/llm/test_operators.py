@@ -73,6 +73,52 @@ def test_automaton_equals_edit_distance():
         assert (got[1] if got else None) == (min(fits)[0] if fits else None), w
 
 
+def test_automaton_with_a_free_first_letter():
+    rng, trie = random.Random(4), toxicity.FuzzyTrie(toxicity.LEXICON, free_first=True)
+    made = ["diot", "xidiot", "diiot", "1oser", "loser", "oser", "mroon", "", "i"]
+    for _ in range(4000):
+        w = list(rng.choice(toxicity.LEXICON))
+        for _ in range(rng.randrange(4)):
+            k = rng.choice((0, rng.randrange(len(w) + 1)))
+            w[k : k + rng.randrange(2)] = rng.choice(["", "a", "x", "e"])
+        made.append("".join(w))
+    for w in made:
+        fits = [(levenshtein(w, t), t) for t in toxicity.LEXICON if levenshtein(w, t) <= trie.budget[t]]
+        got = trie.match(w)
+        assert (got[::-1] if got else None) == (min(fits) if fits else None), w
+
+
+def plain_hits(text, model):
+    """Terms by edit distance, windows and quotation marks by slicing."""
+    low, out = text.lower(), []
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[\w@$]+", low)]
+    for i, (w, at, stop) in enumerate(words):
+        forms = {w} if w.isalpha() else {w.translate(t) for t in toxicity.LOOKALIKES}
+        fits = [(d, t) for f in forms for t in model.terms for d in [levenshtein(f, t)] if d <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+        if fits:
+            before, after = low[:at].rpartition("\n")[2], low[stop:].partition("\n")[0]
+            quoted = before.count('"') % 2 == 1 and '"' in after or any(before.rfind(o) > before.rfind(c) and c in after for o, c in zip("“«„‘", "”»“’", strict=True))
+            near = {x for x, _, _ in words[max(0, i - 4) : i + 5]}
+            out.append((min(fits)[1], min(fits)[0], at, stop, quoted, bool(near & toxicity.REPORTING), bool(near & toxicity.ADDRESS)))
+    return out
+
+
+def test_hits_equal_a_plain_version():
+    rng, model = random.Random(12), toxicity.ToxicityModel()
+    pool = ["idiot", "diot", "1d1ot", "m0ron", "trash", "crash", "you", "said", "the", "a", '"', "\n", "“", "”", "«", "»", "„", "‘", "’", ".", " "]
+    trie = model.trie()
+    for _ in range(300):
+        text = "".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(60)))
+        got = [tuple(h[k] for k in ("term", "edits", "start", "stop", "quoted", "reported", "addressed")) for h in toxicity.find_terms(text, trie, model)]
+        assert got == plain_hits(text, model), text
+
+
+def test_quotation_marks_far_away():
+    m = toxicity.ToxicityModel()
+    hit = toxicity.find_terms('"' + "word " * 5000 + "idiot " + "word " * 5000 + '"', m.trie(), m)
+    assert len(hit) == 1 and hit[0]["quoted"]
+
+
 def test_quotation_weighs_less():
     m = toxicity.ToxicityModel()
     trie = m.trie()
@@ -441,6 +487,19 @@ def test_language(spark, docs, odd, empty):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_a_rare_language_and_many_languages(spark):
+    """Each of nine languages is learned, the one with few rows and the one with long texts alone too."""
+    rng, alphabets = random.Random(9), ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "äöüßé", "αβγδε", "абвгд", "اردوی"]
+    say = lambda k, n: " ".join("".join(rng.choices(alphabets[k], k=5)) for _ in range(n))
+    rows = [(i, say(i % 7, 12), f"l{i % 7}") for i in range(2000)] + [(5000 + i, say(7, 12), "l7") for i in range(6)] + [(6000 + i, say(8, 4000), "l8") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_rows=400)
+    assert model.langs == [f"l{k}" for k in range(9)]
+    got = langid.identify(df, model).join(df.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(rows)
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] in ("l7", "l8"))
+
+
 def test_codewords_are_apart():
     for k in range(2, 12):
         c = langid.codebook(k)
