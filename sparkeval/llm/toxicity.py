@@ -68,6 +68,7 @@ class FuzzyTrie:
                 node = self.children[node][ch]
                 self.room[node] = max(self.room[node], self.budget[t])
             self.term[node] = t
+        self.room[0] = max(self.budget.values(), default=0) if free_first else 0
         self.ids: dict[frozenset, int] = {}
         self.states: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
