@@ -14,14 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Only where it is unset (tests in local mode) a
-    local folder is used, and the setting is made.
+    ``spark.checkpoint.dir`` names it.  Only where it is unset in local mode (tests) a
+    local folder is used, and the setting is made; on a cluster that fails.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         import tempfile
 
+        if not sc.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sparkeval-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -16,12 +16,16 @@ its distinct terms:
 All items at or above the threshold are then verified by five-word shingles of the whole
 item, of its question and of its answer (its last sentence).
 
-The items are read in shards of at most ``shard_items``, each of which is one pass over the
-documents, so what a task holds is bounded.
-
-Cases: null and empty texts match nothing; an item without words is left out; items below
-five words are one shingle; equal items are all reported; repeated rows give repeated rows;
-an empty benchmark or an empty table gives no match; extra columns come through unchanged.
+The items are read in shards of about ``shard_items``.  More than one shard takes a pass over the
+texts each, whose matches are written before the next one begins, so driver and tasks hold one
+shard's index at a time.  Numbers of items, their mean and longest length and the frequencies of
+terms are those of the whole benchmark, so the division changes no result.
+
+Cases: null and empty texts match nothing; very long texts are read whole; an item without words is
+left out, one without an id is reported without; items below five words are one shingle; equal items
+are all reported, ties in the order of their ids; repeated rows give repeated rows; an empty
+benchmark or an empty table gives no match; extra columns come through unchanged, but those of the
+names ``out_col`` and ``__row``.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -70,7 +76,8 @@ class Rule:
 class BlockMaxIndex:
     """Posting lists by term: item numbers, weights, and the largest weight of each block."""
 
-    def __init__(self, ids: list, texts: list[str], rule: Rule):
+    def __init__(self, ids: list, texts: list[str], rule: Rule, whole: tuple | None = None):
+        """``whole``: number, mean and longest length and term frequencies of all items, if these are a part."""
         kept = [(i, t, w) for i, t in zip(ids, texts, strict=True) if (w := words_of(t))]
         self.rule, self.ids = rule, [i for i, _, _ in kept]
         self.items = []
@@ -88,17 +95,18 @@ class BlockMaxIndex:
                 spread[x] = spread.get(x, 0) + 1
             q, a = halves(t)
             self.items.append((shingles(w), shingles(q), shingles(a)))
+        total, mean, self.longest, often = whole or (n, mean, self.longest, spread)
         self.terms = {t: k for k, t in enumerate(spread)}
         lists: list[list[tuple[int, float]]] = [[] for _ in spread]
         for i, c in enumerate(counts):
             size = sum(c.values())
             part = {}
             for t, f in c.items():
-                idf = np.log(1 + (n - spread[t] + 0.5) / (spread[t] + 0.5))
+                idf = np.log(1 + (total - often[t] + 0.5) / (often[t] + 0.5))
                 part[t] = idf * f * (rule.k1 + 1) / (f + rule.k1 * (1 - rule.b + rule.b * size / mean))
-            whole = sum(part.values())
+            own = sum(part.values())
             for t, v in part.items():
-                lists[self.terms[t]].append((i, v / whole))
+                lists[self.terms[t]].append((i, v / own))
         self.posts = [[i for i, _ in p] for p in lists]
         self.weights = [[v for _, v in p] for p in lists]
         self.block_max = [[max(v[k : k + rule.block]) for k in range(0, len(v), rule.block)] for v in self.weights]
@@ -229,7 +237,7 @@ class BlockMaxIndex:
                 over = self.rule.overlap
                 if (o >= over or (q >= over and reply >= over)) and (item not in best[d] or best[d][item][1:3] < (score, o)):
                     best[d][item] = (self.ids[item], float(score), o, q, reply)
-        return [sorted(b.values()) for b in best]
+        return [sorted(b.values(), key=lambda x: (x[0] is not None, x[0] or 0, x[1:])) for b in best]
 
 
 def _share(wanted: set, have: set, words: list[str]) -> float:
@@ -246,25 +254,61 @@ LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), *((k, pa.float64()) for
 NAMES = [LEAK_TYPE.value_type.field(k).name for k in range(LEAK_TYPE.value_type.num_fields)]
 
 
+def _whole(items: DataFrame):
+    """A function of a shard to ``BlockMaxIndex``'s ``whole``: sums over all items, frequencies of the shard's terms."""
+
+    def run(batches):
+        for b in batches:
+            shard, term, size = [], [], []
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                distinct = sorted(set(words))
+                shard += [s] * len(distinct)
+                term += distinct
+                size += [len(words), *[0] * (len(distinct) - 1)] if words else []  # once for each item
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(term, pa.string()), pa.array(size, pa.int64())], names=["shard", "term", "size"])
+
+    terms = cut(items.sparkSession, items.select("shard", "text").mapInArrow(run, "shard int, term string, size long"))
+    n, words, longest = terms.agg(F.count_if(F.col("size") > 0), F.sum("size"), F.max("size")).first()
+    often = cut(items.sparkSession, terms.groupBy("term").agg(F.count("*").alias("n")))
+
+    def of(shard: int) -> tuple:
+        own = often.join(terms.where(F.col("shard") == shard).select("term").distinct(), "term", "left_semi")
+        return n, (words or 0) / max(1, n), longest or 1, dict(own.toPandas().itertuples(index=False, name=None))
+
+    return of
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text_col: str = "text", out_col: str = "leaks") -> DataFrame:
     """``docs`` with ``out_col``: the leaked items of each row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    docs = docs.drop(out_col)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     shards = max(1, -(-items.count() // rule.shard_items))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    parts = []
-    for k in range(shards):  # the rows of a shard are bounded by shard_items, twice over at most
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text").toPandas()
-        index, name = BlockMaxIndex(rows["item_id"].tolist(), rows["text"].tolist(), rule), f"__leaks_{k}"
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
 
-        def run(batches, index=index, name=name):
+    def index_of(shard: int, whole: tuple | None) -> BlockMaxIndex:
+        rows = items.where(F.col("shard") == shard).orderBy("item_id", "text").collect()  # about shard_items
+        return BlockMaxIndex([r["item_id"] for r in rows], [r["text"] for r in rows], rule, whole)
+
+    def scanned(rows: DataFrame, index: BlockMaxIndex) -> DataFrame:
+        def run(batches):
             for b in batches:
                 found = [[dict(zip(NAMES, x, strict=True)) for x in xs] for xs in index.scan(b.column(text_col).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, LEAK_TYPE)], names=[*b.schema.names, name])
-
-        kinds = f"{kinds}, `{name}` {LEAK}"
-        docs = docs.mapInArrow(run, kinds)
-        parts.append(name)
-    return docs.withColumn(out_col, F.concat(*parts)).drop(*parts)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, LEAK_TYPE)], names=[*b.schema.names, out_col])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(run, f"{kinds}, `{out_col}` {LEAK}")
+
+    if shards == 1:
+        return scanned(docs, index_of(0, None))
+    spark, whole = docs.sparkSession, _whole(items)
+    rows = cut(spark, docs.withColumn("__row", F.monotonically_increasing_id()))
+    texts, found = rows.select("__row", text_col), None
+    for k in range(shards):
+        part = cut(spark, scanned(texts, index_of(k, whole(k))).where(F.size(out_col) > 0).select("__row", out_col))
+        found = part if found is None else found.unionAll(part)
+    each = found.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list(out_col))).alias(out_col))  # a row's leaks, of at most ``shards`` rows
+    return rows.join(each, "__row", "left").withColumn(out_col, F.coalesce(out_col, F.array().cast(LEAK))).drop("__row")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -397,6 +397,15 @@ def test_leaks(spark, docs, sf, odd, empty):
     assert decontam.decontaminate(odd, bench.limit(0)).count() == odd.count() and decontam.leaks(empty, bench).count() == 0
 
 
+def test_shards_change_nothing(spark, docs, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionAll(spark.createDataFrame([(None, "an item without an id but with some words of its own"), (3, "   ")], "item_id long, text string"))
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(70001, "so here is an item without an id but with some words of its own indeed"), (70002, None)], "doc_id long, text string"))
+    one, many = [sorted(map(tuple, decontam.leaks(more, bench, decontam.Rule(shard_items=n)).collect()), key=str) for n in (20_000, 7)]
+    assert one == many and (70001, None) in {r[:2] for r in one}
+    kept = decontam.decontaminate(more.withColumn("leaks", F.lit("x")), bench, decontam.Rule(shard_items=9))
+    assert kept.columns == ["doc_id", "text", "leaks"] and kept.count() == more.count() - len({r[0] for r in one})
+
+
 def test_a_changed_word_is_still_a_leak(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     item = max(bench.collect(), key=lambda r: len(r["text"]))
