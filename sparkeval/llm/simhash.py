@@ -476,7 +476,8 @@ def near_copies(
                     p = np.searchsorted(values, h).clip(0, len(values) - 1)
                     order = np.where(values[p] == h, rank[p], 0)
                 first = h[np.lexsort((h, order))][: len(h) - _least(len(h)) + 1 if len(h) else 0]
-                out.append((k, node, fp, len(h), first.tobytes()))
+                # 32 bits name a prefix shingle: two of one name only add candidates
+                out.append((k, node, fp, len(h), first.astype(np.uint32).tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "node", "fp", "n", "first"])
 
@@ -484,7 +485,7 @@ def near_copies(
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                shard = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                shard = [np.frombuffer(x, np.int32) for x in part.column(2).to_pylist()]
                 k = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in shard]))
                 yield pa.record_batch([part.column(0).take(k), part.column(1).take(k), pa.array(np.concatenate(shard))], ["node", "n", "shard"])
 
@@ -509,7 +510,7 @@ def near_copies(
     made = cut(spark, rows.mapInArrow(index, "id long, node long, fp long, n long, first binary"))
     kept = made.where("id is not null")
     nodes = cut(spark, kept.groupBy("node").agg(F.min(F.struct("id", "fp", "n", "first")).alias("r")).select("node", "r.*"))
-    posts = nodes.select("node", "n", "first").mapInArrow(postings, "node long, n long, shard long")
+    posts = nodes.select("node", "n", "first").mapInArrow(postings, "node long, n long, shard int")
     shared = posts.groupBy("shard").agg(F.count("*").alias("held")).where("held > 1")
     shared = cut(spark, posts.join(shared, "shard").select("node", "n", "shard", "held"))
     small = shared.where(F.col("held") <= min(few, block)).select("node", "n", "shard")
@@ -525,11 +526,11 @@ def near_copies(
     points = cut(spark, nodes.groupBy("fp").agg(F.min("node").alias("rep")))
     maybe = components(spark, pairs.unionAll(tied).unionAll(links(spark, points, block=block)))
     wanted = cut(spark, nodes.select("node", "id").join(maybe.select("node", F.col("root").alias("shard")), "node"))
-    side = F.broadcast if wanted.count() <= most_nodes else lambda x: x
+    cells = cut(spark, _deal(wanted.select("node", F.lit(None).alias("rep"), "shard"), "node", max(2, block // 10)).drop("rep"))
+    side = F.broadcast if cells.count() <= most_nodes else lambda x: x
     found = rows.join(side(wanted.select("id").distinct()), "id").mapInArrow(sets, "node long, rep binary")
-    placed = found.join(side(wanted.select("node", "shard")), "node").select("node", "rep", "shard")
-    dealt = _deal(placed, "node", max(2, block // 10)).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    linked = dealt.mapInArrow(verify, "u long, v long")
+    placed = found.join(side(cells), "node").select("node", "rep", "shard", "own", "i", "j")
+    linked = placed.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(verify, "u long, v long")
     # rows of one id are one document, whatever their texts
     roots = components(spark, linked.unionAll(_of_one_id(kept, "node")))
     group = made.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
