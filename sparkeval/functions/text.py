@@ -68,6 +68,17 @@ def text_ngrams(text: Column, n: int = 5) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: ngrams(t, n))
 
 
+def gram_hashes(text: Column, n: int = 5) -> Column:
+    """The distinct n-grams of ``text_ngrams`` as 64-bit hashes of their words' hashes, without making the grams' texts."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.xxhash64(w))
+
+    def made(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, made)
+
+
 def rate(part: Column, whole: Column) -> Column:
     """Null for an empty denominator."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

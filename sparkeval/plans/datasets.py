@@ -145,20 +145,31 @@ def ds15_contamination_matches(spark, sf_dir):
     return D.contamination_matches(left, right, threshold=0.05).select("left_key", "right_key", F.round("similarity", 9).alias("similarity"))
 
 
+def _signed(spark, sf_dir):
+    """Exact signatures (128 permutations, BLAKE2b) of all records and the benchmark's items."""
+    from ..functions.canonical import minhash_signature
+
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
+    both = records_v1(spark, sf_dir).select("key", "text").unionByName(items)
+    # 128 keyed digests of each gram are far more work than moving its text: deal the rows evenly
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    return both.select("key", minhash_signature(n=5, permutations=128, seed=7)(F.col("text")).alias("signature"))
+
+
 @query()
 def ds17_lsh_buckets(spark, sf_dir):
-    """Membership of MinHash buckets of the benchmark items and the conversations' turns."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("key"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), "text")
-    return D.lsh_buckets(D.minhash_lsh(turns.unionByName(items), permutations=32, bands=8))
+    """Membership of the LSH buckets (16 bands of 8) of all records and the benchmark's items."""
+    from ..streaming.progress import shared_folder
+
+    folder = shared_folder(spark)  # the signatures are read twice
+    _signed(spark, sf_dir).write.mode("overwrite").parquet(folder)
+    return D.lsh_buckets(D.lsh_bands(spark.read.parquet(folder)))
 
 
 @query()
 def ds16_minhash_signature(spark, sf_dir):
     """The exact keyed signature (BLAKE2b), as Arrow batches."""
-    from ..functions.canonical import minhash_signature
-
-    return table(spark, sf_dir, "benchmark").select("item_id", minhash_signature(n=5, permutations=32, seed=7)(F.col("text")).alias("signature"))
+    return _signed(spark, sf_dir)
 
 
 @query(with_views("v1", """WITH p AS (SELECT text, count(*) AS c FROM v1 GROUP BY text), k AS (SELECT key, count(*) AS c FROM v1 GROUP BY key)

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -208,6 +209,44 @@ def test_contamination(spark):
     assert {"train-1", "test-1"} <= keys and "train-2" not in keys
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.8, 1.0])
+@pytest.mark.parametrize("small", [True, False])
+def test_contamination_equals_brute_force(spark, monkeypatch, threshold, small):
+    if not small:
+        monkeypatch.setattr(datasets, "BROADCAST_GRAMS", 0)
+    words = [f"w{k % 23}" for k in range(400)]
+    texts = [" ".join(words[7 * k : 7 * k + 9 + k % 4 * 10]) for k in range(40)] + ["", "too short", None, "the same line again and again " * 9]
+    sides = [[(f"{side}{k % 42}", t if k % 3 else t and t + " and one line more of it") for k, t in enumerate(texts)] for side in "ab"]  # two keys are repeated
+    left, right = (spark.createDataFrame(x, "key string, text string") for x in sides)
+
+    def grams(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = []
+    for a, s in sides[0]:
+        for b, t in sides[1]:
+            x, y = grams(s), grams(t)
+            j = len(x & y) / len(x | y) if x | y else 1.0
+            if j >= threshold:
+                want.append((a, b, round(j, 9)))
+    got = [(r[0], r[1], round(r[2], 9)) for r in datasets.contamination_matches(left, right, threshold=threshold).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 9
+
+
+def test_bands_of_exact_signatures(spark):
+    """Buckets are SHA-256 over a band's eight-byte values."""
+    near = " ".join(f"w{k}" for k in range(90))
+    rows = [("a", near), ("b", near + " more"), ("c", " ".join(f"v{k}" for k in range(90))), ("e", ""), ("f", "few words")]
+    signed = spark.createDataFrame(rows, "key string, text string").select("key", canonical.minhash_signature()(F.col("text")).alias("signature"))
+    banded = datasets.lsh_bands(signed)
+    values = {r["key"]: bytes.fromhex(r["signature"].replace(",", "")) for r in signed.collect()}
+    want = {(k, b): hashlib.sha256(v[64 * b : 64 * b + 64]).hexdigest() for k, v in values.items() for b in range(16)}
+    assert {(r["key"], r["band"]): r["bucket"] for r in banded.collect()} == want
+    together = {(r["key"]) for r in datasets.lsh_buckets(banded).collect()}
+    assert together == {"a", "b", "e", "f"}
+
+
 # --- sources ---
 
 
