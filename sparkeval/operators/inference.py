@@ -150,22 +150,51 @@ def wilcoxon(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
     return _finish(sums, ["statistic", "p_value"], formula)
 
 
-def permutation_test(pairs: DataFrame, keys: list[str], d: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """Per key: Monte-Carlo sign flips over the non-zero differences, with the add-one p.
+ALTERNATIVES = ("two-sided", "greater", "less")
+EXACT_FLIPS = 20
 
-    A row's sign in a resample is one bit of a hash of its value's row key, so each resample is
-    a weighted sum that Spark aggregates with partial sums.
+
+def _in_tail(statistic: Column, observed: Column, alternative: str) -> Column:
+    """Whether a statistic of the null is as extreme as the observed one; sums in another order count as equal."""
+    slack = F.abs(observed) * 1e-12
+    if alternative == "greater":
+        return statistic >= observed - slack
+    if alternative == "less":
+        return statistic <= observed + slack
+    return F.abs(statistic) >= F.abs(observed) - slack
+
+
+def permutation_test(pairs: DataFrame, keys: list[str], d: str, resamples: int = 1000, seed: int = 0, unit: str = "record_id", alternative: str = "two-sided") -> DataFrame:
+    """Per key: the sign-flip test over the non-zero differences, ``observed_sum, p_value, method, n``.
+
+    Up to 20 of them all 2^n flips are counted; more get at least ``resamples`` random ones with the
+    add-one p.  A row's sign in a resample is one bit of a hash of its ``unit``, so each resample is a
+    sum that Spark aggregates with partial sums.  A key whose differences are all zero has p = 1.
     """
-    z = pairs.where(F.col(d) != 0)
-    draws = F.sequence(F.lit(0), F.lit(-(-resamples // 60) - 1))
-    bits = z.select(*keys, F.col(d).alias("x"), F.explode(draws).alias("draw"), F.col("record_id").alias("__id"))
-    h = bits.withColumn("h", F.xxhash64("__id", "draw", F.lit(seed)))
-    signs = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("x")).otherwise(-F.col("x"))).alias(f"s{b}") for b in range(60)]
-    sums = h.groupBy(*keys, "draw").agg(*signs, F.sum("x").alias("observed"))
-    flat = sums.select(*keys, "observed", F.explode(F.array(*[f"s{b}" for b in range(60)])).alias("s"))
-    n = -(-resamples // 60) * 60
-    extreme = F.count_if(F.abs(F.col("s")) >= F.abs(F.col("observed")) * (1 - 1e-12))
-    return flat.groupBy(*keys).agg(F.max("observed").alias("observed_sum"), ((extreme + 1) / F.lit(n + 1)).alias("p_value"))
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"no alternative {alternative}")
+    if resamples < 1000:
+        raise ValueError("at least 1000 resamples are needed")
+    rows = pairs.where(F.col(d).isNotNull()).select(*keys, F.col(unit).alias("__id"), F.col(d).cast("double").alias("__x"))
+    sizes = rows.groupBy(*keys).agg(F.count_if(F.col("__x") != 0).alias("n"), F.sum("__x").alias("observed_sum"))
+    z = rows.where("__x <> 0").join(sizes, keys)
+    few, many = z.where(F.col("n") <= EXACT_FLIPS), z.where(F.col("n") > EXACT_FLIPS)
+
+    # twenty values at most meet in an array; flips are built a value at a time from the sums so far
+    held = few.groupBy(*keys).agg(F.collect_list("__x").alias("xs"), F.first("observed_sum").alias("observed_sum"), F.first("n").alias("n"))
+    flips = held.select(*keys, "observed_sum", "n", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int)) - 1"))).alias("flip"))
+    sign = lambda i: F.when(F.expr("flip").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0, 1.0).otherwise(-1.0)
+    flipped = F.aggregate(F.transform("xs", lambda x, i: x * sign(i)), F.lit(0.0), lambda acc, x: acc + x)
+    tails = flips.select(*keys, "observed_sum", _in_tail(flipped, F.col("observed_sum"), alternative).alias("in"))
+    exact = tails.groupBy(*keys).agg((F.count_if("in") / F.count("*")).alias("p_value"))
+
+    draws = -(-resamples // 60)
+    h = many.select(*keys, "observed_sum", "__x", F.col("__id"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("h", F.xxhash64("__id", "draw", F.lit(seed)))
+    signs = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("__x")).otherwise(-F.col("__x"))).alias(f"s{b}") for b in range(60)]
+    flat = h.groupBy(*keys, "draw").agg(*signs, F.first("observed_sum").alias("observed_sum")).select(*keys, "observed_sum", F.explode(F.array(*[f"s{b}" for b in range(60)])).alias("s"))
+    random = flat.groupBy(*keys).agg(((F.count_if(_in_tail(F.col("s"), F.col("observed_sum"), alternative)) + 1) / F.lit(draws * 60 + 1)).alias("p_value"))
+    method = F.when(F.col("n") <= EXACT_FLIPS, "paired_permutation_exact").otherwise("paired_permutation_monte_carlo")
+    return sizes.join(exact.unionByName(random), keys, "left").select(*keys, "observed_sum", F.coalesce("p_value", F.lit(1.0)).alias("p_value"), method.alias("method"), "n")
 
 
 def _poisson_weights(key: Column, draw: Column, seed: int) -> Column:

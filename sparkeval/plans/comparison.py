@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import comparison as C
 from ..operators import gates as G
 from ..operators import inference as I
 from ..registry import query
@@ -77,6 +78,17 @@ def cmp01_compare_metric(spark, sf_dir):
     return compare(spark, sf_dir)
 
 
+@query()
+def cmp03_tests(spark, sf_dir):
+    """The comparison by each of the tests, failures counting as zero."""
+    left, right = _sides(spark, sf_dir)
+    out = None
+    for test in C.TESTS:
+        one = C.compare_metrics(left, right, policy="failures_as_zero", test=test, practical=0.5, seed=7)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def gate01_evaluate_gate(spark, sf_dir):
     rules = spark.createDataFrame(

@@ -114,7 +114,22 @@ def st16_pairwise_counts(spark, sf_dir):
 
 @query()
 def st14_permutation_test(spark, sf_dir):
-    return I.permutation_test(_paired(spark, sf_dir), ["metric"], "difference", 600, 5)
+    return I.permutation_test(_paired(spark, sf_dir), ["metric"], "difference", 1000, 5)
+
+
+@query("""WITH p AS (SELECT s_nationkey AS nation, s_suppkey AS id, round(s_acctbal - 5000) AS d, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier),
+q AS (SELECT * FROM p WHERE i < 9 AND d <> 0), n AS (SELECT nation, count(*) AS n, sum(d) AS observed FROM q GROUP BY nation),
+r AS (SELECT nation, d, row_number() OVER (PARTITION BY nation ORDER BY id) - 1 AS j FROM q),
+f AS (SELECT nation, f.flip, sum(CASE WHEN (f.flip >> j::INT) & 1 = 0 THEN d ELSE -d END) AS s FROM n JOIN range(512) f(flip) ON f.flip < (1::BIGINT << n::INT) JOIN r USING (nation) GROUP BY nation, f.flip)
+SELECT nation, n, observed AS observed_sum, round(avg((abs(s) >= abs(observed))::INT), 9) AS p_two_sided, round(avg((s >= observed)::INT), 9) AS p_greater FROM f JOIN n USING (nation) GROUP BY ALL""")
+def st14_exact_permutation(spark, sf_dir):
+    """Exact sign flips of the first nine balances of each nation, against a round sum."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    s = table(spark, sf_dir, "supplier").withColumn("i", first).where("i <= 9").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.round(F.col("s_acctbal") - 5000).alias("d"))
+    two = I.permutation_test(s, ["nation"], "d", unit="s_suppkey").where("n > 0").select("nation", "n", "observed_sum", F.round("p_value", 9).alias("p_two_sided"))
+    return two.join(I.permutation_test(s, ["nation"], "d", unit="s_suppkey", alternative="greater").select("nation", F.round("p_value", 9).alias("p_greater")), "nation")
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import json
 import math
 import re
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkeval.functions import canonical, hashing, judge, patterns, planning, ranking, similarity, special, text, trajectory
-from sparkeval.operators import agreement, aggregates, alignment, datasets, gates, inference, lifecycle, pairwise, predicates, rankings
+from sparkeval.operators import agreement, aggregates, alignment, comparison, datasets, gates, inference, lifecycle, pairwise, predicates, rankings
 from sparkeval.plans.registry import Definition, default_registry
 from sparkeval.sources import readers
 
@@ -319,6 +320,32 @@ def test_effects_and_tests(spark):
     assert one(inference.wilcoxon(a.where("paired"), ["metric"], "difference"))["statistic"] == 0
 
 
+def test_exact_permutation(spark):
+    rows = [("m", k, x) for k, x in enumerate([1.0, 2.0, 3.0, -1.0, 0.0])] + [("ties", 1, 0.0), ("ties", 2, 0.0)]
+    df = spark.createDataFrame(rows, "metric string, id long, d double")
+    xs = [1.0, 2.0, 3.0, -1.0]
+    sums = [sum(x * s for x, s in zip(xs, signs, strict=True)) for signs in itertools.product((1, -1), repeat=4)]
+    tails = {"two-sided": lambda s: abs(s) >= 5, "greater": lambda s: s >= 5, "less": lambda s: s <= 5}
+    for name, tail in tails.items():
+        got = {r["metric"]: r for r in inference.permutation_test(df, ["metric"], "d", unit="id", alternative=name).collect()}
+        assert got["m"]["p_value"] == pytest.approx(sum(map(tail, sums)) / 16) and got["m"]["method"] == "paired_permutation_exact"
+        assert (got["ties"]["p_value"], got["ties"]["n"]) == (1.0, 0)
+    with pytest.raises(ValueError):
+        inference.permutation_test(df, ["metric"], "d", resamples=600, unit="id")
+
+
+@pytest.mark.parametrize("test", comparison.TESTS)
+def test_comparison(spark, test):
+    left = spark.createDataFrame([("m", f"r{k}", "succeeded", float(k % 5)) for k in range(40)] + [("only left", "r0", "succeeded", 1.0)], "metric string, record_id string, status string, value double")
+    right = spark.createDataFrame([("m", f"r{k}", "succeeded", k % 5 + 1.0 + k % 3 / 10) for k in range(40)], left.schema)
+    got = one(comparison.compare_metrics(left, right, test=test, practical=0.5))
+    assert got["metric"] == "m" and got["paired_n"] == 40 and got["p_value"] < 0.01
+    assert got["lower"] < got["mean_difference"] < got["upper"] and got["mean_difference"] == pytest.approx(1.0975)
+    assert got["interpretation"] == "statistically_significant_and_practically_meaningful"
+    with pytest.raises(Exception, match="two finite pairs"):
+        comparison.compare_metrics(left, right.where("record_id = 'r1'"), test=test).collect()
+
+
 def test_failures_as_zero(spark):
     left = spark.createDataFrame([("m", "a", "failed", None), ("m", "b", "succeeded", 1.0)], "metric string, id string, status string, value double")
     right = side(spark, {"a": 1.0, "b": 2.0})
