@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, flac, html_text, langid, pieces, quality, records, secrets, simhash, toxicity
+from . import centroids, decontam, exact, flac, html_text, langid, periodic, pieces, quality, records, secrets, simhash, toxicity
 from .common import table
 
 
@@ -46,13 +46,26 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    return centroids.digest(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def queries():
     named = (
         op1_toxicity, op2_sentencepiece, op3_html_text, op4_secret_scan, op5_benchmark_decontamination,
         op6_token_records, op7_language_id, op8_simhash_near_dedup, op9_flac_media, op10_quality_classifier,
+        op11_periodic_runs, op12_centroid_clusters, op13_exact_dedup,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql():
-    return {"op4_secret_scan": secrets.ORACLE_SQL}
+    return {"op4_secret_scan": secrets.ORACLE_SQL, "op12_centroid_clusters": centroids.ORACLE_SQL, "op13_exact_dedup": exact.ORACLE_SQL}
