@@ -6,10 +6,14 @@ by nature, are what is joined with itself.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rate
+from ..streaming.progress import shared_folder
 from .inference import mid_ranks
 
 
@@ -60,20 +64,82 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 
 
+#: Rows of distinct pairs that a task sorts at once, and the number of ranges beyond which tasks grow instead.
+INVERSION_ROWS, INVERSION_PARTS = 200_000, 1000
+
+
+def _inversions(b, w) -> float:
+    """The weight of the pairs whose earlier element is larger, bit by bit of the elements' ranks.
+
+    Two ranks differ first at one bit; sorted by the bits above it, and by place, the ones that stand
+    before a zero in the same stretch are its inversions.
+    """
+    rank = np.unique(b, return_inverse=True)[1]
+    order, total = np.arange(len(rank)), 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        r, v = rank[order], w[order]
+        one = (r >> bit) & 1
+        prefix = r >> (bit + 1)
+        before = np.cumsum(v * one) - v * one
+        first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        before -= np.repeat(before[first], np.diff(np.r_[first, len(r)]))
+        total += float((before * v)[one == 0].sum())
+        order = order[np.argsort(prefix * 2 + one, kind="stable")]
+    return total
+
+
 def kendall_tau_b(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: tau-b, from the counts of distinct (a, b) pairs.
+    """One row: tau-b of all pairs of rows, from distributed counts of inversions; null without two different values of each.
 
-    Concordant pairs are counted between distinct values; this suits ratings, whose distinct
-    values are few, and grows with their square otherwise.
+    Distinct (a, b) with their counts are sorted by (a, b) into ranges, and each range counts its own
+    inversions of b.  Then they are sorted by (b, first range) into ranges again, which count
+    the inversions of rows from different first ranges.  Pairs that differ in both ranges are counted from the weights of the
+    cells, a million at most.  Equal values may be cut at any place, since both orders are total, so no
+    value is a hot key.  Rows with a null take no part.
     """
-    x = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    y = x.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
-    w = F.col("n").cast("double") * F.col("n2")
-    s = x.join(y, F.col("a") < F.col("a2")).agg(F.sum(F.when(F.col("b") < F.col("b2"), w).when(F.col("b") > F.col("b2"), -w).otherwise(0.0)).alias("s"))
-    half = lambda m: m.cast("double") * (m - 1) / 2
-    ta = x.groupBy("a").agg(F.sum("n").alias("m")).agg(F.sum(half(F.col("m"))).alias("ta"), half(F.sum("m")).alias("all"))
-    tb = x.groupBy("b").agg(F.sum("n").alias("m")).agg(F.sum(half(F.col("m"))).alias("tb"))
-    return s.crossJoin(ta).crossJoin(tb).select(F.try_divide("s", F.sqrt((F.col("all") - F.col("ta")) * (F.col("all") - F.col("tb")))).alias("tau_b"))
+    spark = rows.sparkSession
+    x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    folder = shared_folder(spark)
+    x.write.mode("overwrite").parquet(f"{folder}/pairs")
+    x = spark.read.parquet(f"{folder}/pairs")
+    parts = max(1, min(INVERSION_PARTS, -(-x.count() // INVERSION_ROWS)))
+    ka, kb = (x.schema[c].dataType.simpleString() for c in ("a", "b"))
+
+    def whole(batches):
+        held = [p for p in batches if len(p)]
+        return pd.concat(held) if held else None
+
+    def by_a(batches):
+        if (p := whole(batches)) is not None:
+            p = p.sort_values(["a", "b"])
+            p["p"], p["inversions"] = TaskContext.get().partitionId(), 0.0
+            p.iloc[0, p.columns.get_loc("inversions")] = _inversions(p["b"].to_numpy(), p["n"].to_numpy())
+            yield p
+
+    def by_b(batches):
+        if (p := whole(batches)) is not None:
+            p = p.sort_values(["p", "b"])  # equal first ranges in the order of b: no inversions within one
+            cells = p.groupby("p", as_index=False)["n"].sum()
+            cells["q"], cells["inversions"] = TaskContext.get().partitionId(), 0.0
+            cells.loc[0, "inversions"] = _inversions(p["b"].to_numpy(), p["n"].to_numpy()) + p["inversions"].sum()
+            yield cells[["p", "q", "n", "inversions"]]
+
+    def across(batches):
+        if (p := whole(batches)) is not None:
+            grid = np.zeros((p["p"].max() + 1, p["q"].max() + 1))
+            np.add.at(grid, (p["p"], p["q"]), p["n"])
+            earlier = np.cumsum(grid, axis=0) - grid
+            larger = earlier.sum(axis=1, keepdims=True) - np.cumsum(earlier, axis=1)
+            yield pd.DataFrame({"inversions": [float((grid * larger).sum() + p["inversions"].sum())]})
+
+    first = x.repartitionByRange(parts, "a", "b").mapInPandas(by_a, f"a {ka}, b {kb}, n double, p int, inversions double")
+    cells = first.repartitionByRange(parts, "b", "p").mapInPandas(by_b, "p int, q int, n double, inversions double")
+    discordant = cells.repartition(1).mapInPandas(across, "inversions double").agg(F.sum("inversions").alias("d"))
+    half = lambda m: m * (m - 1) / 2
+    tied = lambda c: x.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(half(F.col("m"))).alias(f"t{c}"))
+    both = x.agg(F.sum(half(F.col("n"))).alias("tab"), half(F.sum("n")).alias("all"))
+    s = F.col("all") - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.coalesce("d", F.lit(0.0))
+    return discordant.crossJoin(tied("a")).crossJoin(tied("b")).crossJoin(both).select(F.try_divide(s, F.sqrt((F.col("all") - F.col("ta")) * (F.col("all") - F.col("tb")))).alias("tau_b"))
 
 
 def brier(rows: DataFrame, confidence: Column, outcome: Column) -> DataFrame:

@@ -66,12 +66,38 @@ d AS (SELECT coalesce(v1.key, v2.key) AS key, CASE WHEN v1.key IS NULL THEN 'add
   v1.text AS a, v2.text AS b FROM v1 FULL OUTER JOIN v2 ON v1.key = v2.key)"""
 
 
-@query(with_views("v1 v2", f"""WITH {DIFF}
-SELECT key, kind, CASE WHEN kind = 'modified' THEN '/text' ELSE '' END AS pointers, CASE WHEN kind = 'modified' THEN length(b) - length(a) ELSE 0 END::BIGINT AS grown FROM d"""))
+def _nested(rows, second: bool):
+    """Records with nested payloads; in a second version members come and go at several depths."""
+    k = F.substring("key", -1, 1)
+    changed = lambda digit, a, b: F.when(k == digit, b).otherwise(a) if second else F.lit(a)
+    tail = F.when(k == "2", F.lit('","new":[1]')).otherwise(F.concat(F.lit('","c~d":"'), "source", F.lit('"'))) if second else F.concat(F.lit('","c~d":"'), "source", F.lit('"'))
+    text = F.concat(F.lit('{"input":{"chars":'), F.length("text").cast("string"), F.lit(',"digest":"'), F.sha2("text", 256), F.lit('"},"tags":{"a/b":"'), "lang", tail, F.lit("}}"))
+    meta = F.concat(F.lit('{"deep":{"er":{"est":'), changed("3", "null", "0"), F.lit("}},"), F.lit('"list":'), changed("4", "[1,2]", "[1,3]"), F.lit("}"))
+    splits = F.when(k == "5", F.array("lang", F.lit("x"))).otherwise(F.array("lang")) if second else F.array("lang")
+    return rows.select("key", meta.alias("metadata"), text.alias("payload"), splits.alias("splits"), F.sha2(F.concat(meta, text, F.to_json(splits)), 256).alias("envelope_hash"))
+
+
+def _nested_sql(name: str, view: str, second: bool) -> str:
+    """The same records as one JSON value each."""
+    changed = lambda digit, a, b: f"CASE WHEN right(key, 1) = '{digit}' THEN '{b}' ELSE '{a}' END" if second else f"'{a}'"
+    tail = "'\",\"c~d\":\"' || source || '\"'"
+    tail = f"CASE WHEN right(key, 1) = '2' THEN '\",\"new\":[1]' ELSE {tail} END" if second else tail
+    return f"""{name} AS (SELECT key, ('{{"metadata":{{"deep":{{"er":{{"est":' || {changed("3", "null", "0")} || '}}}},"list":' || {changed("4", "[1,2]", "[1,3]")} || '}},"payload":{{"input":{{"chars":' || length(text)
+ || ',"digest":"' || sha256(text) || '"}},"tags":{{"a/b":"' || lang || {tail} || '}}}},"splits":["' || lang || {changed("5", '"]', '","x"]')} || '}}')::JSON AS j FROM {view})"""
+
+
+@query(with_views("v1 v2", f"""WITH RECURSIVE {_nested_sql("n1", "v1", False)}, {_nested_sql("n2", "v2", True)},
+e AS (SELECT coalesce(n1.key, n2.key) AS key, n1.j AS b, n2.j AS a, CASE WHEN n1.key IS NULL THEN 'added' WHEN n2.key IS NULL THEN 'removed' WHEN n1.j::VARCHAR = n2.j::VARCHAR THEN 'unchanged' ELSE 'modified' END AS kind FROM n1 FULL OUTER JOIN n2 ON n1.key = n2.key),
+w AS (SELECT key, '' AS p, b, a FROM e WHERE kind = 'modified'
+ UNION ALL SELECT key, p || x, json_extract(b, x), json_extract(a, x) FROM (SELECT key, p, b, a, '/' || replace(replace(m, '~', '~0'), '/', '~1') AS x FROM
+  (SELECT key, p, b, a, unnest(list_distinct(list_concat(json_keys(b), json_keys(a)))) AS m FROM w WHERE json_type(b) = 'OBJECT' AND json_type(a) = 'OBJECT')) WHERE json_extract(b, x)::VARCHAR IS DISTINCT FROM json_extract(a, x)::VARCHAR),
+c AS (SELECT key, string_agg(p || '=' || coalesce(b::VARCHAR, '-') || '>' || coalesce(a::VARCHAR, '-'), ';' ORDER BY p) AS changes FROM w WHERE NOT coalesce(json_type(b) = 'OBJECT' AND json_type(a) = 'OBJECT', false) GROUP BY key)
+SELECT e.key, kind, coalesce(changes, '') AS changes FROM e LEFT JOIN c ON e.key = c.key"""))
 def ds08_diff_versions(spark, sf_dir):
-    d = D.diff_versions(records_v1(spark, sf_dir), records_v2(spark, sf_dir), ["text", "lang", "source"])
-    grown = F.aggregate("changes", F.lit(0).cast("long"), lambda acc, c: acc + F.length(c["after"]) - F.length(c["before"]))
-    return d.select("key", "kind", F.array_join(F.transform("changes", lambda c: c["pointer"]), ",").alias("pointers"), grown.alias("grown"))
+    """All changes of all records, members of nested objects by their pointers."""
+    d = D.diff_records(_nested(records_v1(spark, sf_dir), False), _nested(records_v2(spark, sf_dir), True))
+    line = lambda c: F.concat(c["pointer"], F.lit("="), F.coalesce(c["before"], F.lit("-")), F.lit(">"), F.coalesce(c["after"], F.lit("-")))
+    return d.select("key", "kind", F.array_join(F.array_sort(F.transform("changes", line)), ";").alias("changes"))
 
 
 @query(with_views("v1 v2", f"""WITH {DIFF}

@@ -114,4 +114,6 @@ def with_views(names: str, body: str) -> str:
     """``WITH`` the named views, then ``body``, which may begin with more of them."""
     head = "WITH " + ",\n".join(SQL[n] for n in names.split())
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]},\n{body[15:]}"
     return f"{head},\n{body[5:]}" if body.startswith("WITH ") else f"{head}\n{body}"
