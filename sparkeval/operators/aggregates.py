@@ -138,6 +138,30 @@ def benchmark_by_category(rows: DataFrame, repetitions: int | None = None) -> Da
     )
 
 
+def wilson(k: Column, n: Column, name: str, z: float = 1.959963984540054) -> list[Column]:
+    """The limits of the share k / n; null for n = 0."""
+    k, n = k.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
+    centre, half = k / n + z * z / (2 * n), z * F.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))
+    return [((centre - half) / (1 + z * z / n)).alias(f"{name}_low"), ((centre + half) / (1 + z * z / n)).alias(f"{name}_high")]
+
+
+def benchmark_summary(rows: DataFrame, input_price: float, output_price: float, repetitions: int | None = None) -> DataFrame:
+    """One row over all cases of ``benchmark_by_category``: the primary accuracy and the failures with Wilson limits, and the price.
+
+    ``rows`` has ``input_tokens`` and ``output_tokens`` besides; prices are for a million of them.  The accuracy of
+    requests has no limits, as requests of one case are clustered.
+    """
+    cases = benchmark_by_category(rows.withColumn("tokens", F.lit(0).cast("long")), repetitions)
+    c = cases.agg(*[F.sum(x).alias(x) for x in ("cases", "majority_correct", "requests", "correct_requests", "consistent", "failures")])
+    used = rows.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+    m, n, f, q = (F.col(x) for x in ("majority_correct", "cases", "failures", "requests"))
+    cost = (F.col("input_tokens") * F.lit(input_price) + F.col("output_tokens") * F.lit(output_price)) / 1_000_000
+    return c.crossJoin(F.broadcast(used)).select(
+        "cases", "majority_correct", rate(m, n).alias("accuracy"), *wilson(m, n, "accuracy"), "requests", "correct_requests", rate(F.col("correct_requests"), q).alias("request_accuracy"),
+        "consistent", "failures", rate(f, q).alias("failure_rate"), *wilson(f, q, "failure"), "input_tokens", "output_tokens", cost.alias("cost"),
+    )
+
+
 def latency_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key: count, mean, limits and quantiles with linear interpolation, to three places."""
     q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))

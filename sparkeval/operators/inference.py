@@ -103,12 +103,12 @@ def sign_test(counts: DataFrame) -> DataFrame:
     return _finish(counts, ["p_value"], lambda r: (special.binomial_two_sided(int(r["wins"]), int(r["wins"] + r["losses"])),))
 
 
-def mid_ranks(rows: DataFrame, keys: list[str], value: Column, name: str = "rank", parts: int = 200) -> DataFrame:
-    """``rows`` with average ranks over ties, and the number of ties, for a numeric value.
+def value_ranks(rows: DataFrame, keys: list[str], value: Column, parts: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The distinct values of each group with their counts and the rank of their last row, and the ranges' bases.
 
-    Ranks come from the counts of the distinct values.  The values of a group are cut into
-    ``parts`` ranges at approximate quantiles; a running sum orders the values of one range,
-    and another the ranges, so no task orders a whole group.  The cuts only balance the work.
+    The values of a group are cut into ``parts`` ranges at approximate quantiles; a running sum orders the
+    values of one range, and another the ranges, so no task orders a whole group.  The cuts only balance
+    the work.  Columns: ``__v, __c, __part, __upto`` and ``__part, __base``.
     """
     v = rows.withColumn("__v", value)
     counts = v.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
@@ -118,9 +118,15 @@ def mid_ranks(rows: DataFrame, keys: list[str], value: Column, name: str = "rank
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__base"))
     within = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = placed.withColumn("__upto", within).join(bases, [*keys, "__part"])
-    ranked = local.select(*keys, "__v", (F.col("__base") + F.col("__upto") - (F.col("__c") - 1) / 2).alias(name), F.col("__c").alias(f"{name}_ties"))
-    return v.join(ranked, [*keys, "__v"]).drop("__v")
+    local = placed.withColumn("__in", within).join(bases, [*keys, "__part"])
+    return local.select(*keys, "__v", "__c", "__part", (F.col("__base") + F.col("__in")).alias("__upto")), bases
+
+
+def mid_ranks(rows: DataFrame, keys: list[str], value: Column, name: str = "rank", parts: int = 200) -> DataFrame:
+    """``rows`` with average ranks over ties, and the number of ties, for a numeric value, by ``value_ranks``."""
+    ranks, _ = value_ranks(rows, keys, value, parts)
+    ranked = ranks.select(*keys, "__v", (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name), F.col("__c").alias(f"{name}_ties"))
+    return rows.withColumn("__v", value).join(ranked, [*keys, "__v"]).drop("__v")
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str], d: str) -> DataFrame:
@@ -164,10 +170,32 @@ def _in_tail(statistic: Column, observed: Column, alternative: str) -> Column:
     return F.abs(statistic) >= F.abs(observed) - slack
 
 
+def _flip_share(x, observed: float, alternative: str) -> float:
+    """The share of the sign flips of ``x`` that ``_in_tail`` holds: sums of one half against the sorted sums of the other."""
+
+    def sums(v):
+        out = np.zeros(1)
+        for one in v:
+            out = np.concatenate([out + one, out - one])
+        return out
+
+    left, right, slack = sums(x[: len(x) // 2]), np.sort(sums(x[len(x) // 2 :])), abs(observed) * 1e-12
+    from_up = lambda t: int((len(right) - np.searchsorted(right, t - left, "left")).sum())
+    upto = lambda t: int(np.searchsorted(right, t - left, "right").sum())
+    if alternative == "greater":
+        count = from_up(observed - slack)
+    elif alternative == "less":
+        count = upto(observed + slack)
+    else:
+        least = abs(observed) - slack
+        count = from_up(least) + upto(-least) if least > 0 else 2 ** len(x)
+    return count / 2 ** len(x)
+
+
 def permutation_test(pairs: DataFrame, keys: list[str], d: str, resamples: int = 1000, seed: int = 0, unit: str = "record_id", alternative: str = "two-sided") -> DataFrame:
     """Per key: the sign-flip test over the non-zero differences, ``observed_sum, p_value, method, n``.
 
-    Up to 20 of them all 2^n flips are counted; more get at least ``resamples`` random ones with the
+    Up to 20 of them all 2^n flips are counted, from the 2^(n/2) sums of each half; more get at least ``resamples`` random ones with the
     add-one p.  A row's sign in a resample is one bit of a hash of its ``unit``, so each resample is a
     sum that Spark aggregates with partial sums.  A key whose differences are all zero has p = 1.
     """
@@ -180,13 +208,9 @@ def permutation_test(pairs: DataFrame, keys: list[str], d: str, resamples: int =
     z = rows.where("__x <> 0").join(sizes, keys)
     few, many = z.where(F.col("n") <= EXACT_FLIPS), z.where(F.col("n") > EXACT_FLIPS)
 
-    # twenty values at most meet in an array; flips are built a value at a time from the sums so far
-    held = few.groupBy(*keys).agg(F.collect_list("__x").alias("xs"), F.first("observed_sum").alias("observed_sum"), F.first("n").alias("n"))
-    flips = held.select(*keys, "observed_sum", "n", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int)) - 1"))).alias("flip"))
-    sign = lambda i: F.when(F.expr("flip").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0, 1.0).otherwise(-1.0)
-    flipped = F.aggregate(F.transform("xs", lambda x, i: x * sign(i)), F.lit(0.0), lambda acc, x: acc + x)
-    tails = flips.select(*keys, "observed_sum", _in_tail(flipped, F.col("observed_sum"), alternative).alias("in"))
-    exact = tails.groupBy(*keys).agg((F.count_if("in") / F.count("*")).alias("p_value"))
+    # twenty values at most meet in an array
+    held = few.groupBy(*keys).agg(F.collect_list("__x").alias("__xs"), F.first("observed_sum").alias("observed_sum"))
+    exact = _finish(held, ["p_value"], lambda r: (_flip_share(np.array(r["__xs"]), r["observed_sum"], alternative),)).select(*keys, "p_value")
 
     draws = -(-resamples // 60)
     h = many.select(*keys, "observed_sum", "__x", F.col("__id"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("h", F.xxhash64("__id", "draw", F.lit(seed)))

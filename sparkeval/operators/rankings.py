@@ -9,7 +9,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming.progress import shared_folder
 
 MAX_ITEMS = 2000
 
@@ -111,3 +115,50 @@ def elo(n: int, pairs, k: float = 32.0, start: float = 1500.0):
                 r[a] += gain
                 r[b] -= gain
     return r
+
+
+def elo_fold(games: DataFrame, order: list[str], k: float = 32.0, start: float = 1500.0, part_rows: int = 1_000_000, max_items: int = MAX_ITEMS) -> DataFrame:
+    """``item, strength, method``: ratings after all ``games(a, b, score, games)`` in the order of ``order``.
+
+    A row stands for ``games`` games of the same outcome in a row (1, 0 or 0.5 for a).  Ratings depend on
+    all games before, so this is a fold: the rows are sorted into parts of about ``part_rows``, a task folds one part
+    at a time, and only the ratings, ``max_items`` numbers at most, pass from part to part.  A run of equal
+    games ends early once a game moves nothing.  Rows that tie in ``order`` have no order of their own: name one that
+    has no ties.
+    """
+    spark, at = games.sparkSession, [f"o{i}" for i in range(len(order))]
+    rows = games.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("score").cast("double").alias("score"), F.col("games").cast("long").alias("games"), *[F.col(c).alias(o) for c, o in zip(order, at, strict=True)])
+    folder = shared_folder(spark)
+    rows.write.parquet(f"{folder}/games")
+    rows = spark.read.parquet(f"{folder}/games")
+    names = rows.select("a").union(rows.select("b")).distinct().limit(max_items + 1).collect()
+    if not 2 <= len(names) <= max_items:
+        raise ValueError(f"a ranking needs 2 to {max_items} items")
+    parts = max(1, -(-rows.count() // part_rows))
+    ordered = rows.repartitionByRange(parts, *at).withColumn("part", F.spark_partition_id())
+    ordered.write.partitionBy("part").parquet(f"{folder}/parts")
+    ordered = spark.read.parquet(f"{folder}/parts")
+    ratings = {r[0]: start for r in names}
+    for part in sorted(r[0] for r in ordered.select("part").distinct().collect()):
+
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            now = dict(ratings)  # noqa: B023  each part's job is done before the next ratings are known
+            for a, b, score, games in pdf.sort_values(at)[["a", "b", "score", "games"]].itertuples(index=False):
+                x, y = now[a], now[b]
+                for _ in range(games):
+                    gain = k * (score - 1 / (1 + 10 ** ((y - x) / 400)))
+                    if x + gain == x and y - gain == y:
+                        break
+                    x, y = x + gain, y - gain
+                now[a], now[b] = x, y
+            return pd.DataFrame({"item": list(now), "strength": list(now.values())})
+
+        state = ordered.where(F.col("part") == part).groupBy("part").applyInPandas(fold, "item string, strength double").collect()
+        ratings = {r["item"]: r["strength"] for r in state}
+    return spark.createDataFrame([(x, ratings[x], "elo") for x in sorted(ratings)], "item string, strength double, method string")
+
+
+def games_of(counts: DataFrame) -> DataFrame:
+    """The games of pair counts, pair by pair: all wins of a, then of b, then ties."""
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(score).alias("score"), F.col(c).cast("long").alias("games")) for i, (score, c) in enumerate(((1.0, "wins_a"), (0.0, "wins_b"), (0.5, "ties")))])
+    return counts.select("a", "b", F.explode(each).alias("g")).select("a", "b", "g.*").where("games > 0")

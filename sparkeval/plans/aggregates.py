@@ -129,6 +129,39 @@ def agg18b_latency_intervals(spark, sf_dir):
     return poisson_bootstrap_mean(e, ["suite"], "user_id", "value", 200, 5)
 
 
+@query()
+def agg18c_latency_quantile_intervals(spark, sf_dir):
+    """Median and 95th percentile of the latency with cluster-bootstrap limits, users being the clusters."""
+    from ..operators.resampling import cluster_quantiles
+
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'").withColumn("suite", F.col("user_id") % 10)
+    return cluster_quantiles(e, ["suite"], "user_id", "value", [0.5, 0.95], 200, 5)
+
+
+def _wilson_sql(k: str, n: str) -> str:
+    z = "1.959963984540054"
+    side = lambda s: f"round(({k} / {n} + {z} ^ 2 / (2 * {n}) {s} {z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {z} ^ 2 / (4 * {n} * {n}))) / (1 + {z} ^ 2 / {n}), 9)"
+    return f"{side('-')} AS {{0}}_low, {side('+')} AS {{0}}_high"
+
+
+@query(f"""WITH b AS (SELECT event_id // 3 AS case_id, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens FROM events),
+c AS (SELECT case_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error' AND tokens >= 3) AS correct, sum(tokens) AS tokens,
+ count(DISTINCT event_type) = 1 AND bool_and(event_type <> 'error') AS consistent FROM b GROUP BY case_id),
+t AS (SELECT count(*)::DOUBLE AS cases, sum((correct >= requests // 2 + 1)::INT)::DOUBLE AS majority, sum(consistent::INT) AS consistent, sum(requests)::DOUBLE AS requests, sum(failures)::DOUBLE AS failures, sum(correct) AS correct, sum(tokens) AS tokens FROM c)
+SELECT cases::BIGINT AS cases, majority::BIGINT AS majority_correct, round(majority / cases, 9) AS accuracy, {_wilson_sql("majority", "cases").format("accuracy")}, requests::BIGINT AS requests, correct::BIGINT AS correct_requests,
+ round(correct / requests, 9) AS request_accuracy, consistent::BIGINT AS consistent, failures::BIGINT AS failures, round(failures / requests, 9) AS failure_rate, {_wilson_sql("failures", "requests").format("failure")},
+ tokens::BIGINT AS input_tokens, (2 * tokens)::BIGINT AS output_tokens, round((tokens * 1.5 + 2 * tokens * 7.5) / 1000000, 9) AS cost FROM t""")
+def agg17b_benchmark_summary(spark, sf_dir):
+    """The headline row: majority accuracy and failures with Wilson limits, consistency, tokens and list price."""
+    tokens = F.get_json_object("props", "$.k").cast("long")
+    rows = table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 3).alias("case_id"), F.lit("all").alias("category"), F.col("event_type").alias("response"), (F.col("event_type") == "error").alias("failed"),
+        ((F.col("event_type") != "error") & (tokens >= 3)).alias("correct"), tokens.alias("input_tokens"), (2 * tokens).alias("output_tokens"),
+    )
+    made = G.benchmark_summary(rows, 1.5, 7.5)
+    return made.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes])
+
+
 @query("""SELECT coalesce(l_returnflag, 'all') AS slice, coalesce(l_linestatus, 'all') AS metric, count(*) AS n, round(avg(l_quantity), 6) AS value, round(quantile_cont(l_quantity, 0.9), 6) AS p90
  FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def agg20_slice_rollup(spark, sf_dir):

@@ -93,9 +93,19 @@ def st27_davidson(spark, sf_dir):
 
 @query()
 def st28_descriptive_elo(spark, sf_dir):
-    from ..operators.rankings import elo
+    from ..operators.rankings import elo_fold, games_of
 
-    return _ranking(spark, sf_dir, elo)
+    return elo_fold(games_of(P.pair_outcomes(outcomes(spark, sf_dir))), ["a", "b", "kind"])
+
+
+@query()
+def st28b_elo_in_order(spark, sf_dir):
+    """The ratings after every judged pair, one by one in the order of assignments."""
+    from ..operators.rankings import elo_fold
+
+    score = F.when(F.col("verdict") == "A", 1.0).when(F.col("verdict") == "B", 0.0).otherwise(0.5)
+    games = outcomes(spark, sf_dir).select("assignment", "line", F.col("variant_a").alias("a"), F.col("variant_b").alias("b"), score.alias("score"), F.lit(1).alias("games"))
+    return elo_fold(games, ["assignment", "line"])
 
 
 @query("""SELECT r.r_name AS record_key, a.n_name AS left_variant, b.n_name AS right_variant, s AS slot, rep AS repetition FROM region r, nation a, nation b, range(2) t(s), range(2) u(rep) WHERE a.n_name < b.n_name AND a.n_regionkey = 1 AND b.n_regionkey = 1""")

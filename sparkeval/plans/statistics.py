@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as R
 from ..operators import inference as I
+from ..operators import resampling as S
 from ..registry import query
 from ..views import raters, table, with_views
 from .comparison import ALIGNED, _aligned
@@ -42,9 +43,19 @@ def st04_exact_intervals(spark, sf_dir):
 @query()
 def st06_bootstrap_groups(spark, sf_dir):
     """Percentile intervals of the median of each supplier nation's account balances."""
-    import numpy as np
+    return S.bootstrap_quantile(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal", 0.5, "percentile", 200, 3)
 
-    return I.bootstrap_groups(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal", np.median, "percentile", 200, 3)
+
+@query()
+def st07b_stratified_bootstrap(spark, sf_dir):
+    """The mean price of each status of orders, by resamples that keep the number of orders of each priority."""
+    return S.bootstrap_sums(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", resamples=200, seed=11, stratum="o_orderpriority")
+
+
+@query()
+def st07c_cluster_bootstrap(spark, sf_dir):
+    """The mean price of each status of orders, by resamples of whole customers."""
+    return S.bootstrap_sums(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", resamples=200, seed=11, cluster="o_custkey")
 
 
 @query()
@@ -221,8 +232,6 @@ def st15_paired_bootstrap_test(spark, sf_dir):
 @query()
 def st08_quantile_bootstrap(spark, sf_dir):
     """Basic and BCa intervals of a quantile and a mean, by group."""
-    import numpy as np
-
     s = table(spark, sf_dir, "supplier")
-    low = I.bootstrap_groups(s, ["s_nationkey"], "s_acctbal", lambda x: float(np.quantile(x, 0.9)), "basic", 200, 3).withColumn("method", F.lit("basic"))
-    return low.unionByName(I.bootstrap_groups(s, ["s_nationkey"], "s_acctbal", np.mean, "bca", 200, 3).withColumn("method", F.lit("bca")))
+    low = S.bootstrap_quantile(s, ["s_nationkey"], "s_acctbal", 0.9, "basic", 200, 3).withColumn("method", F.lit("basic"))
+    return low.unionByName(S.bootstrap_sums(s, ["s_nationkey"], "s_acctbal", method="bca", resamples=200, seed=3).drop("n_effective").withColumn("method", F.lit("bca")))

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkeval.functions import special
 from sparkeval.functions.json_walk import json_changes
-from sparkeval.operators import agreement, datasets
+from sparkeval.operators import agreement, aggregates, datasets, inference, rankings, resampling
 
 
 # --- recursive differences ---
@@ -106,3 +107,146 @@ def test_kendall_equals_all_pairs(spark, monkeypatch, n, ties):
     plan = agreement.kendall_tau_b(df, "a", "b")
     got, want = plan.first()["tau_b"], plain_tau_b(x, y)
     assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-12)
+
+
+# --- resampling ---
+
+
+def classic(x, statistic, method, resamples, seed, confidence=0.95):
+    rng = np.random.default_rng(seed)
+    draws, est = np.array([statistic(rng.choice(x, len(x))) for _ in range(resamples)]), statistic(x)
+    acc = 0.0
+    if method == "bca":
+        jack = np.array([statistic(np.delete(x, i)) for i in range(len(x))])
+        dev = jack.mean() - jack
+        acc = (dev**3).sum() / (6 * (dev**2).sum() ** 1.5) if dev.any() else 0.0
+    return resampling.limits(draws, est, method, confidence, acc)
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x), f"c{i % 40}", f"s{i % 3}") for i, x in enumerate(rng.gamma(2, 10, 3000))]
+    rows += [("b", float(x), f"c{i % 25}", "s") for i, x in enumerate(np.round(rng.normal(5, 2, 400)))]
+    rows += [("few", float(x), "c", "s") for x in (1, 2, 2, 7)] + [("one", 3.0, "c", "s"), ("a", None, "c", "s")]
+    df = spark.createDataFrame(rows, "k string, x double, c string, s string").repartition(3).cache()
+    return df, {k: np.array([r[1] for r in rows if r[0] == k and r[1] is not None]) for k in ("a", "b", "few", "one")}
+
+
+@pytest.mark.parametrize("method", resampling.METHODS)
+@pytest.mark.parametrize("p", [0.5, 0.9])
+def test_quantile_bootstrap_has_the_classic_limits(grouped, method, p):
+    df, groups = grouped
+    got = {r["k"]: r for r in resampling.bootstrap_quantile(df, ["k"], "x", p, method, 4000, 1).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert got[k]["estimate"] == pytest.approx(np.quantile(x, p)) and got[k]["n"] == len(x)
+        if k in ("a", "b"):
+            want = classic(x, lambda v: np.quantile(v, p), method, 4000, 1)
+            assert (got[k]["lower"], got[k]["upper"]) == pytest.approx(want, abs=0.06 * x.std()), k
+    assert got["few"]["warnings"] == "VERY_SMALL_SAMPLE,UNSTABLE_INTERVAL" and got["a"]["warnings"] == ""
+    assert "ZERO" not in got["one"]["warnings"] and got["one"]["lower"] == got["one"]["upper"] == 3.0
+
+
+@pytest.mark.parametrize("values", [20_000, 64])
+@pytest.mark.parametrize("method", resampling.METHODS)
+def test_bootstrap_of_sums_has_the_classic_limits(grouped, method, values, monkeypatch):
+    monkeypatch.setattr(resampling, "BIN_VALUES", values)
+    df, groups = grouped
+    for statistic, features, plain in ((resampling.mean_of, lambda x: [x], np.mean), (resampling.sd_of, lambda x: [x, x * x], lambda v: np.std(v, ddof=1) if len(v) > 1 else 0.0)):
+        got = {r["k"]: r for r in resampling.bootstrap_sums(df, ["k"], "x", statistic, features, method, 2000, 3).collect()}
+        assert set(got) == set(groups)
+        for k in ("a", "b"):
+            want = classic(groups[k], plain, method, 2000, 3)
+            assert got[k]["estimate"] == pytest.approx(plain(groups[k])) and got[k]["n"] == len(groups[k])
+            assert got[k]["upper"] - got[k]["lower"] == pytest.approx(want[1] - want[0], rel=0.1)
+            assert (got[k]["lower"], got[k]["upper"]) == pytest.approx(want, abs=0.15 * (want[1] - want[0])), (k, method)
+
+
+def test_strata_keep_their_sizes(spark):
+    rows = [("k", 100.0 * s + i % 3, s) for s in range(4) for i in range(30 * (s + 1))]
+    df = spark.createDataFrame([*rows, ("k", 9.0, None)], "k string, x double, s int")
+    free = resampling.bootstrap_sums(df, ["k"], "x", resamples=1000).first()
+    kept = resampling.bootstrap_sums(df, ["k"], "x", resamples=1000, stratum="s").first()
+    assert kept["estimate"] == pytest.approx(free["estimate"]) and kept["n"] == 301
+    sd = np.sqrt(sum((30 * (s + 1) / 301) ** 2 * np.var([i % 3 for i in range(30 * (s + 1))]) / (30 * (s + 1)) for s in range(4)))
+    assert kept["upper"] - kept["lower"] == pytest.approx(2 * 1.96 * sd, rel=0.1)  # within strata alone
+    assert free["upper"] - free["lower"] > 20 * (kept["upper"] - kept["lower"])
+
+
+def test_clusters_are_drawn_whole(grouped):
+    df, _ = grouped
+    got = {r["k"]: r for r in resampling.bootstrap_sums(df, ["k"], "x", resamples=2000, cluster="c").collect()}
+    pdf = df.where("x is not null").toPandas()
+    for k in ("a", "b"):
+        sums = pdf[pdf.k == k].groupby("c")["x"].agg(["sum", "count"]).to_numpy()
+        rng = np.random.default_rng(8)
+        picks = [sums[rng.integers(len(sums), size=len(sums))].sum(axis=0) for _ in range(4000)]
+        want = np.quantile([a / n for a, n in picks], [0.025, 0.975])
+        assert (got[k]["lower"], got[k]["upper"]) == pytest.approx(want, abs=0.12 * (want[1] - want[0]))
+        assert got[k]["n_effective"] == len(sums) and got[k]["warnings"] == ""
+    assert got["few"]["n_effective"] == 1 and got["few"]["warnings"] == "VERY_SMALL_SAMPLE,TOO_FEW_CLUSTERS"
+
+
+def test_cluster_quantiles_are_exact_for_their_weights(grouped):
+    df, groups = grouped
+    b = 300
+    got = {(r["k"], r["p"]): r for r in resampling.cluster_quantiles(df, ["k"], "c", "x", [0.5, 0.95], b, 4).collect()}
+    pdf = df.where("x is not null").withColumn("u", F.xxhash64("c", "k")).toPandas()
+    for k in groups:
+        part = pdf[pdf.k == k]
+        w = resampling.cluster_weights(part["u"].to_numpy(), b, 4)
+        for p in (0.5, 0.95):
+            draws = [np.quantile(np.repeat(part["x"].to_numpy(), w[:, i]), p) for i in range(b) if w[:, i].sum()]
+            r = got[k, p]
+            assert (r["lower"], r["upper"]) == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])))
+            assert r["estimate"] == pytest.approx(np.quantile(part["x"], p)) and (r["n"], r["n_clusters"]) == (len(part), part["c"].nunique())
+
+
+def test_cluster_weights_are_poisson():
+    w = resampling.cluster_weights(np.arange(-500, 500), 400, 3)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+
+
+# --- ratings, flips, the benchmark's summary ---
+
+
+def test_elo_fold_equals_the_sequential_fold(spark):
+    rng = random.Random(3)
+    games = [(i, *rng.sample("abcd", 2), rng.choice([1.0, 0.0, 0.5]), rng.choice([1, 1, 3])) for i in range(900)] + [(900, "a", "b", 0.5, 10**12)]
+    want = dict.fromkeys("abcd", 1500.0)
+    for _, a, b, score, n in games:
+        for _ in range(min(n, 5000)):  # ties settle long before
+            gain = 32.0 * (score - 1 / (1 + 10 ** ((want[b] - want[a]) / 400)))
+            want[a] += gain
+            want[b] -= gain
+    shuffled = rng.sample(games, len(games))
+    df = spark.createDataFrame(shuffled, "i int, a string, b string, score double, games long")
+    got = {r["item"]: r["strength"] for r in rankings.elo_fold(df, ["i"], part_rows=100).collect()}
+    assert got == want
+    counts = spark.createDataFrame([("x", "y", 18, 2, 5), ("x", "z", 15, 5, 4), ("y", "z", 12, 8, 3)], "a string, b string, wins_a int, wins_b int, ties int")
+    elo = {r["item"]: r["strength"] for r in rankings.elo_fold(rankings.games_of(counts), ["a", "b", "kind"], part_rows=2).collect()}
+    assert list(elo.values()) == pytest.approx(list(rankings.elo(3, [(0, 1, 18, 2, 5), (0, 2, 15, 5, 4), (1, 2, 12, 8, 3)]))) and sum(elo.values()) == pytest.approx(4500)
+
+
+@pytest.mark.parametrize("alternative", inference.ALTERNATIVES)
+def test_exact_flips_equal_all_flips(spark, alternative):
+    rng = random.Random(6)
+    groups = {k: [rng.choice([-2, -1, 1, 2, 0.1, rng.gauss(1, 1)]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 9), ("d", 14))}
+    groups["zero"] = [1.0, -1.0]
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in groups.items() for i, x in enumerate(v)], "k string, i int, x double")
+    got = {r["k"]: r for r in inference.permutation_test(df, ["k"], "x", unit="i", alternative=alternative).collect()}
+    for k, v in groups.items():
+        flips = np.array([[1 if f >> j & 1 else -1 for j in range(len(v))] for f in range(2 ** len(v))]) @ np.array(v)
+        total, slack = sum(v), 1e-9
+        tail = {"two-sided": np.abs(flips) >= abs(total) - slack, "greater": flips >= total - slack, "less": flips <= total + slack}[alternative]
+        assert got[k]["p_value"] == pytest.approx(tail.mean()), (k, v)
+
+
+def test_benchmark_summary(spark):
+    rows = [("a", "A", "yes", False, True), ("a", "A", "yes", False, True), ("a", "A", None, True, False), ("b", "B", "yes", False, False), ("b", "B", "no", False, True), ("b", "B", "yes", False, False)]
+    df = spark.createDataFrame([(*r, 8, 2) for r in rows], "case_id string, category string, response string, failed boolean, correct boolean, input_tokens long, output_tokens long")
+    r = aggregates.benchmark_summary(df, 1.5, 7.5, 3).first()
+    assert (r["majority_correct"], r["accuracy"], r["correct_requests"], r["failures"], r["consistent"]) == (1, 0.5, 3, 1, 0)
+    assert r["input_tokens"] + r["output_tokens"] == 60 and r["cost"] == pytest.approx((48 * 1.5 + 12 * 7.5) / 1e6)
+    assert (r["failure_low"], r["failure_high"]) == pytest.approx(special.wilson(1, 6, 0.95)) and (r["accuracy_low"], r["accuracy_high"]) == pytest.approx(special.wilson(1, 2, 0.95))
