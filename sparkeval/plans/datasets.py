@@ -171,6 +171,23 @@ def ds15_contamination_matches(spark, sf_dir):
     return D.contamination_matches(left, right, threshold=0.05).select("left_key", "right_key", F.round("similarity", 9).alias("similarity"))
 
 
+@query("""WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents),
+l AS (SELECT min(key) AS key, count(*) AS rows, g FROM (SELECT key, list_sort(list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)])) AS g FROM w) GROUP BY g),
+v AS (SELECT (item_id + 1000000)::VARCHAR AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM benchmark UNION ALL SELECT key, t FROM w WHERE key::BIGINT % 7 = 0),
+r AS (SELECT min(key) AS key, count(*) AS rows, g FROM (SELECT key, list_sort(list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)])) AS g FROM v) GROUP BY g),
+le AS (SELECT key, rows, len(g) AS n, unnest(g) AS x FROM l), re AS (SELECT key, rows, len(g) AS n, unnest(g) AS x FROM r),
+p AS (SELECT le.key AS a, re.key AS b, any_value(le.rows) AS ar, any_value(re.rows) AS br, count(*) AS c, max(le.n) AS nl, max(re.n) AS nr FROM le JOIN re USING (x) GROUP BY ALL),
+m AS (SELECT a, b, ar, br, c / (nl + nr - c) AS s FROM p WHERE c / (nl + nr - c) >= 0.8 UNION ALL SELECT l.key, r.key, l.rows, r.rows, 1.0 FROM l, r WHERE len(l.g) = 0 AND len(r.g) = 0)
+SELECT a AS left_key, b AS right_key, round(s, 9) AS similarity, ar AS left_rows, br AS right_rows, ar * br AS links, row_number() OVER (ORDER BY s DESC, a, b) AS position FROM m""")
+def ds15b_contamination_classes(spark, sf_dir):
+    """Texts against the benchmark and every seventh text, alike to 0.8: linked classes, in order."""
+    left = records_v1(spark, sf_dir).select("key", "text")
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000).cast("string").alias("key"), "text")
+    pairs, _, _ = D.contamination_classes(left, items.unionByName(left.where("cast(key as bigint) % 7 = 0")))
+    made = pairs.select(F.col("left_first").alias("left_key"), F.col("right_first").alias("right_key"), "similarity", "left_rows", "right_rows", "links")
+    return D.ordered_matches(made).withColumn("similarity", F.round("similarity", 9))
+
+
 def _signed(spark, sf_dir):
     """Exact signatures (128 permutations, BLAKE2b) of all records and the benchmark's items."""
     from ..functions.canonical import minhash_signature

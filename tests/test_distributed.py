@@ -250,3 +250,25 @@ def test_benchmark_summary(spark):
     assert (r["majority_correct"], r["accuracy"], r["correct_requests"], r["failures"], r["consistent"]) == (1, 0.5, 3, 1, 0)
     assert r["input_tokens"] + r["output_tokens"] == 60 and r["cost"] == pytest.approx((48 * 1.5 + 12 * 7.5) / 1e6)
     assert (r["failure_low"], r["failure_high"]) == pytest.approx(special.wilson(1, 6, 0.95)) and (r["accuracy_low"], r["accuracy_high"]) == pytest.approx(special.wilson(1, 2, 0.95))
+
+
+# --- contamination by classes ---
+
+
+def test_many_empty_and_equal_texts_give_few_rows(spark):
+    copies = [(f"c{i}", "the quick brown fox jumps over the lazy dog") for i in range(5000)]
+    rows = [(f"e{i}", None if i % 2 else " short ") for i in range(10_000)] + copies + [("own", "nothing that any other text here would say")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    pairs, left, right = datasets.contamination_classes(df, df)
+    got = {(r["left_first"], r["right_first"]): (r["similarity"], r["links"]) for r in pairs.collect()}
+    assert got == {("e0", "e0"): (1.0, 10_000**2), ("c0", "c0"): (1.0, 5000**2), ("own", "own"): (1.0, 1)}
+    assert left.count() == right.count() == len(rows) and left.groupBy("class").count().count() == 3
+
+
+def test_positions_are_those_of_one_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(5) / 4, f"l{rng.randrange(50)}", f"r{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "similarity double, left_key string, right_key string").repartition(5)
+    got = {r["right_key"]: r["position"] for r in datasets.ordered_matches(df).collect()}
+    want = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+    assert got == {r[2]: i for i, r in enumerate(want, 1)}
