@@ -33,6 +33,7 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import html
 import re
 
@@ -54,6 +55,8 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
+#: The open elements that a start tag closes: a block ends the paragraph around it.
+CLOSED_BY = {t: (("p",) if t in BLOCKS and t != "br" else ()) + CLOSES.get(t, ()) for t in BLOCKS | CLOSES.keys()}
 SCOPE = frozenset("html body article main section div table ul ol dl nav aside header footer form td th blockquote figure button".split())
 NOISE_TAGS = frozenset("head nav menu aside footer form button dialog input label fieldset".split())
 OUTER_NOISE = frozenset(("header",))  # noise only outside the main container
@@ -133,7 +136,13 @@ class Page:
     def __init__(self, page: str | None):
         root = _Node("", "", None)
         self.nodes, self.events = [root], []
-        self._read(page or "", root)
+        collects = gc.isenabled()
+        gc.disable()  # all that reading makes is kept: to look through it again and again for garbage takes time
+        try:
+            self._read(page or "", root)
+        finally:
+            if collects:
+                gc.enable()
         self.has_main = root.holds
         for n in reversed(self.nodes):
             for c in n.parts:
@@ -214,15 +223,12 @@ class Page:
                             break
                 continue
             attrs = m["own"] if raw else m["attrs"]
-            closes = ("p",) if block and tag != "br" else ()
-            closes += CLOSES.get(tag, ())
-            frame = stack[-1].frame
-            if closes and any(frame.get(c) for c in closes):
-                k = len(stack) - 1
-                while stack[k].tag not in closes:
-                    k -= 1
-                while len(stack) > k:
-                    pop()
+            closes, frame = CLOSED_BY.get(tag, ()), stack[-1].frame
+            for c in closes:
+                if frame.get(c):
+                    while pop() not in closes:
+                        pass
+                    break
             node = _child(stack[-1], tag, attrs)
             self.nodes.append(node)
             if tag not in VOID and not attrs.rstrip().endswith("/") or tag in MAIN:
