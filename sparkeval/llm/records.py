@@ -212,12 +212,16 @@ def _listed(values: pa.Array) -> list:
 
 
 def cuts_at_space(rules: dict) -> bool:
-    """Whether white space only ever separates pieces for a tokenizer, as read from its own JSON."""
+    """Whether white space only ever separates pieces for a tokenizer that lower-cases, as read from its own JSON.
+
+    It must have each rule that encoding by words relies on; another one is given whole texts.
+    """
     normal = (rules.get("normalizer") or {}).get("normalizers", [])
     split = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     pattern = split.get("pattern", {}).get("Regex", "")
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and pattern.endswith(r"|[^\s\p{L}\p{N}]+") and " " not in pattern
     plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
+    plain = plain and {"NFC", "Lowercase"} <= {n["type"] for n in normal}  # words are normalised and lower-cased one by one
     whole = not any(c.isspace() for t in rules["added_tokens"] for c in t["content"]) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
     return bool(drops and plain and whole and not (rules["truncation"] or rules["padding"]))
 

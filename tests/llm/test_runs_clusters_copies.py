@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeval.llm import centroids, exact, periodic, queries
+from sparkeval.llm import centroids, exact, periodic, queries, records
 
 CLASH = ("id", "n", "full", "runs", "cluster", "distance", "keep_id", "kept", "group_size", "text_sha256", "__id", "__x", "__len", "c", "s")
 TEXTS = [None, "", " \t\n", "one", "a a a a a a", "b a b a b a b a c", " x x y  x", "x" * 30_000, "la " * 40_000, "again and again", "again and again", "", "A", "a"]
@@ -232,3 +232,26 @@ def test_equals_sql(name, spark, sf):
     got = queries.queries()[name](spark, sf)
     want = con.execute(queries.oracle_sql()[name]).fetchdf()[got.columns]
     assert sorted(map(ORDER, got.collect())) == sorted(map(ORDER, want.itertuples(index=False)))
+
+
+# --- 6 token records: tokenizers that miss a rule ---
+
+
+@pytest.mark.parametrize("without", ["Lowercase", "NFC"])
+def test_a_tokenizer_without_a_rule_gets_whole_texts(tmp_path, without):
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        rules = json.load(f)
+    rules["normalizer"]["normalizers"] = [n for n in rules["normalizer"]["normalizers"] if n["type"] != without]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    assert not records.cuts_at_space(rules)
+    texts = ["Hello WORLD, The Cat.", "café Café", "", "a\tB  c"]
+    ids, begin = records.encoder_of(str(path), 2).encode(pa.array(texts))
+    whole = Tokenizer.from_file(str(path))
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
