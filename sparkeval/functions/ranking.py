@@ -100,3 +100,37 @@ def citations(answer: Column) -> Column:
 def citation_validity(cited: Column, known: Column) -> Column:
     """The share of citations, repeats counted, of known sources; none gives 0."""
     return F.coalesce(rate(F.size(F.filter(cited, lambda x: F.array_contains(known, x))), F.size(cited)), F.lit(0.0))
+
+
+def citation_scores(answer: Column, known: Column, required: Column) -> Column:
+    """``presence, validity, correctness, completeness`` of an answer's citations.
+
+    Correctness is the share of the cited ids that are known and required by labelled claims, completeness that of the
+    required ids that are cited; both are null where no claim has a label, not inferred.  Repeats count in validity alone.
+    """
+
+    def scores(cited: Column) -> Column:
+        ids, wanted = F.array_distinct(cited), F.array_distinct(F.coalesce(required, F.array().cast("array<string>")))
+        right = F.array_intersect(F.array_intersect(ids, known), wanted)
+        labelled = F.size(wanted) > 0
+        return F.struct(
+            (F.size(cited) > 0).cast("double").alias("presence"),
+            citation_validity(cited, known).alias("validity"),
+            F.when(labelled, F.coalesce(rate(F.size(right), F.size(ids)), F.lit(0.0))).alias("correctness"),
+            F.when(labelled, rate(F.size(F.array_intersect(ids, wanted)), F.size(wanted))).alias("completeness"),
+        )
+
+    return let(citations(answer), scores)
+
+
+def checked_judgment(score: Column, confidence: Column, justification: Column) -> Column:
+    """The score of an evidence judgment; one outside of [0, 1], or without a justification, fails the query."""
+    inside = F.coalesce(score.between(0, 1) & confidence.between(0, 1), F.lit(False))
+    told = F.coalesce(F.length(F.regexp_replace(justification, r"(?U)\s+", "")) > 0, F.lit(False))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("double")
+    return F.when(~inside, wrong("judge score and confidence must be in [0, 1]")).when(~told, wrong("judge justification must not be empty")).otherwise(score.cast("double"))
+
+
+def claim_support(score: Column) -> list[Column]:
+    """Aggregates: mean support of claims, and the share of those without any; null without a judgment."""
+    return [F.avg(score).alias("faithfulness"), F.avg((score == 0).cast("double")).alias("unsupported_claim_rate")]

@@ -323,3 +323,33 @@ def src08_benchmark_cases(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     cases = b.select(F.concat(F.lit(" "), F.col("item_id").cast("string")).alias("id"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.col("text").alias("prompt"), F.array(F.lit(" a "), F.lit("b")).alias("accepted_answers"))
     return readers.benchmark_cases(cases).select("id", "category", "prompt", F.size("accepted_answers").cast("long").alias("n_answers"))
+
+
+@query("SELECT 'docs/' || doc_id AS key, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size, length(text)::BIGINT AS n_chars FROM documents")
+def src11_object_round_trip(spark, sf_dir):
+    """Every text put into the store and read again, its digest verified."""
+    from ..sources.store import get_objects, put_objects
+    from ..streaming.progress import shared_folder
+
+    root = shared_folder(spark)
+    d = table(spark, sf_dir, "documents")
+    put_objects(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("body"), F.sha2("text", 256).alias("expected_sha256")), root)
+    return get_objects(spark, root).select("key", "sha256", "size", F.length(F.col("body").cast("string")).cast("long").alias("n_chars"))
+
+
+@query(with_views("v1", f"""WITH b0 AS (SELECT key, '{{"chars":' || length(text) || ',"digest":"' || sha256(text) || '"}}' AS payload, '{{"lang":"' || lang || '","source":"' || source || '"}}' AS meta, '["' || lang || '"]' AS splits, '{SOURCE}' AS src FROM v1),
+b1 AS (SELECT *, sha256(payload) AS ph FROM b0), b2 AS (SELECT *, sha256({" || ".join(FRAME.format(c) for c in ("key", "ph", "meta", "splits", "src"))}) AS eh FROM b1),
+v AS (SELECT sha256(encode('llm-eval-dataset') || unhex('00') || {HEAD7} || unhex(string_agg('0000000000000020' || eh, '' ORDER BY key))) AS content_hash FROM b2)
+SELECT row_number() OVER (ORDER BY key) AS position, '"sha256:' || content_hash || '"' AS etag,
+ sha256('{{"envelope_hash":"' || eh || '","key":"' || key || '","metadata":' || meta || ',"payload":' || payload || ',"payload_hash":"' || ph || '","splits":' || splits || '}}') AS line_hash FROM b2, v"""))
+def snk05_export_version(spark, sf_dir):
+    """The canonical lines of a version in key order, read back from its objects, with the version's ETag."""
+    from ..sources.store import export_version, read_export
+    from ..streaming.progress import shared_folder
+
+    built, root = _built(spark, sf_dir), shared_folder(spark)
+    content_hash = D.version_hash(built, '{"type":"object"}', "{}").first()["content_hash"]
+    manifest = export_version(built, content_hash, root, "v1", part_rows=300)
+    lines = D.positions(read_export(spark, root, "v1"), ["position", "line_number"], "place")
+    etag = manifest.select("position", "etag")
+    return lines.join(F.broadcast(etag), "position").select(F.col("place").alias("position"), "etag", F.sha2("line", 256).alias("line_hash"))

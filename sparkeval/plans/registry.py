@@ -1,18 +1,25 @@
 """The registry of metrics: definitions, and evaluation that isolates errors.
 
-A metric is a function from its configuration to a Column over a sample row.  ``evaluate``
-checks the task type, the required fields and the range, and gives for each sample a
-struct with the value or the reason that there is none.
+A metric is a function from its configuration to a Column over a sample row, or a Python function of
+a sample and the configuration.  ``evaluate`` checks the configuration against the metric's schema, then for each sample the task type, the required
+fields and the range, and gives the value or the reason that there is none.  A Python function that raises fails on that sample alone; a
+Column has to be total, as an error of Spark's ends the query.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import schema_errors, validate
+from ..functions.patterns import safe_match
+
 
 @dataclass(frozen=True)
 class Definition:
@@ -25,39 +32,82 @@ class Definition:
     minimum: float | None = None
     maximum: float | None = None
     version: str = "1"
+    config_schema: dict | None = None
+
+    def __post_init__(self):
+        if not (self.identifier and self.version):
+            raise ValueError("a metric has an identifier and a version")
+        if self.minimum is not None and self.maximum is not None and self.minimum > self.maximum:
+            raise ValueError("the range of a metric is inverted")
 
 
 @dataclass
 class MetricRegistry:
     metrics: dict[str, tuple[Definition, Callable[[dict], Column]]] = field(default_factory=dict)
+    functions: set[str] = field(default_factory=set)
 
     def register(self, definition: Definition, build: Callable[[dict], Column]) -> None:
         if definition.identifier in self.metrics:
             raise ValueError(f"the metric {definition.identifier} is registered already")
         self.metrics[definition.identifier] = definition, build
 
+    def register_function(self, definition: Definition, function: Callable[[dict, dict], float | None]) -> None:
+        """A metric in Python: ``function(sample, config)`` gets the required fields and returns a number, or None where there is none."""
+
+        def build(config: dict) -> Column:
+            @F.pandas_udf("status string, value double, error string")
+            def run(samples: pd.DataFrame) -> pd.DataFrame:
+                out = []
+                for sample in samples.to_dict("records"):
+                    try:
+                        value = function(sample, config)
+                        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value)):
+                            out.append(("invalid_result", None, f"no finite number: {value!r}"))
+                        else:
+                            out.append(("missing" if value is None else "succeeded", value, None))
+                    except Exception as e:  # whatever a plugin raises is its result on this sample
+                        out.append(("failed", None, f"{type(e).__name__}: {e}"))
+                return pd.DataFrame(out, columns=["status", "value", "error"]).astype({"value": "float64"})
+
+            return run(F.struct(*(definition.required or (F.lit(0).alias("none"),))))
+
+        self.register(definition, build)
+        self.functions.add(definition.identifier)
+
     def definition(self, identifier: str) -> Definition:
         if identifier not in self.metrics:
             raise KeyError(f"no metric {identifier}")
         return self.metrics[identifier][0]
 
-    def evaluate(self, samples: DataFrame, identifiers: list[str], config: dict | None = None, sample_id: str = "sample_id") -> DataFrame:
-        """``sample_id, metric, value, status`` in long form."""
-        out = []
+    def evaluate(self, samples: DataFrame, identifiers: list[str], config: dict | None = None, sample_id: str = "sample_id", errors: bool = False) -> DataFrame:
+        """``sample_id, metric, value, status`` (and ``error``) in long form.
+
+        A configuration that its metric's schema refuses is a ``ValueError`` before anything runs.
+        """
+        out, config = [], config or {}
         for i in identifiers:
-            d, build = self.definition(i), self.metrics[i][1]
-            value = build(config or {}).cast("double")
+            d = self.definition(i)
+            if d.config_schema is not None and (found := validate(config, d.config_schema)):
+                raise ValueError(f"{i}: the configuration fails at {found[0][0]} by {found[0][1]}")
+        made = samples
+        for n, i in enumerate(identifiers):
+            d, build = self.metrics[i]
             need = [F.col(r).isNotNull() for r in d.required]
             kinds = [F.col("task_type").isin(*d.task_types)] if d.task_types else []
+            everything = lambda cs: F.coalesce(F.forall(F.array(*cs), lambda c: c), F.lit(False)) if cs else F.lit(True)
+            if i in self.functions:
+                made = made.withColumn(f"__m{n}", build(config))
+                value, own, error = F.col(f"__m{n}.value"), F.nullif(F.col(f"__m{n}.status"), F.lit("succeeded")), F.col(f"__m{n}.error")
+            else:
+                value = build(config).cast("double")
+                own, error = F.when(value.isNull(), "missing"), F.lit(None).cast("string")
             low = [value >= d.minimum] if d.minimum is not None else []
             high = [value <= d.maximum] if d.maximum is not None else []
-            everything = lambda cs: F.coalesce(F.forall(F.array(*cs), lambda c: c), F.lit(False)) if cs else F.lit(True)
-            status = (
-                F.when(~everything(kinds), "wrong_task_type").when(~everything(need), "missing_field").when(value.isNull(), "missing").when(~everything(low + high), "out_of_range").otherwise("succeeded")
-            )
-            out.append(F.struct(F.lit(i).alias("metric"), status.alias("status"), value.alias("value")))
-        rows = samples.select(sample_id, F.explode(F.array(*out)).alias("m")).select(sample_id, "m.*")
-        return rows.withColumn("value", F.when(F.col("status") == "succeeded", F.col("value")))
+            status = F.when(~everything(kinds), "wrong_task_type").when(~everything(need), "missing_field").when(own.isNotNull(), own).when(~everything(low + high), "out_of_range").otherwise("succeeded")
+            out.append(F.struct(F.lit(i).alias("metric"), status.alias("status"), value.alias("value"), F.when(status == "failed", error).when(status == "invalid_result", error).alias("error")))
+        rows = made.select(sample_id, F.explode(F.array(*out)).alias("m")).select(sample_id, "m.*")
+        rows = rows.withColumn("value", F.when(F.col("status") == "succeeded", F.col("value")))
+        return rows if errors else rows.drop("error")
 
 
 OPERATIONAL = (
@@ -73,14 +123,18 @@ def default_registry() -> MetricRegistry:
     from ..functions import similarity as S
     from ..functions import text as X
     from ..functions import trajectory as J
+    from ..functions.vectors import cosine
     from ..operators.operational import field_of
 
     reg = MetricRegistry()
     p, r = "prediction", "reference"
     both = (p, r)
 
-    def add(name, family, build, required=both, direction="maximize", maximum=1.0):
-        reg.register(Definition(name, family, direction, "score", required, (), 0.0, maximum), build)
+    def add(name, family, build, required=both, direction="maximize", maximum=1.0, config=None, minimum=0.0):
+        reg.register(Definition(name, family, direction, "score", required, (), minimum, maximum, config_schema=config), build)
+
+    def wants(**fields):
+        return {"type": "object", "required": list(fields), "properties": fields}
 
     one = lambda c: c.cast("double")
     add("exact-match", "text", lambda c: one(F.col(p) == F.col(r)))
@@ -94,8 +148,18 @@ def default_registry() -> MetricRegistry:
     add("character-error-rate", "text", lambda c: F.when(F.length(r) == 0, one(F.length(p) > 0)).otherwise(X.rate(F.levenshtein(F.col(p), F.col(r)), F.length(r))), direction="minimize", maximum=None)
     add("word-error-rate", "text", lambda c: S.word_error_rate(F.col(p), F.col(r)), direction="minimize", maximum=None)
     add("json-validity", "structure", lambda c: one(F.try_parse_json(p).isNotNull()), (p,))
+    add("json-schema", "structure", lambda c: one(F.size(schema_errors(json.dumps(c["schema"]))(F.col(p))) == 0), (p,), config=wants(schema={"type": "object"}))
+    add("regex-match", "structure", lambda c: one(safe_match(F.col(p), c["pattern"], c.get("full_match", False))), (p,), config=wants(pattern={"type": "string", "minLength": 1, "maxLength": 500}))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    for n in (1, 2):
+        grams = lambda c, n=n: X.let(words(F.col(c)), lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))))
+        add(f"rouge-{n}", "text", lambda c, g=grams: X.precision_recall_f1(g(p), g(r))["f1"])
+    add("semantic-similarity", "text", lambda c: cosine(F.col("prediction_vector"), F.col("reference_vector")), ("prediction_vector", "reference_vector"), minimum=-1.0)
     i, rel = "retrieved_ids", "relevant_ids"
     ranked = (i, rel)
+    gains = lambda: F.map_from_entries(F.transform(F.array_distinct(rel), lambda x: F.struct(x, F.lit(1.0))))
+    add("ndcg-at-k", "retrieval", lambda c: K.ndcg(F.col(i), gains(), c["k"]), ranked, config=wants(k={"type": "integer", "minimum": 1}))
+    add("citation-validity", "retrieval", lambda c: K.citation_scores(F.col(p), F.col(i), F.col(rel))["validity"], (p, i))
     add("precision-at-k", "retrieval", lambda c: K.precision_at(F.col(i), F.col(rel), c["k"]), ranked)
     add("recall-at-k", "retrieval", lambda c: K.recall_at(F.col(i), F.col(rel), c["k"]), ranked)
     add("hit-rate-at-k", "retrieval", lambda c: K.hit_at(F.col(i), F.col(rel), c["k"]), ranked)

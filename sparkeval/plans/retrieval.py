@@ -91,3 +91,31 @@ def rag13_nearest_vectors(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     return nearest(e.where("vec_id % 50 = 0"), e, "vec_id", 10).withColumnRenamed("vec_id", "query")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS query, string_agg('[source:p' || (l_partkey % 7) || ']', ' ' ORDER BY l_linenumber, l_partkey % 7) AS answer, list(DISTINCT 'p' || (l_suppkey % 7)) AS known,
+ list(DISTINCT 'p' || (l_partkey % 5)) FILTER (l_linenumber > 2) AS needed FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT *, regexp_extract_all(answer, '\\[source:([A-Za-z0-9._:/-]{1,200})\\]', 1) AS cited FROM a), u AS (SELECT *, list_distinct(cited) AS ids FROM c)
+SELECT query, 1.0::DOUBLE AS presence, round(len(list_filter(cited, lambda x: list_contains(known, x))) / len(cited), 9) AS validity,
+ CASE WHEN needed IS NOT NULL THEN round(len(list_filter(ids, lambda x: list_contains(known, x) AND list_contains(needed, x))) / len(ids), 9) END AS correctness,
+ CASE WHEN needed IS NOT NULL THEN round(len(list_filter(ids, lambda x: list_contains(needed, x))) / len(needed), 9) END AS completeness FROM u""")
+def rag11b_labelled_citations(spark, sf_dir):
+    """Citations against the sources that labelled claims need; orders of one or two lines have no labels."""
+    li = table(spark, sf_dir, "lineitem")
+    name = lambda c, m: F.concat(F.lit("p"), (F.col(c) % m).cast("string"))
+    cite = F.struct("l_linenumber", F.concat(F.lit("[source:"), name("l_partkey", 7), F.lit("]")).alias("c"))
+    a = li.groupBy(F.col("l_orderkey").alias("query")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(cite)), lambda x: x["c"]), " ").alias("answer"),
+        F.collect_set(name("l_suppkey", 7)).alias("known"),
+        F.collect_set(F.when(F.col("l_linenumber") > 2, name("l_partkey", 5))).alias("needed"),
+    )
+    made = a.select("query", K.citation_scores(F.col("answer"), F.col("known"), F.col("needed")).alias("s")).select("query", "s.*")
+    return made.select("query", *[F.round(c, 9).alias(c) for c in made.columns[1:]])
+
+
+@query("""SELECT l_orderkey AS answer, count(*) AS n_claims, round(avg(l_discount * 10), 9) AS faithfulness, round(avg((l_discount = 0)::INT), 9) AS unsupported_claim_rate FROM lineitem GROUP BY ALL""")
+def rag13b_claim_support(spark, sf_dir):
+    """Judged claims of each answer: mean support, and the share without any."""
+    score = K.checked_judgment(F.col("l_discount") * 10, F.col("l_tax"), F.col("l_linestatus"))
+    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("answer"), score.alias("score")).groupBy("answer").agg(F.count("*").alias("n_claims"), *K.claim_support(F.col("score")))
+    return made.select("answer", "n_claims", *[F.round(c, 9).alias(c) for c in ("faithfulness", "unsupported_claim_rate")])

@@ -9,9 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkeval.functions import special
+from sparkeval.functions import ranking, special
 from sparkeval.functions.json_walk import json_changes
 from sparkeval.operators import agreement, aggregates, datasets, inference, rankings, resampling
+from sparkeval.plans.registry import Definition, default_registry
+from sparkeval.sources import store
+from sparkeval.streaming import progress, windows
 
 
 # --- recursive differences ---
@@ -272,3 +275,132 @@ def test_positions_are_those_of_one_order(spark):
     got = {r["right_key"]: r["position"] for r in datasets.ordered_matches(df).collect()}
     want = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
     assert got == {r[2]: i for i, r in enumerate(want, 1)}
+
+
+# --- registry ---
+
+
+def test_a_metric_that_raises_fails_on_its_sample_alone(spark):
+    def ratio(sample, config):
+        if sample["prediction"] == "none":
+            return None
+        if sample["prediction"] == "text":
+            return "1"
+        return config["scale"] / int(sample["prediction"])
+
+    reg = default_registry()
+    schema = {"type": "object", "required": ["scale"], "properties": {"scale": {"type": "integer"}}}
+    reg.register_function(Definition("ratio", "own", "maximize", "score", ("prediction",), ("qa",), 0.0, 5.0, config_schema=schema), ratio)
+    rows = [("ok", "qa", "2"), ("zero", "qa", "0"), ("word", "qa", "x"), ("none", "qa", "none"), ("text", "qa", "text"), ("low", "qa", "-1"), ("high", "qa", "1"), ("kind", "rag", "2"), ("lacks", "qa", None)]
+    df = spark.createDataFrame([(*r, r[2]) for r in rows], "sample_id string, task_type string, prediction string, reference string")
+    got = {(r["sample_id"], r["metric"]): r for r in reg.evaluate(df, ["ratio", "exact-match"], {"scale": 8}, errors=True).collect()}
+    want = {"ok": "succeeded", "zero": "failed", "word": "failed", "none": "missing", "text": "invalid_result", "low": "out_of_range", "high": "out_of_range", "kind": "wrong_task_type", "lacks": "missing_field"}
+    assert {k: got[k, "ratio"]["status"] for k in want} == want and got["ok", "ratio"]["value"] == 4.0
+    assert got["zero", "ratio"]["error"].startswith("ZeroDivisionError") and got["low", "ratio"]["value"] is None and got["lacks", "ratio"]["error"] is None
+    assert all(got[k, "exact-match"]["status"] == ("missing_field" if k == "lacks" else "succeeded") for k in want)
+    with pytest.raises(ValueError, match="ratio: the configuration fails"):
+        reg.evaluate(df, ["ratio"], {"scale": "x"})
+    with pytest.raises(KeyError):
+        reg.evaluate(df, ["unknown"])
+    with pytest.raises(ValueError, match="registered already"):
+        reg.register_function(Definition("ratio", "own", "maximize", "score"), ratio)
+    with pytest.raises(ValueError, match="inverted"):
+        Definition("x", "own", "maximize", "score", minimum=1.0, maximum=0.0)
+
+
+def test_metrics_with_configurations(spark):
+    df = spark.createDataFrame(
+        [("a", '{"k": 1}', "the red fox ran", [1.0, 0.0], [1.0, 0.0], ["d2", "d1"], ["d1"]), ("b", "the red fox", "the red cat", [1.0, 0.0], [0.0, 1.0], ["d1"], ["d1"])],
+        "sample_id string, prediction string, reference string, prediction_vector array<double>, reference_vector array<double>, retrieved_ids array<string>, relevant_ids array<string>",
+    )
+    config = {"schema": {"type": "object", "required": ["k"]}, "pattern": "red", "k": 2}
+    names = ["json-schema", "regex-match", "rouge-1", "rouge-2", "semantic-similarity", "ndcg-at-k", "citation-validity"]
+    got = {(r["sample_id"], r["metric"]): r["value"] for r in default_registry().evaluate(df, names, config).collect()}
+    assert [got["a", n] for n in names[:2]] == [1.0, 0.0] and [got["b", n] for n in names[:2]] == [0.0, 1.0]
+    assert got["b", "rouge-1"] == pytest.approx(2 / 3) and got["b", "rouge-2"] == 0.5 and got["a", "rouge-1"] == 0.0
+    assert got["a", "semantic-similarity"] == 1.0 and got["b", "semantic-similarity"] == 0.0
+    assert got["a", "ndcg-at-k"] == pytest.approx(1 / np.log2(3)) and got["b", "ndcg-at-k"] == 1.0
+    with pytest.raises(ValueError, match="json-schema"):
+        default_registry().evaluate(df, ["json-schema"], {})
+
+
+def test_citations_of_labelled_claims(spark):
+    df = spark.createDataFrame([("Answer [source:a] and [source:missing].", ["a", "b"], []), ("[source:a] [source:a] [source:b]", ["a", "b"], ["a", "c"]), ("none", ["a"], ["a"])], "t string, known array<string>, need array<string>")
+    got = [tuple(r["s"]) for r in df.select(ranking.citation_scores(F.col("t"), F.col("known"), F.col("need")).alias("s")).collect()]
+    assert got == [(1.0, 0.5, None, None), (1.0, 1.0, 0.5, 0.5), (0.0, 0.0, 0.0, 0.0)]
+    for score, confidence, told in ((1.5, 0.5, "x"), (0.5, -0.1, "x"), (0.5, 0.5, " \t"), (None, 0.5, "x")):
+        bad = spark.createDataFrame([(score, confidence, told)], "s double, c double, j string")
+        with pytest.raises(Exception, match="judge"):
+            bad.select(ranking.checked_judgment(F.col("s"), F.col("c"), F.col("j"))).collect()
+
+
+# --- the object store and exports ---
+
+
+def test_objects_are_verified(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = [("a/b.txt", b"one"), ("c=1/d", b"\x00\xff"), ("e", b"")]
+    df = spark.createDataFrame(rows, "key string, body binary")
+    store.put_objects(df, root)
+    assert {(r["key"], bytes(r["body"])) for r in store.get_objects(spark, root).collect()} == set(rows)
+    with pytest.raises(Exception, match="read limit"):
+        store.get_objects(spark, root, 2).collect()
+    flipped = spark.read.parquet(f"{root}/objects").withColumn("body", F.when(F.col("key") == "e", F.lit(b"\x01")).otherwise(F.col("body")))
+    flipped.write.parquet(f"file://{tmp_path}/damaged/objects")
+    with pytest.raises(Exception, match="checksum"):
+        store.get_objects(spark, f"file://{tmp_path}/damaged").collect()
+    assert store.get_objects(spark, f"file://{tmp_path}/damaged").where("key = 'a/b.txt'").count() == 1
+    with pytest.raises(Exception, match="expected hash"):
+        store.put_objects(df.withColumn("expected_sha256", F.lit("0" * 64)), f"file://{tmp_path}/other")
+    for key in ("/a", "a//b", "../a", "a/..", "", "a\\b", "é", "a\n", ".a", "x" * 201, None):
+        bad = spark.createDataFrame([(key, b"x")], "key string, body binary")
+        with pytest.raises(Exception, match="invalid object key"):
+            bad.select(store.checked_key(F.col("key"))).collect()
+
+
+def test_export_is_canonical_and_verified(spark, tmp_path):
+    from sparkeval.functions.canonical import jcs, loads
+
+    rows = [(f"k{i}", jcs({"text": f'é "{i}"', "n": i / 4})) for i in range(25)] + [('q"\\', "{}")]
+    df = spark.createDataFrame(rows, "key string, payload string")
+    built = datasets.build_records(df, F.col("key"), F.col("payload"), F.lit('{"m":[1]}'), F.array(F.lit("test")), F.lit("{}"))
+    root = f"file://{tmp_path}/x"
+    manifest = store.export_version(built, "ab" * 32, root, "v1", part_rows=7).orderBy("position").collect()
+    assert len(manifest) >= 3 and {r["etag"] for r in manifest} == {'"sha256:' + "ab" * 32 + '"'}
+    lines = [r["line"] for r in store.read_export(spark, root, "v1").orderBy("position", "line_number").collect()]
+    assert [loads(x)["key"] for x in lines] == sorted(k for k, _ in rows)
+    assert all(jcs(loads(x)) == x for x in lines)
+    assert all(r["key"].endswith(r["sha256"]) for r in manifest)
+
+
+# --- streams with late rows ---
+
+
+def test_sessions_leave_late_rows_out_and_drift_follows_time(spark, tmp_path):
+    import shutil
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    parts = [[(1, 0.0, 0), (1, 0.5, 1), (2, 1.0, 0)], [(1, 30.0, 0), (2, 30.5, 1), (2, 49.0, 1)], [(1, 49.5, 0), (2, 90.0, 0)], [(1, 1.0, 1), (2, 95.0, 0)]]
+    schema = "user long, ts timestamp, failed int"
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(parts):
+        spark.createDataFrame([(u, start + timedelta(hours=h), f) for u, h, f in rows], schema).coalesce(1).write.parquet(f"file://{tmp_path}/w{i}")
+        part = next((tmp_path / f"w{i}").glob("*.parquet"))
+        shutil.copy(part, tmp_path / "in" / f"{i}.parquet")
+        import os
+
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").withWatermark("ts", "2 hours")
+
+    got = progress.run_to_end(spark, stream(), lambda s: windows.sessions(s, "ts", "1 hour", ["user"], [F.count("*").alias("n")]))
+    hours = lambda t: (t - start).total_seconds() / 3600
+    # hour 1 of user 1 comes when the watermark has passed 47: too late
+    assert sorted((r["user"], hours(r["started"]), r["n"]) for r in got.collect()) == [(1, 0.0, 2), (1, 30.0, 1), (1, 49.5, 1), (2, 1.0, 1), (2, 30.5, 1), (2, 49.0, 1), (2, 90.0, 1)]
+    day = 86_400_000
+    d = progress.run_to_end(spark, stream(), lambda s: windows.drift(s, "user", "ts", F.col("failed") == 1, day, 0.5)).collect()
+    base = int(start.timestamp() * 1000) // day * day
+    rows = sorted((r["key"], (r["start_ms"] - base) // day, r["n"], r["share"], r["before"], r["alert"]) for r in d)
+    assert rows == [("1", 0, 2, 0.5, None, False), ("1", 1, 1, 0.0, 0.5, True), ("1", 2, 1, 0.0, 0.0, False), ("2", 0, 1, 0.0, None, False), ("2", 1, 1, 1.0, 0.0, True), ("2", 2, 1, 1.0, 1.0, False)]
