@@ -43,6 +43,28 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, weights: str = "quadratic")
     return observed.crossJoin(expected).select(F.when(e == 0, F.when(F.col("o") == 0, 1.0)).otherwise(1 - F.col("o") / e).alias("kappa"))
 
 
+def categorical_calibration(rows: DataFrame, expected: str, observed: str) -> DataFrame:
+    """One row: ``n, accuracy, macro_precision, macro_recall, macro_f1, cohen_kappa`` of two columns of labels.
+
+    Every label that either column has counts once in the macro means, with 0 where it has no denominator.
+    Kappa is null if agreement by chance is certain and the columns differ.  Labels are compared as texts; rows
+    with a null take no part, and no row at all gives nulls.
+    """
+    clean = rows.where(F.col(expected).isNotNull() & F.col(observed).isNotNull()).select(F.col(expected).cast("string").alias("e"), F.col(observed).cast("string").alias("o"))
+    cells = clean.groupBy("e", "o").agg(F.count("*").cast("double").alias("n"))
+    hit = F.when(F.col("e") == F.col("o"), F.col("n")).otherwise(0.0)
+    sides = cells.select(F.col("e").alias("label"), hit.alias("tp"), F.col("n").alias("as_e"), F.lit(0.0).alias("as_o")).unionByName(cells.select(F.col("o").alias("label"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("as_e"), F.col("n").alias("as_o")))
+    per = sides.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("as_e").alias("as_e"), F.sum("as_o").alias("as_o"))
+    share = lambda x, y: F.coalesce(F.try_divide(x, F.nullif(y, F.lit(0.0))), F.lit(0.0))
+    tp, e, o = (F.col(c) for c in ("tp", "as_e", "as_o"))
+    s = per.agg(
+        F.sum("as_e").cast("long").alias("n"), (F.sum("tp") / F.sum("as_e")).alias("accuracy"), F.avg(share(tp, o)).alias("macro_precision"), F.avg(share(tp, e)).alias("macro_recall"),
+        F.avg(share(2 * tp, e + o)).alias("macro_f1"), (F.sum(e * o) / F.sum(e) / F.sum(e)).alias("chance"),
+    )
+    kappa = F.when(F.col("chance") < 1, (F.col("accuracy") - F.col("chance")) / (1 - F.col("chance"))).when(F.col("accuracy") == 1, 1.0)
+    return s.withColumn("cohen_kappa", kappa).drop("chance")
+
+
 def krippendorff_nominal(rows: DataFrame) -> DataFrame:
     """One row of (unit, label) rows: alpha; null without a pair, or if labels differ and none could by chance.
 

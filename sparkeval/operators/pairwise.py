@@ -116,7 +116,12 @@ def judge_drift(baseline: DataFrame, current: DataFrame, most_distance: float =
     """One row: total-variation distance of the verdicts, shifts of confidence and of each score of ``dimensions``, alert.
 
     The alert looks at the verdicts and the scores, not at the confidence.  A window without rows gives nulls.
+    A row that lacks a score of ``dimensions`` in either window fails the query: means of different rows can't be compared.
     """
+    if most_distance < 0 or most_shift < 0:
+        raise ValueError("drift thresholds cannot be negative")
+    whole = lambda d: F.when(F.col(d).isNotNull(), F.col(d)).otherwise(F.raise_error(F.lit("drift windows must use the same rubric dimensions")).cast("double")).alias(d)
+    baseline, current = (w.select("verdict", "confidence", *[whole(d) for d in dimensions]) for w in (baseline, current))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         c = df.groupBy("verdict").agg(F.count("*").alias("n"))
@@ -146,3 +151,15 @@ def settled_state() -> Column:
     """The state of a run by its counters."""
     left = F.col("total") - F.col("succeeded") - F.col("failed") - F.col("cancelled")
     return F.when(left > 0, "running").when(F.col("cancelled") > 0, "cancelled").when(F.col("failed") > 0, "completed_with_errors").otherwise("completed")
+
+
+def finalized_state(state: Column, active: Column) -> Column:
+    """The next state of a run in ``state`` by its counters, ``active`` being the tasks that are leased or running.
+
+    A pausing run is paused once none is active, settled or not.  A settled run goes from cancelling to cancelled, and from running to completed, with
+    or without errors; any other state stays.
+    """
+    left = F.col("total") - F.col("succeeded") - F.col("failed") - F.col("cancelled")
+    paused = F.when(active == 0, F.lit("paused")).otherwise(state)
+    done = F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed")
+    return F.when(state == "pausing", paused).when(left != 0, state).when(state == "cancelling", "cancelled").when(state == "running", done).otherwise(state)

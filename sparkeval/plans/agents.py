@@ -77,13 +77,22 @@ def op_operational_metrics(spark, sf_dir):
     return summarize(long_form(e.select((F.col("user_id") % 10).alias("suite"), operational.alias("operational")), ["latency-ms", "total-tokens", "cost-usd"]), ["suite"])
 
 
-@query("""SELECT identifier, direction, unit FROM (VALUES ('cost-usd', 'minimize', 'usd'), ('end-to-end-latency-ms', 'minimize', 'ms'), ('error', 'minimize', 'indicator'), ('generation-latency-ms', 'minimize', 'ms'), ('input-tokens', 'minimize', 'tokens'),
+@query("""WITH d AS (SELECT * FROM (VALUES ('cost-usd', 'minimize', 'usd'), ('end-to-end-latency-ms', 'minimize', 'ms'), ('error', 'minimize', 'indicator'), ('generation-latency-ms', 'minimize', 'ms'), ('input-tokens', 'minimize', 'tokens'),
  ('latency-ms', 'minimize', 'ms'), ('output-tokens', 'minimize', 'tokens'), ('refusal', 'minimize', 'indicator'), ('retrieval-latency-ms', 'minimize', 'ms'), ('throughput-tokens-per-second', 'maximize', 'tokens/s'), ('time-to-first-token-ms', 'minimize', 'ms'),
- ('total-tokens', 'minimize', 'tokens'), ('agent/step-count', 'minimize', 'steps'), ('agent/tool-cost-usd', 'minimize', 'usd')) t(identifier, direction, unit)""")
+ ('total-tokens', 'minimize', 'tokens'), ('agent/step-count', 'minimize', 'steps'), ('agent/tool-cost-usd', 'minimize', 'usd')) t(identifier, direction, unit)),
+v AS (SELECT 'latency-ms' AS metric, CASE WHEN event_type <> 'error' THEN value END AS v FROM events UNION ALL SELECT 'total-tokens', json_extract_string(props, '$.k')::DOUBLE FROM events UNION ALL SELECT 'error', (event_type = 'error')::INT FROM events)
+SELECT identifier, direction, unit, count(metric) AS total, count(v) AS available FROM d LEFT JOIN v ON metric = identifier GROUP BY ALL""")
 def udf03_operational_definitions(spark, sf_dir):
+    """The operational definitions with the samples that were measured by each and those that have a value."""
+    from ..operators.operational import long_form
     from ..plans.registry import definitions
 
-    return definitions(spark).where("family = 'operational'").select("identifier", "direction", "unit")
+    failed = F.col("event_type") == "error"
+    fields = F.struct(F.when(~failed, F.col("value")).alias("latency_ms"), F.get_json_object("props", "$.k").cast("double").alias("total_tokens"), failed.cast("double").alias("error"))
+    measured = long_form(table(spark, sf_dir, "events").select(fields.alias("operational")), ["latency-ms", "total-tokens", "error"])
+    counts = measured.groupBy(F.col("metric").alias("identifier")).agg(F.count("*").alias("total"), F.count("value").alias("available"))
+    known = definitions(spark).where("family = 'operational'").select("identifier", "direction", "unit")
+    return known.join(counts, "identifier", "left").na.fill(0, ["total", "available"])
 
 
 @query(with_views("traj", """WITH c AS (SELECT agent, json_extract_string(arguments, '$.k')::BIGINT <= 7 AND tool IN ('tool-0', 'tool-1', 'tool-2') AS ok FROM traj WHERE kind = 'tool_call')

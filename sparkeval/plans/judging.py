@@ -162,6 +162,22 @@ def orc04_finalize_if_settled(spark, sf_dir):
     return c.select("run", P.settled_state().alias("state"))
 
 
+@query("""WITH c AS (SELECT user_id AS run, count(*) AS total, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS ok, count(*) FILTER (event_type = 'error' AND user_id % 4 <> 3) AS failed, count(*) FILTER (event_type = 'signup') AS cancelled FROM events GROUP BY user_id),
+s AS (SELECT *, CASE run % 5 WHEN 0 THEN 'pausing' WHEN 1 THEN 'cancelling' WHEN 2 THEN 'queued' ELSE 'running' END AS state, CASE WHEN run % 2 = 0 THEN 0 ELSE total - ok - failed - cancelled END AS active FROM c)
+SELECT run, CASE WHEN state = 'pausing' THEN CASE WHEN active = 0 THEN 'paused' ELSE state END WHEN ok + failed + cancelled <> total THEN state WHEN state = 'cancelling' THEN 'cancelled'
+ WHEN state = 'running' THEN CASE WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END ELSE state END AS state FROM s""")
+def orc04b_finalize_by_state(spark, sf_dir):
+    """The next state of runs that are running, pausing, cancelling or queued."""
+    failed = (F.col("event_type") == "error") & (F.col("user_id") % 4 != 3)
+    c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("event_type").isin("view", "click", "purchase")).alias("succeeded"), F.count_if(failed).alias("failed"), F.count_if(F.col("event_type") == "signup").alias("cancelled"),
+    )
+    turn = F.col("run") % 5
+    state = F.when(turn == 0, "pausing").when(turn == 1, "cancelling").when(turn == 2, "queued").otherwise("running")
+    left = F.col("total") - F.col("succeeded") - F.col("failed") - F.col("cancelled")
+    return c.select("run", P.finalized_state(state, F.when(F.col("run") % 2 == 0, 0).otherwise(left)).alias("state"))
+
+
 @query("""SELECT o_orderkey, o_custkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::DOUBLE AS spent,
  sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) > 500000 AS over_budget FROM orders""")
 def orc06_budget_check(spark, sf_dir):

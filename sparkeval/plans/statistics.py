@@ -202,6 +202,19 @@ def st33_categorical_calibration(spark, sf_dir):
     return r.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 9).alias("accuracy")).crossJoin(k)
 
 
+@query("""WITH r AS (SELECT o_orderstatus AS e, CASE WHEN o_totalprice > 400000 THEN 'X' WHEN o_custkey % 3 = 0 THEN 'F' WHEN o_custkey % 3 = 1 THEN 'O' ELSE 'P' END AS o FROM orders),
+l AS (SELECT DISTINCT x FROM (SELECT e AS x FROM r UNION ALL SELECT o FROM r)),
+p AS (SELECT x, count(*) FILTER (e = x AND o = x)::DOUBLE AS tp, count(*) FILTER (e = x)::DOUBLE AS ne, count(*) FILTER (o = x)::DOUBLE AS no FROM l, r GROUP BY x)
+SELECT sum(ne)::BIGINT AS n, round(sum(tp) / sum(ne), 9) AS accuracy, round(avg(CASE WHEN no > 0 THEN tp / no ELSE 0 END), 9) AS macro_precision, round(avg(CASE WHEN ne > 0 THEN tp / ne ELSE 0 END), 9) AS macro_recall,
+ round(avg(CASE WHEN ne + no > 0 THEN 2 * tp / (ne + no) ELSE 0 END), 9) AS macro_f1, round((sum(tp) / sum(ne) - sum(ne * no) / sum(ne) / sum(ne)) / (1 - sum(ne * no) / sum(ne) / sum(ne)), 9) AS cohen_kappa FROM p""")
+def st33b_calibration_scores(spark, sf_dir):
+    """Labels against a rule of thumb, one label of which never was expected."""
+    third = F.col("o_custkey") % 3
+    guess = F.when(F.col("o_totalprice") > 400000, "X").when(third == 0, "F").when(third == 1, "O").otherwise("P")
+    made = R.categorical_calibration(table(spark, sf_dir, "orders").withColumn("guess", guess), "o_orderstatus", "guess")
+    return made.select("n", *[F.round(c, 9).alias(c) for c in made.columns if c != "n"])
+
+
 @query("SELECT round(avg(pow(l_discount * 10 - (l_quantity > 25)::INT, 2)), 9) AS brier FROM lineitem")
 def st34_brier_score(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -213,15 +226,21 @@ def st01_sample_warnings(spark, sf_dir):
     return R.sample_warnings(table(spark, sf_dir, "orders"), [F.col("o_orderpriority").alias("strat")], "o_totalprice")
 
 
-@query()
+@query("""WITH g AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, avg(o_totalprice - 240000) / stddev_samp(o_totalprice) AS effect, avg((o_totalprice > 240000)::INT) AS preference, count(*) AS n FROM orders GROUP BY ALL)
+SELECT priority, status, greatest(2, ceil(pow((1.959963984540054 + 0.8416212335729143) / abs(effect), 2)))::BIGINT AS pairs, greatest(2, ceil(pow((1.6448536269514722 + 0.8416212335729143) / abs(effect), 2)))::BIGINT AS pairs_one_sided,
+ ceil(ceil(pow((1.959963984540054 * 0.5 + 0.8416212335729143 * sqrt(preference * (1 - preference))) / abs(preference - 0.5), 2)) / 0.8)::BIGINT AS judgments, round((1.959963984540054 + 0.8416212335729143) / sqrt(n), 9) AS detectable FROM g""")
 def st30_sample_sizes(spark, sf_dir):
-    """Planning tables: sample sizes for effects, and effects for sample sizes."""
-    from ..functions.planning import continuous_size, detectable_effect, preference_size
-
-    rows = [("continuous", d, float(continuous_size(d))) for d in (0.1, 0.2, 0.5, 0.8)]
-    rows += [("preference", p, float(preference_size(p, 0.2))) for p in (0.55, 0.6, 0.7)]
-    rows += [("detectable", float(n), detectable_effect(n)) for n in (30, 100, 1000)]
-    return spark.createDataFrame(rows, "kind string, given double, result double")
+    """The pairs and judgments that the effect seen in each group would need, and the effect that its size detects."""
+    from ..functions import planning as N
+
+    price = F.col("o_totalprice")
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(
+        (F.avg(price - 240000) / F.stddev_samp(price)).alias("effect"), F.avg((price > 240000).cast("double")).alias("preference"), F.count("*").alias("n")
+    )
+    return g.select(
+        "priority", "status", N.continuous_sizes(F.col("effect")).alias("pairs"), N.continuous_sizes(F.col("effect"), one_sided=True).alias("pairs_one_sided"),
+        N.preference_sizes(F.col("preference"), 0.2).alias("judgments"), F.round(N.detectable_effects(F.col("n")), 9).alias("detectable"),
+    )
 
 
 @query()

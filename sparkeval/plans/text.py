@@ -101,7 +101,7 @@ def lm10_word_error_rate(spark, sf_dir):
 def lm12_json_validity(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ok = lambda c: F.try_parse_json(c).isNotNull().cast("double")
-    return e.select("event_id", ok(F.col("props")).alias("valid"), ok(F.concat(F.lit('{"k":1,'), F.substring("props", 2, 1000))).alias("broken"))
+    return e.select("event_id", ok(F.col("props")).alias("valid"), ok(F.concat(F.lit('{"k":1,'), F.expr("substr(props, 2)"))).alias("broken"))
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k') = (user_id % 10)::VARCHAR)::INT / 2.0::DOUBLE AS accuracy, 'absent' AS missing FROM events")
