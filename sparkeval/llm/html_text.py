@@ -9,17 +9,22 @@ names the branches that are to be judged, and for each one Spark aggregates
   larger of the two is taken relative to the entropy of the main container (or of the whole
   page, where there is none), so that copies of an article are no template;
 * the share of its characters that are link text;
-* a prior weight: 1 for containers in the main container and for blocks of pages without one;
-  0.25 outside the main container; 0.1 for what its tag or class names call a menu, form,
-  advert, sidebar, notice, comments and the like.  On a page without a main container that
-  last weight is the fourth power of the branch's share of the page's text, for a form or
-  "sidebar layout" may hold the whole page.
-
-With relative entropy ``v`` over ``n`` pages, the importance is
-``weight * (1 - links / chars) * (1 - (1 - v) * n / (n + 2))``: few pages are little evidence,
-and one page is none.  A branch below ``threshold`` is removed from every page of its host;
+* a prior: what its place, its tag and its class names say of it before any other page is seen.
+
+The importance adds these up as log odds, so none of them decides alone: the prior (0.6 for containers in the
+main container and for blocks of pages without one, -1.2 beside the main container; less 2.5 for a tag such as
+``nav`` or ``footer`` or for names that are all words of menus, adverts, notices, comments and the like, less 1.3 for
+weaker words such as ``widget`` or ``related``, and in proportion if only some of the words are such), 0.3, the entropy term
+``1.5 * (2 * v - 1) * n / (n + 2)`` of a relative entropy ``v`` over ``n`` pages (few pages are little evidence, and one
+page, which can't vary, speaks for content by 0.5), and -2.5 for all text being links.  So a second part of a story beside its
+article stays where it differs from page to page, a box inside an article that repeats goes, and a section called
+"promotion-history" stays.  On a page without a main container a name counts less the more of the page's text the branch holds
+(1 less the fourth power of its share), for a form or "sidebar layout" may hold the whole page.  Hidden elements
+are not shown and always go.
+
+A branch below ``threshold`` is removed from every page of its host;
 the text of the rest is returned.  Paragraphs, headings and lists of the main container are judged with the
-container they are in, and inline elements with their block.
+container they are in, inline elements with their block, and what is inside a branch with a negative prior with that branch.
 
 The statistics are distributed aggregates over (host, node, value); copies of a page count
 once.  The removed nodes of a host reach its pages by a join, which Spark may broadcast if
@@ -36,6 +41,7 @@ from __future__ import annotations
 import gc
 import html
 import re
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -65,11 +71,15 @@ NOISE_WORDS = frozenset(
     " newsletter subscribe subscription signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments disqus respond replies"
     " share sharing social related recommended recommendations widget login search toolbar skip form".split()
 )
+#: Words that name parts of articles as well, and weigh less.
+WEAK_WORDS = frozenset("promotion promo widget related recommended recommendations social share sharing search rail toolbar skip replies respond banner alert overlay".split())
 OUTER_WORDS = frozenset("header masthead topbar hero".split())
 MAIN = frozenset(("article", "main"))
 WRAPPERS = frozenset(("form", "fieldset"))  # may hold a main container
 BOXES = frozenset("div section center details dialog address hgroup".split())
-LOW = 0.3  # branches of a lower importance are removed
+LOW = 0.0  # branches of a lower importance are removed
+#: The terms of the importance, in log odds.
+INSIDE, BESIDE, NOISE, WEAK, HIDDEN, BIAS, ENTROPY, LINKS = 0.6, -1.2, -2.5, -1.3, -9.0, 0.3, 1.5, -2.5
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<own>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -99,7 +109,7 @@ def _label(tag: str, attrs: str) -> tuple[str, frozenset, bool]:
 class _Node:
     """An open or closed element of a page."""
 
-    __slots__ = ("tag", "label", "parent", "noise", "hidden", "shade", "main", "holds", "linked", "parts", "kids", "frame", "chars", "links", "print", "key", "weight", "gone")
+    __slots__ = ("tag", "label", "parent", "noise", "hidden", "shade", "main", "holds", "linked", "parts", "kids", "frame", "chars", "links", "print", "key", "weight", "gone", "named", "judged")
 
     def __init__(self, tag: str, label: str, parent: _Node | None):
         self.tag, self.label, self.parent = tag, label, parent
@@ -107,17 +117,21 @@ class _Node:
         # texts and children in their order, kinds of children, tags that are open in this scope
         self.parts, self.kids, self.frame = [], {}, {}
         self.chars = self.links = self.print = self.key = 0
-        self.weight, self.gone = None, False
+        self.weight, self.gone, self.named, self.judged = None, False, 0.0, False
 
 
 def _child(parent: _Node, tag: str, attrs: str) -> _Node:
     label, words, hidden = _label(tag, attrs)
-    named = hidden or tag in NOISE_TAGS or bool(words & NOISE_WORDS) and tag not in ("html", "body")
-    if not named and not parent.main:
-        named = tag in OUTER_NOISE or bool(words & OUTER_WORDS) and tag not in ("html", "body")
+    page = tag in ("html", "body")
+    bad = NOISE_WORDS if parent.main else NOISE_WORDS | OUTER_WORDS
+    # what the tag and the names say: all of it, or the share of the words that are such
+    said = NOISE if tag in NOISE_TAGS or not parent.main and tag in OUTER_NOISE else 0.0
+    if words and not page and (hits := words & bad):
+        said = min(said, sum(WEAK if w in WEAK_WORDS else NOISE for w in hits) / len(words))
+    named = hidden or said < 0
     # what is noise by an attribute has a path of its own
     node = _Node(tag, label + ("!" if hidden else "~" if named else ""), parent)
-    node.noise, node.hidden, node.linked = named, hidden, parent.linked or tag == "a"
+    node.noise, node.hidden, node.linked, node.named = named, hidden, parent.linked or tag == "a", said
     # nothing is main inside noise, but for the wrappers of whole pages
     node.shade = parent.shade or named and (hidden or tag not in WRAPPERS)
     node.main = not named and (parent.main or not node.shade and (tag in MAIN or "role" in attrs and "main" in words))
@@ -130,19 +144,29 @@ def _child(parent: _Node, tag: str, attrs: str) -> _Node:
     return node
 
 
+@contextmanager
+def _uncollected():
+    """Without looking for garbage: all that reading makes is kept, and to look through it again and again takes time."""
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collects:
+            gc.enable()
+
+
 class Page:
     """The elements of a page in the order of their starts, and its events (element, text); text None ends a block."""
 
     def __init__(self, page: str | None):
         root = _Node("", "", None)
         self.nodes, self.events = [root], []
-        collects = gc.isenabled()
-        gc.disable()  # all that reading makes is kept: to look through it again and again for garbage takes time
-        try:
+        with _uncollected():
             self._read(page or "", root)
-        finally:
-            if collects:
-                gc.enable()
+            self._judge(root)
+
+    def _judge(self, root: _Node) -> None:
         self.has_main = root.holds
         for n in reversed(self.nodes):
             for c in n.parts:
@@ -153,23 +177,30 @@ class Page:
         root.key = 1 + self.has_main
         for n in self.nodes[1:]:
             n.key = xxhash.xxh64_intdigest(n.label, n.parent.key)
-            n.weight = self._weight(n)
+            n.weight, n.judged = self._weight(n)
 
-    def _weight(self, n: _Node) -> float | None:
-        """The prior of a branch that is to be judged."""
+    def _weight(self, n: _Node) -> tuple[float | None, bool]:
+        """The prior of a branch, and whether it is judged by itself."""
         above = n.parent.weight
         if n.holds:
-            return None
-        if above is not None and above < LOW:
-            return 0.0  # goes with the branch around it
+            return None, False
+        if above is not None and above < 0:
+            return above, False  # goes with the branch around it
+        prior = self._prior(n)
+        return prior, prior is not None
+
+    def _prior(self, n: _Node) -> float | None:
+        if n.hidden:
+            return HIDDEN
+        inside = n.parent.main or not self.has_main
         if n.noise:
-            whole = max(1, self.nodes[0].chars - self.nodes[0].links)
-            return 0.1 if self.has_main or n.hidden else max(0.1, ((n.chars - n.links) / whole) ** 4)
+            whole = 1.0 if self.has_main else 1 - ((n.chars - n.links) / max(1, self.nodes[0].chars - self.nodes[0].links)) ** 4
+            return (INSIDE if inside else BESIDE) + n.named * whole
         if n.main:
-            return 1.0 if n.tag in BOXES and n.parent.main else None
+            return INSIDE if n.tag in BOXES and n.parent.main else None
         if self.has_main:
-            return 0.25
-        return 1.0 if n.tag in BLOCKS and n.tag not in ("html", "body") else None
+            return BESIDE
+        return INSIDE if n.tag in BLOCKS and n.tag not in ("html", "body") else None
 
     def _read(self, page: str, root: _Node) -> None:
         stack, events, opened, frame = [root], self.events, {}, root.frame
@@ -238,24 +269,33 @@ class Page:
                     node.frame[tag] = node.frame.get(tag, 0) + 1
                 stack.append(node)
 
-    def branches(self):
+    def branches(self) -> list[tuple]:
         """For each path that is to be judged: (key, weight, content, layout, reference, chars, link chars)."""
+        with _uncollected():
+            return list(self._branches())
+
+    def _branches(self):
         root, inner = self.nodes[0], [n for n in self.nodes if n.main and not n.parent.main]
         main = xxhash.xxh64_intdigest(repr([n.print for n in inner])) >> 1
         found: dict = {}
         for n in self.nodes[1:]:
-            if n.weight:
+            if n.judged:
                 found.setdefault(n.key, []).append(n)
             elif n.holds or n is root:
                 texts = [c for c in n.parts if not isinstance(c, _Node)]
                 if texts:  # words beside the main container
                     own = _Node("", "#text", n)
-                    own.key, own.weight, own.print = _beside(n), 0.25, xxhash.xxh64_intdigest(repr(texts)) >> 1
+                    own.key, own.weight, own.print = _beside(n), BESIDE, xxhash.xxh64_intdigest(repr(texts)) >> 1
                     found.setdefault(own.key, []).append(own)
+        reference = main if inner else root.print
         for key, ns in found.items():
-            content = ns[0].print if len(ns) == 1 else xxhash.xxh64_intdigest(repr([n.print for n in ns])) >> 1
+            if len(ns) == 1:
+                n = ns[0]
+                yield _signed(key), n.weight, n.print, xxhash.xxh64_intdigest(",".join(n.kids)) >> 1, reference, n.chars, n.links
+                continue
+            content = xxhash.xxh64_intdigest(repr([n.print for n in ns])) >> 1
             layout = xxhash.xxh64_intdigest(",".join(dict.fromkeys(k for n in ns for k in n.kids))) >> 1
-            yield _signed(key), max(n.weight for n in ns), content, layout, main if inner else root.print, sum(n.chars for n in ns), sum(n.links for n in ns)
+            yield _signed(key), max(n.weight for n in ns), content, layout, reference, sum(n.chars for n in ns), sum(n.links for n in ns)
 
     def text(self, removed) -> str:
         """The text of the branches that stay, blocks joined by one space."""
@@ -286,7 +326,7 @@ def _signed(key: int) -> int:
 
 def importance(weight, varied, chars, links, n):
     """The importance of a branch on ``n`` pages, of numbers or of columns; see the module's text."""
-    return weight * (1 - links / chars) * (1 - (1 - varied) * n / (n + 2))
+    return weight + BIAS + ENTROPY * (2 * varied - 1) * n / (n + 2) + LINKS * links / chars
 
 
 def main_text(page: str | None, removed: frozenset, threshold: float = LOW) -> str:

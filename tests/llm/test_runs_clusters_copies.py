@@ -255,3 +255,37 @@ def test_a_tokenizer_without_a_rule_gets_whole_texts(tmp_path, without):
     ids, begin = records.encoder_of(str(path), 2).encode(pa.array(texts))
     whole = Tokenizer.from_file(str(path))
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+# --- 3 html: the entropy of a branch against its place and names ---
+
+
+def test_importance_has_no_veto(spark):
+    from sparkeval.llm import html_text
+
+    rows, want = [], {}
+    for i in range(30):
+        first, second, third = (f"{w} part of story {i} with words of its own {i * 7}" for w in ("first", "second", "third"))
+        page = (
+            f"<nav><a href=/>home</a></nav><div class='ad'>buy number {i} now</div><article><h1>Story {i}</h1><p>{first}</p><section class='promotion-history'><p>{second}</p></section>"
+            f"<div class='about'>about this site</div><div class='comments'>reader {i} says no</div></article><div class='rest'><p>{third}</p></div><div class='rest-of-site'>always the same</div><footer>page {i}</footer>"
+        )
+        rows.append((i, "http://a.example/x", page))
+        want[i] = f"Story {i} {first} {second} {third}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["id"]: r["text"] for r in html_text.extract(df).collect()} == want
+    # one page is little evidence: places and names decide, but a part of a name alone does not
+    alone = html_text.main_text(rows[0][2], frozenset())
+    assert alone == "Story 0 first part of story 0 with words of its own 0 second part of story 0 with words of its own 0 about this site"
+
+
+def test_names_weigh_by_their_share():
+    from sparkeval.llm import html_text
+
+    text = lambda h: html_text.main_text(h, frozenset())
+    club = "<article><h1>T</h1><section class='promotion-history'><p>The club won promotion in 1999.</p></section><p>End.</p></article>"
+    assert text(club) == "T The club won promotion in 1999. End."
+    assert text("<article><p>a b c</p><div class='widget'>About widgets as such</div></article>") == "a b c About widgets as such"
+    for name in ("ad", "comments", "cookie notice", "newsletter-signup", "sidebar"):
+        assert text(f"<article><p>a b c</p><div class='{name}'>other words</div></article>") == "a b c", name
+    assert text("<article><p>a</p><div hidden>not shown</div></article>") == "a"
