@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: (term, range) pairs of passages whose bounds are added at once.
+PAIRS = 1 << 21
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -112,6 +114,7 @@ class BlockMaxIndex:
         self.block_max = [[max(v[k : k + rule.block]) for k in range(0, len(v), rule.block)] for v in self.weights]
         self.block_end = [[p[min(k + rule.block, len(p)) - 1] for k in range(0, len(p), rule.block)] for p in self.posts]
         self.bound = [max(v) for v in self.weights]
+        self.term_bound = np.array(self.bound)
         # the largest weight of each term in each range of items: (range, weight) by term
         self.span = max(rule.span, -(-n // 256))
         self.ranges = max(1, -(-n // self.span))
@@ -202,6 +205,35 @@ class BlockMaxIndex:
             total += len(words)
         return out + self._scan(held)
 
+    def _hits(self, passage, term, theta: float):
+        """The (passage, range) pairs, as one number each, whose bound reaches theta; at most ``PAIRS`` (term, range) pairs are held at once."""
+        # a passage whose terms can't reach theta anywhere has no range that does
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        most = np.add.reduceat(self.term_bound[term], first)
+        alive = np.repeat(most >= theta - 1e-9, np.diff(np.r_[first, len(passage)]))
+        passage, term = passage[alive], term[alive]
+        n = self.range_count[term]
+        upto = np.cumsum(n)
+        i = 0
+        while i < len(passage):
+            j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right"))
+            j = max(int(np.searchsorted(passage, passage[min(j, len(passage) - 1)])), int(np.searchsorted(passage, passage[i], "right"))) if j < len(passage) else j  # whole passages
+            m = n[i:j]
+            at = np.repeat(self.range_start[term[i:j]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            low, high = int(passage[i]), int(passage[j - 1]) + 1
+            cell, weight = np.repeat(passage[i:j] - low, m) * self.ranges + self.range_no[at], self.range_max[at]
+            if (high - low) * self.ranges <= 4 * len(cell):
+                found = np.flatnonzero(np.bincount(cell, weight) >= theta - 1e-9)
+            else:  # few of the cells have a term
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                found = cell[start][np.add.reduceat(weight[order], start) >= theta - 1e-9]
+            yield found + low * self.ranges
+            i = j
+
     def _scan(self, docs: list[list[str]]) -> list[list[tuple]]:
         sizes = np.array([len(d) for d in docs], np.int64)
         best: list[dict[int, tuple]] = [{} for _ in docs]
@@ -219,10 +251,7 @@ class BlockMaxIndex:
         here, before = known & (k < passages[doc]), known & (k > 0)
         key = np.unique(np.concatenate([(first[doc] + k)[here] * none + terms[here], (first[doc] + k - 1)[before] * none + terms[before]]))
         passage, term = key // none, key % none
-        n = self.range_count[term]
-        at = np.repeat(self.range_start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        bounds = np.bincount(np.repeat(passage, n) * self.ranges + self.range_no[at], self.range_max[at], int(passages.sum()) * self.ranges)
-        hits = np.flatnonzero(bounds >= theta - 1e-9)
+        hits = np.concatenate([np.zeros(0, np.int64), *self._hits(passage, term, theta)])
         owner = np.repeat(np.arange(len(docs)), passages)
         edges = np.searchsorted(passage, np.arange(int(passages.sum()) + 1))
         have: dict[int, set] = {}

@@ -289,3 +289,45 @@ def test_names_weigh_by_their_share():
     for name in ("ad", "comments", "cookie notice", "newsletter-signup", "sidebar"):
         assert text(f"<article><p>a b c</p><div class='{name}'>other words</div></article>") == "a b c", name
     assert text("<article><p>a</p><div hidden>not shown</div></article>") == "a"
+
+
+# --- 5 decontamination: bounds in slices ---
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 21])
+def test_bounds_in_slices_are_all_bounds(monkeypatch, pairs):
+    from sparkeval.llm import decontam
+
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choices(words, k=rng.choice((1, 2, 6, 12)))) for _ in range(120)]
+    texts = [" ".join(rng.choices([*words, "x", "y"], k=rng.randrange(90))) + " " + rng.choice(items) for _ in range(40)] + ["", None, "x y"]
+    index = decontam.BlockMaxIndex(list(range(120)), items, decontam.Rule(span=3))
+    got = index.scan(texts)
+    monkeypatch.setattr(decontam, "PAIRS", 1 << 21)
+    assert got == index.scan(texts) and sum(map(len, got)) > 40
+    # every item whose score reaches the threshold in a passage has its range among the hits
+    theta, step = index.rule.threshold, index.longest
+    for text, found in zip(texts, got, strict=True):
+        doc, seen = decontam.words_of(text), {x[0] for x in found}
+        for a in range(0, max(1, len(doc) - step), step):
+            window = doc[a : a + 2 * step]
+            terms = sorted({index.terms[w] for w in window if w in index.terms})
+            have = decontam.shingles(window)
+            for item in range(120):
+                score = sum(v for t in terms for i, v in zip(index.posts[t], index.weights[t], strict=True) if i == item)
+                shares = [decontam._share(s, have, window) for s in index.items[item]]
+                if score >= theta and shares[0] >= index.rule.overlap:
+                    assert index.ids[item] in seen, (text, item)
+
+
+def test_long_texts_and_short_items_take_little():
+    from sparkeval.llm import decontam
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    index = decontam.BlockMaxIndex(list(range(2000)), words[:2000], decontam.Rule())
+    t = time.process_time()
+    assert len(index.scan([" ".join(rng.choices(words, k=100_000))])[0]) == 2000
+    assert time.process_time() - t < 15
