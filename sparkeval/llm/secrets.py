@@ -7,7 +7,7 @@ running sum of their lengths the code-point offsets.
 The entropy of a window of ``W`` characters is ``log2(W) - S / W`` with
 ``S = sum(c * log2(c))`` over its character counts.  When the window moves by one
 character, one count falls and one rises, so ``S`` and the counts are updated, never
-recomputed.  A candidate is judged by the limit of its character class (hex, or base64).
+recomputed; a dozen counts share a 64-bit number, so an update writes eleven numbers for a window of 20.  A candidate is judged by the limit of its character class (hex, or base64).
 
 Cases: null and empty texts give no span; equal rows give equal rows; extra columns stay
 out of the way, since only the id and text columns are read; an empty table gives an empty
@@ -46,20 +46,33 @@ class EntropyRule:
 
 
 EMPTY = "array<struct<start:int,stop:int,value:string>>"
+BLOCK = 256
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their code-point offsets."""
 
-    def located(m: Column, g: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(g, i))
-            stop = start + F.length(F.get(m, i))
-            one = F.struct(start.alias("start"), stop.alias("stop"), F.get(m, i).alias("value"))
-            return F.struct(stop.alias("pos"), F.array_append(acc["out"], one).alias("out"))
+    def within(block: Column) -> Column:
+        """The spans of a block from its own beginning, and its length."""
+
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["pos"] + p["gap"]
+            one = F.struct(start.alias("start"), (start + p["size"]).alias("stop"), p["value"].alias("value"))
+            return F.struct((start + p["size"]).alias("pos"), F.array_append(acc["out"], one).alias("out"))
+
+        return F.aggregate(block, F.struct(F.lit(0).alias("pos"), F.array().cast(EMPTY).alias("out")), step)
 
-        first = F.struct(F.lit(0).alias("pos"), F.array().cast(EMPTY).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), first, step, lambda acc: acc["out"])
+    def after(acc: Column, b: Column) -> Column:
+        """A block's spans moved to its place."""
+        moved = F.transform(b["out"], lambda s: F.struct((s["start"] + acc["pos"]).alias("start"), (s["stop"] + acc["pos"]).alias("stop"), s["value"].alias("value"))).cast(EMPTY)
+        return F.struct((acc["pos"] + b["pos"]).alias("pos"), F.array_append(acc["out"], moved).alias("out"))
+
+    def located(m: Column, g: Column) -> Column:
+        # an array is copied whenever it grows, so spans grow in blocks, and blocks in an array of their own
+        parts = F.transform(m, lambda x, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(x).alias("size"), x.alias("value")))
+        blocks = let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: within(F.slice(p, b * BLOCK + 1, BLOCK))))
+        first = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{EMPTY}>").alias("out"))
+        return F.aggregate(blocks, first, after, lambda acc: F.flatten(acc["out"]))
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -74,26 +87,30 @@ def _xlog2x(c: Column) -> Column:
 def max_window_entropy(value: Column, window: int) -> Column:
     """The largest entropy of any window, in bits; a shorter string is one window."""
 
+    bits = window.bit_length()  # of a count, which is the window's length at most
+    per = 63 // bits
+
     def whole(chars: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             new = F.ascii(F.get(chars, i))
             old = F.when(i >= window, F.ascii(F.get(chars, i - window))).otherwise(F.lit(-1))
-
-            def moved(counts: Column) -> Column:
-                # one count falls, then one rises; S follows by these two terms alone
-                low = F.when(old >= 0, F.get(counts, old)).otherwise(F.lit(0))
-                s1 = F.when(old >= 0, acc["s"] - _xlog2x(low) + _xlog2x(low - 1)).otherwise(acc["s"])
-                high = F.get(counts, new) - F.when(old == new, 1).otherwise(0)
-                s2 = s1 - _xlog2x(high) + _xlog2x(high + 1)
-                n = F.least(i + 1, F.lit(window)).cast("double")
-                full = (i + 1 >= window) | (i + 1 == F.size(chars))
-                entropy = F.when(full, F.log2(n) - s2 / n).otherwise(F.lit(0.0))
-                updated = F.transform(counts, lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-                return F.struct(updated.alias("counts"), s2.alias("s"), F.greatest(acc["best"], entropy).alias("best"))
-
-            return moved(acc["counts"])
-
-        first = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+            held = lambda code: F.call_function("shiftright", F.get(acc["counts"], F.floor(code / per).cast("int")), (code % per) * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+            one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), (code % per) * bits)
+            # one count falls, then one rises; S follows by these two terms alone
+            low = F.when(old >= 0, held(old)).otherwise(F.lit(0))
+            s1 = F.when(old >= 0, acc["s"] - _xlog2x(low) + _xlog2x(low - 1)).otherwise(acc["s"])
+            high = held(new) - F.when(old == new, 1).otherwise(0)
+            s2 = s1 - _xlog2x(high) + _xlog2x(high + 1)
+            n = F.least(i + 1, F.lit(window)).cast("double")
+            full = (i + 1 >= window) | (i + 1 == F.size(chars))
+            entropy = F.when(full, F.log2(n) - s2 / n).otherwise(F.lit(0.0))
+            none = F.lit(0).cast("long")
+            updated = F.when(old == new, acc["counts"]).otherwise(
+                F.transform(acc["counts"], lambda c, k: c + F.when(k == F.floor(new / per), one(new)).otherwise(none) - F.when((old >= 0) & (k == F.floor(old / per)), one(old)).otherwise(none))
+            )
+            return F.struct(updated.alias("counts"), s2.alias("s"), F.greatest(acc["best"], entropy).alias("best"))
+
+        first = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-128 // per)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), first, step, lambda acc: acc["best"])
 
     return let(F.split(value, ""), whole)

@@ -331,3 +331,17 @@ def test_long_texts_and_short_items_take_little():
     t = time.process_time()
     assert len(index.scan([" ".join(rng.choices(words, k=100_000))])[0]) == 2000
     assert time.process_time() - t < 15
+
+
+# --- 4 secrets: many matches in one text ---
+
+
+def test_very_many_spans_of_one_text(spark):
+    from sparkeval.llm import secrets
+
+    n = 3000
+    text = "".join(f"é token={i:06d} x" for i in range(n))
+    found = secrets.find_secrets(spark.createDataFrame([(1, text), (2, "no"), (3, "token=abcdef")], "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["base"]] for r in found.collect()}
+    want = [m.span() for m in re.finditer(r"token=\d{6}", text)]
+    assert got == {1: want, 2: [], 3: [(0, 12)]} and len(want) == n
