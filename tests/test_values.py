@@ -436,7 +436,7 @@ def test_predicates(spark):
 
 def test_registry(spark):
     reg = default_registry()
-    assert len(reg.metrics) == 37
+    assert len(reg.metrics) == 44
     with pytest.raises(ValueError):
         reg.register(Definition("bleu", "text", "maximize", "score"), None)
     df = spark.createDataFrame([("1", "a", "a"), ("2", "a", None)], "sample_id string, prediction string, reference string")
