@@ -280,7 +280,7 @@ def test_importance_is_that_of_a_plain_version(spark, sf):
         top = entropy_of(whole)
         varied = min(1.0, max(entropy_of(content), entropy_of(layout)) / top) if top > 1e-9 else 1.0
         n = len(vs)
-        want[k] = sum(weight) / n * (1 - sum(links) / max(1, sum(chars))) * (1 - (1 - varied) * n / (n + 2))
+        want[k] = sum(weight) / n + 0.3 + 1.5 * (2 * varied - 1) * n / (n + 2) - 2.5 * sum(links) / max(1, sum(chars))
     got = {(r["host"], r["node"]): r["importance"] for r in html_text.style_tree(rows).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     texts = {r["id"]: r["text"] for r in html_text.extract(pages.where("url like 'http://t.example/%'")).collect()}

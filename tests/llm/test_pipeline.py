@@ -147,9 +147,10 @@ def test_odd_rows(spark, sf, k):
 
 def test_queries_are_registered(spark):
     names, sf = entry.queries(), "/root/testdata/sf0.01"
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = sorted(map(tuple, names[name](spark, sf).toPandas().astype(str).values.tolist()))
         want = sorted(map(tuple, con.execute(sql).df().astype(str).values.tolist()))
