@@ -1,18 +1,25 @@
-"""Media columns: FLAC streams of 8-bit samples, encoded and decoded in Arrow batches.
-
-The coder covers the part of the format that these columns need: mono, 8 bits, blocks of
-576 samples, constant, verbatim and fixed-predictor subframes (orders 0 to 4), one Rice
-partition for each block.  The stream has STREAMINFO (with the MD5 of the samples) and a
-SEEKTABLE with an entry for every ``seek_every`` blocks, so that a reader can start at any
-sample offset.  A decoder checks the CRC-8 of every frame header, the CRC-16 of every frame
-and the MD5 of the whole.
-
-All blocks of a batch are worked on together as rows of arrays: a step of the decoder moves
-every block one residual on.
-
-Cases: null and empty texts are one block of padding; every sequence of bytes comes back
-exactly; equal payloads give equal streams whatever their batch; an empty table gives an
-empty result; a damaged stream raises ``ValueError``.
+"""Media columns: FLAC streams, encoded and decoded in Arrow batches.
+
+The encoder writes what text columns need: mono, 8 bits, blocks of 576 samples, constant,
+verbatim and fixed-predictor subframes (orders 0 to 4), one Rice partition for each block.
+The stream has STREAMINFO (with the MD5 of the samples) and a SEEKTABLE with an entry for
+every ``seek_every`` blocks, so that a reader can start at any sample offset.  A decoder
+checks the CRC-8 of every frame header, the CRC-16 of every frame, the places in the
+SEEKTABLE and the MD5 of the whole.
+
+All blocks of a batch of such streams are worked on together as rows of arrays: a step of the
+decoder moves every block one residual on.  Streams of other encoders, and blocks with
+coefficients of their own or several Rice partitions, are read frame by frame
+(``flac_frames``): all predictors, partition orders, block sizes, up to 8 channels and 32 bits.
+
+PCM is given as WAV files have it: 8-bit samples unsigned, wider ones signed and little-endian,
+channels interleaved; a sample offset counts samples of one channel.
+
+Cases: null and empty texts are one block of padding; a very long text is read back in pieces
+of ``seek_every`` blocks; every sequence of bytes comes back exactly; repeated rows stay and
+equal payloads give equal streams whatever their batch; only the named columns are read, so
+others may have any name; an empty table gives an empty result; a damaged stream raises
+``ValueError``.
 """
 
 from __future__ import annotations
@@ -26,26 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flac_frames
+from .flac_frames import CRC8, CRC16, crc8, crc16, crc_table, read_number
+
 BLOCK = 576
 LONGEST = BLOCK + 24  # bytes of a frame
 RATE = 16_000
-# Fixed values of the format: the predictors of orders 0 to 4 and the CRC polynomials.
-PREDICTORS = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-CRC8, CRC16 = 0x07, 0x8005
-
-
-def _crc_table(bits: int, poly: int) -> np.ndarray:
-    top, mask = 1 << (bits - 1), (1 << bits) - 1
-    out = np.zeros(256, np.uint32)
-    for n in range(256):
-        c = n << (bits - 8)
-        for _ in range(8):
-            c = ((c << 1) ^ poly if c & top else c << 1) & mask
-        out[n] = c
-    return out
 
 
-_T8, _T16 = _crc_table(8, CRC8), _crc_table(16, CRC16)
+_T8, _T16 = (np.array(crc_table(*kind), np.uint32) for kind in ((8, CRC8), (16, CRC16)))
 
 
 def _crcs(rows: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
@@ -185,51 +181,74 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def _parse(stream: bytes) -> tuple[int, bytes, list[tuple[int, int]], int]:
-    """Samples, MD5, seek points (sample, byte) and where the frames begin."""
-    if stream[:4] != b"fLaC":
-        raise ValueError("no FLAC stream")
-    at, last, total, md5, seeks = 4, False, 0, b"", []
-    while not last:
-        kind, size = stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
-        last, body = bool(stream[at] & 0x80), stream[at + 4 : at + 4 + size]
-        if kind == 0:
-            total, md5 = int.from_bytes(body[10:18], "big") & ((1 << 36) - 1), body[18:34]
-        elif kind == 3:
-            seeks = [struct.unpack(">QQH", body[k : k + 18])[:2] for k in range(0, size, 18)]
-        at += 4 + size
-    return total, md5, seeks, at
-
-
-def _read_number(stream: bytes, at: int) -> tuple[int, int]:
-    lead = stream[at]
-    if lead < 0x80:
-        return lead, at + 1
-    count = next(k for k in range(1, 7) if not lead & (0x40 >> k))
-    value = lead & (0x3F >> count)
-    for b in stream[at + 1 : at + 1 + count]:
-        value = (value << 6) | (b & 0x3F)
-    return value, at + 1 + count
+def _own(stream: bytes, meta: flac_frames.Meta) -> bool:
+    """Whether the stream has the form that ``encode`` writes, so that its blocks are rows of one width."""
+    head = _header(0)
+    same = (meta.block, meta.channels, meta.bits) == ((BLOCK, BLOCK), 1, 8) and meta.total > 0 and meta.total % BLOCK == 0
+    return same and stream[meta.begin : meta.begin + len(head) + 1] == head + bytes([crc8(head)])
+
+
+def pieces(streams: list[bytes]):
+    """``(stream, sample offset, byte offset, pcm)`` in order, a piece for each seek point; all checksums verified.
+
+    Frames of several streams are decoded together, 2,048 at a time.
+    """
+    metas = [flac_frames.parse(s) for s in streams]
+    waiting: list[tuple] = []  # pieces of own streams: stream, sample, byte, frames, number of the first
+    held = 0
+
+    def ready():
+        nonlocal held
+        if not waiting:
+            return
+        x = decode_blocks([f for *_, frames, _ in waiting for f in frames], [k for *_, frames, first in waiting for k in range(first, first + len(frames))])
+        at = 0
+        for o, sample, byte, frames, _ in waiting:
+            yield o, sample, byte, (x[at : at + len(frames)].reshape(-1).view(np.uint8) ^ 0x80).tobytes()
+            at += len(frames)
+        waiting.clear()
+        held = 0
+
+    def made():
+        nonlocal held
+        for o, (s, m) in enumerate(zip(streams, metas, strict=True)):
+            if not _own(s, m):
+                yield from ready()
+                yield from ((o, *piece) for piece in flac_frames.pieces(s, m))
+                continue
+            starts = _frame_starts(s, m.begin, m.total // BLOCK)
+            if any(p % BLOCK or p // BLOCK >= len(starts) - 1 or starts[p // BLOCK] != m.begin + at for p, at in m.seeks):
+                raise ValueError("a seek point is at no frame")
+            cuts = sorted({0, *(p // BLOCK for p, _ in m.seeks), len(starts) - 1}) if m.seeks else range(len(starts))
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                waiting.append((o, lo * BLOCK, starts[lo], [s[a:b] for a, b in zip(starts[lo:hi], starts[lo + 1 : hi + 1], strict=True)], lo))
+                held += hi - lo
+                if held >= 2048:
+                    yield from ready()
+        yield from ready()
+
+    last, total, md5 = -1, 0, hashlib.md5()
+
+    def close():
+        if last >= 0 and ((metas[last].total and metas[last].total != total) or (any(metas[last].md5) and md5.digest() != metas[last].md5)):
+            raise ValueError("the samples don't match the stream's length or MD5")
+
+    for o, sample, byte, pcm in made():
+        if o != last:
+            close()
+            last, total, md5 = o, 0, hashlib.md5()
+        total += len(pcm) // (metas[o].channels * -(-metas[o].bits // 8))
+        md5.update(_signed(pcm) if metas[o].bits <= 8 else pcm)
+        yield o, sample, byte, pcm
+    close()
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream, all checksums verified."""
-    metas = [_parse(s) for s in streams]
-    counts = np.array([m[0] // BLOCK for m in metas])
-    out = [np.empty((c, BLOCK), np.int8) for c in counts]
-    starts = [_frame_starts(s, m[3], int(c)) for s, m, c in zip(streams, metas, counts, strict=True)]
-    owners = np.repeat(np.arange(len(streams)), counts)
-    jobs = [(streams[o], a, b, k) for o in range(len(streams)) for k, (a, b) in enumerate(zip(starts[o], starts[o][1:], strict=False))]
-    for lo in range(0, len(jobs), 2048):
-        part = jobs[lo : lo + 2048]
-        x = decode_blocks([s[a:b] for s, a, b, _ in part], [k for *_, k in part])
-        for row, o, (_, _, _, k) in zip(x, owners[lo : lo + 2048].tolist(), part, strict=True):
-            out[o][k] = row
-    done = [(o.reshape(-1).view(np.uint8) ^ 0x80).tobytes() for o in out]
-    for p, (total, md5, _, _) in zip(done, metas, strict=True):
-        if len(p) != total or hashlib.md5(_signed(p)).digest() != md5:
-            raise ValueError("the samples don't match the stream's MD5")
-    return done
+    """The PCM of each stream, all checksums verified."""
+    out: list[list[bytes]] = [[] for _ in streams]
+    for o, _, _, pcm in pieces(streams):
+        out[o].append(pcm)
+    return [b"".join(p) for p in out]
 
 
 def _frame_starts(stream: bytes, begin: int, count: int) -> list[int]:
@@ -237,7 +256,7 @@ def _frame_starts(stream: bytes, begin: int, count: int) -> list[int]:
     starts, at = [], begin
     for k in range(count):
         head = _header(k)
-        want = head + bytes([_crc8(head)])
+        want = head + bytes([crc8(head)])
         at = stream.find(want, at)
         # The same bytes may also occur inside a frame: then the CRC-16 before the start decides.
         if k and at >= 0 and stream.find(want, at + 1, starts[-1] + LONGEST + len(want)) >= 0:
@@ -250,17 +269,9 @@ def _frame_starts(stream: bytes, begin: int, count: int) -> list[int]:
     return [*starts, len(stream)]
 
 
-def _crc8(data: bytes) -> int:
-    c = 0
-    for b in data:
-        c = int(_T8[c ^ b])
-    return c
-
-
 def _whole(frame: bytes) -> bool:
     """Whether the last two bytes are the CRC-16 of those before."""
-    size = np.array([len(frame) - 2])
-    return size[0] > 0 and int(_crcs(np.frombuffer(frame, np.uint8)[None, :-2], size, 16)[0]) == int.from_bytes(frame[-2:], "big")
+    return len(frame) > 2 and crc16(frame[:-2]) == int.from_bytes(frame[-2:], "big")
 
 
 def decode_blocks(frames: list[bytes], numbers: list[int]) -> np.ndarray:
@@ -276,8 +287,8 @@ def decode_blocks(frames: list[bytes], numbers: list[int]) -> np.ndarray:
         raise ValueError("a frame's CRC-16 is wrong")
     heads = np.empty(n, np.int64)
     for i, (f, k) in enumerate(zip(frames, numbers, strict=True)):
-        number, end = _read_number(f, 4)
-        if f[:2] != b"\xff\xf8" or number != k or _crc8(f[:end]) != f[end]:
+        number, end = read_number(f, 4)
+        if f[:2] != b"\xff\xf8" or number != k or crc8(f[:end]) != f[end]:
             raise ValueError(f"the header of frame {k} is damaged")
         heads[i] = end + 1
     kind = rows[span, heads] >> 1 & 0x3F
@@ -287,11 +298,14 @@ def decode_blocks(frames: list[bytes], numbers: list[int]) -> np.ndarray:
     verbatim = np.flatnonzero(kind == 1)
     if len(verbatim):
         x[verbatim] = rows[verbatim[:, None], heads[verbatim][:, None] + 1 + np.arange(BLOCK)].view(np.int8)
-    fixed = np.flatnonzero((kind >= 8) & (kind <= 12))
-    if len(fixed) + len(constant) + len(verbatim) < n:
-        raise ValueError("an unknown kind of subframe")
+    order = kind.astype(np.int64) - 8
+    after = heads + 1 + np.clip(order, 0, 4)  # the residual's method and partition order: six zero bits
+    fixed = (order >= 0) & (order <= 4) & (rows[span, after] >> 2 == 0) & (rows[span, heads] & 0x81 == 0)
+    for i in np.flatnonzero((kind > 1) & ~fixed | (rows[span, heads] & 0x81 != 0)).tolist():
+        _, samples, _ = flac_frames.read(frames[i], 0, (BLOCK, BLOCK), 8)
+        x[i] = samples[:, 0]
     for k in range(5):
-        own = fixed[kind[fixed] == 8 + k]
+        own = np.flatnonzero(fixed & (order == k))
         if len(own):
             x[own] = _fixed(rows[own], heads[own], k)
     return x.astype(np.int8)
@@ -309,8 +323,6 @@ def _fixed(rows: np.ndarray, heads: np.ndarray, order: int) -> np.ndarray:
     at = (heads + 1 + order) * 8
     byte = base + at // 8  # 2 bits method, 4 bits partition order, 4 bits Rice parameter
     word = raw[byte] << 8 | raw[byte + 1]
-    if (word >> 10).any():
-        raise ValueError("an unknown kind of residual")
     rice = (word >> 6 & 15).astype(np.int64)
     pos, left = at + 10, span * wide
     r = np.empty((n, BLOCK - order), np.int32)
@@ -332,11 +344,24 @@ def _fixed(rows: np.ndarray, heads: np.ndarray, order: int) -> np.ndarray:
 
 def seek(stream: bytes, sample: int) -> tuple[int, int]:
     """The nearest seek point at or before ``sample``: its sample and its byte in the stream."""
-    total, _, seeks, begin = _parse(stream)
-    if not 0 <= sample < total:
+    meta = flac_frames.parse(stream)
+    if not 0 <= sample < meta.total:
         raise ValueError("beyond the stream")
-    first, at = max(s for s in seeks if s[0] <= sample)
-    return first, begin + at
+    first, at = max([(0, 0), *(s for s in meta.seeks if s[0] <= sample)])
+    return first, meta.begin + at
+
+
+def read(stream: bytes, sample: int, count: int) -> bytes:
+    """The PCM of at most ``count`` samples from ``sample`` on; only frames from the nearest seek point are decoded."""
+    meta = flac_frames.parse(stream)
+    wide = meta.channels * -(-meta.bits // 8)
+    first, at = seek(stream, sample)
+    out = b""
+    for _, pcm, _ in flac_frames.frames(stream, meta, at):
+        out += pcm
+        if len(out) >= (sample - first + count) * wide:
+            break
+    return out[(sample - first) * wide : (sample - first + count) * wide]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -376,49 +401,84 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """``id, sample_offset, pcm``: the decoded blocks, each with its seekable sample offset."""
+    """``id, sample_offset, byte_offset, pcm``: the decoded samples in blocks that begin at the stream's seek points.
+
+    ``byte_offset`` is where the block's first frame begins in the stream.  A stream without seek points
+    gives a block for each frame; null streams give none.
+    """
 
     def run(batches):
         for b in batches:
             media = b.column(1).to_pylist()
-            for lo, hi in _chunks([len(m) for m in media]):
-                ids, offs, pcm = [], [], []
-                for key, p in zip(b.column(0).slice(lo, hi - lo).to_pylist(), decode(media[lo:hi]), strict=True):
-                    for at in range(0, len(p), BLOCK):
-                        ids.append(key)
-                        offs.append(at)
-                        pcm.append(p[at : at + BLOCK])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(offs, pa.int64()), pa.array(pcm, pa.binary())], names=["id", "sample_offset", "pcm"])
+            for lo, hi in _chunks([len(m or b"") for m in media]):
+                own = [i for i in range(lo, hi) if media[i] is not None]
+                rows: list[tuple] = []
+                size = 0
+                for o, sample, at, pcm in pieces([media[i] for i in own]):
+                    rows.append((own[o], sample, at, pcm))
+                    size += len(pcm)
+                    if size >= MAX_BYTES:
+                        yield batch(b, rows)
+                        rows, size = [], 0
+                yield batch(b, rows)
+
+    def batch(b, rows):
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        cols = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]
+        ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *cols], names=["id", "sample_offset", "byte_offset", "pcm"])
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "media").mapInArrow(run, f"id {kind}, sample_offset long, pcm binary")
+    return media.select("id", "media").mapInArrow(run, f"id {kind}, sample_offset long, byte_offset long, pcm binary")
+
+
+class Described:
+    """What is kept of a stream while its PCM blocks pass: digests, and level, crossings and range of its samples."""
+
+    def __init__(self):
+        self.sha, self.n, self.squares, self.crossings, self.low, self.high = hashlib.sha256(), 0, 0, 0, 127, -128
+        self.last, self.tail, self.points = None, b"", []
 
+    def add(self, sample: int, at: int, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        x = (np.frombuffer(pcm, np.uint8) ^ 0x80).view(np.int8)
+        up = x >= 0
+        self.crossings += int((up[1:] != up[:-1]).sum()) + int(self.last is not None and bool(up[0]) != self.last)
+        self.last = bool(up[-1])
+        self.squares += int((x.astype(np.int32) ** 2).sum())
+        self.low, self.high = min(self.low, int(x.min())), max(self.high, int(x.max()))
+        self.n += len(x)
+        self.tail = (self.tail + pcm[-32:])[-32:]
+        self.points.append(f"{sample}:{at}")
 
-def feature_of(payload: bytes) -> str:
-    """Level, zero crossings and range of the samples that were read back."""
-    x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-    crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-    return f"rms={int(np.sqrt((x * x).sum() / len(x)) * 1000)};zcr={crossings};min={x.min()};max={x.max()};blocks={len(x) // BLOCK}"
+    def feature(self) -> str:
+        rms = int(np.sqrt(self.squares / self.n) * 1000)
+        return f"rms={rms};zcr={self.crossings};min={self.low};max={self.high};blocks={self.n // BLOCK}"
 
 
 def described(media: DataFrame) -> DataFrame:
-    """The stored bytes read back: sizes, digests and a feature string for every row."""
+    """The stored bytes read back block by block: sizes, digests, a feature string and the seekable offsets (sample:byte) of every row."""
 
     def run(batches):
         for b in batches:
             stored, n_bytes = b.column(2).to_pylist(), b.column(1)
             for lo, hi in _chunks([len(m) for m in stored]):
-                rows = []
-                for m, p in zip(stored[lo:hi], decode(stored[lo:hi]), strict=True):
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(p)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                found = [Described() for _ in range(lo, hi)]
+                for o, sample, at, pcm in pieces(stored[lo:hi]):
+                    found[o].add(sample, at, pcm)
+                rows = [
+                    (d.n, d.sha.hexdigest(), zlib.crc32(d.tail), len(m), hashlib.sha256(m).hexdigest(), d.feature(), ",".join(d.points))
+                    for m, d in zip(stored[lo:hi], found, strict=True)
+                ]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n_bytes.slice(lo, hi - lo), *cols], names=names)
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seek_points"]
     kind = media.schema["id"].dataType.simpleString()
     return media.select("id", "n_bytes", "media").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        run,
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seek_points string",
     )
 
 

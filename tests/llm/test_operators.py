@@ -6,6 +6,7 @@ import hashlib
 import html
 import math
 import random
+import struct
 import re
 import time
 import zlib
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkeval.llm import common, components, decontam, flac, html_text, langid, pieces, quality, records, secrets, simhash, toxicity
+from sparkeval.llm import common, components, decontam, flac, flac_frames, html_text, langid, pieces, quality, records, secrets, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", "   \t\n", "one", "Ünï cödé 😀 words here", "x" * 30_000, "again and again the same words in a row", "again and again the same words in a row"]
@@ -690,16 +691,140 @@ def test_flac_round_trip():
     streams = flac.encode(payloads)
     assert flac.decode(streams) == payloads
     assert [flac.encode([p])[0] for p in payloads[:6]] == streams[:6]
-    kinds = {s[flac._parse(s)[3] + 6] >> 1 & 0x3F for s in streams}
+    kinds = {s[flac_frames.parse(s).begin + 6] >> 1 & 0x3F for s in streams}
     assert {0, 1} <= kinds and kinds & set(range(8, 13))
     first, at = flac.seek(streams[-6], 576 * 150)
     assert first == 576 * 128 and streams[-6][at : at + 2] == b"\xff\xf8"
 
 
+# Two example streams of the format's public specification (RFC 9639, appendix D).
+ONE_STEREO_SAMPLE = "664c61438000002210001000 00000f00000f0ac442f00000 00013e84b41807dc69030758 6a3dad1a2e0ffff869180000 bf0358fd03128baa9a"
+LINEAR_PREDICTION = "664c61438000002210001000 00001f00001f07d000700000 0018f8f9e396f5cbcfc6dc80 7f9977906b32fff868020017 e944004f6f313d1047d227cb 6d090831452bdc2822228057 a3"
+
+
+def test_streams_of_the_specification():
+    stereo, linear = bytes.fromhex(ONE_STEREO_SAMPLE), bytes.fromhex(LINEAR_PREDICTION)
+    assert np.frombuffer(flac.decode([stereo])[0], "<i2").tolist() == [25588, 10416]
+    samples = (np.frombuffer(flac.decode([linear])[0], np.uint8) ^ 0x80).view(np.int8).tolist()
+    assert len(samples) == 24 and samples[:6] == [0, 79, 111, 78, 8, -61]
+    assert flac.decode([linear, *flac.encode([b"a" * 576]), stereo]) == [flac.decode([linear])[0], b"a" * 576, flac.decode([stereo])[0]]
+    assert flac.read(linear, 3, 4) == flac.decode([linear])[0][3:7]
+    for at in range(42, len(linear)):
+        with pytest.raises(ValueError):
+            flac.decode([linear[:at] + bytes([linear[at] ^ 4]) + linear[at + 1 :]])
+    for end in range(0, len(linear)):
+        with pytest.raises(ValueError):
+            flac.decode([linear[:end]])
+
+
+class PlainFlac:
+    """A writer of bits that shares nothing with the coder: linear predictors, partitions, all channel forms."""
+
+    def __init__(self, rng, bits, form, sizes, seek=0):
+        self.rng, self.bits, self.form, self.seek = rng, bits, form, seek
+        n = form + 1 if form < 8 else 2
+        smooth = np.cumsum(rng.integers(-3, 4, (sum(sizes), n)), axis=0)
+        self.x = np.clip(smooth, -(1 << bits - 1), (1 << bits - 1) - 1)
+        frames, at, points = [], 0, b""
+        for k, size in enumerate(sizes):
+            if seek and k % seek == 0:
+                points += struct.pack(">QQH", at, sum(map(len, frames)), size)
+            frames.append(self.frame(at, self.x[at : at + size]))
+            at += size
+        wide = -(-bits // 8)
+        pcm = b"".join(int(v).to_bytes(wide, "little", signed=True) for row in self.x for v in row)
+        info = struct.pack(">HH", min(sizes), max(sizes)) + bytes(6) + (16_000 << 44 | (n - 1) << 41 | (bits - 1) << 36 | at).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+        meta = [(0, info), (4, b"a comment"), (1, bytes(9))] + ([(3, points)] if seek else [])
+        self.stream = b"fLaC" + b"".join(bytes([k | 0x80 * (i == len(meta) - 1)]) + len(v).to_bytes(3, "big") + v for i, (k, v) in enumerate(meta)) + b"".join(frames)
+        self.pcm = bytes(b ^ 0x80 for b in pcm) if wide == 1 else pcm
+
+    def frame(self, at, x):
+        number = at
+        utf = bytes([number]) if number < 128 else chr(number).encode()  # the same form up to 0x10FFFF
+        code = {8: 1, 12: 2, 16: 4, 20: 5, 24: 6}[self.bits]
+        head = b"\xff\xf9" + bytes([0x70, self.form << 4 | code << 1]) + utf + (len(x) - 1).to_bytes(2, "big")
+        cols = [c.tolist() for c in x.T]
+        if self.form >= 8:
+            left, right = cols
+            side = [a - b for a, b in zip(left, right)]
+            cols = {8: [left, side], 9: [side, right], 10: [[(a + b) >> 1 for a, b in zip(left, right)], side]}[self.form]
+        odd = {8: 1, 9: 0, 10: 1}.get(self.form)
+        text = "".join(self.channel(c, self.bits + (k == odd)) for k, c in enumerate(cols))
+        text += "0" * (-len(text) % 8)
+        out = head + bytes([self.crc(head, 8, 0x07)]) + int(text, 2).to_bytes(len(text) // 8, "big")
+        return out + self.crc(out, 16, 0x8005).to_bytes(2, "big")
+
+    def channel(self, v, bits):
+        two = lambda n, w: format(n & (1 << w) - 1, f"0{w}b")
+        shift = int(self.rng.integers(0, 6))
+        weights = [int(w) for w in self.rng.integers(-16, 17, int(self.rng.integers(1, 13)))]
+        weights[0] += 1 << shift
+        order = len(weights)
+        out = "0" + format(31 + order, "06b") + "0" + "".join(two(a, bits) for a in v[:order]) + format(9, "04b") + two(shift, 5) + "".join(two(w, 10) for w in weights)
+        r = [v[i] - (sum(w * v[i - 1 - j] for j, w in enumerate(weights)) >> shift) for i in range(order, len(v))]
+        parts = 2 if len(v) % 4 == 0 and len(v) // 4 >= order else 0
+        wide, at = 4 + int(self.rng.integers(0, 2)), 0
+        out += format(wide - 4, "02b") + format(parts, "04b")
+        for k in range(1 << parts):
+            n = (len(v) >> parts) - (order if k == 0 else 0)
+            own, at = r[at : at + n], at + n
+            if k == 1:  # not coded
+                out += "1" * wide + format(30, "05b") + "".join(two(e, 30) for e in own)
+                continue
+            rice = min(max(abs(e) for e in own).bit_length(), (1 << wide) - 2) if own else 0
+            out += format(rice, f"0{wide}b")
+            for e in own:
+                u = 2 * e if e >= 0 else -2 * e - 1
+                out += "0" * (u >> rice) + "1" + (format(u & (1 << rice) - 1, f"0{rice}b") if rice else "")
+        return out
+
+    @staticmethod
+    def crc(data, bits, poly):
+        c = 0
+        for i in range(len(data) * 8):
+            top = c >> (bits - 1) ^ (data[i // 8] >> (7 - i % 8) & 1)
+            c = (c << 1 & (1 << bits) - 1) ^ (poly if top else 0)
+        return c
+
+
+@pytest.mark.parametrize("bits,form,seek", [(8, 0, 0), (8, 1, 2), (12, 8, 1), (16, 9, 2), (20, 10, 0), (24, 10, 3), (16, 3, 2)])
+def test_foreign_streams(bits, form, seek):
+    made = PlainFlac(np.random.default_rng(bits * 16 + form), bits, form, [64, 100, 48, 576, 31, 200], seek)
+    assert flac.decode([made.stream]) == [made.pcm]
+    wide = made.x.shape[1] * -(-bits // 8)
+    found = list(flac.pieces([made.stream]))
+    assert [p for _, p, _, _ in found] == sorted({p for _, p, _, _ in found}) and len(found) == (-(-6 // seek) if seek else 6)
+    for at, n in ((0, 1), (63, 2), (165, 600), (800, 10_000)):
+        assert flac.read(made.stream, at, n) == made.pcm[at * wide : (at + n) * wide]
+    if seek:  # a point that is beside its frame
+        s = flac_frames.parse(made.stream)
+        broken = made.stream.replace(struct.pack(">QQ", *s.seeks[-1]), struct.pack(">QQ", s.seeks[-1][0], s.seeks[-1][1] + 1))
+        with pytest.raises(ValueError):
+            flac.decode([broken])
+
+
+def test_linear_frame_between_own_frames():
+    """A frame of the coder's own form with coefficients of its own takes the general way."""
+    x = np.cumsum(np.random.default_rng(5).integers(-2, 3, 576)).astype(np.int64) % 100
+    maker = PlainFlac.__new__(PlainFlac)
+    maker.rng = np.random.default_rng(6)
+    head = flac._header(1)
+    text = maker.channel(x.tolist(), 8)
+    text += "0" * (-len(text) % 8)
+    linear = head + bytes([flac_frames.crc8(head)]) + int(text, 2).to_bytes(len(text) // 8, "big")
+    linear += flac_frames.crc16(linear).to_bytes(2, "big")
+    payload = bytes(range(256)) * 2 + bytes(64) + (x.astype(np.uint8) ^ 0x80).tobytes() + b"b" * 576
+    own = flac.encode([payload])[0]
+    meta = flac_frames.parse(own)
+    starts = flac._frame_starts(own, meta.begin, 3)
+    frames = [own[starts[0] : starts[1]], linear, own[starts[2] :]]
+    assert flac.decode([flac.wrap(frames, payload, seek_every=1)]) == [payload]
+
+
 @pytest.mark.parametrize("where", [-1, -60, 60])
 def test_damage_is_found(where):
     stream = bytearray(flac.encode([flac.payload_of("some words of a text " * 40)[1]])[0])
-    begin = flac._parse(bytes(stream))[3]
+    begin = flac_frames.parse(bytes(stream)).begin
     stream[where if where < 0 else begin + where] ^= 8
     with pytest.raises(ValueError):
         flac.decode([bytes(stream)])
@@ -711,8 +836,19 @@ def test_media_query(odd, docs, empty):
         n, p = flac.payload_of(r["text"])
         row = got[(r["doc_id"], hashlib.sha256(p).hexdigest())]
         assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"]) == (n, len(p), zlib.crc32(p[-32:]))
-    blocks = flac.pcm_blocks(flac.with_media(odd)).where("sample_offset >= 576")
-    assert blocks.count() > 40 and flac.digest(empty).count() == 0
+    media = flac.with_media(odd)
+    stored = {(r["id"], r["media"]) for r in media.collect()}
+    blocks = flac.pcm_blocks(media).collect()
+    want = sorted((i, p, at, pcm) for i, m in stored for _, p, at, pcm in flac.pieces([m]))
+    assert sorted({(r["id"], r["sample_offset"], r["byte_offset"], r["pcm"]) for r in blocks}) == want
+    assert any(r["sample_offset"] >= 64 * 576 for r in blocks) or max(len(r["text"] or "") for r in odd.collect()) < 64 * 576
+    assert flac.digest(empty).count() == 0 and flac.pcm_blocks(flac.with_media(empty)).count() == 0
+    for i, m in list(stored)[:20]:  # the features are those of the whole, taken at once
+        x = (np.frombuffer(flac.decode([m])[0], np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
+        row = next(r for r in got.values() if r["media_sha256"] == hashlib.sha256(m).hexdigest())
+        zcr = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
+        assert row["feature"] == f"rms={int(np.sqrt((x * x).sum() / len(x)) * 1000)};zcr={zcr};min={x.min()};max={x.max()};blocks={len(x) // 576}"
+        assert row["seek_points"] == ",".join(f"{p}:{at}" for _, p, at, _ in flac.pieces([m]))
 
 
 # --- 10 quality ---
