@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,9 +17,39 @@ def let(expr: Column, body) -> Column:
     return F.element_at(F.transform(F.array(expr), body), 1)
 
 
+#: A word: letters and numbers of any script, and underscores; marks are no part of it.
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+@cache
+def foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What Unicode's full case folding makes of single characters: one other character, or several."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding, native: ASCII texts are lower-cased, others translated; null stays null.
+
+    The sharp s is replaced by itself, as it is frequent; the hundred other characters that fold to several only
+    in texts that hold one.
+    """
+    one, several = foldings()
+    rest = {c: f for c, f in several.items() if c != "ß"}
+    plain = F.replace(F.translate(text, "".join(one), "".join(one.values())), F.lit("ß"), F.lit("ss"))
+    table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in rest.items()])
+    whole = F.aggregate(table, plain, lambda t, p: F.replace(t, p["c"], p["f"]))
+    return F.when(ascii_only(text), F.lower(text)).when(text.rlike(f"[{''.join(rest)}]"), whole).otherwise(plain)
+
+
 def normalized(text: Column) -> Column:
-    """Lower case, white space collapsed and trimmed; ``exact_normalized`` adds NFC and case folding."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    """NFC, case folded, white space collapsed and trimmed; only texts beyond ASCII leave the JVM for it."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\x1c-\x1f]+", " "))
+    return F.coalesce(exact_normalized(F.when(~ascii_only(text), text)), plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -27,20 +59,30 @@ def exact_normalized(text: pd.Series) -> pd.Series:
 
 
 def tokens(text: Column) -> Column:
-    """Words, and single characters that are neither word nor space, of the normalized text."""
-    return F.regexp_extract_all(normalized(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    """Words, and single characters that are neither word nor space, of the normalized text.
+
+    Select it as a column before it goes into ``precision_recall_f1``: Spark takes no Python function inside lambdas.
+    """
+    return F.regexp_extract_all(normalized(text), F.lit(WORD + r"|[^\p{L}\p{N}_ ]"), F.lit(0))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """How many elements two arrays share, with repeats."""
-    return F.coalesce(
-        F.aggregate(
-            F.array_distinct(a),
-            F.lit(0).cast("long"),
-            lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-        ),
-        F.lit(0).cast("long"),
-    )
+    """How many elements two arrays share, with repeats; a null array shares none.
+
+    Both are sorted together, those of ``a`` first among equals, and one fold pairs each of ``b`` with one that is left.
+    """
+    tag = lambda elements, k: F.transform(elements, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
+
+    def step(s: Column, e: Column) -> Column:
+        left = F.when(s["x"] == e["x"], s["left"]).otherwise(0)
+        hit = (e["k"] == 1) & (left > 0)
+        return F.struct(e["x"].alias("x"), F.when(e["k"] == 0, left + 1).when(hit, left - 1).otherwise(left).alias("left"), F.when(hit, s["hits"] + 1).otherwise(s["hits"]).alias("hits"))
+
+    def count(both: Column) -> Column:
+        start = F.struct(F.get(both, F.lit(0))["x"].alias("x"), F.lit(0).alias("left"), F.lit(0).cast("long").alias("hits"))
+        return F.aggregate(both, start, step, lambda s: s["hits"])
+
+    return F.coalesce(let(F.sort_array(F.concat(tag(a, 0), tag(b, 1))), count), F.lit(0).cast("long"))
 
 
 def precision_recall_f1(prediction: Column, reference: Column) -> Column:
@@ -65,12 +107,13 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def text_ngrams(text: Column, n: int = 5) -> Column:
-    return let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: ngrams(t, n))
+    """The distinct n-grams of the case-folded words."""
+    return let(F.regexp_extract_all(casefold(text), F.lit(WORD), F.lit(0)), lambda t: ngrams(t, n))
 
 
 def gram_hashes(text: Column, n: int = 5) -> Column:
     """The distinct n-grams of ``text_ngrams`` as 64-bit hashes of their words' hashes, without making the grams' texts."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(casefold(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
     def made(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))

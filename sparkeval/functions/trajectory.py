@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, rate
+from .text import casefold, let, rate
 
 
 def of_kind(steps: Column, kind: str) -> Column:
@@ -78,7 +78,7 @@ def has_loop(steps: Column, repetitions: int = 3, longest: int = 4, decision: st
 
 def grounded_share(answer: Column, outputs: Column) -> Column:
     """The share of the answer's distinct words that occur in the outputs; an empty answer gives null."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"(?U)\s+"), lambda w: w != ""))
+    words = lambda t: F.array_distinct(F.filter(F.split(casefold(t), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
     return let(words(answer), lambda a: rate(F.size(F.array_intersect(a, words(F.array_join(outputs, " ")))), F.size(a)))
 
 

@@ -117,7 +117,7 @@ def agt10_trajectory_summary(spark, sf_dir):
     return t.agg(F.count("*").alias("n_steps"), F.count_if(call).alias("n_calls"), F.round(F.coalesce(F.sum(F.when(call, F.coalesce(F.try_element_at(price, F.col("tool")), F.lit(0.0)))), F.lit(0.0)), 9).alias("tool_cost"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text || ' the of and'), '\\s+'), lambda w: w <> '' AND length(w) <= 3)) AS o FROM benchmark)
+@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(replace(lower(text), 'ß', 'ss'), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(string_split_regex(replace(lower(text || ' the of and'), 'ß', 'ss'), '\\s+'), lambda w: w <> '' AND length(w) <= 3)) AS o FROM benchmark)
 SELECT item_id, round(len(list_intersect(a, o)) / len(a), 9) AS grounded FROM b""")
 def agt09_grounded_share(spark, sf_dir):
     """The share of an answer's words that its tools put out; here the tools put out the short words."""

@@ -149,7 +149,7 @@ def ds02_normalize_timestamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", normalized_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00"))).alias("utc"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents)
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents)
 SELECT doc_id, len(list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)]))::BIGINT AS n_grams FROM w""")
 def ds13_ngrams(spark, sf_dir):
     from ..functions.text import text_ngrams
@@ -157,9 +157,9 @@ def ds13_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text_ngrams(F.col("text"))).cast("long").alias("n_grams"))
 
 
-@query("""WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents),
+@query("""WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents),
 l AS (SELECT key, list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)]) AS g FROM w),
-v AS (SELECT 'b' || item_id AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM benchmark),
+v AS (SELECT 'b' || item_id AS key, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM benchmark),
 r AS (SELECT key, list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)]) AS g FROM v),
 le AS (SELECT key, len(g) AS n, unnest(g) AS x FROM l), re AS (SELECT key, len(g) AS n, unnest(g) AS x FROM r),
 p AS (SELECT le.key AS left_key, re.key AS right_key, count(*) AS c, max(le.n) AS nl, max(re.n) AS nr FROM le JOIN re USING (x) GROUP BY ALL)
@@ -171,9 +171,9 @@ def ds15_contamination_matches(spark, sf_dir):
     return D.contamination_matches(left, right, threshold=0.05).select("left_key", "right_key", F.round("similarity", 9).alias("similarity"))
 
 
-@query("""WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM documents),
+@query("""WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents),
 l AS (SELECT min(key) AS key, count(*) AS rows, g FROM (SELECT key, list_sort(list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)])) AS g FROM w) GROUP BY g),
-v AS (SELECT (item_id + 1000000)::VARCHAR AS key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS t FROM benchmark UNION ALL SELECT key, t FROM w WHERE key::BIGINT % 7 = 0),
+v AS (SELECT (item_id + 1000000)::VARCHAR AS key, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM benchmark UNION ALL SELECT key, t FROM w WHERE key::BIGINT % 7 = 0),
 r AS (SELECT min(key) AS key, count(*) AS rows, g FROM (SELECT key, list_sort(list_distinct([array_to_string(t[i:i+4], ' ') FOR i IN range(1, greatest(len(t) - 4, 0) + 1)])) AS g FROM v) GROUP BY g),
 le AS (SELECT key, rows, len(g) AS n, unnest(g) AS x FROM l), re AS (SELECT key, rows, len(g) AS n, unnest(g) AS x FROM r),
 p AS (SELECT le.key AS a, re.key AS b, any_value(le.rows) AS ar, any_value(re.rows) AS br, count(*) AS c, max(le.n) AS nl, max(re.n) AS nr FROM le JOIN re USING (x) GROUP BY ALL),

@@ -45,11 +45,14 @@ class Definition:
 class MetricRegistry:
     metrics: dict[str, tuple[Definition, Callable[[dict], Column]]] = field(default_factory=dict)
     functions: set[str] = field(default_factory=set)
+    inputs: dict[str, Callable[[], dict[str, Column]]] = field(default_factory=dict)
 
-    def register(self, definition: Definition, build: Callable[[dict], Column]) -> None:
+    def register(self, definition: Definition, build: Callable[[dict], Column], inputs: Callable[[], dict[str, Column]] = dict) -> None:
+        """``inputs`` gives columns that are made of the sample first, for the metric to read by name."""
         if definition.identifier in self.metrics:
             raise ValueError(f"the metric {definition.identifier} is registered already")
         self.metrics[definition.identifier] = definition, build
+        self.inputs[definition.identifier] = inputs
 
     def register_function(self, definition: Definition, function: Callable[[dict, dict], float | None]) -> None:
         """A metric in Python: ``function(sample, config)`` gets the required fields and returns a number, or None where there is none."""
@@ -95,6 +98,7 @@ class MetricRegistry:
             need = [F.col(r).isNotNull() for r in d.required]
             kinds = [F.col("task_type").isin(*d.task_types)] if d.task_types else []
             everything = lambda cs: F.coalesce(F.forall(F.array(*cs), lambda c: c), F.lit(False)) if cs else F.lit(True)
+            made = made.withColumns(self.inputs[i]())
             if i in self.functions:
                 made = made.withColumn(f"__m{n}", build(config))
                 value, own, error = F.col(f"__m{n}.value"), F.nullif(F.col(f"__m{n}.status"), F.lit("succeeded")), F.col(f"__m{n}.error")
@@ -130,8 +134,8 @@ def default_registry() -> MetricRegistry:
     p, r = "prediction", "reference"
     both = (p, r)
 
-    def add(name, family, build, required=both, direction="maximize", maximum=1.0, config=None, minimum=0.0):
-        reg.register(Definition(name, family, direction, "score", required, (), minimum, maximum, config_schema=config), build)
+    def add(name, family, build, required=both, direction="maximize", maximum=1.0, config=None, minimum=0.0, inputs=dict):
+        reg.register(Definition(name, family, direction, "score", required, (), minimum, maximum, config_schema=config), build, inputs)
 
     def wants(**fields):
         return {"type": "object", "required": list(fields), "properties": fields}
@@ -139,9 +143,9 @@ def default_registry() -> MetricRegistry:
     one = lambda c: c.cast("double")
     add("exact-match", "text", lambda c: one(F.col(p) == F.col(r)))
     add("normalized-match", "text", lambda c: one(X.normalized(F.col(p)) == X.normalized(F.col(r))))
-    add("case-insensitive-match", "text", lambda c: one(F.lower(p) == F.lower(r)))
+    add("case-insensitive-match", "text", lambda c: one(X.casefold(F.col(p)) == X.casefold(F.col(r))))
     add("classification-accuracy", "text", lambda c: one(F.trim(F.col(p)) == F.trim(F.col(r))))
-    add("token-f1", "text", lambda c: X.precision_recall_f1(X.tokens(F.col(p)), X.tokens(F.col(r)))["f1"])
+    add("token-f1", "text", lambda c: X.precision_recall_f1(F.col("__words"), F.col("__words_wanted"))["f1"], inputs=lambda: {"__words": X.tokens(F.col(p)), "__words_wanted": X.tokens(F.col(r))})
     add("rouge-l", "text", lambda c: S.rouge_lsum_score(F.col(p), F.col(r)))
     add("bleu", "text", lambda c: S.bleu_score(F.col(p), F.col(r)))
     add("edit-distance", "text", lambda c: F.levenshtein(F.col(p), F.col(r)), direction="minimize", maximum=None)

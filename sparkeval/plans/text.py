@@ -9,14 +9,15 @@ from ..functions import text as X
 from ..registry import query
 from ..views import table, turns, with_views
 
-NORM = "trim(regexp_replace(lower({}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+FOLD = "replace(lower({}), 'ß', 'ss')"  # case folding, as far as the tables need it
+NORM = "trim(regexp_replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
 def _round(df, names, digits=9):
     return df.select("sample_id", *[F.round(n, digits).alias(n) for n in names])
 
 
-TOK = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]')"
+TOK = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')"
 OVERLAP = """
 p AS (SELECT sample_id, x, count(*) AS c FROM (SELECT sample_id, unnest(p) AS x FROM t) GROUP BY ALL), r AS (SELECT sample_id, x, count(*) AS c FROM (SELECT sample_id, unnest(r) AS x FROM t) GROUP BY ALL),
 o AS (SELECT sample_id, sum(least(p.c, r.c)) AS n FROM p JOIN r USING (sample_id, x) GROUP BY sample_id),
@@ -27,19 +28,20 @@ s AS (SELECT sample_id, CASE WHEN len(p) = 0 THEN (len(r) = 0)::INT::DOUBLE ELSE
 @query(with_views("turns", f"""WITH t AS (SELECT sample_id, {TOK.format(NORM.format("prediction"))} AS p, {TOK.format(NORM.format("reference"))} AS r FROM turns), {OVERLAP}
 SELECT sample_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 9) AS f1 FROM s"""))
 def lm03_token_f1(spark, sf_dir):
-    scored = turns(spark, sf_dir).select("sample_id", X.precision_recall_f1(X.tokens(F.col("prediction")), X.tokens(F.col("reference"))).alias("s"))
+    words = turns(spark, sf_dir).select("sample_id", X.tokens(F.col("prediction")).alias("p"), X.tokens(F.col("reference")).alias("r"))
+    scored = words.select("sample_id", X.precision_recall_f1(F.col("p"), F.col("r")).alias("s"))
     return _round(scored.select("sample_id", "s.*"), ["precision", "recall", "f1"])
 
 
 @query(with_views("turns", f"""SELECT sample_id, (prediction = reference)::INT::DOUBLE AS exact, ({NORM.format("prediction")} = {NORM.format("reference")})::INT::DOUBLE AS normalized,
- (lower(prediction) = lower(reference))::INT::DOUBLE AS case_insensitive, (trim(prediction, ' ') = trim(reference, ' '))::INT::DOUBLE AS accuracy FROM turns"""))
+ ({FOLD.format("prediction")} = {FOLD.format("reference")})::INT::DOUBLE AS case_insensitive, (trim(prediction, ' ') = trim(reference, ' '))::INT::DOUBLE AS accuracy FROM turns"""))
 def lm04_match(spark, sf_dir):
     one = lambda c: c.cast("double")
     return turns(spark, sf_dir).select(
         "sample_id",
         one(F.col("prediction") == F.col("reference")).alias("exact"),
         one(X.normalized(F.col("prediction")) == X.normalized(F.col("reference"))).alias("normalized"),
-        one(F.lower(F.col("prediction")) == F.lower(F.col("reference"))).alias("case_insensitive"),
+        one(X.casefold(F.col("prediction")) == X.casefold(F.col("reference"))).alias("case_insensitive"),
         one(F.trim(F.col("prediction")) == F.trim(F.col("reference"))).alias("accuracy"),
     )
 

@@ -8,6 +8,8 @@ import itertools
 import json
 import math
 import re
+import unicodedata
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -53,6 +55,49 @@ def test_exact_normalize(spark):
     assert [r[0] for r in df.select(text.exact_normalized(F.col("t"))).collect()] == ["strasse x", "é", None]
 
 
+ODD = ["Straße ẞ", "ΣΊΣΥΦΟΣ ς", "ﬃ ŉ ǰ ᾳ", "İstanbul ı", "हिन्दी में", "A\x1cB\x85C\u3000D", "e\u0301 É", "\u212b Å", "𐐀𐐨 x", "a_b-c's 12½ ²", "", " ", None, "plain ASCII\tText", "한국어 각 각"]
+
+
+def test_case_folding_of_all_characters(spark):
+    points = [n for n in range(0x110000) if not 0xD800 <= n < 0xE000 and (chr(n).casefold() != chr(n) or n % 97 == 0)]
+    df = spark.createDataFrame([(n, f"x{chr(n)}Y") for n in points] + [(-1, None), (-2, "ABC"), (-3, "")], "n int, t string")
+    got = {r["n"]: r["f"] for r in df.select("n", text.casefold(F.col("t")).alias("f")).collect()}
+    assert got == {n: f"x{chr(n)}Y".casefold() for n in points} | {-1: None, -2: "abc", -3: ""}
+
+
+def test_words_and_normal_form_are_those_of_plain_python(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    grams = text.text_ngrams(F.col("t"), 1)
+    got = df.select("t", text.normalized(F.col("t")).alias("n"), text.tokens(F.col("t")).alias("w"), grams.alias("g"), F.size(text.gram_hashes(F.col("t"), 1)).alias("h")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["n"] is None
+            continue
+        want = " ".join(unicodedata.normalize("NFC", r["t"]).casefold().split())
+        assert r["n"] == want and r["w"] == re.findall(r"\w+|[^\w\s]", want), r["t"]
+        words = list(dict.fromkeys(re.findall(r"\w+", r["t"].casefold())))
+        assert r["g"] == words and r["h"] == len(words), r["t"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("aabcd"), max_size=12), st.lists(st.sampled_from("abbce"), max_size=12)), min_size=1, max_size=30))
+def test_overlap_counts_repeats(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["n"] for r in df.select("i", text.multiset_overlap(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: sum((Counter(a) & Counter(b)).values()) for i, (a, b) in enumerate(pairs)}
+
+
+def test_token_f1_of_the_registry(spark):
+    df = spark.createDataFrame([(1, "Die STRASSE, e\u0301", "die Straße é"), (2, "", ""), (3, "a a b", "a b b c")], "sample_id int, prediction string, reference string")
+    got = {r["sample_id"]: r["value"] for r in default_registry().evaluate(df, ["token-f1", "case-insensitive-match"]).where("metric = 'token-f1'").collect()}
+    assert got == pytest.approx({1: 2 * 3 / 7, 2: 1.0, 3: 2 * 2 / 7})
+
+
+def test_overlap_of_long_and_null_arrays(spark):
+    df = spark.createDataFrame([(["x"] * 20_000 + ["y"], ["x"] * 15_000 + ["z"]), (None, ["x"]), ([], [])], "a array<string>, b array<string>")
+    assert [r["n"] for r in df.select(text.multiset_overlap(F.col("a"), F.col("b")).alias("n")).collect()] == [15_000, 0, 0]
+
+
 @pytest.mark.parametrize("bad", ["(a+)+$", r"(a)\1", "(?<=a)b", "a" * 501])
 def test_patterns_are_refused(bad):
     with pytest.raises(ValueError):
