@@ -58,12 +58,23 @@ def exact_normalized(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
 
 
+@F.pandas_udf(T.StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """The text in NFC; only texts beyond ASCII leave the JVM for it."""
+    return F.coalesce(_nfc(F.when(~ascii_only(text), text)), text)
+
+
 def tokens(text: Column) -> Column:
-    """Words, and single characters that are neither word nor space, of the normalized text.
+    """The case-folded words, and single characters that are neither word nor space; native.
 
-    Select it as a column before it goes into ``precision_recall_f1``: Spark takes no Python function inside lambdas.
+    The text is taken to be in NFC.  Select ``composed(text)`` as a column first where it may not be: Spark takes
+    no Python function inside the lambdas that tokens go into.
     """
-    return F.regexp_extract_all(normalized(text), F.lit(WORD + r"|[^\p{L}\p{N}_ ]"), F.lit(0))
+    return F.regexp_extract_all(casefold(text), F.lit(WORD + r"|(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"), F.lit(0))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

@@ -145,7 +145,8 @@ def default_registry() -> MetricRegistry:
     add("normalized-match", "text", lambda c: one(X.normalized(F.col(p)) == X.normalized(F.col(r))))
     add("case-insensitive-match", "text", lambda c: one(X.casefold(F.col(p)) == X.casefold(F.col(r))))
     add("classification-accuracy", "text", lambda c: one(F.trim(F.col(p)) == F.trim(F.col(r))))
-    add("token-f1", "text", lambda c: X.precision_recall_f1(F.col("__words"), F.col("__words_wanted"))["f1"], inputs=lambda: {"__words": X.tokens(F.col(p)), "__words_wanted": X.tokens(F.col(r))})
+    composed = lambda: {"__prediction": X.composed(F.col(p)), "__reference": X.composed(F.col(r))}
+    add("token-f1", "text", lambda c: X.precision_recall_f1(X.tokens(F.col("__prediction")), X.tokens(F.col("__reference")))["f1"], inputs=composed)
     add("rouge-l", "text", lambda c: S.rouge_lsum_score(F.col(p), F.col(r)))
     add("bleu", "text", lambda c: S.bleu_score(F.col(p), F.col(r)))
     add("edit-distance", "text", lambda c: F.levenshtein(F.col(p), F.col(r)), direction="minimize", maximum=None)

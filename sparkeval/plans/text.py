@@ -28,8 +28,8 @@ s AS (SELECT sample_id, CASE WHEN len(p) = 0 THEN (len(r) = 0)::INT::DOUBLE ELSE
 @query(with_views("turns", f"""WITH t AS (SELECT sample_id, {TOK.format(NORM.format("prediction"))} AS p, {TOK.format(NORM.format("reference"))} AS r FROM turns), {OVERLAP}
 SELECT sample_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 9) AS f1 FROM s"""))
 def lm03_token_f1(spark, sf_dir):
-    words = turns(spark, sf_dir).select("sample_id", X.tokens(F.col("prediction")).alias("p"), X.tokens(F.col("reference")).alias("r"))
-    scored = words.select("sample_id", X.precision_recall_f1(F.col("p"), F.col("r")).alias("s"))
+    texts = turns(spark, sf_dir).select("sample_id", X.composed(F.col("prediction")).alias("p"), X.composed(F.col("reference")).alias("r"))
+    scored = texts.select("sample_id", X.precision_recall_f1(X.tokens(F.col("p")), X.tokens(F.col("r"))).alias("s"))
     return _round(scored.select("sample_id", "s.*"), ["precision", "recall", "f1"])
 
 

@@ -68,7 +68,7 @@ def test_case_folding_of_all_characters(spark):
 def test_words_and_normal_form_are_those_of_plain_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
     grams = text.text_ngrams(F.col("t"), 1)
-    got = df.select("t", text.normalized(F.col("t")).alias("n"), text.tokens(F.col("t")).alias("w"), grams.alias("g"), F.size(text.gram_hashes(F.col("t"), 1)).alias("h")).collect()
+    got = df.withColumn("c", text.composed(F.col("t"))).select("t", text.normalized(F.col("t")).alias("n"), text.tokens(F.col("c")).alias("w"), grams.alias("g"), F.size(text.gram_hashes(F.col("t"), 1)).alias("h")).collect()
     for r in got:
         if r["t"] is None:
             assert r["n"] is None
