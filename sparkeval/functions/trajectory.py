@@ -16,8 +16,14 @@ def tool_success_rate(steps: Column) -> Column:
     return let(of_kind(steps, "tool_result"), lambda r: rate(F.size(F.filter(r, lambda s: F.coalesce(s["success"], F.lit(False)))), F.size(r)))
 
 
+def canonical_arguments(arguments: Column) -> Column:
+    """JSON text with its keys in order, at all depths, and without spaces; other text stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(arguments)), arguments)
+
+
 def redundant_call_rate(steps: Column) -> Column:
-    calls = F.transform(of_kind(steps, "tool_call"), lambda s: F.struct(s["tool"], s["arguments"]))
+    """The share of tool calls that repeat a tool and its arguments, whatever the order of their keys."""
+    calls = F.transform(of_kind(steps, "tool_call"), lambda s: F.struct(s["tool"], canonical_arguments(s["arguments"])))
     return F.coalesce(let(calls, lambda c: rate(F.size(c) - F.size(F.array_distinct(c)), F.size(c))), F.lit(0.0))
 
 

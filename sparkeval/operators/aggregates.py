@@ -71,12 +71,16 @@ def _zero(part, whole):
 
 
 def classification_metrics(rows: DataFrame, expected: str, predicted: str, labels: list[str] | None = None) -> DataFrame:
-    """One row: accuracy over all rows; averages over ``labels``, or over all that occur."""
+    """One row: accuracy over all rows; averages over ``labels``, or over all that occur.
+
+    Of ``labels``, one that never occurs counts with scores of zero in the macro averages and with no weight in the weighted ones.
+    """
     counts = rows.groupBy(F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("c"))
     accuracy = counts.agg(rate(F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("c")).otherwise(0)), F.sum("c")).alias("accuracy"))
     per = _per_label(counts)
     if labels is not None:
-        per = per.where(F.col("label").isin(labels))
+        wanted = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(labels)))).alias("label"))
+        per = wanted.join(per, "label", "left").fillna(0, ["tp", "fp", "fn"])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     scored = per.select("tp", "fp", "fn", (tp + fn).alias("support"), _zero(tp, tp + fp).alias("p"), _zero(tp, tp + fn).alias("r"), _zero(2 * tp, 2 * tp + fp + fn).alias("f"))
     averages = scored.agg(
@@ -86,7 +90,7 @@ def classification_metrics(rows: DataFrame, expected: str, predicted: str, label
         _zero(F.sum("tp"), F.sum(tp + fp)).alias("micro_precision"),
         _zero(F.sum("tp"), F.sum(tp + fn)).alias("micro_recall"),
         _zero(2 * F.sum("tp"), F.sum(2 * tp + fp + fn)).alias("micro_f1"),
-        _zero(F.sum(F.col("f") * F.col("support")), F.sum("support")).alias("weighted_f1"),
+        *[_zero(F.sum(F.col(x) * F.col("support")), F.sum("support")).alias(f"weighted_{name}") for x, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))],
     )
     return accuracy.crossJoin(F.broadcast(averages))
 

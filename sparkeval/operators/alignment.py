@@ -20,14 +20,19 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def align(left: DataFrame, right: DataFrame, keys: list[str], policy: str = "exclude") -> DataFrame:
+def require_finite(x: Column) -> Column:
+    """The value, null where it is null; NaN and infinities fail the query."""
+    return F.when(x.isNull() | finite(x), x).otherwise(F.raise_error(F.lit("observations must be finite")).cast("double"))
+
+
+def align(left: DataFrame, right: DataFrame, keys: list[str], policy: str = "exclude", strict: bool = False) -> DataFrame:
     """One row for each id of either side: statuses, values, and ``paired`` if both are finite.
 
-    ``left`` and ``right`` have the key columns, ``status`` and ``value``.
+    ``left`` and ``right`` have the key columns, ``status`` and ``value``.  A value that is not finite is flagged, or fails the query if ``strict``.
     """
     sides = []
     for name, df in (("left", left), ("right", right)):
-        sides.append(df.select(*keys, F.col("status").alias(f"{name}_status"), analysis_value(F.col("status"), F.col("value"), policy).alias(f"{name}_value")))
+        sides.append(df.select(*keys, F.col("status").alias(f"{name}_status"), (require_finite if strict else lambda x: x)(analysis_value(F.col("status"), F.col("value"), policy)).alias(f"{name}_value")))
     both = sides[0].join(sides[1], keys, "full_outer")
     have = F.col("left_value").isNotNull() & F.col("right_value").isNotNull()
     ok = finite(F.col("left_value")) & finite(F.col("right_value"))

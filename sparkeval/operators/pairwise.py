@@ -90,10 +90,10 @@ def aggregate_responses(judged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def position_bias(judged: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: the rate at which A wins among decisive verdicts, and how far it is from one half."""
+    """Per key: the rate at which A wins among decisive verdicts (one half if there are none), and how far it is from one half."""
     a, b = _count("A"), _count("B")
-    r = rate(a, a + b)
-    return judged.groupBy(*keys).agg(r.alias("a_rate"), F.abs(F.coalesce(r, F.lit(0.5)) - 0.5).alias("deviation"), (a + b).alias("decisive"))
+    r = F.coalesce(rate(a, a + b), F.lit(0.5))
+    return judged.groupBy(*keys).agg(r.alias("a_rate"), F.abs(r - 0.5).alias("deviation"), (a + b).alias("decisive"))
 
 
 def same_winner(a: str, b: str, verdict: str, ra: str, rb: str, reverse: str) -> Column:

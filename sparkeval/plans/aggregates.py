@@ -60,7 +60,7 @@ c AS (SELECT label, count(*) FILTER (a = label AND b = label) AS tp, count(*) FI
 s AS (SELECT label, tp, fp, fn, tp + fn AS support, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM c)
 SELECT round((SELECT avg((a = b)::INT) FROM raters), 9) AS accuracy, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f1,
  round(sum(tp) / sum(tp + fp), 9) AS micro_precision, round(sum(tp) / sum(tp + fn), 9) AS micro_recall, round(2 * sum(tp) / sum(2 * tp + fp + fn), 9) AS micro_f1,
- round(sum(f * support) / sum(support), 9) AS weighted_f1 FROM s"""))
+ round(sum(p * support) / sum(support), 9) AS weighted_precision, round(sum(r * support) / sum(support), 9) AS weighted_recall, round(sum(f * support) / sum(support), 9) AS weighted_f1 FROM s"""))
 def agg06_classification_metrics(spark, sf_dir):
     m = G.classification_metrics(raters(spark, sf_dir), "a", "b")
     return m.select([F.round(c, 9).alias(c) for c in m.columns])

@@ -256,7 +256,7 @@ def src10_keyset_page(spark, sf_dir):
 
 @query("""SELECT item_id, 'fake:' || trim(text, ' ') AS response, greatest(1, octet_length(encode(text)) // 4)::BIGINT AS input_tokens,
  greatest(1, octet_length(encode('fake:' || trim(text, ' '))) // 4)::BIGINT AS output_tokens,
- substr(sha256('fake' || chr(31) || text || chr(31) || '7'), 1, 24) AS request_id FROM benchmark""")
+ 'fake-' || substr(sha256('fake' || chr(31) || text || chr(31) || '7'), 1, 24) AS request_id FROM benchmark""")
 def src13_fake_generate(spark, sf_dir):
     return readers.fake_generate(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt")), "fake", 7, separator="\x1f").drop("prompt")
 

@@ -23,7 +23,7 @@ def agg13_aggregate_judgments(spark, sf_dir):
     return r.select("assignment", "verdict", "usable", F.round("disagreement", 9).alias("disagreement"), F.round("confidence", 9).alias("confidence"))
 
 
-@query(with_views("outcomes", """SELECT variant_a, round(count(*) FILTER (verdict = 'A') / nullif(count(*) FILTER (verdict IN ('A', 'B')), 0), 9) AS a_rate,
+@query(with_views("outcomes", """SELECT variant_a, round(coalesce(count(*) FILTER (verdict = 'A') / nullif(count(*) FILTER (verdict IN ('A', 'B')), 0), 0.5), 9) AS a_rate,
  round(abs(coalesce(count(*) FILTER (verdict = 'A') / nullif(count(*) FILTER (verdict IN ('A', 'B')), 0), 0.5) - 0.5), 9) AS deviation, count(*) FILTER (verdict IN ('A', 'B')) AS decisive FROM outcomes GROUP BY variant_a"""))
 def agg14_position_bias(spark, sf_dir):
     r = P.position_bias(outcomes(spark, sf_dir), ["variant_a"])
@@ -263,6 +263,19 @@ def orc10_money(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast("decimal(30,12)")).cast("double").alias("balance"), F.lit("usd").alias("currency"))
 
 
+@query("""SELECT o_custkey, sum(o_totalprice::DECIMAL(30, 12))::DOUBLE AS total, 'EUR' AS currency,
+ (sum(o_totalprice::DECIMAL(30, 12)) - min(o_totalprice::DECIMAL(30, 12)))::DOUBLE AS rest FROM orders GROUP BY o_custkey""")
+def orc10b_money_totals(spark, sf_dir):
+    """Checked sums and differences of amounts in one currency."""
+    from ..operators import money as M
+
+    o = table(spark, sf_dir, "orders").select("o_custkey", M.money(F.col("o_totalprice"), F.lit(" eur")).alias("price"))
+    least = o.groupBy("o_custkey").agg(F.min("price").alias("least"))
+    both = M.total(o, ["o_custkey"], "price").join(least, "o_custkey")
+    rest = M.minus(F.col("total"), F.col("least"))["amount"]
+    return both.select("o_custkey", F.col("total.amount").cast("double").alias("total"), "total.currency", rest.cast("double").alias("rest"))
+
+
 @query("""SELECT 'd' || r_regionkey AS experiment, sha256('{"name":"' || r_name || '","version":1}') AS snapshot_hash FROM region""")
 def orc02_snapshot_hashes(spark, sf_dir):
     """Digests of canonical snapshots, whatever the order of their keys."""

@@ -69,14 +69,17 @@ def normalize_envelope(rows: DataFrame) -> DataFrame:
     """``row, key, payload, metadata, splits`` of (row, line).
 
     A line with ``key`` and ``payload`` is an envelope; else its ``id``, or the row number, is
-    the key, and the rest is the payload.
+    the key, and the rest is the payload.  A line or a payload that is no JSON object fails the query with its row.
     """
+    fault = lambda text: F.raise_error(F.concat(F.lit(f"{text}: row "), F.col("row").cast("string"))).cast("string")
     v = F.try_parse_json("line")
     fields = F.try_variant_get(v, "$", "map<string,variant>")
     enveloped = F.map_contains_key(fields, "key") & F.map_contains_key(fields, "payload")
     key = F.when(enveloped, F.try_variant_get(v, "$.key", "string")).otherwise(F.coalesce(F.try_variant_get(v, "$.id", "string"), F.col("row").cast("string")))
     rest = F.to_json(F.map_filter(fields, lambda k, _: k != "id"))
-    payload = F.when(enveloped, F.to_json(F.try_variant_get(v, "$.payload", "variant"))).otherwise(rest)
+    given = F.try_variant_get(v, "$.payload", "variant")
+    object_of = F.when(F.schema_of_variant(given).startswith("OBJECT"), F.to_json(given)).otherwise(fault("a record's payload must be an object"))
+    payload = F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), F.when(enveloped, object_of).otherwise(rest)).otherwise(fault("a record must be a JSON object"))
     metadata = F.when(enveloped, F.coalesce(F.to_json(F.try_variant_get(v, "$.metadata", "variant")), F.lit("{}"))).otherwise(F.lit("{}"))
     splits = F.coalesce(F.try_variant_get(v, "$.splits", "array<string>"), F.array().cast("array<string>"))
     return rows.select("row", key.alias("key"), payload.alias("payload"), metadata.alias("metadata"), F.when(enveloped, splits).otherwise(F.array().cast("array<string>")).alias("splits"))
@@ -106,15 +109,32 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.expr("1") * F.floor(F.octet_length(text) / 4).cast("long")))
 
 
-def fake_generate(rows: DataFrame, identifier: str, seed: int, responses: dict[str, str] | None = None, separator: str = "\0") -> DataFrame:
-    """Deterministic responses: a recorded one, or the prompt itself behind ``fake:``."""
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+
+
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def fake_generate(
+    rows: DataFrame, identifier: str, seed: int, responses: dict[str, str] | None = None, separator: str = "\0", stop: tuple[str, ...] = (), failures: dict[str, str] | None = None
+) -> DataFrame:
+    """Deterministic responses: a recorded one, or the prompt itself, trimmed, behind ``fake:``, up to the first of each ``stop``.
+
+    With ``failures`` (a kind of error for a prompt) there is a column ``error``, and a prompt that fails has no response, tokens or request.
+    """
     prompt = F.col("prompt")
-    response = F.concat(F.lit("fake:"), F.trim(prompt))
+    response = F.concat(F.lit("fake:"), F.btrim(prompt, F.lit(SPACES)))
     if responses:
-        recorded = F.create_map(*[F.lit(x) for kv in responses.items() for x in kv])
-        response = F.coalesce(F.try_element_at(recorded, prompt), response)
-    request = F.substring(F.sha2(F.concat(F.lit(identifier), F.lit(separator), prompt, F.lit(separator), F.lit(str(seed))), 256), 1, 24)
-    return rows.select("*", response.alias("response"), token_estimate(prompt).alias("input_tokens"), token_estimate(response).alias("output_tokens"), request.alias("request_id"))
+        response = F.coalesce(_lookup(responses, prompt), response)
+    for mark in filter(None, stop):
+        response = F.substring_index(response, mark, 1)
+    digest = F.substring(F.sha2(F.concat(F.lit(identifier), F.lit(separator), prompt, F.lit(separator), F.lit(str(seed))), 256), 1, 24)
+    made = {"response": response, "input_tokens": token_estimate(prompt), "output_tokens": token_estimate(response), "request_id": F.concat(F.lit("fake-"), digest)}
+    if not failures:
+        return rows.select("*", *[c.alias(n) for n, c in made.items()])
+    error = _lookup(failures, prompt)
+    return rows.select("*", *[F.when(error.isNull(), c).alias(n) for n, c in made.items()], F.concat(F.lit("scripted fake failure: "), error).alias("error"))
 
 
 def fake_embed(rows: DataFrame, dimensions: int, separator: str = "\0") -> DataFrame:
@@ -130,9 +150,17 @@ def fake_embed(rows: DataFrame, dimensions: int, separator: str = "\0") -> DataF
 
 
 def benchmark_cases(rows: DataFrame) -> DataFrame:
-    """``id, category, prompt, accepted_answers``, trimmed; empty or repeated ids and missing answers fail."""
-    trimmed = rows.select(F.trim("id").alias("id"), F.trim("category").alias("category"), "prompt", F.transform("accepted_answers", lambda a: F.trim(a)).alias("accepted_answers"))
+    """``id, category, prompt, accepted_answers``, trimmed.
+
+    Null, empty or repeated ids, null or empty categories, prompts and answers, cases without answers, and a table of fewer than two cases fail.
+    """
+    strip = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
+    answers = F.transform(F.coalesce("accepted_answers", F.array().cast("array<string>")), strip)
+    trimmed = rows.select(*[strip(F.col(c)).alias(c) for c in ("id", "category", "prompt")], answers.alias("accepted_answers"))
+    if len(trimmed.take(2)) < 2:
+        raise ValueError("a benchmark has at least two cases")
     ids = trimmed.groupBy("id").agg(F.count("*").alias("c"))
-    fault = F.when(F.length("id") == 0, "a case id is empty").when(F.col("c") > 1, "a case id is repeated").when(F.size("accepted_answers") == 0, "a case has no answer")
+    blank = (F.col("category") == "") | (F.col("prompt") == "") | (F.size("accepted_answers") == 0) | F.exists("accepted_answers", lambda a: a == "")
+    fault = F.when(F.col("id") == "", "a case id is empty").when(F.col("c") > 1, "a case id is repeated").when(blank, "a case has an empty field")
     checked = trimmed.join(ids, "id").withColumn("id", F.when(fault.isNull(), F.col("id")).otherwise(F.raise_error(F.concat(fault, F.lit(": "), F.col("id")))))
     return checked.drop("c")

@@ -10,6 +10,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkeval.functions import canonical, hashing, judge, patterns, planning, ranking, similarity, special, text, trajectory
-from sparkeval.operators import agreement, aggregates, alignment, comparison, datasets, gates, inference, lifecycle, pairwise, predicates, rankings
+from sparkeval.operators import agreement, aggregates, alignment, comparison, datasets, gates, inference, lifecycle, money, pairwise, predicates, rankings
 from sparkeval.plans.registry import Definition, default_registry
 from sparkeval.sources import readers
 
@@ -423,6 +424,82 @@ def test_calibration(spark):
     assert m["accuracy"] == 0.75 and m["micro_f1"] == pytest.approx(0.75)
 
 
+def test_classification_of_given_labels(spark):
+    df = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("C", "A")], "a string, b string")
+    m = one(aggregates.classification_metrics(df, "a", "b", ["A", "B", "never"]))
+    assert m["macro_precision"] == pytest.approx((0.5 + 0.5 + 0) / 3) and m["macro_recall"] == pytest.approx((0.5 + 1 + 0) / 3)
+    assert m["weighted_precision"] == pytest.approx(0.5) and m["weighted_recall"] == pytest.approx(2 / 3)
+    assert m["accuracy"] == 0.5 and m["weighted_f1"] == pytest.approx((2 * 0.5 + 2 / 3) / 3)
+
+
+def test_position_bias_without_winners(spark):
+    df = spark.createDataFrame([("x", "tie"), ("y", "A"), ("y", "A"), ("y", "B")], "k string, verdict string")
+    got = {r["k"]: tuple(r)[1:] for r in pairwise.position_bias(df, ["k"]).collect()}
+    assert got["x"] == (0.5, 0.0, 0) and got["y"] == pytest.approx((2 / 3, 1 / 6, 3))
+
+
+def test_arguments_of_another_order_are_the_same_call(spark):
+    step = "array<struct<step int, kind string, tool string, arguments string, success boolean>>"
+    calls = ['{"a": 1, "b": {"y": [1, 2], "x": null}}', '{"b":{"x":null,"y":[1,2]},"a":1}', '{"b":{"x":null,"y":[2,1]},"a":1}', "not json", "not json"]
+    df = spark.createDataFrame([([(i, "tool_call", "t", c, None) for i, c in enumerate(calls)],)], f"steps {step}")
+    assert df.select(trajectory.redundant_call_rate(F.col("steps"))).first()[0] == pytest.approx(2 / 5)
+
+
+def test_fake_provider(spark):
+    df = spark.createDataFrame([("\u3000 say END no\t",), ("broken",), ("known",)], "prompt string")
+    got = {r["prompt"]: r for r in readers.fake_generate(df, "f", 7, {"known": "a|b END"}, stop=("END", "", "|"), failures={"broken": "timeout"}).collect()}
+    first = got["\u3000 say END no\t"]
+    assert first["response"] == "fake:say " and got["known"]["response"] == "a" and first["error"] is None
+    assert first["request_id"] == "fake-" + hashlib.sha256("f\0\u3000 say END no\t\x007".encode()).hexdigest()[:24]
+    assert got["broken"]["response"] is None and got["broken"]["error"] == "scripted fake failure: timeout"
+    assert "error" not in readers.fake_generate(df, "f", 7).columns
+
+
+def test_benchmark_cases(spark):
+    kind = "id string, category string, prompt string, accepted_answers array<string>"
+    good = [(" 1 ", "c\t", " p", [" a "]), ("2", "c", "q", ["b", "c"])]
+    made = readers.benchmark_cases(spark.createDataFrame(good, kind)).orderBy("id").collect()
+    assert [tuple(r) for r in made] == [("1", "c", "p", ["a"]), ("2", "c", "q", ["b", "c"])]
+    for bad in ((" ", "c", "p", ["a"]), (None, "c", "p", ["a"]), ("1", "c", "p", ["a"]), ("3", " ", "p", ["a"]), ("3", "c", None, ["a"]), ("3", "c", "p", []), ("3", "c", "p", None), ("3", "c", "p", ["a", "\t"])):
+        with pytest.raises(Exception, match="a case"):
+            readers.benchmark_cases(spark.createDataFrame([*good, bad], kind)).collect()
+    with pytest.raises(ValueError, match="two cases"):
+        readers.benchmark_cases(spark.createDataFrame(good[:1], kind))
+
+
+@pytest.mark.parametrize("line,fault", [("[1]", "JSON object"), ("x", "JSON object"), ('{"key": "a", "payload": [1]}', "payload must be"), ('{"key": "a", "payload": null}', "payload must be")])
+def test_envelopes_of_no_object(spark, line, fault):
+    df = spark.createDataFrame([(1, '{"key": "k", "payload": {"b": 1}}'), (2, line)], "row int, line string")
+    assert readers.normalize_envelope(df.where("row = 1")).first()["payload"] == '{"b":1}'
+    with pytest.raises(Exception, match=f"{fault}.*row 2"):
+        readers.normalize_envelope(df).collect()
+
+
+def test_values_have_to_be_finite(spark):
+    rows = spark.createDataFrame([(1, "succeeded", 1.0), (2, "succeeded", math.nan), (3, "failed", None)], "id int, status string, value double")
+    assert {r["id"]: r["paired"] for r in alignment.align(rows, rows, ["id"]).collect()} == {1: True, 2: False, 3: False}
+    assert alignment.align(rows.where("id <> 2"), rows.where("id <> 2"), ["id"], strict=True).count() == 2
+    with pytest.raises(Exception, match="finite"):
+        alignment.align(rows, rows, ["id"], strict=True).collect()
+
+
+def test_money(spark):
+    rows = [("a", 0.1, "usd"), ("a", 0.2, " USD"), ("b", 5.0, "eur"), ("c", None, "eur"), ("d", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, c string").withColumn("m", money.money(F.col("v"), F.col("c")))
+    got = {r["k"]: r["total"] for r in money.total(df, ["k"], "m").collect()}
+    assert (got["a"]["amount"], got["a"]["currency"]) == (Decimal("0.3").quantize(Decimal(10) ** -12), "USD") and got["b"]["currency"] == "EUR" and got["c"] is None and got["d"] is None
+    half = spark.createDataFrame([("0.0000000000005",), ("0.0000000000015",)], "v string").select(money.money(F.col("v"), F.lit("usd"))["amount"].alias("a")).collect()
+    assert [r["a"] for r in half] == [0, Decimal("0.000000000002")]
+    usd = lambda v: money.money(F.lit(v), F.lit("usd"))
+    assert spark.range(1).select(money.minus(usd(3), usd(1))["amount"], money.plus(usd(3), usd(1))["amount"]).first()[:] == (2, 4)
+    eur = money.money(F.lit(1), F.lit("eur"))
+    for bad in (usd(-1), usd(math.nan), money.money(F.lit(1), F.lit("us")), money.minus(usd(1), usd(2)), money.plus(usd(1), eur), money.minus(usd(1), eur)):
+        with pytest.raises(Exception, match="money|currenc"):
+            spark.range(1).select(bad.alias("m")).collect()
+    with pytest.raises(Exception, match="currencies must match"):
+        money.total(df.withColumn("k", F.lit(1)), ["k"], "m").collect()
+
+
 def test_rankings():
     pairs = [(0, 1, 18, 2, 5), (0, 2, 15, 5, 4), (1, 2, 12, 8, 3)]
     for f in (rankings.bradley_terry, rankings.davidson):
