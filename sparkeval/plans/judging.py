@@ -220,22 +220,35 @@ def jdg05_repetition_seeds(spark, sf_dir):
     return b.select("item_id", hashing.hex_u64(F.substring(F.sha2(key(str(SEED)), 256), 1, 16)).cast("string").alias("seed"), F.substring(F.sha2(key("judge"), 256), 1, 32).alias("idempotency_key"), "repetition")
 
 
-@query("""SELECT event_id, CASE WHEN k <= 5 THEN v END AS verdict, CASE WHEN k <= 5 THEN 0.5::DOUBLE END AS confidence, CASE WHEN k > 5 THEN 'score range' END AS error
-FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'abstain' WHEN value > 50 THEN 'A' ELSE 'B' END AS v FROM events)""")
+@query("""SELECT user_id, event_id, substr(sha256('judge|2|' || user_id || '|' || event_id), 1, 32) AS nonce,
+ round(least(15.0::DOUBLE, pow(2.0, event_id % 6) + ('0x' || substr(sha256(user_id || '|' || event_id || '|' || (event_id % 6 + 1)), 1, 4))::BIGINT / 65535.0::DOUBLE), 9) AS delay FROM events""")
+def jdg05b_nonces_and_delays(spark, sf_dir):
+    """The nonce of a repetition, and how long its attempts wait."""
+    from ..functions.judge import nonce, retry_delay
+
+    e = table(spark, sf_dir, "events")
+    seed, repetition = F.col("user_id"), F.col("event_id")
+    return e.select("user_id", "event_id", nonce("judge", "2", seed, repetition).alias("nonce"), F.round(retry_delay(seed, repetition, repetition % 6 + 1, 30.0), 9).alias("delay"))
+
+
+@query("""SELECT event_id, CASE WHEN ok THEN v END AS verdict, CASE WHEN ok THEN 0.5::DOUBLE END AS confidence, CASE WHEN event_id % 97 = 0 THEN 'schema version' WHEN k > 5 THEN 'score range' END AS error,
+ CASE WHEN ok THEN k::DOUBLE END AS quality, CASE WHEN ok THEN 'A:L0001' END AS evidence
+FROM (SELECT *, k <= 5 AND event_id % 97 <> 0 AS ok FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'abstain' WHEN value > 50 THEN 'A' ELSE 'B' END AS v FROM events))""")
 def jdg02_parse_responses(spark, sf_dir):
     """Judge responses built from the events, read back under the strict contract."""
-    from ..functions.judge import parse_responses
+    from ..functions.judge import VERSION, parse_responses
 
     e = table(spark, sf_dir, "events")
     verdict = F.when(F.col("event_type") == "error", "abstain").when(F.col("value") > 50, "A").otherwise("B")
     body = F.to_json(
         F.struct(
-            F.lit("1").alias("schema_version"), verdict.alias("verdict"), F.create_map(F.lit("quality"), F.get_json_object("props", "$.k").cast("double")).alias("scores"), F.lit(0.5).alias("confidence"),
+            F.when(F.col("event_id") % 97 == 0, "judge-response/0").otherwise(VERSION).alias("schema_version"), verdict.alias("verdict"), F.create_map(F.lit("quality"), F.get_json_object("props", "$.k").cast("double")).alias("scores"), F.lit(0.5).alias("confidence"),
             F.array(F.lit("A:L0001")).alias("evidence"), F.lit("because").alias("justification"), F.when(verdict == "abstain", "unclear").alias("abstention_reason"),
         ),
         {"ignoreNullFields": "false"},
     )
-    return parse_responses(e.select("event_id", body.alias("response")), {"quality": (0.0, 5.0)}, ["A:L0001"])
+    read = parse_responses(e.select("event_id", body.alias("response")), {"quality": (0.0, 5.0)}, ["A:L0001"], version=VERSION)
+    return read.select("event_id", "verdict", "confidence", "error", F.col("scores")["quality"].alias("quality"), F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("""WITH b AS (SELECT item_id, text, string_split(text, chr(10)) AS lines FROM benchmark)

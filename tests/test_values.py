@@ -483,6 +483,20 @@ def test_values_have_to_be_finite(spark):
         alignment.align(rows, rows, ["id"], strict=True).collect()
 
 
+def test_judge_output_and_delays(spark):
+    good = {"schema_version": "1.0", "verdict": "A", "scores": {"q": 4}, "confidence": 0.5, "evidence": ["A:L0001"], "justification": "x"}
+    df = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(good | {"scores": {}})), (3, None)], "id int, response string")
+    got = {r["id"]: r for r in judge.parse_responses(df, {"q": (0, 5)}, ["A:L0001"]).collect()}
+    assert got[1]["scores"] == {"q": 4.0} and got[1]["evidence"] == ["A:L0001"] and got[1]["error"] is None
+    other = judge.parse_responses(df.where("id = 1"), {"q": (0, 5)}, ["A:L0001"], version=judge.VERSION).first()
+    assert other["error"] == "schema version" and other["verdict"] is None
+    assert got[2]["scores"] is None and got[2]["evidence"] is None and got[2]["error"] == "dimensions" and got[3]["error"]
+    row = spark.range(1).select(*[judge.retry_delay(F.lit(7), F.lit(2), F.lit(a), 20.0).alias(f"d{a}") for a in (1, 3, 9)], judge.nonce("j", "1", F.lit(7), F.lit(2)).alias("n")).first()
+    jitter = lambda a: int(hashlib.sha256(f"7|2|{a}".encode()).hexdigest()[:4], 16) / 65535
+    assert row["d1"] == pytest.approx(1 + jitter(1)) and row["d3"] == pytest.approx(4 + jitter(3)) and row["d9"] == 10
+    assert row["n"] == hashlib.sha256(b"j|1|7|2").hexdigest()[:32]
+
+
 def test_money(spark):
     rows = [("a", 0.1, "usd"), ("a", 0.2, " USD"), ("b", 5.0, "eur"), ("c", None, "eur"), ("d", 1.0, None)]
     df = spark.createDataFrame(rows, "k string, v double, c string").withColumn("m", money.money(F.col("v"), F.col("c")))
