@@ -32,18 +32,33 @@ def foldings() -> tuple[dict[str, str], dict[str, str]]:
     return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
 
 
+@cache
+def beyond_lower() -> str:
+    """A pattern of the ranges that hold all characters, but the sharp s, whose case folding may differ from their lower case."""
+    points = [n for n in range(128, sys.maxunicode + 1) if (c := chr(n)) not in "ßẞ" and (c.casefold() != c.lower() or len(c.lower()) > 1 or c == "Σ")]
+    points += [ord("ẞ")]
+    ranges = []
+    for n in sorted(points):
+        if ranges and n - ranges[-1][1] <= 16:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding, native: ASCII texts are lower-cased, others translated; null stays null.
+    """Full case folding, native; null stays null.
 
-    The sharp s is replaced by itself, as it is frequent; the hundred other characters that fold to several only
-    in texts that hold one.
+    Most texts are lower-cased, with the sharp s replaced.  Those with a character that folds to another than its lower case
+    are translated, and the hundred characters that fold to several are replaced one by one only in texts that hold one.
     """
     one, several = foldings()
     rest = {c: f for c, f in several.items() if c != "ß"}
     plain = F.replace(F.translate(text, "".join(one), "".join(one.values())), F.lit("ß"), F.lit("ss"))
     table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in rest.items()])
     whole = F.aggregate(table, plain, lambda t, p: F.replace(t, p["c"], p["f"]))
-    return F.when(ascii_only(text), F.lower(text)).when(text.rlike(f"[{''.join(rest)}]"), whole).otherwise(plain)
+    simple = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.when(ascii_only(text), F.lower(text)).when(~text.rlike(beyond_lower()), simple).when(text.rlike(f"[{''.join(rest)}]"), whole).otherwise(plain)
 
 
 def normalized(text: Column) -> Column:
