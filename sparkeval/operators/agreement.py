@@ -82,6 +82,14 @@ def krippendorff_nominal(rows: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the correlation of the mid-ranks, and the number of rows.
+
+    The two columns are written once.  Made anew for every use, a mean whose parts arrive in another order may differ in its
+    last bit, and its row would be lost where ranks are joined by value.
+    """
+    folder = shared_folder(rows.sparkSession)
+    rows.select(a, b).write.parquet(folder)
+    rows = rows.sparkSession.read.parquet(folder)
     ranked = mid_ranks(mid_ranks(rows.withColumn("__all", F.lit(1)), ["__all"], F.col(a), "ra"), ["__all"], F.col(b), "rb")
     return ranked.agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 
