@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.progress import shared_folder
 from . import alignment as A
 from . import inference as I
 
@@ -48,15 +51,43 @@ def compare_metrics(
     percentile one of a Poisson bootstrap of the mean difference over records.  A metric with fewer than
     two finite pairs fails the query.
     """
+    return compare_tests(left, right, (test,), metric, record, policy, resamples, seed, confidence, practical)
+
+
+def compare_tests(
+    left: DataFrame,
+    right: DataFrame,
+    tests: tuple[str, ...] = TESTS,
+    metric: str = "metric",
+    record: str = "record_id",
+    policy: str = "exclude",
+    resamples: int = 1000,
+    seed: int = 0,
+    confidence: float = 0.95,
+    practical: float = 0.0,
+) -> DataFrame:
+    """``compare_metrics`` by each of the tests; what does not depend on the test is made once, and so are the pairs."""
     both = left.select(metric).distinct().join(right.select(metric).distinct(), metric)
     aligned = A.align(left, right, [metric, record], policy).join(both, metric)
-    counts = A.alignment_summary(aligned, [metric])
     enough = F.when(F.col("paired_n") >= 2, F.col("paired_n")).otherwise(F.raise_error(F.lit("at least two finite pairs are needed")))
+    spark, several = left.sparkSession, len(tests) > 1
+    folder = shared_folder(spark) if several else ""
+    if several:
+        aligned.write.parquet(f"{folder}/aligned")
+        aligned = spark.read.parquet(f"{folder}/aligned")
+    counts = A.alignment_summary(aligned, [metric])
     pairs = aligned.where("paired")
     effects = A.continuous_effects(aligned, [metric]).drop("n")
     interval = I.poisson_bootstrap_mean(pairs, [metric], record, "difference", resamples, seed, confidence)
-    tests = paired_test(pairs, [metric], record, "difference", test, resamples, seed)
-    rows = counts.withColumn("paired_n", enough).join(effects, metric, "left").join(interval, metric, "left").join(tests, metric, "left")
-    adjusted = I.adjust_p_values(tests.select(F.lit("all").alias("family"), F.col(metric).alias("key"), F.col("p_value").alias("p"))).select(F.col("key").alias(metric), F.col("holm").alias("p_adjusted"))
-    verdict = A.interpretation(F.col("lower"), F.col("upper"), F.col("p_value"), F.col("mean_difference"), practical, 1 - confidence)
-    return rows.join(adjusted, metric, "left").withColumn("interpretation", verdict)
+    whole = counts.withColumn("paired_n", enough).join(effects, metric, "left").join(interval, metric, "left")
+    if several:
+        whole.write.parquet(f"{folder}/whole")
+        whole = spark.read.parquet(f"{folder}/whole")
+
+    def by(test: str) -> DataFrame:
+        tested = paired_test(pairs, [metric], record, "difference", test, resamples, seed)
+        adjusted = I.adjust_p_values(tested.select(F.lit("all").alias("family"), F.col(metric).alias("key"), F.col("p_value").alias("p"))).select(F.col("key").alias(metric), F.col("holm").alias("p_adjusted"))
+        verdict = A.interpretation(F.col("lower"), F.col("upper"), F.col("p_value"), F.col("mean_difference"), practical, 1 - confidence)
+        return whole.join(tested, metric, "left").join(adjusted, metric, "left").withColumn("interpretation", verdict)
+
+    return reduce(DataFrame.unionByName, map(by, tests))

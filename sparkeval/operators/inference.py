@@ -221,18 +221,70 @@ def permutation_test(pairs: DataFrame, keys: list[str], d: str, resamples: int =
     return sizes.join(exact.unionByName(random), keys, "left").select(*keys, "observed_sum", F.coalesce("p_value", F.lit(1.0)).alias("p_value"), method.alias("method"), "n")
 
 
-def _poisson_weights(key: Column, draw: Column, seed: int) -> Column:
-    """A Poisson(1) weight from a hash: the steps of its distribution function."""
-    u = F.shiftrightunsigned(F.xxhash64(key, draw, F.lit(seed)), 11).cast("double") / float(1 << 53)
-    total, term, w = 0.0, math.exp(-1), F.lit(9)
-    steps = []
-    for k in range(9):
-        total += term
-        steps.append((k, total))
-        term /= k + 1
-    for k, limit in reversed(steps):
-        w = F.when(u < limit, F.lit(k)).otherwise(w)
-    return w
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _xxhash64(x, seed):
+    """Spark's ``xxhash64`` of 32-bit integers (64-bit ones beyond that), with a seed for each."""
+    turn = lambda h, n: (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+    if -(1 << 31) <= np.min(x) and np.max(x) < 1 << 31:
+        h = (seed + (P5 + np.uint64(4))) ^ (np.asarray(x, np.int64).astype(np.uint32).astype(np.uint64) * P1)
+        h = turn(h, 23) * P2 + P3
+    else:
+        h = (seed + (P5 + np.uint64(8))) ^ (turn(np.asarray(x, np.int64).view(np.uint64) * P2, 31) * P1)
+        h = turn(h, 27) * P1 + P4
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+#: The steps of the distribution function of Poisson(1), and the weight of each value of a hash's first 16 bits (255: two are possible).
+_STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+_FIRST = np.searchsorted(_STEPS, np.arange(1 << 16) / (1 << 16), "right").astype(np.uint8)
+_FIRST[(_STEPS * (1 << 16)).astype(int)] = 255
+#: Weights that a task makes at once, and sums that it holds.
+DRAWN, HELD = 1 << 17, 1 << 22
+
+
+def _poisson_weights(units: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson(1) weight for each draw and unit: the step of ``xxhash64(unit, draw, seed)``, where ``units`` are ``xxhash64(unit)``."""
+    h = _xxhash64(np.array([[seed]]), _xxhash64(draws[:, None], units.view(np.uint64)[None, :]))
+    w = _FIRST[h >> np.uint64(48)]
+    open_ = w == 255
+    w[open_] = np.searchsorted(_STEPS, (h[open_] >> np.uint64(11)) / float(1 << 53), "right")
+    return w.astype(np.float64)
+
+
+def _weighted_sums(rows: DataFrame, keys: list[str], unit: str, values: list[str], resamples: int, seed: int) -> DataFrame:
+    """``keys, __draw`` and the sum of each of the values over the rows, weighed for each draw by their unit.
+
+    Each task multiplies the matrix of its rows' weights, some at a time, with their values; Spark adds up the tasks' sums.
+    """
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    given = rows.select(*keys, F.xxhash64(unit).alias("__u"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    draws = np.arange(resamples)
+
+    def out(total):
+        return pd.DataFrame([[*k, *x.tolist()] for k, x in total.items()], columns=[*keys, *values])
+
+    def run(batches):
+        total: dict = {}
+        for pdf in batches:
+            u, x = pdf["__u"].to_numpy(), pdf[values].to_numpy(np.float64)
+            for k, at in pdf.groupby(keys, dropna=False).indices.items():
+                k = k if isinstance(k, tuple) else (k,)
+                for lo in range(0, len(at), max(1, DRAWN // resamples)):
+                    some = at[lo : lo + max(1, DRAWN // resamples)]
+                    total[k] = total.get(k, 0) + (_poisson_weights(u[some], draws, seed) @ x[some]).T
+                if len(total) * resamples * len(values) > HELD:
+                    yield out(total)
+                    total = {}
+        if total:
+            yield out(total)
+
+    parts = given.mapInPandas(run, ", ".join([*kinds, *(f"`{v}` array<double>" for v in values)]))
+    each = parts.select(*keys, F.posexplode(F.arrays_zip(*values)).alias("__draw", "__z")).select(*keys, "__draw", *[F.col("__z")[v].alias(v) for v in values])
+    return each.groupBy(*keys, "__draw").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def poisson_bootstrap_mean(rows: DataFrame, keys: list[str], unit: str, value: str, resamples: int = 400, seed: int = 0, confidence: float = 0.95) -> DataFrame:
@@ -241,9 +293,7 @@ def poisson_bootstrap_mean(rows: DataFrame, keys: list[str], unit: str, value: s
     With a cluster as the unit, all rows of a cluster get one weight: a cluster bootstrap.
     """
     per_unit = rows.groupBy(*keys, unit).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-    drawn = per_unit.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__draw"))
-    w = _poisson_weights(F.col(unit), F.col("__draw"), seed)
-    means = drawn.withColumn("__w", w).groupBy(*keys, "__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col("__s")), F.sum(F.col("__w") * F.col("__n"))).alias("m"))
+    means = _weighted_sums(per_unit, keys, unit, ["__s", "__n"], resamples, seed).withColumn("m", F.try_divide("__s", "__n"))
     a = (1 - confidence) / 2
     return means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("q")).select(*keys, F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("upper"))
 
@@ -317,8 +367,7 @@ def paired_bootstrap_test(pairs: DataFrame, keys: list[str], unit: str, d: str,
         raise ValueError("at least 1000 resamples are needed")
     rows = pairs.where(F.col(d).isNotNull()).select(*keys, F.col(unit).alias("__unit"), F.col(d).alias("__d"))
     centre = rows.groupBy(*keys).agg(F.avg("__d").alias("observed"))
-    drawn = rows.join(centre, keys).select(*keys, "observed", "__unit", (F.col("__d") - F.col("observed")).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__draw"))
-    w = _poisson_weights(F.col("__unit"), F.col("__draw"), seed)
-    means = drawn.withColumn("__w", w).groupBy(*keys, "__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col("__x")), F.sum("__w")).alias("m"), F.max("observed").alias("observed"))
+    centred = rows.join(centre, keys).select(*keys, "__unit", (F.col("__d") - F.col("observed")).alias("__x"), F.lit(1.0).alias("__one"))
+    means = _weighted_sums(centred, keys, "__unit", ["__x", "__one"], resamples, seed).withColumn("m", F.try_divide("__x", "__one")).join(centre, keys)
     extreme = F.count_if(F.abs(F.col("m")) >= F.abs(F.col("observed")))
     return means.groupBy(*keys).agg(F.max("observed").alias("observed"), ((extreme + 1) / F.lit(resamples + 1)).alias("p_value"))

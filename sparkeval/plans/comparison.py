@@ -82,11 +82,7 @@ def cmp01_compare_metric(spark, sf_dir):
 def cmp03_tests(spark, sf_dir):
     """The comparison by each of the tests, failures counting as zero."""
     left, right = _sides(spark, sf_dir)
-    out = None
-    for test in C.TESTS:
-        one = C.compare_metrics(left, right, policy="failures_as_zero", test=test, practical=0.5, seed=7)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return C.compare_tests(left, right, policy="failures_as_zero", practical=0.5, seed=7)
 
 
 @query()
