@@ -314,20 +314,39 @@ def _gram_sets(batches, width: int):
             yield k, h, xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
 
 
-def _frequent(docs: DataFrame, width: int, sample: int = 20_000, most: int = 200_000) -> np.ndarray:
-    """32-bit names of shingles that are frequent in a sample, the most frequent last; they only set an order.
+#: Shingles are counted by the last bits of their hashes: an array of 4 MB in every task, moved in slices.
+COUNT_BITS, SLICES = 20, 64
 
-    The sample is a tenth of the rows, or about ``sample`` if that is more; ``most`` names are kept.
-    """
-    share = max(1, min(10, docs.count() // sample))
 
-    def run(batches):
-        for _, h, _ in _gram_sets(batches, width):
-            yield pa.record_batch([pa.array(h.astype(np.uint32).view(np.int32))], ["h"])
+def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """How many of all rows hold a shingle of each bucket of hashes; this only sets an order of the shingles.
+
+    Each task counts its rows in one array, and the arrays of all tasks are added up slice by slice.
+    """
+    size = (1 << COUNT_BITS) // SLICES
 
-    counts = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(run, "h int").groupBy("h").count().where("count >= 3")
-    rows = counts.orderBy(F.desc("count"), "h").limit(most).toPandas()
-    return rows["h"].to_numpy(np.int32)[::-1].view(np.uint32)
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                h = [h for _, h, _ in _gram_sets([b.slice(lo, 256)], width)]
+                at, n = np.unique(np.concatenate(h) & np.uint64((1 << COUNT_BITS) - 1), return_counts=True)
+                total[at.astype(np.int64)] += n
+        parts = [total[k * size : (k + 1) * size].astype("<u4").tobytes() for k in range(SLICES)] if total.any() else []
+        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["k", "counts"])
+
+    def add(batches):
+        total: dict = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
+        parts = [x.clip(0, (1 << 31) - 1).astype("<u4").tobytes() for x in total.values()]
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], ["k", "counts"])
+
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    for r in docs.mapInArrow(count, "k int, counts binary").repartition("k").mapInArrow(add, "k int, counts binary").collect():
+        out[r["k"] * size : (r["k"] + 1) * size] = np.frombuffer(r["counts"], "<u4")
+    return out
 
 
 def _counted_pairs(batches, flush: int = 1 << 21):
@@ -451,13 +470,12 @@ def near_copies(
 
     Rows with the same set of shingles are one node.  Candidates come from prefixes: in any
     order of all shingles, two sets alike to 0.8 share one of the first ``n - ceil(0.8 n) + 1``
-    of each.  The order puts shingles last that a sample shows as frequent, which changes the
+    of each.  The order puts frequent shingles last, by counts over all rows, which changes the
     work only.  A prefix shingle of up to ``few`` nodes gives their pairs, and pairs are counted:
     with ``c`` shared in the two prefixes, the sets share at most ``c`` and what lies behind the
     one prefix or the other; pairs that can't reach 0.8 so are dropped, none else.  A prefix
     shingle of more nodes gives no pairs: each node is tied to one of about its size, and these
-    in a row, which connects all it could link (on 236,000 different texts, 2,302 nodes were tied so,
-    the largest component being 635; with a sample of 5,000 rows for the order, 25,853).  Links of the 64-bit SimHash tree search are
+    in a row, which connects all it could link.  Links of the 64-bit SimHash tree search are
     further candidates.  Then each set travels once to its component of candidates (hot ones as
     block pairs), where the links are counted out exactly; a spanning forest of them leaves the task.
 
@@ -467,18 +485,13 @@ def near_copies(
     gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = _frequent(rows, width)
-    at = np.argsort(common)
+    held_by = _frequencies(rows, width)
 
     def index(batches):
-        values, rank = common[at], at + 1
         for b in batches:
             out, prints = [], fingerprints_of(b.column(1).to_pylist(), width).view(np.int64).tolist()
             for (k, h, node), fp in zip(_gram_sets([b], width), prints, strict=True):
-                order, short = np.zeros(len(h), np.int64), h.astype(np.uint32)
-                if len(values):
-                    p = np.searchsorted(values, short).clip(0, len(values) - 1)
-                    order = np.where(values[p] == short, rank[p], 0)
+                order = held_by[(h & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
                 first = h[np.lexsort((h, order))][: len(h) - _least(len(h)) + 1 if len(h) else 0]
                 # 32 bits name a prefix shingle: two of one name only add candidates
                 out.append((k, node, fp, len(h), first.astype(np.uint32).tobytes()))
